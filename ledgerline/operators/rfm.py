@@ -67,10 +67,14 @@ def rfm_segments(tx: DataFrame, customer_col: str, date_col: str, amount_col: st
                  analysis_date=None) -> DataFrame:
     """customer_id, recency, frequency, monetary, r_score, f_score, m_score,
     rfm_score, segment."""
+    # The per-customer table is read by three independent rankings; write it
+    # once so each ranking scans it instead of re-running the aggregation.
     m = reliable_checkpoint(rfm_metrics(tx, customer_col, date_col, amount_col, analysis_date))
-    m = stats.qcut_raw(m, "recency", "customer_id", out="_r_label")
-    m = stats.qcut_ranked(m, "frequency", "customer_id", out="f_score")
-    m = stats.qcut_ranked(m, "monetary", "customer_id", out="m_score")
+    f = stats.qcut_ranked(m.select("customer_id", "frequency"), "frequency", "customer_id", out="f_score")
+    mm = stats.qcut_ranked(m.select("customer_id", "monetary"), "monetary", "customer_id", out="m_score")
+    r = stats.qcut_raw(m, "recency", "customer_id", out="_r_label")
+    m = r.join(f.select("customer_id", "f_score"), "customer_id") \
+         .join(mm.select("customer_id", "m_score"), "customer_id")
     m = m.withColumn("r_score", F.coalesce(F.lit(4) - F.col("_r_label"), F.lit(1)).cast("int")).drop("_r_label")
     code = F.col("r_score") * 100 + F.col("f_score") * 10 + F.col("m_score")
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")

@@ -25,9 +25,16 @@ def _cols(cols):
 
 
 def with_global_row_number(df: DataFrame, order_cols, name: str = "rn",
-                           num_partitions: int | None = None) -> DataFrame:
+                           num_partitions: int | None = None,
+                           total_name: str | None = None) -> DataFrame:
     """1-based row number over the total order ``order_cols`` (ascending,
-    nulls first).  ``order_cols`` must end in a unique key so the order is total.
+    nulls first).  ``order_cols`` must end in a unique key so the order is
+    total.  With ``total_name`` the row count is added as a column as well.
+
+    The partition index and the position inside the sorted partition are
+    recorded by the same task and materialised in the checkpoint folder, so
+    the offset table and the numbering read identical values (two separate
+    evaluations of a range exchange may sample different split points).
     """
     n = num_partitions or shuffle_partitions(df.sparkSession)
     order = _cols(order_cols)
@@ -35,21 +42,24 @@ def with_global_row_number(df: DataFrame, order_cols, name: str = "rn",
                 .sortWithinPartitions(*order)
                 .withColumn(_PID, F.spark_partition_id()))
     # monotonically_increasing_id = (partition index << 33) + position in the
-    # partition, so subtracting the partition part leaves the position.
+    # sorted partition, so subtracting the partition part leaves the position.
     ranged = ranged.withColumn(
         _IDX, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33))
-    # Pin the range split: the sizes and the numbering below must see the
-    # same placement even if a task is recomputed.
     ranged = reliable_checkpoint(ranged)
-    sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_ll_cnt"))
+    sizes = ranged.groupBy(_PID).agg((F.max(_IDX) + 1).alias("_ll_cnt"))
+    all_rows = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = sizes.select(
         _PID,
         F.coalesce(F.sum("_ll_cnt").over(
             Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias(_OFF))
-    return (ranged.join(F.broadcast(offsets), _PID)
-                  .withColumn(name, F.col(_OFF) + F.col(_IDX) + 1)
-                  .drop(_PID, _IDX, _OFF))
+        ).alias(_OFF),
+        F.sum("_ll_cnt").over(all_rows).alias("_ll_total"))
+    # offsets has one row per partition: a bounded broadcast
+    out = (ranged.join(F.broadcast(offsets), _PID)
+                 .withColumn(name, F.col(_OFF) + F.col(_IDX) + 1))
+    if total_name:
+        out = out.withColumnRenamed("_ll_total", total_name)
+    return out.drop(_PID, _IDX, _OFF, "_ll_total")
 
 
 def exact_quantiles(df: DataFrame, value_col: str, key_col: str, probs,
@@ -59,54 +69,60 @@ def exact_quantiles(df: DataFrame, value_col: str, key_col: str, probs,
     ``quantile_cont``) and ``n`` = number of non-null values.
 
     Distributed: only the at most 2·len(probs) rows sitting at the needed
-    positions are brought together.
+    positions are brought together (one row each).
     """
     vals = df.select(F.col(value_col).cast("double").alias("_v"), F.col(key_col).alias("_k")) \
              .filter(F.col("_v").isNotNull())
-    numbered = with_global_row_number(vals, ["_v", "_k"], name="_rn")
-    total = numbered.agg(F.count(F.lit(1)).alias("n"))
-    pos = total.select(
-        "n", *[(F.lit(float(p)) * (F.col("n") - 1)).alias(f"_p{i}") for i, p in enumerate(probs)])
-    wanted = pos.select(F.explode(F.array(*[
-        F.array(F.floor(f"_p{i}"), F.ceil(f"_p{i}")) for i in range(len(probs))])).alias("_pair")) \
-        .select(F.explode("_pair").alias("_pos")).distinct()
-    picked = numbered.join(F.broadcast(wanted), numbered["_rn"] - 1 == wanted["_pos"]) \
-        .agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_v"))).alias("_m"))
+    numbered = with_global_row_number(vals, ["_v", "_k"], name="_rn", total_name="n")
+    p_cols = [(F.lit(float(p)) * (F.col("n") - 1)) for p in probs]
+    needed = F.array(*[F.floor(p) for p in p_cols], *[F.ceil(p) for p in p_cols])
+    picked = numbered.filter(F.array_contains(needed, F.col("_rn") - 1)) \
+        .agg(F.map_from_entries(F.collect_list(F.struct((F.col("_rn") - 1).alias("_pos"), "_v"))).alias("_m"),
+             F.max("n").alias("n"))
     edges = []
-    for i in range(len(probs)):
-        p = F.col(f"_p{i}")
-        lo = F.element_at("_m", F.floor(p))
-        hi = F.element_at("_m", F.ceil(p))
-        frac = p - F.floor(p)
-        edges.append(lo + (hi - lo) * frac)
-    return pos.crossJoin(picked).select(F.array(*edges).alias(name), "n")
+    for p in probs:
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        lo = F.element_at("_m", F.floor(pos))
+        hi = F.element_at("_m", F.ceil(pos))
+        edges.append(lo + (hi - lo) * (pos - F.floor(pos)))
+    return picked.select(F.when(F.col("n") > 0, F.array(*edges)).alias(name),
+                         F.coalesce(F.col("n"), F.lit(0)).alias("n"))
+
+
+def qcut_edges_label(value: Column, edges: Column) -> Column:
+    """0-based bin among distinct ``edges`` (right-closed, lowest included);
+    null when fewer than two distinct edges."""
+    return F.when(F.size(edges) < 2, F.lit(None).cast("int")).otherwise(
+        F.greatest(F.lit(0), F.size(F.filter(edges, lambda e: e < value)) - 1))
 
 
 def qcut_raw(df: DataFrame, value_col: str, key_col: str, q: int = 4,
              out: str = "qcut_label") -> DataFrame:
     """0-based quantile bin of the raw value with duplicate edges dropped
     (right-closed bins, lowest edge included).  Null when fewer than two
-    distinct edges remain."""
+    distinct edges remain.  The edge row is a single row (crossJoin of 1)."""
     probs = [i / q for i in range(q + 1)]
     edges = exact_quantiles(df, value_col, key_col, probs, name="_edges") \
         .select(F.array_distinct("_edges").alias("_edges"))
-    v = F.col(value_col)
-    label = F.when(F.size("_edges") < 2, F.lit(None).cast("int")).otherwise(
-        F.greatest(F.lit(0), F.size(F.filter("_edges", lambda e: e < v)) - 1))
-    return df.crossJoin(edges).withColumn(out, label).drop("_edges")
+    return df.crossJoin(edges).withColumn(out, qcut_edges_label(F.col(value_col), F.col("_edges"))) \
+             .drop("_edges")
+
+
+def rank_bucket(rank: Column, n: Column, q: int) -> Column:
+    """qcut(first-come rank, q) + 1 in integer arithmetic: ceil(q(r−1)/(n−1)),
+    at least 1; 1 for a single row."""
+    return F.when(n <= 1, F.lit(1)).otherwise(
+        F.greatest(F.lit(1), F.floor((F.lit(q) * (rank - 1) + n - 2) / (n - 1)))).cast("int")
 
 
 def qcut_ranked(df: DataFrame, value_col: str, key_col: str, q: int = 4,
                 out: str = "qcut_rank") -> DataFrame:
     """1-based quantile bin of the first-come rank (ties broken by
     ``key_col``); equals qcut(rank(method='first'), q) + 1, and 1 when there
-    is a single row.  Integer arithmetic, so no float edge effects."""
-    numbered = with_global_row_number(df, [F.col(value_col), F.col(key_col)], name="_rank")
-    total = numbered.agg(F.count(F.lit(1)).alias("_n"))
-    r, n = F.col("_rank"), F.col("_n")
-    bucket = F.when(n <= 1, F.lit(1)).otherwise(
-        F.greatest(F.lit(1), F.floor((F.lit(q) * (r - 1) + n - 2) / (n - 1)))).cast("int")
-    return numbered.crossJoin(total).withColumn(out, bucket).drop("_rank", "_n")
+    is a single row."""
+    numbered = with_global_row_number(df, [F.col(value_col), F.col(key_col)], name="_rank",
+                                      total_name="_n")
+    return numbered.withColumn(out, rank_bucket(F.col("_rank"), F.col("_n"), q)).drop("_rank", "_n")
 
 
 def share(df: DataFrame, value_col: str, out: str = "share_pct", by=None) -> DataFrame:
@@ -222,3 +238,44 @@ def acf(df: DataFrame, series_col: str, order_col: str, value_col: str, max_lag:
     return num.join(denom, series_col).select(
         series_col, "lag", "n",
         F.when(F.col("_den") == 0, F.lit(None).cast("double")).otherwise(F.col("_num") / F.col("_den")).alias("acf"))
+
+
+# ---------------------------------------------------------------- skew-safe keyed order ops
+
+def top_n_per_key(df: DataFrame, keys, order_cols, n: int, salt_buckets: int = 64,
+                  rank_col: str | None = None) -> DataFrame:
+    """The first ``n`` rows of every key under ``order_cols`` (which must
+    make the order total).  Two rounds: first per (key, salt) so a hot key
+    is spread over ``salt_buckets`` tasks, then per key over at most
+    n × salt_buckets survivors.  A top-n report is the feature, so the
+    limit is the result, not a shortcut."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = _cols(order_cols)
+    salted = df.withColumn("_ll_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt_buckets)))
+    w1 = Window.partitionBy(*keys, "_ll_salt").orderBy(*order)
+    pre = salted.withColumn("_ll_r1", F.row_number().over(w1)).filter(F.col("_ll_r1") <= n)
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    out = pre.withColumn("_ll_r2", F.row_number().over(w2)).filter(F.col("_ll_r2") <= n)
+    if rank_col:
+        out = out.withColumnRenamed("_ll_r2", rank_col)
+    return out.drop("_ll_salt", "_ll_r1", "_ll_r2")
+
+
+def with_previous(df: DataFrame, keys, order_cols, cols, prefix: str = "prev_") -> DataFrame:
+    """Adds ``prev_<c>`` = value of ``c`` on the previous row of the same key
+    (null on the first row): lag without a per-key window.  Rows are numbered
+    over (keys, order) with the range-partitioned global numbering (a hot key
+    spans many partitions) and joined to row number − 1 on an evenly spread
+    integer key."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    numbered = with_global_row_number(df, [*keys, *order_cols], name="_ll_seq")
+    prev = numbered.select((F.col("_ll_seq") + 1).alias("_ll_seq"),
+                           *[F.col(k).alias(f"_ll_pk_{i}") for i, k in enumerate(keys)],
+                           *[F.col(c).alias(prefix + c) for c in cols])
+    joined = numbered.join(prev, "_ll_seq", "left")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_ll_pk_{i}"))
+    for c in cols:
+        joined = joined.withColumn(prefix + c, F.when(same, F.col(prefix + c)))
+    return joined.drop("_ll_seq", *[f"_ll_pk_{i}" for i in range(len(keys))])

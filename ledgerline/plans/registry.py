@@ -32,6 +32,9 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 def load_all():
     # import for side effect: each module registers its analyses
     from ledgerline.plans import (  # noqa: F401
+        q_basket,
+        q_inventory,
+        q_pricing,
         q_rfm,
     )
     return QUERIES, ORACLES

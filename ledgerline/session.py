@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -56,14 +58,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut lineage.
+    """Materialise ``df`` as a parquet table under the shared checkpoint
+    folder and return a scan of it.
 
-    Used where a plan must be evaluated more than once with identical row
-    placement (global ranks) or where lineage gets long (iterations).
-    A lost executor then recomputes from the written files, not from scratch.
+    Used where a result is read by several branches of a later plan or where
+    lineage gets long.  One write job; later readers prune columns and push
+    filters into the scan; a lost executor re-reads files instead of
+    recomputing upstream stages.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/ll-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
