@@ -36,5 +36,7 @@ def load_all():
         q_inventory,
         q_pricing,
         q_rfm,
+        q_supply,
+        q_text,
     )
     return QUERIES, ORACLES
