@@ -279,3 +279,27 @@ def with_previous(df: DataFrame, keys, order_cols, cols, prefix: str = "prev_")
     for c in cols:
         joined = joined.withColumn(prefix + c, F.when(same, F.col(prefix + c)))
     return joined.drop("_ll_seq", *[f"_ll_pk_{i}" for i in range(len(keys))])
+
+
+def exact_group_quantiles(df: DataFrame, key: str, value_col: str, id_col: str, probs,
+                          name: str = "quantiles") -> DataFrame:
+    """Per key: array of exact quantiles (linear interpolation).  Rows are
+    numbered over (key, value, id) with the range-partitioned global
+    numbering, so a key holding a third of all rows is spread over many
+    tasks; each key then needs only the ≤ 2·len(probs) rows at its
+    positions.  No per-group value buffer is ever built."""
+    vals = df.select(F.col(key).alias("_g"), F.col(value_col).cast("double").alias("_v"),
+                     F.col(id_col).alias("_k")).filter(F.col("_v").isNotNull())
+    numbered = with_global_row_number(vals, ["_g", "_v", "_k"], name="_rn")
+    bounds = numbered.groupBy("_g").agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    pos = [F.col("_start") + F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    wanted = bounds.select("_g", "_start", "_n",
+                           F.array(*[F.floor(p) for p in pos], *[F.ceil(p) for p in pos]).alias("_want"))
+    picked = numbered.join(wanted, "_g").filter(F.array_contains("_want", F.col("_rn"))) \
+        .groupBy("_g", "_start", "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rn", "_v"))).alias("_m"))
+    qs = []
+    for p in probs:
+        at = F.col("_start") + F.lit(float(p)) * (F.col("_n") - 1)
+        lo, hi = F.element_at("_m", F.floor(at)), F.element_at("_m", F.ceil(at))
+        qs.append(lo + (hi - lo) * (at - F.floor(at)))
+    return picked.select(F.col("_g").alias(key), F.col("_n").alias("n"), F.array(*qs).alias(name))
