@@ -35,6 +35,7 @@ def load_all():
         q_basket,
         q_general,
         q_inventory,
+        q_metrics,
         q_pricing,
         q_rfm,
         q_supply,
