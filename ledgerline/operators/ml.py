@@ -93,9 +93,9 @@ def classifiers():
     return {
         "logistic_regression": (LogisticRegression(featuresCol="features", labelCol="label", maxIter=50),
                                 lambda m: ParamGridBuilder().addGrid(m.regParam, [0.0, 0.01]).build()),
-        "random_forest": (RandomForestClassifier(featuresCol="features", labelCol="label", seed=SEED, numTrees=30),
-                          lambda m: ParamGridBuilder().addGrid(m.maxDepth, [4, 6]).build()),
-        "gradient_boosting": (GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, maxIter=20),
+        "random_forest": (RandomForestClassifier(featuresCol="features", labelCol="label", seed=SEED, numTrees=20),
+                          lambda m: ParamGridBuilder().addGrid(m.maxDepth, [5]).build()),
+        "gradient_boosting": (GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, maxIter=10),
                               lambda m: ParamGridBuilder().addGrid(m.maxDepth, [3]).build()),
     }
 
@@ -113,7 +113,7 @@ def train_classifiers(train: DataFrame, test: DataFrame, numeric, categorical, m
             continue
         pipe = Pipeline(stages=feature_stages(numeric, categorical) + [est])
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=ev, numFolds=folds, seed=SEED,
-                            parallelism=2)
+                            parallelism=4)
         # grid on the final stage
         grid_maps = grid(est)
         cv = cv.setEstimatorParamMaps(grid_maps)
@@ -153,6 +153,9 @@ def feature_names(model: PipelineModel, df: DataFrame, col: str = "features") ->
     """Encoded feature names from the ml_attr metadata of the assembled vector."""
     out = model.transform(df.limit(1))
     meta = out.schema[col].metadata.get("ml_attr", {}).get("attrs", {})
+    if not meta and "raw_features" in out.columns:
+        # a scaler keeps the order of the assembled vector but drops its names
+        meta = out.schema["raw_features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {}
     for group in meta.values():
         for a in group:

@@ -36,6 +36,7 @@ def load_all():
         q_general,
         q_inventory,
         q_metrics,
+        q_ml,
         q_pricing,
         q_rfm,
         q_supply,
