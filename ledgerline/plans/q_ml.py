@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import anomaly, ml
 from ledgerline.operators import text as TX
 from ledgerline.plans.registry import register
+from ledgerline.session import reliable_checkpoint
 from ledgerline.sources.tables import table
 
 CHURN_NUM = ["c_acctbal", "n_orders", "avg_order", "total_spend"]
@@ -31,7 +32,8 @@ def churn_frame(spark, d):
 
 
 def _split(df, key):
-    s = ml.stratified_split(df, "label", key, 0.2)
+    # materialised once: model fitting passes over the data many times
+    s = reliable_checkpoint(ml.stratified_split(df, "label", key, 0.2))
     return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "test").drop("split")
 
 
