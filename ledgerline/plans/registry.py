@@ -40,6 +40,7 @@ def load_all():
         q_ml,
         q_pricing,
         q_rfm,
+        q_streaming,
         q_supply,
         q_text,
     )
