@@ -36,6 +36,7 @@ def load_all():
         q_forecast,
         q_general,
         q_inventory,
+        q_io,
         q_metrics,
         q_ml,
         q_pricing,
