@@ -19,9 +19,15 @@ def impute_values(df: DataFrame, col: str, key_col: str) -> DataFrame:
 
 
 def impute(df: DataFrame, col: str, key_col: str, strategy: str = "mean", out: str | None = None) -> DataFrame:
-    """Fill nulls of ``col`` by mean / median / mode (constant row joined,
-    no collect)."""
-    v = impute_values(df, col, key_col).select(F.col(strategy).alias("_fill"))
+    """Fill nulls of ``col`` by mean / median / mode (a one-row value joined
+    to every row, no collect)."""
+    if strategy == "mean":
+        v = df.agg(F.avg(col).alias("_fill"))
+    elif strategy == "median":
+        v = stats.exact_quantiles(df, col, key_col, [0.5], name="_m").select(F.col("_m")[0].alias("_fill"))
+    else:
+        v = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c")) \
+              .agg(F.min_by(col, F.struct(-F.col("_c"), F.col(col))).alias("_fill"))
     return df.crossJoin(v).withColumn(out or col, F.coalesce(F.col(col), F.col("_fill").cast(df.schema[col].dataType))) \
              .drop("_fill")
 

@@ -42,6 +42,7 @@ def load_all():
         q_inventory,
         q_io,
         q_metrics,
+        q_more,
         q_ml,
         q_pricing,
         q_rfm,
