@@ -178,11 +178,12 @@ def eoq_reorder(items: DataFrame, ordering_cost: float = 50.0, holding_rate: flo
 def budget_select(recs: DataFrame, tenant_col: str, budget: float, max_rounds: int = 1000) -> DataFrame:
     """Greedy budget walk per tenant in (−risk, cost, id) order: an item is
     taken when it still fits in what is left (later, smaller items can still
-    be taken after a skip).
+    be taken after a skip).  Running sums come from ``stats.keyed_running_sum``
+    (global numbering), so one tenant with most candidates is still spread.
 
     Distributed rounds, every tenant in parallel: take the longest prefix of
     the remaining candidates whose running cost fits the remaining budget
-    (running sums via a window per tenant over candidates only), drop the
+    (running sums over candidates only), drop the
     first non-fitting item and everything that no longer fits, repeat.  Each
     round ends at least one item's fate, and the loop stops when no
     candidates remain.  Lineage is cut every round."""
@@ -193,8 +194,10 @@ def budget_select(recs: DataFrame, tenant_col: str, budget: float, max_rounds: i
     for _ in range(max_rounds):
         if cand.limit(1).count() == 0:
             break
-        w = Window.partitionBy(tenant_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        run = cand.withColumn("_cum", F.sum("cost_impact").over(w))
+        # running cost per tenant without a per-tenant window (skew-safe)
+        run = reliable_checkpoint(stats.keyed_running_sum(
+            cand, [tenant_col], [F.desc("stockout_risk"), F.col("cost_impact"), F.col("item_id")],
+            "cost_impact", "_cum"))
         fit = run.filter(F.col("_cum") <= F.col("_remaining"))
         spent = fit.groupBy(tenant_col).agg(F.sum("cost_impact").alias("_spent"))
         key = F.struct((-F.col("stockout_risk")).alias("a"), F.col("cost_impact").alias("b"),

@@ -303,3 +303,17 @@ def exact_group_quantiles(df: DataFrame, key: str, value_col: str, id_col: str,
         lo, hi = F.element_at("_m", F.floor(at)), F.element_at("_m", F.ceil(at))
         qs.append(lo + (hi - lo) * (at - F.floor(at)))
     return picked.select(F.col("_g").alias(key), F.col("_n").alias("n"), F.array(*qs).alias(name))
+
+
+def keyed_running_sum(df: DataFrame, keys, order_cols, weight_col: str, out: str) -> DataFrame:
+    """Running sum of ``weight_col`` within each key in ``order_cols`` order
+    (inclusive of the current row) without a per-key window: rows are
+    numbered over (keys, order) globally, a global running sum is built from
+    range-partitioned partial sums, and each key's total before its first row
+    is subtracted (one row per key, joined on the key)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    numbered = with_global_row_number(df, [*keys, *order_cols], name="_ll_g")
+    cum = _cumulative_before(numbered, "_ll_g", weight_col, "_ll_before").drop(_PID)
+    base = cum.groupBy(*keys).agg(F.min_by("_ll_before", "_ll_g").alias("_ll_base"))
+    return cum.join(base, keys).withColumn(out, F.col("_ll_before") - F.col("_ll_base") + F.col(weight_col)) \
+              .drop("_ll_g", "_ll_before", "_ll_base")
