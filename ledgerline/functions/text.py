@@ -116,8 +116,7 @@ def words(col) -> Column:
 def tokens(col) -> Column:
     """Lower-case alphabetic tokens without stop words."""
     toks = F.regexp_extract_all(F.lower(_c(col)), F.lit(r"\p{L}+"), 0)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    return F.filter(toks, lambda t: ~t.isin(*STOP_WORDS))      # InSet: hashed lookup
 
 
 def detect_language(col) -> Column:
@@ -136,7 +135,11 @@ def extract_skills(col, skills=COMMON_SKILLS) -> Column:
     """Skills found in the text, in library order.  One literal regex per
     skill (compiled once per task), evaluated over the whole text."""
     t = _c(col)
-    return F.array_compact(F.array(*[F.when(t.rlike(skill_regex(s)), F.lit(s)) for s in skills]))
+    low = F.lower(t)
+    # the substring test is a necessary condition for the regex and far
+    # cheaper, so most (text, skill) pairs never reach the regex engine
+    return F.array_compact(F.array(*[F.when(low.contains(s.lower()) & t.rlike(skill_regex(s)), F.lit(s))
+                                     for s in skills]))
 
 
 def skill_category(skill_col) -> Column:
@@ -155,7 +158,8 @@ def experience_years(col) -> Column:
     wrds = [F.transform(F.regexp_extract_all(t, F.lit("(?i)" + p), 1), lambda x: wmap[F.lower(x)])
             for p in EXPERIENCE_WORDS]
     allv = F.filter(F.flatten(F.array(*nums, *wrds)), lambda x: x.isNotNull())
-    return F.when(F.size(allv) > 0, F.array_max(allv))
+    # every pattern needs the word "year": skip the regexes otherwise
+    return F.when(F.lower(t).contains("year") & (F.size(allv) > 0), F.array_max(allv))
 
 
 def first_match(col, pattern: str) -> Column:
@@ -182,9 +186,9 @@ def emotions(text, polarity, subjectivity) -> dict[str, Column]:
     fear word present, all capped at 1."""
     t, p, s = _c(text), _c(polarity), _c(subjectivity)
     low = F.lower(t)
-    excl = F.length(t) - F.length(F.regexp_replace(t, "!", ""))
-    ques = F.length(t) - F.length(F.regexp_replace(t, r"\?", ""))
-    fear = sum((F.when(low.rlike(r"(^|[^\p{L}\p{N}_])" + w + r"([^\p{L}\p{N}_]|$)"), 0.3).otherwise(0.0)
+    excl = F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))
+    ques = F.length(t) - F.length(F.replace(t, F.lit("?"), F.lit("")))
+    fear = sum((F.when(low.contains(w) & low.rlike(r"(^|[^\p{L}\p{N}_])" + w + r"([^\p{L}\p{N}_]|$)"), 0.3).otherwise(0.0)
                 for w in FEAR_WORDS), F.lit(0.0))
     return {
         "joy": F.when(p > 0.3, F.least(F.lit(1.0), p * 1.5)).otherwise(0.0),

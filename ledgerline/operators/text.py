@@ -146,9 +146,8 @@ def doc_terms(docs: DataFrame, id_cols, text_col: str, bigrams: bool = True) ->
     """(ids…, term, tf): lower-case tokens of ≥ 2 word characters minus
     stop words, plus adjacent-token bigrams, counted per document."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    stop = F.array(*[F.lit(w) for w in T.STOP_WORDS])
     toks = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(T.WORD + "{2,}"), 0),
-                    lambda x: ~F.array_contains(stop, x))
+                    lambda x: ~x.isin(*T.STOP_WORDS))           # InSet: hashed lookup
     x = docs.select(*ids, toks.alias("_t"))
     if bigrams:
         # adjacent pairs by zipping the list with itself shifted by one (no
@@ -157,7 +156,10 @@ def doc_terms(docs: DataFrame, id_cols, text_col: str, bigrams: bool = True) ->
         bi = F.zip_with(F.slice("_t", 1, F.greatest(n - 1, F.lit(0))), F.slice("_t", 2, F.greatest(n - 1, F.lit(0))),
                         lambda a, b: F.concat(a, F.lit(" "), b))
         x = x.select(*ids, F.when(n >= 2, F.concat("_t", bi)).otherwise(F.col("_t")).alias("_t"))
-    return x.select(*ids, F.explode("_t").alias("term")).groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # explode_outer: a plain explode makes the optimizer infer size(_t) > 0
+    # and push it below the projection, copying the tokenizer into the filter
+    return x.select(*ids, F.explode_outer("_t").alias("term")).filter(F.col("term").isNotNull()) \
+            .groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_vectors(terms: DataFrame, id_cols) -> DataFrame:
@@ -165,7 +167,8 @@ def tfidf_vectors(terms: DataFrame, id_cols) -> DataFrame:
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     n = terms.select(*ids).distinct().agg(F.count(F.lit(1)).alias("_n"))
     dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    w = terms.join(dfreq, "term").crossJoin(n) \
+    # both sides grow with the corpus: sort-merge, never a size-guessed broadcast
+    w = terms.join(dfreq.hint("merge"), "term").crossJoin(n) \
         .withColumn("w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
     norms = w.groupBy(*ids).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     return w.join(norms, ids).select(*ids, "term", (F.col("w") / F.col("_norm")).alias("w"))
@@ -182,7 +185,8 @@ def tfidf_similarity(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame
     vec = tfidf_vectors(qt.unionByName(dt), ["_src", "_id"])
     qv = vec.filter(F.col("_src") == "q").select(F.col("_id").alias(q_id), "term", F.col("w").alias("_wq"))
     dv = vec.filter(F.col("_src") == "d").select(F.col("_id").alias(d_id), "term", F.col("w").alias("_wd"))
-    return qv.join(dv, "term").groupBy(q_id, d_id).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("score"))
+    # term equi-join (AQE splits hot terms of the sort-merge join)
+    return qv.join(dv.hint("merge"), "term").groupBy(q_id, d_id).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("score"))
 
 
 def top_matches(scores: DataFrame, q_id: str, d_id: str, n: int = 5, min_score: float = 0.0) -> DataFrame:

@@ -113,7 +113,7 @@ def _category_sql(col):
 SELECT {_category_sql('skill')} AS category, skill, count(*) AS documents
 FROM (SELECT unnest(string_split({_skills_sql()}, ',')) AS skill FROM documents) WHERE skill <> '' GROUP BY ALL""")
 def q_categorize_skills(spark, d):
-    s = docs(spark, d).select(F.explode(T.extract_skills(F.col("text"))).alias("skill"))
+    s = docs(spark, d).select(F.explode_outer(T.extract_skills(F.col("text"))).alias("skill")).filter(F.col("skill").isNotNull())
     return s.groupBy(T.skill_category(F.col("skill")).alias("category"), "skill").agg(F.count(F.lit(1)).alias("documents"))
 
 
