@@ -37,6 +37,7 @@ def load_all():
     # import for side effect: each module registers its analyses
     from ledgerline.plans import (  # noqa: F401
         q_basket,
+        q_extra,
         q_forecast,
         q_general,
         q_inventory,
