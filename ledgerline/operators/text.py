@@ -39,7 +39,7 @@ def _lex_map(idx: int):
     return F.create_map(*[v for k, val in LEXICON.items() for v in (F.lit(k), F.lit(float(val[idx])))])
 
 
-def sentiment_scores(docs: DataFrame, text_col: str) -> DataFrame:
+def sentiment_scores_rowwise(docs: DataFrame, text_col: str) -> DataFrame:
     """Adds neg, neu, pos, compound (valence sum s → s/√(s²+15)),
     polarity (mean valence/4 over lexicon hits, clipped to ±1) and
     subjectivity (mean over hits); a text without words scores
@@ -75,6 +75,47 @@ def sentiment_scores(docs: DataFrame, text_col: str) -> DataFrame:
         F.when(nh == 0, 0.0).otherwise(F.col("_a")["subj"] / nh).alias("subjectivity"))
 
 
+def lexicon_table(spark):
+    """The lexicon as a small DataFrame (fixed size: a bounded broadcast)."""
+    return spark.createDataFrame([(k, float(v), float(sj)) for k, (v, sj) in LEXICON.items()],
+                                 "_w string, _v double, _sj double")
+
+
+def _finish_scores(x: DataFrame, keep) -> DataFrame:
+    s, ps, ns, neu, nh = (F.col(c) for c in ("_s", "_ps", "_ns", "_neu", "_nh"))
+    tot = ps - ns + neu
+    empty = tot == 0
+    return x.select(
+        *keep,
+        F.when(empty, 0.0).otherwise(-ns / tot).alias("neg"),
+        F.when(empty, 1.0).otherwise(neu / tot).alias("neu"),
+        F.when(empty, 0.0).otherwise(ps / tot).alias("pos"),
+        (s / F.sqrt(s * s + COMPOUND_ALPHA)).alias("compound"),
+        F.when(nh == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), s / 4.0 / nh))).alias("polarity"),
+        F.when(nh == 0, 0.0).otherwise(F.col("_subj") / nh).alias("subjectivity"))
+
+
+def sentiment_scores(docs: DataFrame, text_col: str, id_col: str = "doc_id") -> DataFrame:
+    """Batch scorer: every word of every text is exploded, looked up in the
+    lexicon by a broadcast hash join (fixed-size side) and summed per
+    document with map-side partial aggregation — all inside whole-stage
+    codegen.  The result is joined back to the document's other columns
+    (not its text) on the unique id.  Same numbers as the row-wise form."""
+    words = docs.select(id_col, F.explode_outer(T.words(F.lower(F.col(text_col)))).alias("_w"))
+    j = words.join(F.broadcast(lexicon_table(docs.sparkSession)), "_w", "left")
+    v = F.col("_v")
+    agg = j.groupBy(id_col).agg(
+        F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"),
+        F.coalesce(F.sum(F.when(v > 0, v + 1)), F.lit(0.0)).alias("_ps"),
+        F.coalesce(F.sum(F.when(v < 0, v - 1)), F.lit(0.0)).alias("_ns"),
+        (F.count("_w") - F.count(v)).cast("double").alias("_neu"),
+        F.count(v).alias("_nh"),
+        F.coalesce(F.sum("_sj"), F.lit(0.0)).alias("_subj"))
+    rest = docs.drop(text_col)
+    scored = _finish_scores(agg, [id_col])
+    return rest.join(scored, id_col) if len(rest.columns) > 1 else scored
+
+
 def polarity_scores(polarity) -> dict:
     """Second scorer: polarity p → p>0: pos=(p+1)/2, neu=1−pos; p<0:
     neg=(1−p)/2, neu=1−neg; p=0: neu=1; compound=p."""
@@ -85,19 +126,28 @@ def polarity_scores(polarity) -> dict:
     return {"pos": pos, "neg": neg, "neu": neu, "compound": p}
 
 
-def sentiment_analyze(docs: DataFrame, text_col: str) -> DataFrame:
+def sentiment_analyze(docs: DataFrame, text_col: str, id_col: str = "doc_id") -> DataFrame:
     """Label, confidence, language and emotions for a whole column; the
     ensemble blends the lexicon scorer (0.625) and the polarity scorer
-    (0.375), the two-scorer weights."""
-    s = sentiment_scores(docs, text_col)
+    (0.375), the two-scorer weights.  Text-dependent signals are computed in
+    a narrow projection and joined to the scores on the id without the text."""
+    t = F.col(text_col)
+    emo_raw = T.emotions(t, F.lit(0.0), F.lit(0.0))     # surprise and fear need only the text
+    signals = docs.select(id_col, T.detect_language(t).alias("language"),
+                          emo_raw["surprise"].alias("surprise"), emo_raw["fear"].alias("fear"))
+    s = sentiment_scores(docs.select(id_col, text_col), text_col, id_col).join(signals, id_col)
+    p = F.col("polarity")
     p2 = polarity_scores("polarity")
     ens = 0.625 * F.col("compound") + 0.375 * p2["compound"]
-    emo = T.emotions(F.col(text_col), F.col("polarity"), F.col("subjectivity"))
+    s = s.withColumn("joy", F.when(p > 0.3, F.least(F.lit(1.0), p * 1.5)).otherwise(0.0)) \
+         .withColumn("sadness", F.when(p < -0.3, F.least(F.lit(1.0), F.abs(p) * 1.2)).otherwise(0.0)) \
+         .withColumn("anger", F.when(p < -0.3, F.least(F.lit(1.0), F.abs(p) * F.col("subjectivity"))).otherwise(0.0))
+    extra = docs.drop(text_col)
+    if len(extra.columns) > 1:
+        s = extra.join(s, id_col)
     return s.withColumn("ensemble_compound", ens) \
             .withColumn("sentiment_label", sentiment_label("compound")) \
             .withColumn("confidence", sentiment_confidence("compound")) \
-            .withColumn("language", T.detect_language(F.col(text_col))) \
-            .withColumns(emo) \
             .withColumn("mixed", (F.col("pos") > 0.2) & (F.col("neg") > 0.2)) \
             .withColumn("intensity", F.abs("compound"))
 

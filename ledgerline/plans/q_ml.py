@@ -105,9 +105,8 @@ QUAL_CAT = ["lang"]
 def quality_frame(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
     lb = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    s = TX.sentiment_scores(docs.join(lb, "doc_id"), "text")
-    return s.withColumn("word_count", F.size(F.split("text", r"\s+"))).drop("text") \
-            .withColumn("n_chars", F.col("n_chars").cast("double"))
+    x = docs.join(lb, "doc_id").withColumn("word_count", F.size(F.split("text", r"\s+")))
+    return TX.sentiment_scores(x, "text").withColumn("n_chars", F.col("n_chars").cast("double"))
 
 
 @register("purchase_train")

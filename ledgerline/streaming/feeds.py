@@ -63,9 +63,10 @@ def run_complete(df: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
 
 def stream_sentiment(spark: SparkSession, folder: str, table_name: str = "documents", id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """Score a text feed: the same projection as the batch scorer."""
+    """Score a text feed with the row-wise form of the batch scorer (same numbers)."""
     s = source(spark, folder, table_name).select(id_col, text_col)
-    scored = TX.sentiment_scores(s, text_col).drop(text_col)
+    # row-wise fold: no stateful aggregation in the stream
+    scored = TX.sentiment_scores_rowwise(s, text_col).drop(text_col)
     return run_append(scored, "sentiment")
 
 
