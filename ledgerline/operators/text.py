@@ -11,7 +11,9 @@ equi-join on the term (AQE splits hot terms).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
@@ -213,15 +215,17 @@ def doc_terms(docs: DataFrame, id_cols, text_col: str, bigrams: bool = True) ->
 
 
 def tfidf_vectors(terms: DataFrame, id_cols) -> DataFrame:
-    """Smooth idf ln((1+n)/(1+df)) + 1, tf·idf, L2-normalised per document."""
+    """Smooth idf ln((1+n)/(1+df)) + 1, tf·idf, L2-normalised per document
+    (the norm is a window over the document's own terms — bounded by the
+    document — instead of an aggregate joined back)."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     n = terms.select(*ids).distinct().agg(F.count(F.lit(1)).alias("_n"))
     dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     # both sides grow with the corpus: sort-merge, never a size-guessed broadcast
     w = terms.join(dfreq.hint("merge"), "term").crossJoin(n) \
         .withColumn("w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
-    norms = w.groupBy(*ids).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norms, ids).select(*ids, "term", (F.col("w") / F.col("_norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*ids)))
+    return w.select(*ids, "term", (F.col("w") / norm).alias("w"))
 
 
 def tfidf_similarity(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: str,
