@@ -196,22 +196,26 @@ def cv_profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def doc_terms(docs: DataFrame, id_cols, text_col: str, bigrams: bool = True) -> DataFrame:
     """(ids…, term, tf): lower-case tokens of ≥ 2 word characters minus
-    stop words, plus adjacent-token bigrams, counted per document."""
+    stop words, plus adjacent-token bigrams, counted per document.
+
+    Row form, so everything runs in generated code (array lambdas run
+    interpreted, element by element): tokens are ``posexplode``d, stop words
+    dropped by a hashed ``isin``, the next kept token comes from ``lead``
+    over the document's own tokens (a window bounded by the document), and
+    the per-document counts reuse that partitioning (no second shuffle)."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    toks = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(T.WORD + "{2,}"), 0),
-                    lambda x: ~x.isin(*T.STOP_WORDS))           # InSet: hashed lookup
-    x = docs.select(*ids, toks.alias("_t"))
+    toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(T.WORD + "{2,}"), 0)
+    # posexplode_outer: a plain explode makes the optimizer infer size(...) > 0
+    # and push it below the projection, copying the tokenizer into a filter
+    x = docs.select(*ids, F.posexplode_outer(toks).alias("_pos", "_w")) \
+            .filter(F.col("_w").isNotNull() & ~F.col("_w").isin(*T.STOP_WORDS))
     if bigrams:
-        # adjacent pairs by zipping the list with itself shifted by one (no
-        # per-element indexing, which would re-evaluate the token expression)
-        n = F.size("_t")
-        bi = F.zip_with(F.slice("_t", 1, F.greatest(n - 1, F.lit(0))), F.slice("_t", 2, F.greatest(n - 1, F.lit(0))),
-                        lambda a, b: F.concat(a, F.lit(" "), b))
-        x = x.select(*ids, F.when(n >= 2, F.concat("_t", bi)).otherwise(F.col("_t")).alias("_t"))
-    # explode_outer: a plain explode makes the optimizer infer size(_t) > 0
-    # and push it below the projection, copying the tokenizer into the filter
-    return x.select(*ids, F.explode_outer("_t").alias("term")).filter(F.col("term").isNotNull()) \
-            .groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
+        nxt = F.lead("_w").over(Window.partitionBy(*ids).orderBy("_pos"))
+        x = x.withColumn("_bi", F.when(nxt.isNotNull(), F.concat(F.col("_w"), F.lit(" "), nxt)))
+        x = x.select(*ids, F.explode(F.array("_w", "_bi")).alias("term")).filter(F.col("term").isNotNull())
+    else:
+        x = x.select(*ids, F.col("_w").alias("term"))
+    return x.groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_vectors(terms: DataFrame, id_cols) -> DataFrame:
