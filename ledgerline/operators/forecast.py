@@ -186,6 +186,30 @@ def fit_series(pdf: pd.DataFrame, horizon: int):
         _, a, b, g, f, lv, tr, s = best
         fits.append((key, "holt_winters", f"alpha={a},beta={b},gamma={g}", *_metrics(y[12:], f[12:]), stationary, seasonal))
         fcs += [(key, "holt_winters", h, float(lv + h * tr + s[len(s) - 12 + (h - 1) % 12])) for h in range(1, horizon + 1)]
+    if seasonal and n >= 36:
+        # seasonal model: ARIMA on the period-12 differenced series (D = 1),
+        # p, q in 0..1, forecasts integrated back with the seasonal lag
+        ys = y[12:] - y[:-12]
+        best = None
+        for p, q in itertools.product(range(2), range(2)):
+            try:
+                f, aic, coef, mu = arima_css(ys, p, 0, q)
+            except np.linalg.LinAlgError:
+                continue
+            if best is None or aic < best[0]:
+                best = (aic, p, q, f, coef, mu)
+        if best is not None:
+            _, p, q, f, coef, mu = best
+            fitted = f + y[:-12]
+            fits.append((key, "sarimax", f"p={p},q={q},P=1,D=1,Q=0,s=12", *_metrics(y[12:], fitted), stationary, seasonal))
+            fs = arima_forecast(ys, p, 0, q, coef, mu, horizon)
+            hist = list(y)
+            out = []
+            for h in range(horizon):
+                v = float(fs[h] + hist[len(hist) - 12])
+                hist.append(v)
+                out.append(v)
+            fcs += [(key, "sarimax", h + 1, v) for h, v in enumerate(out)]
     d = 0 if stationary else 1
     if n >= 10:
         best = None

@@ -261,3 +261,65 @@ def q_scan_documents(spark, d):
     p = ensure_checkpoint_dir(spark).rstrip("/") + f"/io/documents-{uuid.uuid4().hex}"
     table(spark, d, "documents").select(F.col("doc_id").alias("_id"), "lang", "source").write.json(p)
     return files.scan_json(spark, p).select(F.col("_id").cast("string").alias("_id"), "lang", "source")
+
+
+@register("trend_sarimax")
+def q_trend_sarimax(spark, d):
+    """Seasonal fits exist only for series with ≥ 36 points and seasonality
+    in the ACF; other series yield no row (the rule of the analysis)."""
+    daily = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("series"),
+                                                F.date_trunc("month", "l_shipdate").alias("t")).agg(F.sum("l_quantity").alias("y"))
+    f = fc.fit_models(daily, "series", "t", "y", horizon=12)
+    return f.filter(F.col("kind") == "fit").select("series", "model", "params", F.round("mae", 4).alias("mae"), "seasonal")
+
+
+@register("feat_pipeline_robust")
+def q_feat_pipeline_robust(spark, d):
+    """Median imputation + robust scaling of numerics, date parts,
+    ordinal code of the priority, one-hot status (pyspark.ml stages)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from ledgerline.functions import scalars as S
+    o = table(spark, d, "orders")
+    x = o.select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("price"),
+                 S.ordinal_encode("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).cast("double").alias("priority"),
+                 "o_orderstatus", *[c.cast("double").alias(k) for k, c in S.date_features("o_orderdate").items()])
+    stages = [Imputer(inputCols=["price"], outputCols=["price_f"], strategy="median"),
+              StringIndexer(inputCol="o_orderstatus", outputCol="status_idx", handleInvalid="keep", stringOrderType="alphabetAsc"),
+              OneHotEncoder(inputCol="status_idx", outputCol="status_ohe", handleInvalid="keep"),
+              VectorAssembler(inputCols=["price_f", "priority", "month", "day_of_week", "quarter"], outputCol="num"),
+              RobustScaler(inputCol="num", outputCol="num_scaled", withCentering=True, withScaling=True),
+              VectorAssembler(inputCols=["num_scaled", "status_ohe", "is_weekend", "is_month_end"], outputCol="features")]
+    m = Pipeline(stages=stages).fit(x)
+    return m.transform(x).select("o_orderkey", F.transform(vector_to_array("features"), lambda v: F.round(v, 4)).alias("features"))
+
+
+@register("batch_status_join", sql="""
+WITH tasks AS (SELECT conv_id AS batch_id, turn AS task_id FROM conversations),
+results AS (SELECT conv_id AS batch_id, turn AS task_id, CASE WHEN role = 'assistant' THEN 'completed' END AS status
+            FROM conversations WHERE role = 'assistant')
+SELECT t.batch_id, t.task_id, coalesce(r.status, 'unknown') AS status
+FROM tasks t LEFT JOIN results r ON r.batch_id = t.batch_id AND r.task_id = t.task_id""")
+def q_batch_status_join(spark, d):
+    """Batches = conversations (task list = turns collected per batch and
+    exploded), results = assistant turns; missing results → 'unknown'."""
+    c = table(spark, d, "conversations")
+    batches = c.groupBy(F.col("conv_id").alias("batch_id")).agg(F.collect_list("turn").alias("tasks"))
+    tasks = batches.select("batch_id", F.explode("tasks").alias("task_id"))
+    results = c.filter(F.col("role") == "assistant").select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("task_id"),
+                                                            F.lit("completed").alias("status"))
+    return tasks.join(results, ["batch_id", "task_id"], "left").select(
+        "batch_id", "task_id", F.coalesce("status", F.lit("unknown")).alias("status"))
+
+
+@register("scan_textdir", sql="SELECT doc_id, length(text) AS n_chars FROM documents")
+def q_scan_textdir(spark, d):
+    """Documents written one folder per document (text files), read back as
+    whole files with their path; the id comes from the folder name."""
+    p = ensure_checkpoint_dir(spark).rstrip("/") + f"/io/textdir-{uuid.uuid4().hex}"
+    table(spark, d, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(p)
+    r = files.scan_textdir(spark, p + "/*")
+    doc = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long")
+    # the text sink ends each record with one newline
+    return r.select(doc.alias("doc_id"), (F.length("text") - 1).alias("n_chars"))
