@@ -13,14 +13,15 @@ Mahalanobis distance as a column expression.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators import stats
+from ledgerline.session import reliable_checkpoint
 
 EULER = 0.5772156649
 
@@ -145,4 +146,39 @@ def standardize(df: DataFrame, cols) -> DataFrame:
     return x.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
 
 
-__all__ = ["isolation_forest", "robust_elliptic", "anomaly_report", "standardize", "pd"]
+def dbscan_flags(df: DataFrame, features, key_col: str, eps: float = 0.5, min_pts: int = 5) -> DataFrame:
+    """DBSCAN core / noise labels (noise = anomaly) without enumerating all
+    pairs.
+
+    Points fall into grid cells of side eps/√d, so two points of one cell are
+    within eps: a cell holding ≥ min_pts points is all core.  Only points
+    of sparse cells (< min_pts points) are paired with the points of the
+    (2r+1)^d neighbouring cells (r = ⌈√d⌉), by an equi-join on the cell key.
+    Every point of a dense cell meets at most (2r+1)^d · (min_pts − 1) sparse
+    points, so the pair count is linear in the input.  A non-core point is
+    noise when no core point lies within eps (the neighbour pairs decide)."""
+    d = len(features)
+    side = eps / math.sqrt(d)
+    r = int(math.ceil(math.sqrt(d)))
+    x = df.select(key_col, *[F.col(c).cast("double").alias(c) for c in features]) \
+          .withColumn("_cell", F.array(*[F.floor(F.col(c) / side).cast("long") for c in features]))
+    counts = x.groupBy("_cell").agg(F.count(F.lit(1)).alias("_cn"))
+    pts = reliable_checkpoint(x.join(counts, "_cell"))
+    offsets = [list(o) for o in itertools.product(range(-r, r + 1), repeat=d)]
+    probe = pts.filter(F.col("_cn") < min_pts).select(
+        F.col(key_col).alias("_p"), *[F.col(c).alias(f"_p_{c}") for c in features], "_cell",
+        F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])).alias("_off"))
+    probe = probe.withColumn("_ncell", F.zip_with("_cell", "_off", lambda a, b: a + b)).drop("_cell", "_off")
+    others = pts.select(F.col("_cell").alias("_ncell"), F.col(key_col).alias("_q"), F.col("_cn").alias("_qcn"),
+                        *[F.col(c).alias(f"_q_{c}") for c in features])
+    dist2 = sum(((F.col(f"_p_{c}") - F.col(f"_q_{c}")) ** 2 for c in features), F.lit(0.0))
+    pairs = probe.join(others, "_ncell").filter(dist2 <= eps * eps).select("_p", "_q", "_qcn")
+    pairs = reliable_checkpoint(pairs)
+    sparse_core = pairs.groupBy("_p").agg((F.count(F.lit(1)) >= min_pts).alias("_core"))
+    core = pts.select(key_col, "_cn").join(sparse_core.withColumnRenamed("_p", key_col), key_col, "left") \
+              .select(key_col, ((F.col("_cn") >= min_pts) | F.coalesce(F.col("_core"), F.lit(False))).alias("is_core"))
+    q_core = core.select(F.col(key_col).alias("_q"), F.col("is_core").alias("_q_core"))
+    near_core = pairs.join(q_core, "_q").groupBy("_p").agg(F.max(F.col("_q_core").cast("int")).alias("_near"))
+    out = core.join(near_core.withColumnRenamed("_p", key_col), key_col, "left")
+    return out.select(key_col, "is_core",
+                      (~F.col("is_core") & (F.coalesce(F.col("_near"), F.lit(0)) == 0)).alias("is_noise"))

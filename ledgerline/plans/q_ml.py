@@ -196,3 +196,25 @@ SELECT event_id, round(CASE WHEN stddev_pop(value) OVER () = 0 THEN 0.0
 def q_standardize(spark, d):
     z = anomaly.standardize(table(spark, d, "events").select("event_id", "value"), ["value"])
     return z.select("event_id", F.round("value_z", 6).alias("value_z"))
+
+
+def _event_points(spark, d):
+    """Events as 2-d points: value and hour of day, z-scored and rounded to
+    6 places (population standard deviation)."""
+    ev = table(spark, d, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"))
+    z = anomaly.standardize(ev, ["value", "hour"])
+    return z.select("event_id", F.round("value_z", 6).alias("x"), F.round("hour_z", 6).alias("y"))
+
+
+@register("anomaly_dbscan", sql="""
+WITH e AS (SELECT event_id, value AS v, CAST(hour(ts) AS DOUBLE) AS h FROM events),
+z AS (SELECT event_id, round((v - avg(v) OVER ()) / stddev_pop(v) OVER (), 6) AS x,
+             round((h - avg(h) OVER ()) / stddev_pop(h) OVER (), 6) AS y FROM e),
+nb AS (SELECT a.event_id AS p, b.event_id AS q FROM z a JOIN z b
+       ON b.x BETWEEN a.x - 0.5 AND a.x + 0.5 AND b.y BETWEEN a.y - 0.5 AND a.y + 0.5
+       WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25),
+core AS (SELECT p AS event_id, count(*) >= 5 AS is_core FROM nb GROUP BY p),
+near AS (SELECT nb.p AS event_id, max(CAST(c.is_core AS INTEGER)) AS near FROM nb JOIN core c ON c.event_id = nb.q GROUP BY nb.p)
+SELECT core.event_id, core.is_core, NOT core.is_core AND near.near = 0 AS is_noise FROM core JOIN near ON near.event_id = core.event_id""")
+def q_anomaly_dbscan(spark, d):
+    return anomaly.dbscan_flags(_event_points(spark, d), ["x", "y"], "event_id", 0.5, 5)

@@ -48,3 +48,19 @@ def test_budget_walk_matches_sequential_greedy(spark):
                 spent += r.cost_impact
                 take.append(r.item_id)
         assert sorted(got[got.tenant == t]["item_id"]) == sorted(take)
+
+
+def test_dbscan_matches_brute_force_with_hot_cell(spark):
+    import numpy as np
+    from ledgerline.operators import anomaly
+    rng = np.random.default_rng(5)
+    pts = np.vstack([rng.normal(size=(150, 2)) * 1.5, np.zeros((60, 2)), rng.uniform(-6, 6, size=(20, 2))])
+    pts = np.round(pts, 6)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double")
+    got = {r.id: (r.is_core, r.is_noise) for r in anomaly.dbscan_flags(df, ["x", "y"], "id", 0.5, 5).collect()}
+    d2 = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1)
+    nb = d2 <= 0.25
+    core = nb.sum(1) >= 5
+    noise = ~core & ~(nb & core[None, :]).any(1)
+    for i in range(len(pts)):
+        assert got[i] == (bool(core[i]), bool(noise[i]))
