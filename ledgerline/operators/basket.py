@@ -14,6 +14,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import reliable_checkpoint
+
 
 def basket_lines(df: DataFrame, tx_col: str, item_col: str, date_col: str | None = None) -> DataFrame:
     """(tx, item[, date]) with null keys dropped."""
@@ -72,6 +74,9 @@ def association_rules(itemsets: DataFrame, metric: str = "lift", min_threshold:
     """Every split of every frequent itemset (size ≥ 2) into antecedent →
     consequent, with support, confidence, lift, leverage, conviction
     (null = infinite, i.e. confidence 1)."""
+    # read three times below (splits, antecedent and consequent lookups): the
+    # mining behind it must not run three times
+    itemsets = reliable_checkpoint(itemsets)
     multi = itemsets.filter(F.size("items") >= 2)
     splits = multi.select(
         "items", F.col("support"),

@@ -44,3 +44,12 @@ def q_stream_anomaly(spark, d):
     out = feeds.stream_scores(spark, d, "events", "event_id", score, score > float(thr))
     del feats
     return out.withColumn("anomaly_score", F.round("anomaly_score", 6))
+
+
+@register("stream_rate_watermarked")
+def q_stream_rate_watermarked(spark, d):
+    """Production form: append mode with a 10-minute watermark, so window
+    state is dropped once a window is final.  Windows still open when the
+    drained stream stops are not emitted (rows-only check; the complete-mode
+    form above is the batch-equality check)."""
+    return feeds.stream_rate_watermarked(spark, d, "events", "ts", "user_id", RATE_WINDOW, RATE_LIMIT, "10 minutes")
