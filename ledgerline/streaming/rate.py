@@ -22,4 +22,6 @@ def rate_counts(events: DataFrame, ts_col: str, client_col: str, window: str = "
 def rate_stream(stream: DataFrame, ts_col: str, client_col: str, window: str = "1 minute", limit: int = 100,
                 watermark: str = "10 minutes") -> DataFrame:
     """Streaming form: watermark on event time, append-mode windows."""
-    return rate_counts(stream.withWatermark(ts_col, watermark), ts_col, client_col, window, limit)
+    # watermarks need TIMESTAMP; with the UTC session the cast keeps the wall clock
+    s = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    return rate_counts(s.withWatermark(ts_col, watermark), ts_col, client_col, window, limit)
