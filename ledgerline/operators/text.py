@@ -207,7 +207,10 @@ def doc_terms(docs: DataFrame, id_cols, text_col: str, bigrams: bool = True) ->
     toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(T.WORD + "{2,}"), 0)
     # posexplode_outer: a plain explode makes the optimizer infer size(...) > 0
     # and push it below the projection, copying the tokenizer into a filter
-    x = docs.select(*ids, F.posexplode_outer(toks).alias("_pos", "_w")) \
+    # partition the texts by document once: the explode, the lead window and
+    # the per-document count then need no further exchange (texts are
+    # shuffled instead of the larger token rows)
+    x = docs.repartition(*ids).select(*ids, F.posexplode_outer(toks).alias("_pos", "_w")) \
             .filter(F.col("_w").isNotNull() & ~F.col("_w").isin(*T.STOP_WORDS))
     if bigrams:
         nxt = F.lead("_w").over(Window.partitionBy(*ids).orderBy("_pos"))
@@ -243,8 +246,9 @@ def tfidf_similarity(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame
     vec = tfidf_vectors(qt.unionByName(dt), ["_src", "_id"])
     qv = vec.filter(F.col("_src") == "q").select(F.col("_id").alias(q_id), "term", F.col("w").alias("_wq"))
     dv = vec.filter(F.col("_src") == "d").select(F.col("_id").alias(d_id), "term", F.col("w").alias("_wd"))
-    # term equi-join (AQE splits hot terms of the sort-merge join)
-    return qv.join(dv.hint("merge"), "term").groupBy(q_id, d_id).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("score"))
+    # term equi-join: AQE broadcasts the query vectors only when their
+    # measured size is under the threshold, else sort-merge with skew splits
+    return qv.join(dv, "term").groupBy(q_id, d_id).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("score"))
 
 
 def top_matches(scores: DataFrame, q_id: str, d_id: str, n: int = 5, min_score: float = 0.0) -> DataFrame:
