@@ -77,3 +77,27 @@ def test_roc_auc_matches_pair_count(spark):
     pos, neg = s[y == 1], s[y == 0]
     exp = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert abs(got - exp) < 1e-12
+
+
+def test_gap_rows_hot_document_matches_sequential(spark):
+    from ledgerline.operators import layout
+    rng = np.random.default_rng(13)
+    rows = []
+    for doc, n in (("big", 400), ("a", 30), ("b", 12)):
+        ys = np.sort(rng.choice(np.arange(0, 4000), n, replace=False) * 0.5)
+        for i, y in enumerate(ys):
+            rows.append((doc, float(rng.integers(0, 500)), float(y), f"{doc}{i}"))
+    pdf = pd.DataFrame(rows, columns=["doc", "x", "y", "t"])
+    got = layout.gap_rows(spark.createDataFrame(pdf), "doc", "x", "y", "t", 10.0).toPandas()
+    for doc, g in pdf.groupby("doc"):
+        g = g.sort_values(["y", "x"])
+        rid, prev, exp = 0, None, {}
+        for _, r in g.iterrows():
+            if prev is not None and abs(r.y - prev) > 10:
+                rid += 1
+            exp.setdefault(rid, []).append((r.x, r.t))
+            prev = r.y
+        mine = got[got.doc == doc]
+        assert len(mine) == len(exp)
+        for _, r in mine.iterrows():
+            assert list(r["cells"]) == [t for _, t in sorted(exp[int(r["row_id"])])]
