@@ -72,3 +72,31 @@ def test_date_rules(spark):
     assert [x.h for x in r] == [True, True, False, False]
     assert [x.w for x in r] == [1, 1, 1, 4]
     assert r[0].day_of_week == 3 and r[3].is_month_end == 1
+
+
+def test_aspect_context_window_matches_brute_force(spark, monkeypatch):
+    """The bounded (doc, position ± 5) context join equals a direct scan."""
+    import re
+    from ledgerline.plans import q_extra, q_text
+    texts = ["The price was great but the service was terrible and slow, bad staff.",
+             "Good quality product. Delivery time: awful, horrible delay; price fine.",
+             "nothing relevant here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(q_text, "docs", lambda spark_, d: df)
+    got = {(r.doc_id, r.aspect): (r.mentions, r.sentiment_words, r.valence)
+           for r in q_extra.q_aspect_sentiment(spark, None).collect()}
+    exp = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\W]+", t.lower())
+        for p, tok in enumerate(w):
+            if tok in q_extra.ASPECT_TERMS:
+                m, sw, v = exp.get((i, tok), (set(), 0, 0.0))
+                m.add(p)
+                for o in range(-q_extra.WINDOW, q_extra.WINDOW + 1):
+                    if o and 0 <= p + o < len(w) and w[p + o] in TX.LEXICON:
+                        sw += 1
+                        v += TX.LEXICON[w[p + o]][0]
+                exp[(i, tok)] = (m, sw, v)
+    assert set(got) == set(exp)
+    for k, (m, sw, v) in exp.items():
+        assert got[k][0] == len(m) and got[k][1] == sw and abs(got[k][2] - round(v, 6)) < 1e-9
