@@ -273,7 +273,6 @@ def tree_interval(model, df: DataFrame, lo: float = 0.05, hi: float = 0.95) -> D
     forest (exact linear percentile of the per-tree predictions)."""
     rf = model.stages[-1]
     feats = type(model)(stages=model.stages[:-1]).transform(df)
-    from pyspark.ml.functions import vector_to_array
     cols = []
     x = feats
     for i, tree in enumerate(rf.trees):
@@ -288,5 +287,4 @@ def tree_interval(model, df: DataFrame, lo: float = 0.05, hi: float = 0.95) -> D
         lo_i, hi_i = int(math.floor(pos)), int(math.ceil(pos))
         return arr[lo_i] + (arr[hi_i] - arr[lo_i]) * (pos - lo_i)
 
-    del vector_to_array
     return x.withColumn("lower", pct(lo)).withColumn("upper", pct(hi)).drop(*cols)

@@ -68,7 +68,6 @@ def patch_rows(base: DataFrame, patch: DataFrame, key: str = "id", stamp_col: st
     ``stamp_col`` on patched rows."""
     p = patch.select(key, *[F.col(c).alias(f"_new_{c}") for c in patch.columns if c != key])
     j = base.join(p, key, "left")
-    patched = F.col("_new_" + (patch.columns[1] if len(patch.columns) > 1 else key)).isNotNull()
     hit = F.lit(False)
     for c in patch.columns:
         if c != key:
@@ -81,7 +80,6 @@ def patch_rows(base: DataFrame, patch: DataFrame, key: str = "id", stamp_col: st
             out.append(F.when(hit, F.lit(stamp_value)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
-    del patched
     return j.select(*out)
 
 

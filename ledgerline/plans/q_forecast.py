@@ -65,11 +65,9 @@ def demand_model(spark, d):
 
 @register("demand_train")
 def q_demand_train(spark, d):
-    from pyspark.ml.evaluation import RegressionEvaluator
     df = reliable_checkpoint(daily_demand(spark, d)).withColumn("_b", F.pmod(F.xxhash64("p_brand", "date"), F.lit(5)))
     train, test = df.filter("_b <> 0"), df.filter("_b = 0")
     t, _ = ml.train_regressors(train, test, DEMAND_NUM, ["p_brand"])
-    del RegressionEvaluator
     return t.select("model", *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "r2")], "selected")
 
 

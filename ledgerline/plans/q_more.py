@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.functions import text as T
-from ledgerline.operators import clean, inventory as inv, profile, rfm, stats
+from ledgerline.operators import clean, inventory as inv, profile, rfm
 from ledgerline.operators import text as TX
 from ledgerline.plans import q_pricing, q_rfm, q_supply, q_text
 from ledgerline.plans.q_general import _GAPPY, _gappy_lineitem
@@ -415,5 +415,3 @@ def stats_anova(x):
     w = x.join(g, "y").agg(F.sum((F.col("v") - F.col("m")) ** 2).alias("ssw"))
     return b.crossJoin(w).select(((F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("total") - F.col("k")))).alias("f_stat"))
 
-
-del stats

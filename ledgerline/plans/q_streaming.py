@@ -32,7 +32,6 @@ def q_stream_rate(spark, d):
 def q_stream_anomaly(spark, d):
     """Model fitted in batch (mean and covariance of event values and hour),
     then new events are scored by the stream."""
-    feats = ["value", "hour"]
     ev = table(spark, d, "events").withColumn("hour", F.hour("ts").cast("double"))
     mom = ev.agg(F.avg("value").alias("m0"), F.avg("hour").alias("m1"), F.covar_samp("value", "value").alias("c00"),
                  F.covar_samp("value", "hour").alias("c01"), F.covar_samp("hour", "hour").alias("c11")).first()
@@ -42,7 +41,6 @@ def q_stream_anomaly(spark, d):
     score = F.sqrt(F.greatest(F.lit(0.0), d0 * d0 * float(inv[0, 0]) + 2 * d0 * d1 * float(inv[0, 1]) + d1 * d1 * float(inv[1, 1])))
     thr = stats.exact_quantiles(ev.select("event_id", score.alias("s")), "s", "event_id", [0.9], "_t").first()["_t"][0]
     out = feeds.stream_scores(spark, d, "events", "event_id", score, score > float(thr))
-    del feats
     return out.withColumn("anomaly_score", F.round("anomaly_score", 6))
 
 
