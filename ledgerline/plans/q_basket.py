@@ -104,3 +104,21 @@ def q_basket_rules(spark, d):
                     F.array_join("consequents", ",").alias("consequents"),
                     *[F.round(c, 6).alias(c) for c in ("antecedent_support", "consequent_support", "support",
                                                        "confidence", "lift", "leverage", "conviction")])
+
+
+@register("rules_subset_join", sql=_ITEMSETS_CTE + """,
+splits AS (SELECT items, support, m FROM its, range(1, CAST(pow(2, len(items)) AS BIGINT) - 1) t(m) WHERE len(items) >= 2),
+r AS (SELECT list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS antecedents,
+             list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS consequents FROM splits)
+SELECT array_to_string(r.antecedents, ',') AS antecedents, array_to_string(r.consequents, ',') AS consequents,
+       round(a.support, 6) AS antecedent_support, round(c.support, 6) AS consequent_support
+FROM r JOIN its a ON a.items = r.antecedents JOIN its c ON c.items = r.consequents""")
+def q_rules_subset_join(spark, d):
+    """The itemset lookups behind the rules: every split of every frequent
+    itemset joined to the supports of its two sides (equi-join on the sorted
+    item array), before any metric threshold."""
+    r = basket.association_rules(itemsets(spark, d), "lift", float("-inf"))
+    return r.select(F.array_join("antecedents", ",").alias("antecedents"),
+                    F.array_join("consequents", ",").alias("consequents"),
+                    F.round("antecedent_support", 6).alias("antecedent_support"),
+                    F.round("consequent_support", 6).alias("consequent_support"))
