@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import pieces
+from ledgerline.llm import pieces, quality, simhash
 from ledgerline.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,51 @@ def op9_sentencepiece(spark, sf_dir):
     """Ids and round trip of every whole text; see ``pieces.encode_decode``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(pieces.encode_decode(docs, tokenizer_path()), "doc_id")
+
+
+@register("op4_line_frequency", r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[ \x09-\x0D]+'), x -> x <> '') AS words FROM d),
+win AS (SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS g
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+          SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (
+            SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, host, line, list_filter(string_split_regex(translate(line,
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), x -> x <> '') AS lw
+      FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)),
+ln AS (SELECT doc_id, host, line, array_to_string(lw, ' ') AS norm, len(lw) AS n FROM l WHERE len(lw) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
+total AS (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host),
+freq AS (SELECT host, norm FROM (
+           SELECT ln.host, ln.norm, count(DISTINCT d.text) AS c FROM ln JOIN d USING (doc_id) GROUP BY ALL)
+         JOIN total USING (host) WHERE c > 10 AND c > 0.10 * n_texts),
+gone AS (SELECT doc_id, count(*) AS lines_gone, sum(n) AS words_gone FROM ln JOIN freq USING (host, norm) GROUP BY doc_id),
+b AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
+             length(array_to_string(words, ''))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+             coalesce(words_gone, 0) AS words_gone, coalesce(lines_gone, 0) AS lines_gone
+      FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+         AND NOT (lines_gone > 0 AND (n_words - words_gone < 10 OR words_gone > 0.7 * n_words)) AS kept,
+       lines_gone::BIGINT AS n_removed_lines, words_gone::BIGINT AS n_removed_words
+FROM b
+""")
+def op4_line_frequency(spark, sf_dir):
+    """Base rules and cross-document line frequency of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    q = F.col("_quality")
+    return quality.line_frequency_rules(docs).select(
+        "doc_id", *(q[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                            "base_failed", "kept", "n_removed_lines", "n_removed_words")))
+
+
+@register("op8_simhash_golay")
+def op8_simhash_golay(spark, sf_dir):
+    """Fingerprint and component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
