@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import pieces, quality, simhash
+from ledgerline.llm import decontaminate, pieces, quality, secrets, simhash
 from ledgerline.llm.common import prepare, table
+from ledgerline.session import reliable_checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +84,30 @@ def op8_simhash_golay(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def secret_digest(docs: DataFrame) -> DataFrame:
+    """Contract columns of the secret scan over (``doc_id``, ``text``)."""
+    scanned = reliable_checkpoint(secrets.scan(docs).drop("text"))
+    out = secrets.judge(scanned, secrets.cut_offs(scanned))
+    base, spans = F.col("_secrets.base"), F.col("_secrets.all")
+    count = lambda k: F.size(F.filter(base, lambda x: x["o"] == k)).cast("long")
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                      F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+                      secrets.span_text(spans).alias("spans"))
+
+
+@register("op6_randomness_battery")
+def op6_randomness_battery(spark, sf_dir):
+    """Base and random spans of every document."""
+    return secret_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op5_cgk_decontamination")
+def op5_cgk_decontamination(spark, sf_dir):
+    """Benchmark items found in every document (ids sorted; empty if clean)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"),
+                        F.transform("_items", lambda x: x["item_id"]).alias("item_ids"),
+                        F.transform("_items", lambda x: x["edits"]).alias("edits"))
