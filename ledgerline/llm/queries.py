@@ -111,3 +111,11 @@ def op5_cgk_decontamination(spark, sf_dir):
     return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"),
                         F.transform("_items", lambda x: x["item_id"]).alias("item_ids"),
                         F.transform("_items", lambda x: x["edits"]).alias("edits"))
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    """The corpus pipeline's result; see ``corpus_pipeline.py``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -284,19 +284,36 @@ def links(fps: DataFrame) -> DataFrame:
     return found.where(F.col("a").isNotNull()).select("a", "b").unionByName(spread.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id``, ``fp``, ``component_id`` (smallest id reachable), a row per row of ``docs``."""
-    prints = reliable_checkpoint(with_fingerprint(docs.select(F.col(id_col).alias("id"), text_col), text_col, shingle)
-                                 .select("id", "fp"))
-    return prints.join(fingerprint_components(prints), "fp", "left").select("id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                    carry: dict | None = None) -> DataFrame:
+    """A row per row of ``docs``: ``id``, ``fp``, ``component_id`` (smallest id
+    reachable), ``root`` (one fingerprint that names the component) and the
+    ``carry`` expressions over ``docs``, if any."""
+    carry = carry or {}
+    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_ll8_text"), *[c.alias(n) for n, c in carry.items()])
+    prints = reliable_checkpoint(with_fingerprint(prints, "_ll8_text", shingle).drop("_ll8_text"))
+    return prints.join(fingerprint_components(prints), "fp", "left").select("id", "fp", "component_id", "root", *carry)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """The rows of ``docs`` (all columns) that represent their component: the
+    row with the smallest id; of rows that share it, one."""
+    key, text = F.coalesce(F.col(id_col).cast("string"), F.lit("\0null")), F.xxhash64(F.col(text_col))
+    found = near_duplicates(docs, id_col, text_col, shingle, {"_ll8_k": key, "_ll8_t": text})
+    best = (found.where(F.col("id").eqNullSafe(F.col("component_id")))
+                 .groupBy("root").agg(F.min(F.struct("_ll8_k", "_ll8_t")).alias("m")).select("m.*"))
+    return (docs.withColumn("_ll8_k", key).withColumn("_ll8_t", text)
+                .join(best, ["_ll8_k", "_ll8_t"], "left_semi").dropDuplicates(["_ll8_k", "_ll8_t"])
+                .drop("_ll8_k", "_ll8_t"))
 
 
 def fingerprint_components(prints: DataFrame) -> DataFrame:
-    """``fp``, ``component_id`` of every distinct fingerprint of (``id``, ``fp``)."""
+    """``fp``, ``component_id``, ``root`` of every distinct fingerprint of (``id``, ``fp``)."""
     distinct = reliable_checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = reliable_checkpoint(components(links(distinct.select("fp"))))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(best, "root").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
+    named = roots.join(best, "root").select(F.col("node").alias("fp"), "component_id", "root")
     return distinct.join(named, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+        "fp", F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"),
+        F.coalesce("root", "fp").alias("root"))
