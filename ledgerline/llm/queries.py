@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, pieces, quality, secrets, simhash
+from ledgerline.llm import decontaminate, langid, pieces, quality, secrets, sharding, simhash
 from ledgerline.llm.common import prepare, table
 from ledgerline.session import reliable_checkpoint
 
@@ -40,14 +40,14 @@ def op9_sentencepiece(spark, sf_dir):
 
 @register("op4_line_frequency", r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(text, '[ \x09-\x0D]+'), x -> x <> '') AS words FROM d),
+w AS (SELECT *, list_filter(string_split_regex(text, '[ \x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
 win AS (SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS g
         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
           SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (
             SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, host, line, list_filter(string_split_regex(translate(line,
-          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), x -> x <> '') AS lw
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS lw
       FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d)),
 ln AS (SELECT doc_id, host, line, array_to_string(lw, ' ') AS norm, len(lw) AS n FROM l WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
@@ -113,6 +113,29 @@ def op5_cgk_decontamination(spark, sf_dir):
                         F.transform("_items", lambda x: x["edits"]).alias("edits"))
 
 
+@register("op1_best_fit_shards")
+def op1_best_fit_shards(spark, sf_dir):
+    """Shard and slot of every document, 40 shards of near equal bytes."""
+    placed = sharding.into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+                         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def held_out(id_col: str = "doc_id"):
+    """True for rows that no model may learn from; a null id is neither held out nor learnt from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+@register("op10_viterbi_language")
+def op10_viterbi_language(spark, sf_dir):
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(~held_out() & F.col("doc_id").isNotNull()))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), F.col("_lang.lang").alias("lang_pred"),
+                        F.col("_lang.score").alias("score"), F.size("_lang.spans").alias("n_spans"))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     """The corpus pipeline's result; see ``corpus_pipeline.py``."""
