@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, langid, pieces, quality, secrets, sharding, simhash
+from ledgerline.llm import decontaminate, extract, langid, pieces, quality, secrets, sharding, simhash
 from ledgerline.llm.common import prepare, table
 from ledgerline.session import reliable_checkpoint
 
@@ -121,6 +121,23 @@ def op1_best_fit_shards(spark, sf_dir):
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op2_block_labeller", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(p|h1)>'), lambda x: trim(regexp_replace(
+        replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br/?>', ' ', 'g'), '<[^<>]*>', '', 'g'),
+          '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+        '\s+', ' ', 'g'))) AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+""")
+def op2_block_labeller(spark, sf_dir):
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extract.main_text(pages, extract.fit(pages))
+    return found.select("page_id", "url", F.col("_main.text").alias("text"),
+                        F.length("_main.text").cast("long").alias("n_chars"))
+
+
 def held_out(id_col: str = "doc_id"):
     """True for rows that no model may learn from; a null id is neither held out nor learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
