@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, extract, langid, pieces, quality, secrets, sharding, simhash
+from ledgerline.llm import decontaminate, extract, langid, pieces, quality, secrets, sharding, simhash, substring
 from ledgerline.llm.common import prepare, table
 from ledgerline.session import reliable_checkpoint
 
@@ -138,6 +138,15 @@ def op2_block_labeller(spark, sf_dir):
                         F.length("_main.text").cast("long").alias("n_chars"))
 
 
+@register("op3_bwt_substrings")
+def op3_bwt_substrings(spark, sf_dir):
+    """Bytes of every document that earlier documents already hold."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes",
+                      F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"]).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def held_out(id_col: str = "doc_id"):
     """True for rows that no model may learn from; a null id is neither held out nor learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
