@@ -31,7 +31,7 @@ MAX_FEATURES = 200_000
 SMOOTH = 0.5
 SWITCH = 8.0
 BLOCK = 128
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 # first and last code point of the ranges of each script (Unicode blocks)
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
@@ -93,7 +93,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 class Labeller:
     def __init__(self, model: dict, switch: float = SWITCH):
-        self.langs, self.scores, self.base, self.scripts = (model[k] for k in ("langs", "scores", "base", "scripts"))
+        self.langs, self.scripts = model["langs"], model["scripts"]
+        self.gram_row = {g: i for i, g in enumerate(model["scores"])}
+        self.gram_scores = np.array([*model["scores"].values(), model["base"]]).reshape(len(self.gram_row) + 1, len(self.langs))
+        self.any = np.ones(len(self.langs), bool)
         self.switch = switch
         self.reset()
 
@@ -101,20 +104,33 @@ class Labeller:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)))
 
-    def word_score(self, word: str) -> np.ndarray:
-        """Log scores of the languages, shifted so that the best is 0."""
-        s = sum(self.scores.get(g, self.base) for g in trigrams(word))
-        allowed = self.scripts.get(script(word))
-        if allowed is not None and allowed.any():
-            s = np.where(allowed, s, s.max() - 50.0)
-        return s - s.max()
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log scores of the languages for each word, shifted so that the best is 0."""
+        get, none = self.gram_row.get, len(self.gram_row)
+        rows, counts = [], []
+        for w in words:
+            w = f"^{w}$"
+            n = len(w) - 2
+            rows.extend([get(w[i:i + 3], none) for i in range(n)])
+            counts.append(n)
+        scores = np.add.reduceat(self.gram_scores[rows], np.cumsum(counts) - counts, axis=0)
+        allowed = np.array([self.allowed(script(w)) for w in words])
+        scores = np.where(allowed, scores, scores.max(axis=1, keepdims=True) - 50.0)
+        return scores - scores.max(axis=1, keepdims=True)
+
+    def allowed(self, name: str) -> np.ndarray:
+        """Languages that use a script; all of them if none is known to."""
+        own = self.scripts.get(name)
+        return own if own is not None and own.any() else self.any
 
     def _lookup(self, words: list[str]) -> np.ndarray:
-        for w in set(words).difference(self.index):
-            k = self.index[w] = len(self.index)
-            if k == len(self.rows):
+        new = list(set(words).difference(self.index))
+        if new:
+            k = len(self.index)
+            self.index.update(zip(new, range(k, k + len(new))))
+            while k + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[k] = self.word_score(w)
+            self.rows[k:k + len(new)] = self.word_scores(new)
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def viterbi(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
