@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, extract, langid, pieces, quality, secrets, sharding, simhash, substring
+from ledgerline.llm import decontaminate, extract, langid, passages, pieces, quality, secrets, sharding, simhash, substring
 from ledgerline.llm.common import prepare, table
 from ledgerline.session import reliable_checkpoint
 
@@ -147,6 +147,13 @@ def op3_bwt_substrings(spark, sf_dir):
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register("op7_compact_windows")
+def op7_compact_windows(spark, sf_dir):
+    """Class of every document by near-duplicate passages of 50 words or more."""
+    out = passages.passage_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
 def held_out(id_col: str = "doc_id"):
     """True for rows that no model may learn from; a null id is neither held out nor learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -87,6 +87,16 @@ def minimizers(data: bytes) -> np.ndarray:
     return out
 
 
+def flag_bits(uniq: np.ndarray, flags: list[dict], buckets: int, name: str) -> np.ndarray:
+    """The bits ``name`` of all buckets, one per distinct route."""
+    bits = np.zeros(len(uniq), bool)
+    edges = np.searchsorted(bucket_of(uniq, buckets), np.arange(buckets + 1))
+    for f in flags:
+        lo, hi = edges[f["bucket"]], edges[f["bucket"] + 1]
+        bits[lo:hi] = np.unpackbits(np.frombuffer(f[name], np.uint8), count=hi - lo).astype(bool)
+    return bits
+
+
 def bucket_of(route: np.ndarray, buckets: int) -> np.ndarray:
     return ((route >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -99,17 +109,15 @@ class Chunk:
         self.offsets = np.frombuffer(offsets, np.int64)
         self.data = zstandard.ZstdDecompressor().decompress(data) if data else b""
         m = minimizers(self.data)
-        sizes = np.diff(self.offsets)
         self.start = np.zeros(0, np.int64)
         if not len(m):
             self.doc = self.count = self.start
             self.route = m
             return
         good = np.ones(len(m), bool)  # windows inside one document
-        for back in (self.offsets[1:-1],):
-            for k in range(1, WIDTH):
-                at = back - k
-                good[at[(at >= 0) & (at < len(m))]] = False
+        for k in range(1, WIDTH):
+            at = self.offsets[1:-1] - k
+            good[at[(at >= 0) & (at < len(m))]] = False
         change = np.ones(len(m), bool)
         change[1:] = (m[1:] != m[:-1]) | ~good[:-1]
         inner = self.offsets[1:-1]
@@ -118,9 +126,8 @@ class Chunk:
         ends = np.flatnonzero(change | ~good)
         stop = np.append(ends, len(m))[np.searchsorted(ends, self.start, "right")]
         self.count = stop - self.start
+        # documents without bytes share an offset with the next; the search finds the last, which has bytes
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
-        # documents without bytes share an offset; the search finds the last of them, which has bytes
-        del sizes
         self.route = m[self.start]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,12 +144,7 @@ class Chunk:
         """Distinct byte runs that may be shared: (routes, smallest ids, contents,
         occurrences), in bucket order.  Occurrence: (run, start, windows, id)."""
         uniq, _, inv = self.anchors()
-        shared, hot = np.zeros(len(uniq), bool), np.zeros(len(uniq), bool)
-        edges = np.searchsorted(bucket_of(uniq, buckets), np.arange(buckets + 1))
-        for f in flags:
-            lo, hi = edges[f["bucket"]], edges[f["bucket"] + 1]
-            for bits, name in ((shared, "shared"), (hot, "hot")):
-                bits[lo:hi] = np.unpackbits(np.frombuffer(f[name], np.uint8), count=hi - lo).astype(bool)
+        shared, hot = (flag_bits(uniq, flags, buckets, name) for name in ("shared", "hot"))
         start, count, doc, route = (x[shared[inv] & ~hot[inv]] for x in (self.start, self.count, self.doc, self.route))
         burning = np.flatnonzero(shared[inv] & hot[inv])
         if len(burning):  # windows one by one, routed by a hash of all their bytes
@@ -290,15 +292,15 @@ def _pack(batches):
         yield chunk()
 
 
-def _rows(batches):
+def _rows(batches, kind=Chunk):
     for batch in batches:
         for row in batch.to_pylist():
-            yield row, Chunk(row["ids"], row["offsets"], row["data"])
+            yield row, kind(row["ids"], row["offsets"], row["data"])
 
 
-def _emit_anchors(buckets: int):
+def _emit_anchors(buckets: int, kind=Chunk):
     def run(batches):
-        for row, chunk in _rows(batches):
+        for row, chunk in _rows(batches, kind):
             uniq, multi, _ = chunk.anchors()
             edges = np.searchsorted(bucket_of(uniq, buckets), np.arange(buckets + 1))
             used = [b for b in range(buckets) if edges[b] < edges[b + 1]]
@@ -458,19 +460,28 @@ def _cut(buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of ``docs``: ``id``, ``n_bytes``, ``spans`` (maximal
-    removed runs as byte offsets) and ``kept`` (the remaining bytes)."""
-    spark = docs.sparkSession
+def pack(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The chunk table of ``docs`` and the number of hash buckets for its bytes."""
     packed = reliable_checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
                                      .mapInArrow(_pack, "chunk long, size long, ids binary, offsets binary, data binary"))
     total = packed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
-    lists = ["ids", "offsets", "data"]
-    anchors = packed.mapInArrow(_emit_anchors(buckets), "bucket int, chunk long, hashes binary, multi binary")
+    return packed, max(shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
+
+
+def shared_routes(packed: DataFrame, buckets: int, kind=Chunk) -> DataFrame:
+    """``chunk``, ``flags``: which of a chunk's routes occur in two or more documents.
+    A chunk has a bounded number of routes, so its flags are a bounded row."""
+    anchors = packed.mapInArrow(_emit_anchors(buckets, kind), "bucket int, chunk long, hashes binary, multi binary")
     shared = anchors.groupBy("bucket").applyInArrow(_find_shared, "chunk long, bucket int, shared binary, hot binary")
-    # a chunk has a bounded number of minimizers, so its flags are a bounded row
-    flags = reliable_checkpoint(shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("flags")))
+    return reliable_checkpoint(shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("flags")))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per row of ``docs``: ``id``, ``n_bytes``, ``spans`` (maximal
+    removed runs as byte offsets) and ``kept`` (the remaining bytes)."""
+    packed, buckets = pack(docs, id_col, text_col)
+    lists = ["ids", "offsets", "data"]
+    flags = shared_routes(packed, buckets)
     runs = (packed.join(flags, "chunk").select("chunk", *lists, "flags")
                   .mapInArrow(_emit_runs(buckets), "bucket int, chunk long, n int, data binary"))
     verdicts = (runs.groupBy("bucket").applyInArrow(_judge_bucket, "chunk long, bucket int, codes binary, bits binary")
