@@ -57,13 +57,15 @@ def _multipliers(table: int, steps: int) -> np.ndarray:
     return np.random.default_rng([7, table]).integers(0, 1 << 63, steps, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def embed(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: int) -> np.ndarray:
-    """One key per window: the words at ``SAMPLES`` places of its CGK walk."""
+def embed(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: int, stop: np.ndarray | None = None) -> np.ndarray:
+    """One key per window: the words at ``SAMPLES`` places of its CGK walk.
+    A window that ends early (``stop``) goes on with empty words."""
     spots = np.random.default_rng([11, table]).random(SAMPLES)
     places = (spots[None, :] * 2 * lengths[:, None]).astype(np.int64)  # the walk passes L words in about 2 L steps
     steps = int(places.max()) + 1 if len(places) else 0
     mult = _multipliers(table, max(steps, 1))
-    at, stop = starts.astype(np.int64).copy(), starts + lengths
+    at = starts.astype(np.int64).copy()
+    stop = starts + lengths if stop is None else stop
     key = np.zeros(len(starts), np.uint64)
     for j in range(steps):
         inside = at < stop
@@ -190,12 +192,20 @@ class Matcher:
         at, item, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, item, start))
         if not len(at):
             return at, item
+        # distinct text positions of a document and item, in order: a match has enough of them in a stretch
+        spots, back = np.unique(np.stack([doc_of[at] * len(self.items) + item, at]), axis=1, return_inverse=True)
+        own = spots[0] % len(self.items)
+        need, room = self.need[own], self.length[own] + self.edits[own]
+        far = np.arange(len(own)) + need - 1
+        full = far < len(own)
+        far = np.minimum(far, len(own) - 1)
+        full &= (spots[0][far] == spots[0]) & (spots[1][far] - spots[1] < room)
+        cover = np.zeros(len(own) + 1, np.int64)
+        cover[:-1] += full
+        np.add.at(cover, np.flatnonzero(full) + need[full], -1)
+        enough = (np.cumsum(cover[:-1]) > 0)[back.ravel()]
+        at, item, start = at[enough], item[enough], start[enough]
         doc = doc_of[at]
-        pair, inv = np.unique(doc * len(self.items) + item, return_inverse=True)
-        # distinct text positions bound the shared grams of the pair from above
-        hits = np.unique(np.stack([inv, at]), axis=1)[0]
-        enough = np.bincount(hits, minlength=len(pair))[inv] >= self.need[item]
-        at, item, start, doc = at[enough], item[enough], start[enough], doc[enough]
         first = np.searchsorted(doc_of, doc, "left")
         windows = np.unique(np.stack([np.maximum(start, first), item]), axis=1)
         return windows[0], windows[1]
@@ -222,32 +232,35 @@ class Matcher:
                 break
             keys = np.array([self.item_key(i, t) for i in item[todo]], np.uint64)
             # walks cover the window at the item's length even where the text ends earlier
-            padded = np.concatenate([words, np.zeros(1, np.uint64)])
-            own = self._embed(padded, start[todo], self.length[item[todo]], last[todo], t)
+            own = embed(words, start[todo], self.length[item[todo]], t, start[todo] + size[todo])
             hit[todo[own == keys]] = True
-        done = set()
-        for k in np.flatnonzero(hit):
-            doc, i = int(doc_of[start[k]]), int(item[k])
-            if (doc, i) in done:
-                continue
-            e = int(self.edits[i])
-            lo, hi = max(int(edges[doc]), int(start[k]) - e), min(int(edges[doc + 1]), int(start[k]) + int(size[k]) + e)
-            edits, b, end = align(self.items[i][1], words[lo:hi])
+        # windows of one document and item that touch are aligned as one stretch
+        hits = np.flatnonzero(hit)
+        hits = hits[np.lexsort((start[hits], item[hits], doc_of[start[hits]]))]
+        at = 0
+        while at < len(hits):
+            doc, i = int(doc_of[start[hits[at]]]), int(item[hits[at]])
+            e, lo = int(self.edits[i]), int(start[hits[at]])
+            stop = lo + int(size[hits[at]])
+            at += 1
+            while at < len(hits) and item[hits[at]] == i and doc_of[start[hits[at]]] == doc and start[hits[at]] <= stop + 2 * e:
+                stop = max(stop, int(start[hits[at]] + size[hits[at]]))
+                at += 1
+            lo, stop = max(int(edges[doc]), lo - e), min(int(edges[doc + 1]), stop + e)
+            edits, b, end = align(self.items[i][1], words[lo:stop])
             if edits <= e:
-                done.add((doc, i))
                 out[doc].append((self.items[i][0], lo + b - int(edges[doc]), lo + end - int(edges[doc]), edits,
                                  1 - edits / len(self.items[i][1])))
-        return [sorted(x) for x in out]
+        return [self._best(x) for x in out]
 
     @staticmethod
-    def _embed(words, starts, lengths, last, table):
-        """:func:`embed` where words at or behind ``last`` read as the empty word."""
-        short = starts + lengths > last
-        keys = embed(words, starts, lengths, table)
-        for k in np.flatnonzero(short):
-            own = np.concatenate([words[starts[k]:last[k]], np.zeros(starts[k] + lengths[k] - last[k], np.uint64)])
-            keys[k] = embed(own, np.array([0]), lengths[k:k + 1], table)[0]
-        return keys
+    def _best(found):
+        """One hit per item: fewest edits, then leftmost."""
+        best = {}
+        for h in found:
+            if h[0] not in best or (h[3], h[1]) < (best[h[0]][3], best[h[0]][1]):
+                best[h[0]] = h
+        return sorted(best.values())
 
 
 _HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.IntegerType()),
