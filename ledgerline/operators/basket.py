@@ -37,9 +37,10 @@ def basket_summary(lines: DataFrame) -> DataFrame:
     """transactions, unique items, mean basket size (duplicates counted),
     distinct (tx,item) pairs and matrix sparsity."""
     pairs = lines.groupBy("tx", "item").agg(F.count(F.lit(1)).alias("n"))
-    s = pairs.agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("pairs"),
-                  F.count_distinct("tx").alias("transactions"),
-                  F.count_distinct("item").alias("unique_items"))
+    pairs = reliable_checkpoint(pairs)
+    per_tx = pairs.groupBy("tx").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("p"))
+    s = per_tx.agg(F.sum("n").alias("lines"), F.sum("p").alias("pairs"), F.count(F.lit(1)).alias("transactions"))
+    s = s.crossJoin(pairs.select("item").distinct().agg(F.count(F.lit(1)).alias("unique_items")))
     return s.select("transactions", "unique_items", "lines",
                     (F.col("lines") / F.col("transactions")).alias("avg_basket_size"),
                     (1 - F.col("pairs") / (F.col("transactions") * F.col("unique_items"))).alias("sparsity"))
@@ -59,10 +60,12 @@ def monthly_counts(lines: DataFrame) -> DataFrame:
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, max_len: int = 10,
                       num_partitions: int | None = None) -> DataFrame:
     """items (sorted array), freq, support = freq / transactions."""
+    # the fit passes over its input several times: baskets are written once
+    baskets = reliable_checkpoint(baskets.select("items"))
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
-    model = fp.fit(baskets.select("items"))
+    model = fp.fit(baskets)
     n_tx = baskets.agg(F.count(F.lit(1)).alias("_n"))
     return model.freqItemsets.filter(F.size("items") <= max_len) \
         .crossJoin(n_tx) \

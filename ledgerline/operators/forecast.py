@@ -62,34 +62,52 @@ def adf_tstat(y: np.ndarray, max_lag: int | None = None) -> float:
         return float("nan")
     dy = np.diff(y)
     max_lag = max_lag if max_lag is not None else int(min(12 * (n / 100) ** 0.25, n // 3 - 2))
-    best = (math.inf, float("nan"))
-    for p in range(max(max_lag, 0) + 1):
-        rows = len(dy) - p
-        if rows <= p + 3:
-            break
-        X = [np.ones(rows), y[p:-1]]
+    max_lag = max(max_lag, 0)
+
+    def regress(p, skip):
+        """t statistic and AIC with p lags over the rows from ``skip`` on."""
+        rows = len(dy) - skip
+        X = [np.ones(rows), y[skip:-1]]
         for k in range(1, p + 1):
-            X.append(dy[p - k:len(dy) - k])
+            X.append(dy[skip - k:len(dy) - k])
         X = np.column_stack(X)
-        target = dy[p:]
+        target = dy[skip:]
         coef, *_ = np.linalg.lstsq(X, target, rcond=None)
         resid = target - X @ coef
         sigma2 = resid @ resid / max(rows - X.shape[1], 1)
         cov = sigma2 * np.linalg.pinv(X.T @ X)
         t = coef[1] / math.sqrt(cov[1, 1]) if cov[1, 1] > 0 else float("nan")
-        aic = rows * math.log(max(resid @ resid / rows, 1e-300)) + 2 * X.shape[1]
-        if aic < best[0]:
-            best = (aic, t)
-    return float(best[1])
+        return t, rows * math.log(max(resid @ resid / rows, 1e-300)) + 2 * X.shape[1]
+
+    while max_lag and len(dy) - max_lag <= max_lag + 3:
+        max_lag -= 1
+    # lag orders are compared over the same rows, the chosen one is fitted on all of its own
+    best = min(range(max_lag + 1), key=lambda p: regress(p, max_lag)[1])
+    return float(regress(best, best)[0])
+
 
+def adf_critical(n: int) -> float:
+    """5 % critical value with a constant for n points (MacKinnon's response surface)."""
+    return -2.8621 - 2.738 / n - 8.36 / n ** 2
 
-ADF_CRITICAL_5PCT = -2.86   # asymptotic 5 % critical value, constant only
+
+def arima_residuals(zc: np.ndarray, p: int, q: int, coef: np.ndarray) -> np.ndarray:
+    """One-step residuals of a centred series under given AR and MA
+    coefficients (conditional: values and residuals before the start are 0)."""
+    e = np.zeros(len(zc))
+    for t in range(len(zc)):
+        ar = sum(coef[k] * zc[t - 1 - k] for k in range(min(p, t)))
+        ma = sum(coef[p + k] * e[t - 1 - k] for k in range(min(q, t)))
+        e[t] = zc[t] - ar - ma
+    return e
 
 
 def arima_css(y: np.ndarray, p: int, d: int, q: int):
     """ARIMA(p, d, q) by Hannan–Rissanen: a long AR fit gives residual
     estimates, then one least-squares fit of y on its lags and lagged
-    residuals.  Returns (fitted on the original scale, aic, coefficients)."""
+    residuals.  The model's own residuals then follow by recursion, and both
+    the fitted values and forecasts rest on them.  Returns (fitted on the
+    original scale, aic, coefficients, mean)."""
     z = np.diff(y, n=d) if d else y.astype(float)
     n = len(z)
     mu = z.mean()
@@ -102,27 +120,22 @@ def arima_css(y: np.ndarray, p: int, d: int, q: int):
         e[m:] = zc[m:] - X @ a
     start = max(p, q, 1)
     cols = [zc[start - k:n - k] for k in range(1, p + 1)] + [e[start - k:n - k] for k in range(1, q + 1)]
-    if cols:
-        X = np.column_stack(cols)
-        coef, *_ = np.linalg.lstsq(X, zc[start:], rcond=None)
-        pred = X @ coef
-    else:
-        coef, pred = np.array([]), np.zeros(n - start)
-    resid = zc[start:] - pred
-    sse = float(resid @ resid)
-    k = p + q + 1
-    aic = (n - start) * math.log(max(sse / max(n - start, 1), 1e-300)) + 2 * k
-    fitted_z = np.concatenate([zc[:start], pred]) + mu
-    if d:
-        fitted = np.concatenate([y[:d], y[d - 1:-1] + fitted_z]) if d == 1 else y.astype(float)
-    else:
-        fitted = fitted_z
+    coef = np.linalg.lstsq(np.column_stack(cols), zc[start:], rcond=None)[0] if cols else np.array([])
+    ma = coef[p:]
+    if len(ma) and np.abs(np.roots(np.concatenate([[1.0], ma]))).max(initial=0) >= 1:
+        raise np.linalg.LinAlgError("the MA part is not invertible")
+    resid = arima_residuals(zc, p, q, coef)
+    # every order is scored on the same rows
+    used = resid[min(3, n - 1):]
+    aic = len(used) * math.log(max(float(used @ used) / len(used), 1e-300)) + 2 * (p + q + 1)
+    fitted_z = z - resid
+    fitted = np.concatenate([y[:1], y[:-1] + fitted_z]) if d == 1 else fitted_z
     return fitted, aic, coef, mu
 
 
 def arima_forecast(y: np.ndarray, p: int, d: int, q: int, coef, mu, h: int) -> np.ndarray:
     z = list((np.diff(y, n=d) if d else y.astype(float)) - mu)
-    e = [0.0] * len(z)
+    e = list(arima_residuals(np.array(z), p, q, coef))
     out = []
     for _ in range(h):
         ar = sum(coef[k] * z[-1 - k] for k in range(p)) if p else 0.0
@@ -155,80 +168,78 @@ def _acf(y, lag):
     return float((yc[lag:] * yc[:-lag]).sum() / den) if den > 0 and lag < len(y) else 0.0
 
 
-def fit_series(pdf: pd.DataFrame, horizon: int):
-    """All candidate models of one series → (fit rows, forecast rows)."""
+def _best_arima(y, d, orders):
+    """(aic, p, q, fitted, coefficients, mean) with the least AIC, or None."""
+    best = None
+    for p, q in orders:
+        try:
+            fit = arima_css(y, p, d, q)
+        except np.linalg.LinAlgError:
+            continue
+        if best is None or fit[1] < best[0]:
+            best = (fit[1], p, q, fit[0], fit[2], fit[3])
+    return best
+
+
+def fit_series(pdf: pd.DataFrame, horizon: int | None):
+    """All candidate models of one series → (fit rows, forecast rows).
+
+    Series of 24 points and more are tested for seasonality (period 12) and
+    get a ``sarimax`` model: on the seasonally differenced series if seasonal,
+    a small ARIMA otherwise.  Exponential smoothing is Holt–Winters for a
+    seasonal series and Holt for others.  All models of a series are scored
+    on one span, the points that every model predicts.  Without a horizon it
+    is a third of the points, 30 at most."""
     pdf = pdf.sort_values("t")
     key = str(pdf["series"].iloc[0])
     y = pdf["y"].to_numpy(float)
     n = len(y)
+    horizon = min(30, n // 3) if horizon is None else horizon
     seasonal = n >= 24 and any(_acf(y, L) > 0.3 for L in (7, 12, 24) if L <= min(24, n // 3))
+    span = 12 if seasonal else 1
     tstat = adf_tstat(y)
-    stationary = bool(tstat < ADF_CRITICAL_5PCT) if not math.isnan(tstat) else False
+    stationary = bool(tstat < adf_critical(n)) if not math.isnan(tstat) else False
     fits, fcs = [], []
+
+    def keep(model, params, fitted, forecast):
+        fits.append((key, model, params, *_metrics(y[span:], fitted[span:]), stationary, seasonal))
+        fcs.extend((key, model, h + 1, float(v)) for h, v in enumerate(forecast))
+
     grid = [0.1, 0.3, 0.5, 0.7, 0.9]
     if n >= 3:
-        best = None
-        for a, b in itertools.product(grid, grid):
-            f, lv, tr = holt(y, a, b)
-            sse = float(((y[1:] - f[1:]) ** 2).sum())
-            if best is None or sse < best[0]:
-                best = (sse, a, b, f, lv, tr)
-        _, a, b, f, lv, tr = best
-        fits.append((key, "holt", f"alpha={a},beta={b}", *_metrics(y[1:], f[1:]), stationary, seasonal))
-        fcs += [(key, "holt", h, float(lv + h * tr)) for h in range(1, horizon + 1)]
-    if seasonal and n >= 24:
-        best = None
-        for a, b, g in itertools.product(grid, [0.1, 0.3], [0.1, 0.3]):
-            f, lv, tr, s = holt_winters(y, a, b, g, 12)
-            sse = float(((y[12:] - f[12:]) ** 2).sum())
-            if best is None or sse < best[0]:
-                best = (sse, a, b, g, f, lv, tr, s)
-        _, a, b, g, f, lv, tr, s = best
-        fits.append((key, "holt_winters", f"alpha={a},beta={b},gamma={g}", *_metrics(y[12:], f[12:]), stationary, seasonal))
-        fcs += [(key, "holt_winters", h, float(lv + h * tr + s[len(s) - 12 + (h - 1) % 12])) for h in range(1, horizon + 1)]
-    if seasonal and n >= 36:
-        # seasonal model: ARIMA on the period-12 differenced series (D = 1),
-        # p, q in 0..1, forecasts integrated back with the seasonal lag
-        ys = y[12:] - y[:-12]
-        best = None
-        for p, q in itertools.product(range(2), range(2)):
-            try:
-                f, aic, coef, mu = arima_css(ys, p, 0, q)
-            except np.linalg.LinAlgError:
-                continue
-            if best is None or aic < best[0]:
-                best = (aic, p, q, f, coef, mu)
+        runs = [(a, b, *holt(y, a, b)) for a, b in itertools.product(grid, grid)]
+        a, b, f, lv, tr = min(runs, key=lambda r: float(((y[1:] - r[2][1:]) ** 2).sum()))
+        keep("holt", f"alpha={a},beta={b}", f, [lv + h * tr for h in range(1, horizon + 1)])
+    if seasonal:
+        runs = [(a, b, g, *holt_winters(y, a, b, g, 12)) for a, b, g in itertools.product(grid, [0.1, 0.3], [0.1, 0.3])]
+        a, b, g, f, lv, tr, s = min(runs, key=lambda r: float(((y[12:] - r[3][12:]) ** 2).sum()))
+        keep("holt_winters", f"alpha={a},beta={b},gamma={g}", f,
+             [lv + h * tr + s[len(s) - 12 + (h - 1) % 12] for h in range(1, horizon + 1)])
+    d = 0 if stationary else 1
+    small = list(itertools.product(range(2), range(2)))
+    if seasonal:
+        # period-12 differences (D = 1); forecasts are integrated back with the seasonal lag
+        best = _best_arima(y[12:] - y[:-12], 0, small)
         if best is not None:
             _, p, q, f, coef, mu = best
-            fitted = f + y[:-12]
-            fits.append((key, "sarimax", f"p={p},q={q},P=1,D=1,Q=0,s=12", *_metrics(y[12:], fitted), stationary, seasonal))
-            fs = arima_forecast(ys, p, 0, q, coef, mu, horizon)
             hist = list(y)
-            out = []
-            for h in range(horizon):
-                v = float(fs[h] + hist[len(hist) - 12])
-                hist.append(v)
-                out.append(v)
-            fcs += [(key, "sarimax", h + 1, v) for h, v in enumerate(out)]
-    d = 0 if stationary else 1
+            for step in arima_forecast(y[12:] - y[:-12], p, 0, q, coef, mu, horizon):
+                hist.append(float(step + hist[-12]))
+            keep("sarimax", f"p={p},q={q},D=1,s=12", np.concatenate([y[:12], f + y[:-12]]), hist[n:])
+    elif n >= 24:
+        best = _best_arima(y, d, small)
+        if best is not None:
+            _, p, q, f, coef, mu = best
+            keep("sarimax", f"p={p},d={d},q={q}", f, arima_forecast(y, p, d, q, coef, mu, horizon))
     if n >= 10:
-        best = None
-        for p, q in itertools.product(range(3), range(3)):
-            try:
-                f, aic, coef, mu = arima_css(y, p, d, q)
-            except np.linalg.LinAlgError:
-                continue
-            if best is None or aic < best[0]:
-                best = (aic, p, q, f, coef, mu)
+        best = _best_arima(y, d, itertools.product(range(3), range(3)))
         if best is not None:
             _, p, q, f, coef, mu = best
-            fits.append((key, "arima", f"p={p},d={d},q={q}", *_metrics(y[1:], f[1:]), stationary, seasonal))
-            fc = arima_forecast(y, p, d, q, coef, mu, horizon)
-            fcs += [(key, "arima", h + 1, float(v)) for h, v in enumerate(fc)]
+            keep("arima", f"p={p},d={d},q={q}", f, arima_forecast(y, p, d, q, coef, mu, horizon))
     return fits, fcs
 
 
-def fit_models(series: DataFrame, key: str, order_col: str, value_col: str, horizon: int = 30) -> DataFrame:
+def fit_models(series: DataFrame, key: str, order_col: str, value_col: str, horizon: int | None = None) -> DataFrame:
     """Per series: every candidate model's in-sample MAE / RMSE / R² plus
     its forecast, in one grouped pass (output rows carry a kind tag)."""
     x = series.select(F.col(key).cast("string").alias("series"), F.col(order_col).alias("t"),

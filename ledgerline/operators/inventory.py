@@ -173,7 +173,7 @@ def eoq_reorder(items: DataFrame, ordering_cost: float = 50.0, holding_rate: flo
             .withColumn("cost_impact", F.col("recommended_qty") * c)
 
 
-def budget_select(recs: DataFrame, tenant_col: str, budget: float, max_rounds: int = 1000) -> DataFrame:
+def budget_select(recs: DataFrame, tenant_col: str, budget: float) -> DataFrame:
     """Greedy budget walk per tenant in (−risk, cost, id) order: an item is
     taken when it still fits in what is left (later, smaller items can still
     be taken after a skip).  Running sums come from ``stats.keyed_running_sum``
@@ -181,37 +181,35 @@ def budget_select(recs: DataFrame, tenant_col: str, budget: float, max_rounds: i
 
     Distributed rounds, every tenant in parallel: take the longest prefix of
     the remaining candidates whose running cost fits the remaining budget
-    (running sums over candidates only), drop the
-    first non-fitting item and everything that no longer fits, repeat.  Each
-    round ends at least one item's fate, and the loop stops when no
-    candidates remain.  Lineage is cut every round."""
-    order = [F.desc("stockout_risk"), F.col("cost_impact"), F.col("item_id")]
-    cand = recs.withColumn("_remaining", F.lit(float(budget))).filter(F.col("cost_impact") <= budget)
-    cand = reliable_checkpoint(cand)
-    taken = None
-    for _ in range(max_rounds):
-        if cand.limit(1).count() == 0:
-            break
+    (running sums over candidates only), drop the first non-fitting item and
+    everything that no longer fits, repeat.  Each round settles at least one
+    item of every tenant that has any, so the loop ends by itself; it has no
+    round limit.  A round's picks are one written table, united at the end.
+    Money is DECIMAL with six places throughout."""
+    money = "decimal(28,6)"
+    cand = recs.withColumn("_remaining", F.lit(float(budget)).cast(money)) \
+               .withColumn("_cost", F.col("cost_impact").cast(money))
+    cand = reliable_checkpoint(cand.filter(F.col("_cost") <= F.col("_remaining")))
+    rounds = []
+    while not cand.isEmpty():
         # running cost per tenant without a per-tenant window (skew-safe)
         run = reliable_checkpoint(stats.keyed_running_sum(
-            cand, [tenant_col], [F.desc("stockout_risk"), F.col("cost_impact"), F.col("item_id")],
-            "cost_impact", "_cum"))
+            cand, [tenant_col], [F.desc("stockout_risk"), F.col("cost_impact"), F.col("item_id")], "_cost", "_cum"))
         fit = run.filter(F.col("_cum") <= F.col("_remaining"))
-        spent = fit.groupBy(tenant_col).agg(F.sum("cost_impact").alias("_spent"))
+        spent = fit.groupBy(tenant_col).agg(F.sum("_cost").cast(money).alias("_spent"))
         key = F.struct((-F.col("stockout_risk")).alias("a"), F.col("cost_impact").alias("b"),
                        F.col("item_id").alias("c"))
         first_bad = run.filter(F.col("_cum") > F.col("_remaining")) \
             .groupBy(tenant_col).agg(F.min(key).alias("_fbk"))
-        new_taken = fit.drop("_cum")
-        taken = new_taken if taken is None else taken.unionByName(new_taken)
-        taken = reliable_checkpoint(taken)
+        rounds.append(fit.drop("_cum"))
         rest = run.filter(F.col("_cum") > F.col("_remaining")).drop("_cum") \
             .join(spent, tenant_col, "left").join(first_bad.select(tenant_col, "_fbk"), tenant_col, "left")
-        rest = rest.withColumn("_remaining", F.col("_remaining") - F.coalesce(F.col("_spent"), F.lit(0.0))) \
+        rest = rest.withColumn("_remaining", (F.col("_remaining") - F.coalesce(F.col("_spent"), F.lit(0))).cast(money)) \
                    .filter(key > F.col("_fbk")) \
-                   .filter(F.col("cost_impact") <= F.col("_remaining")) \
+                   .filter(F.col("_cost") <= F.col("_remaining")) \
                    .drop("_spent", "_fbk")
         cand = reliable_checkpoint(rest)
-    if taken is None:
-        return recs.limit(0).withColumn("_remaining", F.lit(0.0)).drop("_remaining")
-    return taken.drop("_remaining")
+    taken = cand
+    for part in rounds:
+        taken = taken.unionByName(part)
+    return taken.drop("_remaining", "_cost")

@@ -26,18 +26,27 @@ def _type_name(dt) -> str:
 
 
 def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
-    """column, data_type, rows, distinct_count, missing_count — one pass."""
-    cd = F.approx_count_distinct if approx else F.count_distinct
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    """column, position, data_type, rows, distinct_count, missing_count.
+
+    One small aggregation per column: the scan reads that column alone, its
+    values are counted by value first (combined before the shuffle, so a hot
+    value is one row per task) and then summed.  Together the scans read the
+    table once; no row is copied per column.  ``approx`` counts distinct
+    values by sketch instead."""
+    out = None
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
-        aggs += [cd(c).alias(f"_d{i}"), F.count_if(c.isNull()).alias(f"_m{i}")]
-    one = df.agg(*aggs)
-    entries = [F.struct(F.lit(f.name).alias("column"), F.lit(_type_name(f.dataType)).alias("data_type"),
-                        F.col(f"_d{i}").cast("long").alias("distinct_count"), F.col(f"_m{i}").alias("missing_count"))
-               for i, f in enumerate(df.schema.fields)]
-    return one.select(F.col("_rows").alias("rows"), F.explode(F.array(*entries)).alias("e")) \
-              .select("e.column", "e.data_type", "rows", "e.distinct_count", "e.missing_count")
+        if approx:
+            one = df.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(c).alias("distinct_count"),
+                         F.count_if(c.isNull()).alias("missing_count"))
+        else:
+            one = df.groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).agg(
+                F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("_v").alias("distinct_count"),
+                F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("missing_count"))
+        row = one.select(F.lit(f.name).alias("column"), F.lit(i).alias("position"),
+                         F.lit(_type_name(f.dataType)).alias("data_type"), "rows", "distinct_count", "missing_count")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def basket_flags(profile: DataFrame) -> DataFrame:
@@ -78,19 +87,17 @@ def data_quality(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, cols, key_col: str) -> DataFrame:
-    """count, mean, std (sample), min, 25/50/75 % (exact, linear), max per
-    numeric column.  Quantiles come from the distributed exact order
-    statistics, not a single-task percentile buffer."""
-    out = None
-    for c in cols:
-        m = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                   F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-        q = stats.exact_quantiles(df, c, key_col, [0.25, 0.5, 0.75], name="_q")
-        row = m.crossJoin(q.select("_q")).select(
-            F.lit(c).alias("column"), "count", "mean", "std", "min",
-            F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """count, mean, std (sample), min, 25/50/75 % (exact, linear), max of each
+    numeric column.  The columns become (column, value) rows of one table, so
+    one aggregation and one distributed numbering serve all of them."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])
+    long = df.select(F.col(key_col).alias("_k"), F.explode(cells).alias("x")).select("_k", "x.column", "x.v")
+    m = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+                                   F.min("v").alias("min"), F.max("v").alias("max"))
+    q = stats.exact_group_quantiles(long, "column", "v", "_k", [0.25, 0.5, 0.75], name="_q")
+    return m.join(q.select("column", "_q"), "column", "left").select(
+        "column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
+        F.col("_q")[2].alias("p75"), "max")
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -105,16 +112,23 @@ def validate_binary_target(df: DataFrame, target: str) -> DataFrame:
              .withColumn("valid", (F.col("invalid") == 0) & (F.col("min_value") == 0) & (F.col("max_value") == 1))
 
 
-def detect_target_binary(profile: DataFrame, keywords=("churn", "target", "label", "leave", "quality",
-                                                       "purchased", "attrition", "exited")) -> DataFrame:
-    """Pick a binary target: exact keyword name, then name containing a
-    keyword, then the first two-valued column (by position)."""
-    p = profile.withColumn("_pos", F.monotonically_increasing_id())
-    name = F.lower("column")
-    binary = F.col("distinct_count") == 2
-    prio = F.when(binary & name.isin(*keywords), 0) \
-            .when(binary & F.array_contains(F.transform(F.array(*[F.lit(k) for k in keywords]),
-                                                        lambda k: name.contains(k)), True), 1) \
-            .when(binary, 2)
-    return p.withColumn("_prio", prio).filter(F.col("_prio").isNotNull()) \
-            .agg(F.min_by("column", F.struct("_prio", "_pos")).alias("target"))
+# fixed values: names that usually hold the target, in order of preference
+TARGET_KEYWORDS = ("leave", "churn", "attrition", "left", "stayed", "status", "turnover", "retention", "resigned",
+                   "terminated", "active")
+
+
+def detect_target_binary(profile: DataFrame, suggested=(), keywords=TARGET_KEYWORDS) -> DataFrame:
+    """The target column: the first ``suggested`` column that has two values,
+    or up to five and is not a float; else, keyword by keyword, the column of
+    that name or the first whose name contains it; else the first column with
+    two values; null if there is none."""
+    p, name = F.col("position"), F.lower("column")
+    small = (F.col("distinct_count") == 2) | ((F.col("distinct_count") <= 5) & (F.col("data_type") != "float"))
+    rank = F.lit(None).cast("int")
+    rank = F.when(F.col("distinct_count") == 2, 2 * len(keywords)).otherwise(rank)
+    for i, k in reversed(list(enumerate(keywords))):
+        rank = F.when(F.col("column") == k, 2 * i).when(name.contains(k), 2 * i + 1).otherwise(rank)
+    for i, c in reversed(list(enumerate(suggested))):
+        rank = F.when((F.col("column") == c) & small, i - len(suggested)).otherwise(rank)
+    return profile.withColumn("_rank", rank).filter(F.col("_rank").isNotNull()) \
+                  .agg(F.min_by("column", F.struct("_rank", p.alias("_p"))).alias("target"))

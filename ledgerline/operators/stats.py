@@ -206,15 +206,16 @@ def _cumulative_before(df: DataFrame, order_col: str, weight_col: str, out: str)
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, by=None) -> DataFrame:
-    """RMSE, MAE and R² in one aggregation (R² = 1 − SSE/SST with SST from
-    the sums, so no second pass for the mean)."""
+    """RMSE, MAE and R² in one aggregation (R² = 1 − SSE/SST with SST =
+    n · population variance, whose merge form keeps its digits for values far
+    from zero)."""
     by = [by] if isinstance(by, str) else list(by or [])
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     a = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.sum((y - p) ** 2).alias("_sse"),
-        F.sum(F.abs(y - p)).alias("_sae"), F.sum(y).alias("_sy"), F.sum(y * y).alias("_syy"))
+        F.sum(F.abs(y - p)).alias("_sae"), F.var_pop(y).alias("_var"))
     n = F.col("n")
-    sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / n
+    sst = F.col("_var") * n
     return a.select(*by, "n", F.sqrt(F.col("_sse") / n).alias("rmse"),
                     (F.col("_sae") / n).alias("mae"),
                     F.when(sst == 0, F.lit(None).cast("double")).otherwise(1 - F.col("_sse") / sst).alias("r2"))
@@ -310,10 +311,14 @@ def keyed_running_sum(df: DataFrame, keys, order_cols, weight_col: str, out: str
     (inclusive of the current row) without a per-key window: rows are
     numbered over (keys, order) globally, a global running sum is built from
     range-partitioned partial sums, and each key's total before its first row
-    is subtracted (one row per key, joined on the key)."""
+    is subtracted (one row per key, joined on the key).  Floating weights are
+    summed as DECIMAL with six places, so a large prefix costs no digits."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    numbered = with_global_row_number(df, [*keys, *order_cols], name="_ll_g")
-    cum = _cumulative_before(numbered, "_ll_g", weight_col, "_ll_before").drop(_PID)
+    kind = dict(df.dtypes)[weight_col]
+    exact = F.col(weight_col).cast("decimal(28,6)") if kind in ("double", "float") else F.col(weight_col)
+    numbered = with_global_row_number(df.withColumn("_ll_w", exact), [*keys, *order_cols], name="_ll_g")
+    cum = _cumulative_before(numbered, "_ll_g", "_ll_w", "_ll_before").drop(_PID)
     base = cum.groupBy(*keys).agg(F.min_by("_ll_before", "_ll_g").alias("_ll_base"))
-    return cum.join(base, keys).withColumn(out, F.col("_ll_before") - F.col("_ll_base") + F.col(weight_col)) \
-              .drop("_ll_g", "_ll_before", "_ll_base")
+    total = F.col("_ll_before") - F.col("_ll_base") + F.col("_ll_w")
+    return cum.join(base, keys).withColumn(out, total.cast(kind) if kind in ("double", "float") else total) \
+              .drop("_ll_g", "_ll_before", "_ll_base", "_ll_w")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import text as T
 from ledgerline.functions.scalars import sentiment_confidence, sentiment_label
 from ledgerline.operators import stats
+from ledgerline.session import reliable_checkpoint
 
 # Fixed values (our own small lexicon): word → (valence on −4..4, subjectivity 0..1).
 LEXICON = {
@@ -243,7 +244,9 @@ def tfidf_similarity(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame
                    ["_src", "_id"], "_x")
     dt = doc_terms(docs.select(F.lit("d").alias("_src"), F.col(d_id).alias("_id"), F.col(d_text).alias("_x")),
                    ["_src", "_id"], "_x")
-    vec = tfidf_vectors(qt.unionByName(dt), ["_src", "_id"])
+    # every text is tokenised once; frequencies, norms and both sides read the written tables
+    terms = reliable_checkpoint(qt.unionByName(dt))
+    vec = reliable_checkpoint(tfidf_vectors(terms, ["_src", "_id"]))
     qv = vec.filter(F.col("_src") == "q").select(F.col("_id").alias(q_id), "term", F.col("w").alias("_wq"))
     dv = vec.filter(F.col("_src") == "d").select(F.col("_id").alias(d_id), "term", F.col("w").alias("_wd"))
     # term equi-join: AQE broadcasts the query vectors only when their

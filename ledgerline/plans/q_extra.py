@@ -129,10 +129,10 @@ def q_profile_retention_types(spark, d):
 SELECT arg_min("column", pos) AS target FROM ({_prof_sql('orders', _ORDER_TYPES)})
 WHERE data_type IN ('integer', 'float') AND "column" NOT IN ('product_id', 'weather_code') AND d > 10 AND NOT contains("column", 'key')""")
 def q_detect_target_numeric(spark, d):
-    p = profile.profile_columns(table(spark, d, "orders")).withColumn("_pos", F.monotonically_increasing_id())
+    p = profile.profile_columns(table(spark, d, "orders"))
     c = p.filter(F.col("data_type").isin("integer", "float") & ~F.col("column").isin("product_id", "weather_code")
                  & (F.col("distinct_count") > 10) & ~F.col("column").contains("key"))
-    return c.agg(F.min_by("column", "_pos").alias("target"))
+    return c.agg(F.min_by("column", "position").alias("target"))
 
 
 @register("detect_basket_columns", sql="""
@@ -141,13 +141,13 @@ SELECT 'l_orderkey' AS transaction_column, 'p_brand' AS item_column,
 def q_detect_basket_columns(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")) \
         .select("l_orderkey", "p_brand", "p_type")
-    p = profile.profile_columns(li).withColumn("_pos", F.monotonically_increasing_id())
+    p = profile.profile_columns(reliable_checkpoint(li))
     # transaction: identifier-like (name has 'key' / 'id', most distinct); item: categorical string with most values
     tx = p.filter(F.lower("column").contains("key") | F.lower("column").contains("id")) \
-          .agg(F.max_by("column", F.struct("distinct_count", "_pos")).alias("transaction_column"),
+          .agg(F.max_by("column", F.struct("distinct_count", "position")).alias("transaction_column"),
                F.max("distinct_count").alias("transactions"))
-    it = p.filter((F.col("data_type") == "string") & (F.col("distinct_count") <= 1000)) \
-          .agg(F.max_by("column", F.struct("distinct_count", "_pos")).alias("item_column"),
+    it = p.filter((F.col("data_type") == "string") & (F.col("distinct_count") < F.col("rows"))) \
+          .agg(F.max_by("column", F.struct("distinct_count", "position")).alias("item_column"),
                F.max("distinct_count").alias("items"))
     return tx.crossJoin(it).select("transaction_column", "item_column", "transactions", "items")
 
@@ -265,12 +265,12 @@ def q_scan_documents(spark, d):
 
 @register("trend_sarimax")
 def q_trend_sarimax(spark, d):
-    """Seasonal fits exist only for series with ≥ 36 points and seasonality
-    in the ACF; other series yield no row (the rule of the analysis)."""
-    daily = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("series"),
-                                                F.date_trunc("month", "l_shipdate").alias("t")).agg(F.sum("l_quantity").alias("y"))
-    f = fc.fit_models(daily, "series", "t", "y", horizon=12)
-    return f.filter(F.col("kind") == "fit").select("series", "model", "params", F.round("mae", 4).alias("mae"), "seasonal")
+    """Quantity by return flag and month: a seasonal fit where the ACF shows
+    one, else a small ARIMA (series of 24 months and more)."""
+    monthly = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("series"),
+                                                  F.date_trunc("month", "l_shipdate").alias("t")).agg(F.sum("l_quantity").alias("y"))
+    f = fc.fit_models(monthly, "series", "t", "y", horizon=12)
+    return f.filter((F.col("kind") == "fit") & (F.col("model") == "sarimax")).select("series", "model", "params", F.round("mae", 4).alias("mae"), "seasonal")
 
 
 @register("feat_pipeline_robust")

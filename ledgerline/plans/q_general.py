@@ -25,7 +25,7 @@ def _profile_sql(tbl, cols):
 
 @register("profile_columns", sql=_profile_sql("customer", _CUSTOMER_TYPES))
 def q_profile_columns(spark, d):
-    return profile.profile_columns(table(spark, d, "customer"))
+    return profile.profile_columns(table(spark, d, "customer")).drop("position")
 
 
 @register("profile_basket_flags", sql=f"""
@@ -70,7 +70,7 @@ def q_data_quality(spark, d):
                     F.round("duplicate_pct", 6).alias("duplicate_pct"))
 
 
-_EDA_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+_EDA_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @register("eda_describe", sql=" UNION ALL ".join(
@@ -104,7 +104,9 @@ SELECT count(DISTINCT o_custkey) AS o_custkey, count(DISTINCT o_orderstatus) AS
        count(DISTINCT o_orderpriority) AS o_orderpriority, count(DISTINCT o_orderdate) AS o_orderdate FROM orders""")
 def q_distinct_count(spark, d):
     o = table(spark, d, "orders")
-    return o.agg(*[F.count_distinct(c).alias(c) for c in ("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")])
+    names = ("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    p = profile.profile_columns(o.select(*names))
+    return p.agg(*[F.max(F.when(F.col("column") == c, F.col("distinct_count"))).alias(c) for c in names])
 
 
 # ------------------------------------------------------------------ cleaning

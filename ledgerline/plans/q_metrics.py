@@ -87,9 +87,9 @@ def q_roc_curve(spark, d):
 
 
 @register("regression_metrics", sql="""
-WITH p AS (SELECT value AS y, avg(value) OVER (PARTITION BY user_id) AS yhat FROM events)
+WITH p AS (SELECT value AS y, avg(value) OVER (PARTITION BY user_id) AS yhat, avg(value) OVER () AS ybar FROM events)
 SELECT count(*) AS n, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, round(avg(abs(y - yhat)), 6) AS mae,
-       round(1 - sum((y - yhat) * (y - yhat)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2 FROM p""")
+       round(1 - sum((y - yhat) * (y - yhat)) / sum((y - ybar) * (y - ybar)), 6) AS r2 FROM p""")
 def q_regression_metrics(spark, d):
     e = table(spark, d, "events")
     means = e.groupBy("user_id").agg(F.avg("value").alias("yhat"))

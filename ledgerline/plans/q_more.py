@@ -13,6 +13,7 @@ from ledgerline.plans import q_pricing, q_rfm, q_supply, q_text
 from ledgerline.plans.q_general import _GAPPY, _gappy_lineitem
 from ledgerline.plans.q_inventory import _ITEMS, items
 from ledgerline.plans.registry import register
+from ledgerline.session import reliable_checkpoint
 from ledgerline.sources.tables import table
 
 # ------------------------------------------------------------------ RFM pieces
@@ -188,17 +189,17 @@ def q_lookup_group_value(spark, d):
 
 
 @register("sort_by_metric", sql=q_supply._PRED_CTE + """
-SELECT shipment_id, round(delay_hours, 4) AS delay_hours FROM pred ORDER BY delay_hours DESC, shipment_id LIMIT 50""")
+SELECT shipment_id, round(delay_hours, 4) AS delay_hours FROM pred""")
 def q_sort_by_metric(spark, d):
     p = q_supply.predictions(spark, d).select("shipment_id", F.round("delay_hours", 4).alias("delay_hours"))
-    return p.orderBy(F.desc("delay_hours"), "shipment_id").limit(50)
+    return p.orderBy(F.desc("delay_hours"), "shipment_id")
 
 
 @register("sort_multi", sql=f"""
-SELECT shipment_id, priority, expected_delivery FROM {q_supply._SHIP} ORDER BY priority, expected_delivery, shipment_id LIMIT 50""")
+SELECT shipment_id, priority, expected_delivery FROM {q_supply._SHIP}""")
 def q_sort_multi(spark, d):
     s = q_supply.shipments(spark, d).select("shipment_id", "priority", "expected_delivery")
-    return s.orderBy("priority", "expected_delivery", "shipment_id").limit(50)
+    return s.orderBy("priority", "expected_delivery", "shipment_id")
 
 
 @register("supply_analytics", sql=q_supply._PRED_CTE + """
@@ -302,16 +303,32 @@ def q_delete_rows(spark, d):
 
 # ------------------------------------------------------------------ profiling rules
 
-@register("detect_target_binary", sql="SELECT 'quality' AS target")
+@register("detect_target_binary", sql="""
+WITH c AS (SELECT 'doc_id' AS col, 0 AS pos, count(DISTINCT doc_id) AS d, 'labels' AS src FROM labels
+           UNION ALL SELECT 'quality', 1, count(DISTINCT quality), 'labels' FROM labels
+           UNION ALL SELECT 'toxic', 2, count(DISTINCT toxic), 'labels' FROM labels
+           UNION ALL SELECT 'o_orderkey', 0, count(DISTINCT o_orderkey), 'orders' FROM orders
+           UNION ALL SELECT 'o_custkey', 1, count(DISTINCT o_custkey), 'orders' FROM orders
+           UNION ALL SELECT 'o_orderstatus', 2, count(DISTINCT o_orderstatus), 'orders' FROM orders
+           UNION ALL SELECT 'o_totalprice', 3, count(DISTINCT o_totalprice), 'orders' FROM orders),
+r AS (SELECT *, CASE WHEN contains(col, 'status') THEN 0 WHEN d = 2 THEN 1 END AS rank FROM c)
+SELECT 'keyword' AS rule, (SELECT arg_min(col, rank * 100 + pos) FROM r WHERE src = 'orders' AND rank IS NOT NULL) AS target
+UNION ALL SELECT 'two values', (SELECT arg_min(col, rank * 100 + pos) FROM r WHERE src = 'labels' AND rank IS NOT NULL)
+UNION ALL SELECT 'suggested', (SELECT CASE WHEN d = 2 THEN col END FROM r WHERE col = 'toxic')""")
 def q_detect_target_binary(spark, d):
-    return profile.detect_target_binary(profile.profile_columns(table(spark, d, "labels")))
+    labels = reliable_checkpoint(profile.profile_columns(table(spark, d, "labels")))
+    orders = profile.profile_columns(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    found = [("keyword", profile.detect_target_binary(orders)), ("two values", profile.detect_target_binary(labels)),
+             ("suggested", profile.detect_target_binary(labels, suggested=("doc_id", "toxic")))]
+    rows = [df.select(F.lit(rule).alias("rule"), "target") for rule, df in found]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @register("detect_date_column", sql="SELECT 'l_shipdate' AS date_column, count(*) AS rows FROM lineitem")
 def q_detect_date_column(spark, d):
     li = table(spark, d, "lineitem")
-    p = profile.profile_columns(li).withColumn("_pos", F.monotonically_increasing_id())
-    first = p.filter(F.col("data_type") == "datetime").agg(F.min_by("column", "_pos").alias("date_column"))
+    p = profile.profile_columns(li)
+    first = p.filter(F.col("data_type") == "datetime").agg(F.min_by("column", "position").alias("date_column"))
     return first.crossJoin(li.agg(F.count(F.lit(1)).alias("rows")))
 
 

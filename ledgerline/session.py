@@ -44,8 +44,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when neither the context nor the conf names one (a bare local test
-    session) a scratch folder is created.
+    Only when neither the context nor the conf names one a scratch folder is
+    created, and only in local mode: on a cluster executors would write to
+    their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,8 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-ckpt-"))
+    else:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return sc.getCheckpointDir()
 
 

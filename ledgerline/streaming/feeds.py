@@ -26,25 +26,36 @@ def _dirs(spark: SparkSession, name: str):
 
 
 def source(spark: SparkSession, folder: str, table_name: str, max_files: int = 1) -> DataFrame:
-    """Streaming scan of ``<folder>/<table_name>.parquet`` (schema from the
-    batch footer; streaming sources need an explicit schema)."""
-    schema = spark.read.parquet(os.path.join(folder, f"{table_name}.parquet")).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table_name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(folder))
-
-
-def run_append(df: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
+    """Streaming scan of ``<folder>/<table_name>.parquet``, one file or a
+    folder of files (schema from the batch footer; streaming sources need an
+    explicit schema)."""
+    path = os.path.join(folder, f"{table_name}.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table_name}.parquet").parquet(folder)
+
+
+def _drain(query, timeout_s: float | None) -> None:
+    """Wait until the query has read all input.  With a limit, a query that
+    is not done in time is stopped and reported: its output is a part only."""
+    if query.awaitTermination(timeout_s) is False:
+        query.stop()
+        raise TimeoutError(f"stream not drained within {timeout_s} s")
+
+
+def run_append(df: DataFrame, name: str, timeout_s: float | None = None) -> DataFrame:
     spark = df.sparkSession
     out, ckpt = _dirs(spark, name)
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception():
-        raise q.exception()
+    _drain(q, timeout_s)
     return spark.read.parquet(out)
 
 
-def run_complete(df: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
+def run_complete(df: DataFrame, name: str, timeout_s: float | None = None) -> DataFrame:
     """Aggregations in complete mode: every micro-batch rewrites the whole
     result table (``foreachBatch`` overwrite), idempotent on retry."""
     spark = df.sparkSession
@@ -55,9 +66,7 @@ def run_complete(df: DataFrame, name: str, timeout_s: int = 600) -> DataFrame:
 
     q = (df.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
          .outputMode("complete").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception():
-        raise q.exception()
+    _drain(q, timeout_s)
     return spark.read.parquet(out)
 
 
