@@ -30,14 +30,14 @@ def _valence_sql():
 
 @register("aspect_sentiment", sql=f"""
 WITH tok AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS w
-             FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents)),
+             FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM {q_text.PROFILES})),
 asp AS (SELECT doc_id, pos, w AS aspect FROM tok WHERE w IN ({', '.join(repr(a) for a in ASPECT_TERMS)})),
 ctx AS (SELECT a.doc_id, a.aspect, a.pos, o.off FROM asp a, (SELECT unnest(range(-{WINDOW}, {WINDOW + 1})) AS off) o WHERE o.off <> 0),
 val AS (SELECT c.doc_id, c.aspect, c.pos, {_valence_sql()} AS v FROM ctx c JOIN tok t ON t.doc_id = c.doc_id AND t.pos = c.pos + c.off)
 SELECT doc_id, aspect, count(DISTINCT pos) AS mentions, count(v) AS sentiment_words,
-       round(coalesce(sum(v), 0.0), 6) AS valence FROM val GROUP BY doc_id, aspect""")
+       round(CAST(coalesce(sum(v), 0.0) AS DOUBLE), 6) AS valence FROM val GROUP BY doc_id, aspect""")
 def q_aspect_sentiment(spark, d):
-    docs = q_text.docs(spark, d)
+    docs = q_text.profiles(spark, d)
     tok = docs.select("doc_id", F.posexplode_outer(T.words(F.lower(F.col("text")))).alias("pos", "w")) \
               .filter(F.col("w").isNotNull())
     tok = reliable_checkpoint(tok)            # read twice (aspects and context)
@@ -73,12 +73,12 @@ def q_table_from_words(spark, d):
 @register("cv_match", sql=q_text._TFIDF_CTE + f""",
 top AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rk
                                            FROM sim WHERE score >= 0.05) WHERE rk <= 5),
-prof AS (SELECT doc_id, {q_text._skills_sql()} AS skills, {q_text._exp_sql()} AS experience_years FROM documents)
+prof AS (SELECT doc_id, {q_text._skills_sql()} AS skills, {q_text._exp_sql()} AS experience_years FROM {q_text.PROFILES})
 SELECT top.item_id, top.doc_id, round(score, 6) AS score, skills, experience_years FROM top JOIN prof ON prof.doc_id = top.doc_id""")
 def q_cv_match(spark, d):
     s = q_text.similarity(spark, d).withColumn("score", F.round("score", 9))
     top = TX.top_matches(s, "item_id", "doc_id", 5, 0.05)
-    prof = TX.cv_profile(q_text.docs(spark, d), "doc_id", "text").select(
+    prof = TX.cv_profile(q_text.profiles(spark, d), "doc_id", "text").select(
         "doc_id", F.array_join("skills", ",").alias("skills"), "experience_years")
     return top.join(prof, "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "skills", "experience_years")
 

@@ -229,7 +229,7 @@ def q_json_rows(spark, d):
 
 @register("null_to_blank", sql="""
 SELECT CAST(id AS VARCHAR) AS id, coalesce(CAST(supplier AS VARCHAR), '') AS supplier
-FROM (SELECT p_partkey AS id, s_name AS supplier FROM part
+FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN s_name END AS supplier FROM part
       LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS sk FROM lineitem GROUP BY 1) ON l_partkey = p_partkey
       LEFT JOIN supplier ON s_suppkey = sk)""")
 def q_null_to_blank(spark, d):
@@ -237,7 +237,7 @@ def q_null_to_blank(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("sk"))
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
     x = part.join(li, part.p_partkey == li.l_partkey, "left").join(s, F.col("sk") == s.s_suppkey, "left") \
-        .select(F.col("p_partkey").alias("id"), F.col("s_name").alias("supplier"))
+        .select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 != 0, F.col("s_name")).alias("supplier"))
     return clean.null_to_blank(x)
 
 
@@ -376,10 +376,12 @@ def q_gap_rows(spark, d):
 
 
 @register("split_columns", sql="""
-SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(text, '  +'), lambda s: trim(s)), lambda s: s <> '')) AS n_cells
+SELECT conv_id, turn, len(list_filter(list_transform(regexp_split_to_array(CASE WHEN turn % 2 = 0 THEN replace(text, ' ', '  ') ELSE text END, '  +'), lambda s: trim(s)), lambda s: s <> '')) AS n_cells
 FROM conversations""")
 def q_split_columns(spark, d):
     c = table(spark, d, "conversations")
+    # every other turn as a table row: cells parted by two blanks
+    c = c.withColumn("text", F.when(F.col("turn") % 2 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text")))
     return c.select("conv_id", "turn", F.size(layout.split_columns("text")).alias("n_cells"))
 
 

@@ -37,7 +37,12 @@ def q_scan_csv_sniff(spark, d):
 @register("scan_csv_skip_bad", sql="SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def q_scan_csv_skip_bad(spark, d):
     p = _path(spark, "nation_csv")
-    table(spark, d, "nation").write.option("header", True).csv(p)
+    n = table(spark, d, "nation")
+    # a header, all rows, and for every fifth one a line whose key is no number
+    good = n.select(F.lit(1).alias("part"), F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey").alias("value"))
+    bad = n.where("n_nationkey % 5 = 0").select(F.lit(1).alias("part"), F.concat_ws(",", F.lit("x"), "n_name", F.lit("y")).alias("value"))
+    head = spark.range(1).select(F.lit(0).alias("part"), F.lit("n_nationkey,n_name,n_regionkey").alias("value"))
+    head.unionByName(good).unionByName(bad).coalesce(1).sortWithinPartitions("part", "value").select("value").write.text(p)
     return files.scan_csv(spark, p, schema="n_nationkey int, n_name string, n_regionkey int", skip_bad=True)
 
 
@@ -56,10 +61,11 @@ def q_sink_excel(spark, d):
         .schema("c_custkey long, c_name string, c_mktsegment string").csv(p)
 
 
-@register("sink_jsonl_append", sql="SELECT doc_id, quality, toxic FROM labels")
+@register("sink_jsonl_append", sql="SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 6 <> 0")
 def q_sink_jsonl(spark, d):
     p = _path(spark, "labels_jsonl")
-    lb = table(spark, d, "labels")
+    # every sixth label is out of range and must be rejected
+    lb = table(spark, d, "labels").withColumn("quality", F.when(F.col("doc_id") % 6 == 0, F.col("quality") + 5).otherwise(F.col("quality")))
     files.sink_jsonl_append(lb.filter("quality = 1"), p, "quality", [0, 1])
     files.sink_jsonl_append(lb.filter("quality <> 1"), p, "quality", [0, 1])
     return files.scan_json(spark, p, "doc_id long, quality int, toxic int")

@@ -106,10 +106,10 @@ def q_sentiment_confidence(spark, d):
 
 
 @register("emotion_scores", sql=q_text._SENT_CTE + """
-SELECT doc_id, round(joy, 6) AS joy, round(sadness, 6) AS sadness, round(anger, 6) AS anger,
-       round(fear, 6) AS fear, round(surprise, 6) AS surprise FROM emo""")
+SELECT doc_id, round(joy, 5) AS joy, round(sadness, 5) AS sadness, round(anger, 5) AS anger,
+       round(fear, 5) AS fear, round(surprise, 5) AS surprise FROM emo""")
 def q_emotion_scores(spark, d):
-    return _sent(spark, d).select("doc_id", *[F.round(c, 6).alias(c) for c in ("joy", "sadness", "anger", "fear", "surprise")])
+    return _sent(spark, d).select("doc_id", *[F.round(c, 5).alias(c) for c in ("joy", "sadness", "anger", "fear", "surprise")])
 
 
 @register("mixed_sentiment", sql=q_text._SENT_CTE + """
@@ -124,7 +124,7 @@ SELECT doc_id, round(CASE WHEN polarity > 0 THEN (polarity + 1) / 2 ELSE 0.0 END
        round(CASE WHEN polarity > 0 THEN 1 - (polarity + 1) / 2 WHEN polarity < 0 THEN 1 - (1 - polarity) / 2 ELSE 1.0 END, 6) AS neu,
        round(polarity, 6) AS compound FROM sc""")
 def q_sentiment_polarity(spark, d):
-    s = TX.sentiment_scores(q_text.docs(spark, d), "text")
+    s = TX.sentiment_scores(q_text.profiles(spark, d), "text")
     p = TX.polarity_scores("polarity")
     return s.select("doc_id", *[F.round(p[k], 6).alias(k) for k in ("pos", "neg", "neu", "compound")])
 
@@ -363,21 +363,21 @@ def q_profile_trend_types(spark, d):
 # ------------------------------------------------------------------ text pieces
 
 @register("required_vs_found", sql=f"""
-SELECT doc_id, array_to_string(list_intersect(['SQL', 'AWS', 'AI', 'Git'], f), ',') AS matched,
+SELECT doc_id, array_to_string(list_filter(['SQL', 'AWS', 'AI', 'Git'], lambda x: list_contains(f, x)), ',') AS matched,
        array_to_string(list_filter(['SQL', 'AWS', 'AI', 'Git'], lambda x: NOT list_contains(f, x)), ',') AS missing
-FROM (SELECT doc_id, string_split({q_text._skills_sql()}, ',') AS f FROM documents)""")
+FROM (SELECT doc_id, string_split({q_text._skills_sql()}, ',') AS f FROM {q_text.PROFILES})""")
 def q_required_vs_found(spark, d):
     req = F.array(*[F.lit(s) for s in ["SQL", "AWS", "AI", "Git"]])
     found = T.extract_skills(F.col("text"))
-    return q_text.docs(spark, d).select(
+    return q_text.profiles(spark, d).select(
         "doc_id", F.array_join(F.array_intersect(req, found), ",").alias("matched"),
         F.array_join(F.array_except(req, found), ",").alias("missing"))
 
 
 @register("skills_from_job", sql=f"""
-SELECT item_id, {q_text._skills_sql().replace('text', 'b.text')} AS skills FROM benchmark b""")
+SELECT item_id, {q_text._skills_sql().replace('text', 'b.text')} AS skills FROM {q_text._phrased_sql('item_id', 'benchmark')} b""")
 def q_skills_from_job(spark, d):
-    b = table(spark, d, "benchmark")
+    b = table(spark, d, "benchmark").select("item_id", q_text.phrased("item_id").alias("text"))
     return b.select("item_id", F.array_join(T.extract_skills(F.col("text")), ",").alias("skills"))
 
 

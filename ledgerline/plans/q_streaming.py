@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import stats
 from ledgerline.plans.q_metrics import RATE_LIMIT, RATE_WINDOW
-from ledgerline.plans.q_text import _SENT_CTE
+from ledgerline.plans.q_text import _SENT_CTE, phrased
 from ledgerline.plans.registry import register
 from ledgerline.sources.tables import table
 from ledgerline.streaming import feeds
@@ -17,7 +17,7 @@ from ledgerline.streaming import feeds
 @register("stream_sentiment", sql=_SENT_CTE + """
 SELECT doc_id, round(neg, 6) AS neg, round(neu, 6) AS neu, round(pos, 6) AS pos, round(compound, 6) AS compound FROM sc""")
 def q_stream_sentiment(spark, d):
-    s = feeds.stream_sentiment(spark, d, "documents", "doc_id", "text")
+    s = feeds.stream_sentiment(spark, d, "documents", "doc_id", "text", phrased("doc_id"))
     return s.select("doc_id", *[F.round(c, 6).alias(c) for c in ("neg", "neu", "pos", "compound")])
 
 

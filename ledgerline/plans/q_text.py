@@ -23,6 +23,41 @@ def _sql_nums(values) -> str:
     return "[" + ", ".join(repr(float(v)) for v in values) + "]"
 
 
+# The generated prose holds no skill, degree or opinion words, so texts read as
+# CVs or reviews get a phrase chosen by their key (the same on both sides);
+# every eleventh also gets mixed opinions in proportion to its length.
+PHRASES = [
+    "Skilled in Python, C++, C#, SQL and AWS; 7 years of experience. Bachelor of Science",
+    "Docker, Kubernetes, Git, Agile; worked for 3.5 years. University of Paris",
+    "experience: twelve years in Machine Learning and NLP. MSc in Physics",
+    "The service was bad and the staff awful, I hate the delivery time",
+    "Great price, excellent quality, I love the product support",
+    "I am afraid, scared and worried about the error",
+    "Node.js, .NET, ASP.NET, Ruby on Rails, CI/CD and REST API",
+    "",
+    "good price but terrible service",
+]
+
+
+def phrased(key: str, text: str = "text"):
+    """``text`` with the phrase of its key."""
+    pick = F.element_at(F.array(*[F.lit(x) for x in PHRASES]), (F.pmod(F.col(key), F.lit(len(PHRASES))) + 1).cast("int"))
+    mixed = F.when(F.col(key) % 11 == 0, F.repeat(F.lit(" great awful"), F.floor(F.length(text) / 10).cast("int"))).otherwise("")
+    return F.concat(F.col(text), F.lit(" "), pick, mixed)
+
+
+def _phrased_sql(key: str, source: str) -> str:
+    return (f"(SELECT {key}, text || ' ' || {_sql_list(PHRASES)}[CAST({key} % {len(PHRASES)} AS BIGINT) + 1] || "
+            f"CASE WHEN {key} % 11 = 0 THEN repeat(' great awful', CAST(length(text) // 10 AS BIGINT)) ELSE '' END AS text FROM {source})")
+
+
+PROFILES = _phrased_sql("doc_id", "documents")
+
+
+def profiles(spark, d):
+    return docs(spark, d).withColumn("text", phrased("doc_id"))
+
+
 _STOP = _sql_list(T.STOP_WORDS)
 _WORD = r"[\p{L}\p{N}_]"
 
@@ -88,9 +123,9 @@ def _exp_sql():
     return f"CASE WHEN len({allv}) > 0 THEN list_max({allv}) END"
 
 
-@register("extract_experience_years", sql=f"SELECT doc_id, {_exp_sql()} AS experience_years FROM documents")
+@register("extract_experience_years", sql=f"SELECT doc_id, {_exp_sql()} AS experience_years FROM {PROFILES}")
 def q_experience(spark, d):
-    return docs(spark, d).select("doc_id", T.experience_years(F.col("text")).alias("experience_years"))
+    return profiles(spark, d).select("doc_id", T.experience_years(F.col("text")).alias("experience_years"))
 
 
 def _skills_sql():
@@ -98,9 +133,9 @@ def _skills_sql():
     return "array_to_string(list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL), ',')"
 
 
-@register("extract_skills", sql=f"SELECT doc_id, {_skills_sql()} AS skills FROM documents")
+@register("extract_skills", sql=f"SELECT doc_id, {_skills_sql()} AS skills FROM {PROFILES}")
 def q_extract_skills(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(T.extract_skills(F.col("text")), ",").alias("skills"))
+    return profiles(spark, d).select("doc_id", F.array_join(T.extract_skills(F.col("text")), ",").alias("skills"))
 
 
 def _category_sql(col):
@@ -111,17 +146,17 @@ def _category_sql(col):
 
 @register("categorize_skills", sql=f"""
 SELECT {_category_sql('skill')} AS category, skill, count(*) AS documents
-FROM (SELECT unnest(string_split({_skills_sql()}, ',')) AS skill FROM documents) WHERE skill <> '' GROUP BY ALL""")
+FROM (SELECT unnest(string_split({_skills_sql()}, ',')) AS skill FROM {PROFILES}) WHERE skill <> '' GROUP BY ALL""")
 def q_categorize_skills(spark, d):
-    s = docs(spark, d).select(F.explode_outer(T.extract_skills(F.col("text"))).alias("skill")).filter(F.col("skill").isNotNull())
+    s = profiles(spark, d).select(F.explode_outer(T.extract_skills(F.col("text"))).alias("skill")).filter(F.col("skill").isNotNull())
     return s.groupBy(T.skill_category(F.col("skill")).alias("category"), "skill").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @register("extract_education", sql="""
 SELECT doc_id, len(regexp_extract_all(text, '""" + T.EDUCATION_PATTERNS[0] + """', 0))
-             + len(regexp_extract_all(text, '""" + T.EDUCATION_PATTERNS[1] + """', 0)) AS education_mentions FROM documents""")
+             + len(regexp_extract_all(text, '""" + T.EDUCATION_PATTERNS[1] + """', 0)) AS education_mentions FROM """ + PROFILES)
 def q_education(spark, d):
-    return docs(spark, d).select("doc_id", F.size(T.education(F.col("text"))).alias("education_mentions"))
+    return profiles(spark, d).select("doc_id", F.size(T.education(F.col("text"))).alias("education_mentions"))
 
 
 # ------------------------------------------------------------------ sentiment
@@ -131,7 +166,7 @@ _VALS = _sql_nums([v[0] for v in TX.LEXICON.values()])
 _SUBJ = _sql_nums([v[1] for v in TX.LEXICON.values()])
 
 _SENT_CTE = f"""
-WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{_WORD}+') AS ws FROM documents),
+WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{_WORD}+') AS ws FROM {PROFILES}),
 v AS (SELECT doc_id, text, len(ws) AS nw,
              list_filter(list_transform(ws, lambda x: {_VALS}[list_position({_KEYS}, x)]), lambda v: v IS NOT NULL) AS hits,
              list_filter(list_transform(ws, lambda x: {_SUBJ}[list_position({_KEYS}, x)]), lambda v: v IS NOT NULL) AS sh FROM w),
@@ -163,24 +198,24 @@ emo AS (SELECT *, CASE WHEN polarity > 0.3 THEN least(1.0, polarity * 1.5) ELSE
 
 
 def scored(spark, d):
-    return TX.sentiment_analyze(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return TX.sentiment_analyze(profiles(spark, d), "text")
 
 
 @register("sentiment_lexicon", sql=_SENT_CTE + """
 SELECT doc_id, round(neg, 6) AS neg, round(neu, 6) AS neu, round(pos, 6) AS pos, round(compound, 6) AS compound FROM sc""")
 def q_sentiment_lexicon(spark, d):
-    s = TX.sentiment_scores(docs(spark, d), "text")
+    s = TX.sentiment_scores(profiles(spark, d), "text")
     return s.select("doc_id", *[F.round(c, 6).alias(c) for c in ("neg", "neu", "pos", "compound")])
 
 
 @register("sentiment_analyze", sql=_SENT_CTE + """
-SELECT doc_id, sentiment_label, round(confidence, 6) AS confidence, round(polarity, 6) AS polarity,
-       round(joy, 6) AS joy, round(sadness, 6) AS sadness, round(anger, 6) AS anger, round(surprise, 6) AS surprise,
-       round(fear, 6) AS fear FROM emo""", headline=True)
+SELECT doc_id, sentiment_label, round(confidence, 5) AS confidence, round(polarity, 5) AS polarity,
+       round(joy, 5) AS joy, round(sadness, 5) AS sadness, round(anger, 5) AS anger, round(surprise, 5) AS surprise,
+       round(fear, 5) AS fear FROM emo""", headline=True)
 def q_sentiment_analyze(spark, d):
     s = scored(spark, d)
     return s.select("doc_id", "sentiment_label",
-                    *[F.round(c, 6).alias(c) for c in ("confidence", "polarity", "joy", "sadness", "anger", "surprise", "fear")])
+                    *[F.round(c, 5).alias(c) for c in ("confidence", "polarity", "joy", "sadness", "anger", "surprise", "fear")])
 
 
 @register("sentiment_summary", sql=_SENT_CTE + """
@@ -247,7 +282,7 @@ SELECT doc_id, len(regexp_extract_all(trim(regexp_replace(regexp_replace(text, '
        {_skills_sql()} AS skills, {_exp_sql()} AS experience_years,
        {_first(T.EMAIL_PATTERN)} AS email,
        coalesce({_first(T.PHONE_PATTERNS[0])}, {_first(T.PHONE_PATTERNS[1])}) AS phone
-FROM documents""")
+FROM {PROFILES}""")
 def q_cv_analyze(spark, d):
-    p = TX.cv_profile(docs(spark, d), "doc_id", "text")
+    p = TX.cv_profile(profiles(spark, d), "doc_id", "text")
     return p.select("doc_id", "word_count", F.array_join("skills", ",").alias("skills"), "experience_years", "email", "phone")

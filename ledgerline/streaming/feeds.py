@@ -71,9 +71,12 @@ def run_complete(df: DataFrame, name: str, timeout_s: float | None = None) -> Da
 
 
 def stream_sentiment(spark: SparkSession, folder: str, table_name: str = "documents", id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """Score a text feed with the row-wise form of the batch scorer (same numbers)."""
+                     text_col: str = "text", text_expr=None) -> DataFrame:
+    """Score a text feed with the row-wise form of the batch scorer (same
+    numbers); ``text_expr`` replaces the text column if given."""
     s = source(spark, folder, table_name).select(id_col, text_col)
+    if text_expr is not None:
+        s = s.withColumn(text_col, text_expr)
     # row-wise fold: no stateful aggregation in the stream
     scored = TX.sentiment_scores_rowwise(s, text_col).drop(text_col)
     return run_append(scored, "sentiment")

@@ -36,8 +36,8 @@ def test_delay_rules_fixture(spark):
     assert abs(r[1].distance_km - km) < 1e-6
     assert abs(r[1].delay_hours - (km / 60 * (2.5 * 2.0 * 1.2) - km / 60)) < 1e-9
     assert abs(r[1].confidence - 0.65) < 1e-12
-    assert "Monitor weather updates closely" in r[1].suggested_actions
-    assert "High priority shipment - critical delivery" in r[1].risk_factors
+    assert "check the forecast again before departure" in r[1].suggested_actions
+    assert "urgent order (priority 1 or 2)" in r[1].risk_factors
     assert r[2].delay_hours == 0.0 and r[2].risk_factors == [] and r[2].suggested_actions == []
 
 
