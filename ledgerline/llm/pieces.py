@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHE_SEGMENTS, CACHE_CHARS = 400_000, 16_000_000  # the cache starts anew beyond either
+CACHE_SEGMENTS, CACHE_CHARS = 250_000, 8_000_000  # the cache starts anew beyond either
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
 

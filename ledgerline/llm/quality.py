@@ -136,12 +136,14 @@ def judge(docs: DataFrame, frequent: DataFrame, host_col: str = "source", text_c
             [pa.array(v, pa.bool_() if k in ("base_failed", "kept") else pa.string() if k == "text" else pa.int64())
              for k, v in out.items()], names=list(out))
 
+    # marked so that a filter on the verdict does not run the function a second time
+    verdict = F.arrow_udf(run, _VERDICT).asNondeterministic()
     host = "_ll4_host"
     side = small_side(frequent.select(F.col("host").alias(host), F.col("frequent").alias("_ll4_lines"),
                                       F.col("n_frequent").alias("_ll4_n")), BROADCAST_LINES, "_ll4_n")
     return (docs.withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit("")))
                 .join(side, host, "left")
-                .withColumn("_quality", F.arrow_udf(run, _VERDICT)(F.col(text_col).cast("string"), F.col("_ll4_lines")))
+                .withColumn("_quality", verdict(F.col(text_col).cast("string"), F.col("_ll4_lines")))
                 .drop(host, "_ll4_lines", "_ll4_n"))
 
 
