@@ -15,16 +15,16 @@ def test_slow_stream_raises(spark):
     src = scratch_dir()
     spark.range(50).write.parquet(src + "/t.parquet")
     s = feeds.source(spark, src, "t")
-    with pytest.raises(TimeoutError):
-        feeds.run_append(s.mapInPandas(_slow, "id long"), "slow", timeout_s=2)
-    assert feeds.run_append(s, "fast").count() == 50
 
+    def slow(batches):
+        import time
+        for b in batches:
+            time.sleep(20)
+            yield b
 
-def _slow(batches):
-    import time
-    for b in batches:
-        time.sleep(20)
-        yield b
+    with pytest.raises(TimeoutError):
+        feeds.run_append(s.mapInPandas(slow, "id long"), "slow", timeout_s=2)
+    assert feeds.run_append(s, "fast").count() == 50
 
 
 def test_budget_has_no_round_limit(spark):
