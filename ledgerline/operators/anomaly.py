@@ -1,14 +1,13 @@
 """Anomaly detection on numeric feature columns.
 
-Isolation forest: Spark has no estimator, so ``t`` trees are grown on the
-driver from ``t`` bounded random samples (``sample_size`` rows each, drawn
-with a seeded hash so reruns agree), broadcast (their size is bounded by
-t × sample_size nodes), and every row is scored inside ``mapInPandas`` with
-vectorised numpy path lengths.  The threshold is the exact (1 −
-contamination) quantile of the scores from the distributed order
-statistics.  The robust elliptic score (the one-class alternative) is pure
-aggregation: mean vector and covariance via ``Summarizer``-style sums,
-Mahalanobis distance as a column expression.
+Isolation forest: Spark has no estimator, so every tree gets its own hash
+sample of ``sample_size`` rows, grown in one grouped task per tree; the grown
+trees (at most 2 * ``sample_size`` nodes each) are broadcast, and every row is
+scored inside ``mapInPandas`` with vectorised numpy path lengths.  The robust
+elliptic score is Mahalanobis distance under a mean and covariance refitted on
+the innermost rows, by aggregations and exact quantiles only.  Missing values
+take the column's mean, and every row gets a score.  Thresholds are the exact
+(1 − contamination) quantile of the scores.
 """
 
 from __future__ import annotations
@@ -27,16 +26,24 @@ EULER = 0.5772156649
 
 
 def _c(n: float) -> float:
+    """Mean path length of an unsuccessful search among n points."""
     if n <= 1:
         return 0.0
     return 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
+def fill_means(df: DataFrame, features, key_col: str) -> DataFrame:
+    """Key and features as doubles, nulls and NaN replaced by the column's mean (0 if it has none)."""
+    x = df.select(key_col, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features])
+    means = x.agg(*[F.avg(c).alias(c) for c in features]).first()
+    return x.fillna({c: float(means[c] if means[c] is not None else 0.0) for c in features})
+
+
 def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, max_depth: int, nodes: list) -> int:
     idx = len(nodes)
     nodes.append(None)
     if depth >= max_depth or len(x) <= 1 or np.all(x.max(axis=0) == x.min(axis=0)):
-        nodes[idx] = (-1, 0.0, -1, -1, float(len(x)))
+        nodes[idx] = (-1, 0.0, -1, -1, _c(len(x)))
         return idx
     spread = np.where(x.max(axis=0) > x.min(axis=0))[0]
     f = int(rng.choice(spread))
@@ -44,7 +51,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, max_depth: int, n
     s = float(rng.uniform(lo, hi))
     left = _grow(x[x[:, f] < s], rng, depth + 1, max_depth, nodes)
     right = _grow(x[x[:, f] >= s], rng, depth + 1, max_depth, nodes)
-    nodes[idx] = (f, s, left, right, float(len(x)))
+    nodes[idx] = (f, s, left, right, _c(len(x)))
     return idx
 
 
@@ -60,74 +67,113 @@ def _path_lengths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
         node[active] = nxt
         depth[active] += 1
         active = tree[node, 0] >= 0
-    leaf_n = tree[node, 4]
-    return depth + np.array([_c(n) for n in leaf_n])
+    return depth + tree[node, 4]
+
+
+def _flag(scored: DataFrame, key_col: str, contamination: float) -> DataFrame:
+    """Adds ``is_anomaly``; scores are written once and read for the threshold and the flag."""
+    scored = reliable_checkpoint(scored)
+    thr = stats.exact_quantiles(scored, "anomaly_score", key_col, [1 - contamination], name="_t") \
+        .select(F.col("_t")[0].alias("_thr"))
+    return scored.crossJoin(F.broadcast(thr)).withColumn("is_anomaly", F.col("anomaly_score") > F.col("_thr")).drop("_thr")
 
 
 def isolation_forest(df: DataFrame, features, key_col: str, n_trees: int = 100, sample_size: int = 256,
                      contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds anomaly_score (2^(−E[h]/c(ψ)), higher = more anomalous) and
     is_anomaly (score above the exact 1 − contamination quantile)."""
-    spark = df.sparkSession
-    feats = [F.col(c).cast("double").alias(c) for c in features]
-    base = df.select(key_col, *feats).dropna()
+    spark, cols = df.sparkSession, list(features)
+    base = reliable_checkpoint(fill_means(df, cols, key_col))
     total = base.count()
-    frac = min(1.0, 3.0 * sample_size * n_trees / max(total, 1))
-    # bounded sample: at most ~3 · n_trees · sample_size rows reach the driver
-    pool = base.select(*features, F.xxhash64(key_col, F.lit(seed)).alias("_h")) \
-               .filter((F.pmod(F.col("_h"), F.lit(1_000_000)) < frac * 1_000_000)) \
-               .orderBy("_h").limit(3 * sample_size * n_trees).toPandas()
-    rng = np.random.default_rng(seed)
-    pool_x = pool[list(features)].to_numpy(dtype=float)
-    psi = min(sample_size, len(pool_x))
+    psi = min(sample_size, total)
+    if not psi:
+        return base.select(key_col, F.lit(0.0).alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
+    # a row is drawn for a tree by a hash of its key and the tree; a few more than ψ, of which the tree keeps ψ
+    share = min(1.0, (psi + 6 * math.sqrt(psi) + 6) / total)
+    draw = F.pmod(F.xxhash64(F.col(key_col), F.col("tree"), F.lit(seed)), F.lit(1 << 30))
+    drawn = (base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("_h", draw)
+                 .filter(F.col("_h") < F.lit(int(share * (1 << 30)))))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    trees = []
-    for _ in range(n_trees):
-        pick = rng.choice(len(pool_x), size=psi, replace=False) if len(pool_x) else np.array([], dtype=int)
+
+    def grow(pdf):
+        import pandas as pd
+        tree = int(pdf["tree"].iloc[0])
+        x = pdf.sort_values(["_h", *cols]).head(psi)[cols].to_numpy(dtype=float)
         nodes: list = []
-        _grow(pool_x[pick], rng, 0, max_depth, nodes)
-        trees.append(np.array(nodes, dtype=float))
-    bc = spark.sparkContext.broadcast(trees)
+        _grow(x, np.random.default_rng([seed, tree]), 0, max_depth, nodes)
+        return pd.DataFrame({"tree": [tree], "nodes": [np.array(nodes, dtype=float).ravel()]})
+
+    # n_trees rows of at most 2 * sample_size nodes
+    rows = drawn.groupBy("tree").applyInPandas(grow, "tree int, nodes array<double>").orderBy("tree").collect()
+    shared = spark.sparkContext.broadcast([np.array(r["nodes"]).reshape(-1, 5) for r in rows])
     cpsi = _c(psi)
-    cols = list(features)
 
     def score(batches):
-        ts = bc.value
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
-            h = np.mean([_path_lengths(t, x) for t in ts], axis=0) if len(x) else np.array([])
+            h = np.mean([_path_lengths(t, x) for t in shared.value], axis=0) if len(x) else np.array([])
             out = pdf[[key_col]].copy()
             out["anomaly_score"] = np.power(2.0, -h / cpsi) if cpsi > 0 else 0.5
             yield out
 
     key_type = base.schema[key_col].dataType.simpleString()
-    scored = base.mapInPandas(score, f"{key_col} {key_type}, anomaly_score double")
-    thr = stats.exact_quantiles(scored, "anomaly_score", key_col, [1 - contamination], name="_t") \
-        .select(F.col("_t")[0].alias("_thr"))
-    return scored.crossJoin(thr).withColumn("is_anomaly", F.col("anomaly_score") > F.col("_thr")).drop("_thr")
+    return _flag(base.mapInPandas(score, f"{key_col} {key_type}, anomaly_score double"), key_col, contamination)
 
 
-def robust_elliptic(df: DataFrame, features, key_col: str, contamination: float = 0.1) -> DataFrame:
-    """Mahalanobis distance to the mean under the sample covariance (one
-    aggregation of first and second moments); flagged above the exact
-    1 − contamination quantile."""
-    k = len(features)
-    x = [F.col(c).cast("double") for c in features]
+def _moments(df: DataFrame, features) -> tuple[np.ndarray, np.ndarray]:
+    """Mean vector and covariance from one aggregation (one row fetched)."""
+    k, x = len(features), [F.col(c) for c in features]
     aggs = [F.avg(c).alias(f"_m{i}") for i, c in enumerate(x)]
-    aggs += [F.covar_samp(x[i], x[j]).alias(f"_c{i}_{j}") for i in range(k) for j in range(i, k)]
-    mom = df.agg(*aggs).first()        # one row of k + k(k+1)/2 numbers
-    mean = np.array([mom[f"_m{i}"] for i in range(k)])
+    aggs += [F.covar_pop(x[i], x[j]).alias(f"_c{i}_{j}") for i in range(k) for j in range(i, k)]
+    row = df.agg(*aggs).first()
     cov = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
-            cov[i, j] = cov[j, i] = mom[f"_c{i}_{j}"]
-    inv = np.linalg.pinv(cov)
-    d = [c - float(mean[i]) for i, c in enumerate(x)]
-    q = sum(d[i] * d[j] * float(inv[i, j]) for i in range(k) for j in range(k))
-    scored = df.select(key_col, F.sqrt(F.greatest(q, F.lit(0.0))).alias("anomaly_score"))
-    thr = stats.exact_quantiles(scored, "anomaly_score", key_col, [1 - contamination], name="_t") \
-        .select(F.col("_t")[0].alias("_thr"))
-    return scored.crossJoin(thr).withColumn("is_anomaly", F.col("anomaly_score") > F.col("_thr")).drop("_thr")
+            cov[i, j] = cov[j, i] = row[f"_c{i}_{j}"] or 0.0
+    return np.array([row[f"_m{i}"] or 0.0 for i in range(k)]), cov
+
+
+def robust_elliptic(df: DataFrame, features, key_col: str, contamination: float = 0.1, inner: float = 0.75,
+                    steps: int = 4, keep=()) -> DataFrame:
+    """Mahalanobis distance under a robust mean and covariance; flagged above
+    the exact 1 − contamination quantile.
+
+    The fit starts from the coordinates' medians and median absolute
+    deviations and then concentrates: the ``inner`` share of rows with the
+    smallest distances gives the next mean and covariance, ``steps`` times.
+    Outliers up to ``1 - inner`` of the rows do not enter the last fit.
+    ``keep``: features that stay in the output."""
+    cols = list(features)
+    x = reliable_checkpoint(fill_means(df, cols, key_col))
+    mid, spread = [], []
+    for c in cols:
+        m = stats.exact_quantiles(x, c, key_col, [0.5], name="_q").first()
+        m = float(m["_q"][0]) if m and m["_q"][0] is not None else 0.0
+        dev = x.select(key_col, F.abs(F.col(c) - m).alias("_d"))
+        s = stats.exact_quantiles(dev, "_d", key_col, [0.5], name="_q").first()
+        mid.append(m)
+        spread.append((float(s["_q"][0]) if s and s["_q"][0] else 0.0) * 1.4826)
+    mean, cov = np.array(mid), np.diag([v * v if v > 0 else 1.0 for v in spread])
+
+    def distance(mean, cov):
+        inv = np.linalg.pinv(cov)
+        d = [F.col(c) - float(m) for c, m in zip(cols, mean)]
+        q = sum(d[i] * d[j] * float(inv[i, j]) for i in range(len(cols)) for j in range(len(cols)))
+        return F.sqrt(F.greatest(q, F.lit(0.0)))
+
+    for _ in range(steps):
+        near = x.withColumn("_dist", distance(mean, cov))
+        cut = stats.exact_quantiles(near, "_dist", key_col, [inner], name="_q").first()
+        if cut is None or cut["_q"][0] is None:
+            break
+        mean, cov = _moments(near.filter(F.col("_dist") <= float(cut["_q"][0])), cols)
+    return _flag(x.select(key_col, *keep, distance(mean, cov).alias("anomaly_score")), key_col, contamination)
+
+
+def anomaly_records(scored: DataFrame, key_col: str, n: int | None = None) -> DataFrame:
+    """The flagged rows of a scored table, most anomalous first; all of them without ``n``."""
+    out = scored.filter("is_anomaly").drop("is_anomaly").orderBy(F.desc("anomaly_score"), key_col)
+    return out if n is None else out.limit(n)
 
 
 def anomaly_report(scored: DataFrame) -> DataFrame:

@@ -184,10 +184,19 @@ def q_anomaly_elliptic(spark, d):
     return s.withColumn("anomaly_score", F.round("anomaly_score", 6))
 
 
-@register("anomaly_report")
+@register("anomaly_report", sql="""
+SELECT count(*) AS records, count(*) // 10 AS anomalies, round(100.0 * (count(*) // 10) / count(*), 4) AS anomaly_pct FROM lineitem""")
 def q_anomaly_report(spark, d):
-    s = anomaly.robust_elliptic(line_features(spark, d), ANOM_FEATURES, "line_id")
-    return anomaly.anomaly_report(s)
+    """The flag share equals the contamination (scores have no ties at the threshold)."""
+    x = line_features(spark, d)
+    s = anomaly.robust_elliptic(x, ANOM_FEATURES, "line_id")
+    return anomaly.anomaly_report(s).select("records", "anomalies", F.round("anomaly_pct", 4).alias("anomaly_pct"))
+
+
+@register("anomaly_records")
+def q_anomaly_records(spark, d):
+    s = anomaly.robust_elliptic(line_features(spark, d), ANOM_FEATURES, "line_id", keep=ANOM_FEATURES)
+    return anomaly.anomaly_records(s, "line_id").withColumn("anomaly_score", F.round("anomaly_score", 6))
 
 
 @register("standardize", sql="""
