@@ -9,11 +9,12 @@ driver only holds model parameters.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -89,44 +90,114 @@ def feature_stages(numeric, categorical, scale: bool = True):
     return stages
 
 
-def classifiers():
-    return {
-        "logistic_regression": (LogisticRegression(featuresCol="features", labelCol="label", maxIter=50),
-                                lambda m: ParamGridBuilder().addGrid(m.regParam, [0.0, 0.01]).build()),
-        "random_forest": (RandomForestClassifier(featuresCol="features", labelCol="label", seed=SEED, numTrees=20),
-                          lambda m: ParamGridBuilder().addGrid(m.maxDepth, [5]).build()),
-        "gradient_boosting": (GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, maxIter=10),
-                              lambda m: ParamGridBuilder().addGrid(m.maxDepth, [3]).build()),
-    }
-
-
-def train_classifiers(train: DataFrame, test: DataFrame, numeric, categorical, metric: str = "areaUnderROC",
-                      folds: int = 3, only=None):
-    """Cross-validated candidates → metric table (model, auc, accuracy,
-    precision, recall, f1 on the held-out rows) and the best fitted model
-    (by ``metric``).  Data is repartitioned by a hash of the row so fits
-    are repeatable."""
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    rows, best, best_score = [], None, -math.inf
-    for name, (est, grid) in classifiers().items():
-        if only and name not in only:
-            continue
-        pipe = Pipeline(stages=feature_stages(numeric, categorical) + [est])
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=ev, numFolds=folds, seed=SEED,
-                            parallelism=4)
-        # grid on the final stage
-        grid_maps = grid(est)
-        cv = cv.setEstimatorParamMaps(grid_maps)
+def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
+    """Adds n / (classes · n of the class), so every class weighs the same.
+    The label must have few values: one row per value is broadcast, and more
+    than 1000 are refused."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError(f"{label} has more than 1000 values")
+    total = sum(r["_n"] for r in rows)
+    w = counts.select(label, (F.lit(float(total)) / (len(rows) * F.col("_n"))).alias(name))
+    return df.join(F.broadcast(w), label)
+
+
+# Search grids.  ``FULL`` is the whole search (depth 30, the largest Spark
+# grows, stands for an unlimited one); ``SMALL`` spans the same parameters with
+# fewer points, for runs that must end within minutes on one machine.
+FULL = {
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.0, 1.0]},
+    "random_forest": {"numTrees": [100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]},
+    "gradient_boosting": {"maxIter": [100, 200], "stepSize": [0.01, 0.1], "maxDepth": [3, 5], "subsamplingRate": [0.8, 1.0]},
+}
+SMALL = {
+    "logistic_regression": {"C": [0.1, 1.0], "elasticNetParam": [0.0, 1.0]},
+    "random_forest": {"numTrees": [100], "maxDepth": [10], "minInstancesPerNode": [1]},
+    "gradient_boosting": {"maxIter": [20], "stepSize": [0.1], "maxDepth": [3], "subsamplingRate": [1.0]},
+}
+
+
+def classifier(name: str, weight_col: str | None = None):
+    kind, args = {"logistic_regression": (LogisticRegression, {"maxIter": 50}),
+                  "random_forest": (RandomForestClassifier, {"numTrees": 100, "maxDepth": 10, "seed": SEED}),
+                  "gradient_boosting": (GBTClassifier, {"maxIter": 20, "seed": SEED})}[name]
+    est = kind(featuresCol="features", labelCol="label", **args)
+    return est.setWeightCol(weight_col) if weight_col else est
+
+
+def grid_maps(est, grid: dict, n_rows: int) -> list:
+    """Parameter maps of a grid; ``C`` is the inverse strength per row, as in liblinear."""
+    build = ParamGridBuilder()
+    for name, values in grid.items():
+        if name == "C":
+            build.addGrid(est.regParam, [1.0 / (c * max(n_rows, 1)) for c in values])
+        else:
+            build.addGrid(est.getParam(name), values)
+    return build.build()
+
+
+def evaluator(metric: str):
+    """Cross-validation score: area under ROC, or F1 of class 1."""
+    if metric == "f1":
+        return MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
+    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+
+
+METRICS = "model string, auc double, accuracy double, precision double, recall double, f1 double, selected boolean"
+
+
+def _table(spark, rows: list[dict], best: str) -> DataFrame:
+    names = [x.split()[0] for x in METRICS.split(", ")]
+    return spark.createDataFrame([tuple({**r, "selected": r["model"] == best}[n] for n in names) for r in rows], METRICS)
+
+
+def train_classifiers(train: DataFrame, test: DataFrame, numeric, categorical, metric: str = "auc",
+                      folds: int = 3, only=None, grids: dict | None = None, weight_col: str | None = None):
+    """Grid search with cross-validation for each model, by ``metric`` (auc or
+    f1) → metric table over the held-out rows with the chosen model flagged,
+    and that model.  ``grids`` defaults to the ``FULL`` search."""
+    grids, rows, best = grids or FULL, [], None
+    n = train.count()
+    for name in only or grids:
+        est = classifier(name, weight_col)
+        cv = CrossValidator(estimator=Pipeline(stages=feature_stages(numeric, categorical) + [est]),
+                            estimatorParamMaps=grid_maps(est, grids[name], n), evaluator=evaluator(metric),
+                            numFolds=folds, seed=SEED, parallelism=4)
         model = cv.fit(train).bestModel
-        pred = model.transform(test)
-        m = _binary_metrics(pred)
-        m["model"] = name
-        rows.append(m)
-        if m[metric if metric in m else "auc"] > best_score:
-            best, best_score = model, m[metric if metric in m else "auc"]
-    spark = train.sparkSession
-    table = spark.createDataFrame(rows, "model string, auc double, accuracy double, precision double, recall double, f1 double")
-    return table, best
+        rows.append({**_binary_metrics(model.transform(test)), "model": name})
+        if best is None or rows[-1][metric] > best[0]:
+            best = rows[-1][metric], name, model
+    return _table(train.sparkSession, rows, best[1]), best[2]
+
+
+def train_and_refine(train: DataFrame, test: DataFrame, numeric, categorical, k: int = 10, grids: dict | None = None):
+    """Class-balanced models on the ``k`` best features (ANOVA F), the one with
+    the highest F1 on the held-out rows refined by a 3-fold grid search on F1.
+    Returns the metric table (a row ``refined <model>`` is the chosen one) and
+    the refined model."""
+    grids, rows, best = grids or FULL, [], None
+    train = balanced_weights(train)
+
+    def stages(est):
+        pick = UnivariateFeatureSelector(featuresCol="all_features", outputCol="features", labelCol="label",
+                                         selectionMode="numTopFeatures")
+        pick.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
+        first = feature_stages(numeric, categorical)
+        first[-1].setOutputCol("all_features")
+        return Pipeline(stages=[*first, pick, est])
+
+    for name in grids:
+        model = stages(classifier(name, "weight")).fit(train)
+        rows.append({**_binary_metrics(model.transform(test)), "model": name})
+        if best is None or rows[-1]["f1"] > best[0]:
+            best = rows[-1]["f1"], name
+    est = classifier(best[1], "weight")
+    cv = CrossValidator(estimator=stages(est), estimatorParamMaps=grid_maps(est, grids[best[1]], train.count()),
+                        evaluator=evaluator("f1"), numFolds=3, seed=SEED, parallelism=4)
+    refined = cv.fit(train).bestModel
+    rows.append({**_binary_metrics(refined.transform(test)), "model": f"refined {best[1]}"})
+    return _table(train.sparkSession, rows, rows[-1]["model"]), refined
 
 
 def _binary_metrics(pred: DataFrame) -> dict:
@@ -194,25 +265,34 @@ def explain_linear(model: PipelineModel, df: DataFrame, id_col: str, top: int =
 
 def what_if(model: PipelineModel, df: DataFrame, id_col: str, numeric, categorical) -> DataFrame:
     """Scenario table: every row × (each numeric feature × {0.8, 1.2}, each
-    categorical feature → 'Other'), scored in one transform, Δ probability
-    against the base score (join on row id and scenario)."""
+    categorical feature → 'Other') with Δ probability against the row's own
+    score.  The base score is a column before the rows are multiplied, so
+    nothing is joined."""
     prob = vector_to_array("probability")[1]
-    base = model.transform(df).select(id_col, prob.alias("base_probability"))
+    base = model.transform(df).select(*df.columns, prob.alias("base_probability"))
     scen = []
     for c in numeric:
         for f in (0.8, 1.2):
             scen.append(F.struct(F.lit(c).alias("feature"), F.lit(f"x{f}").alias("change")))
     for c in categorical:
         scen.append(F.struct(F.lit(c).alias("feature"), F.lit("Other").alias("change")))
-    x = df.withColumn("_s", F.explode(F.array(*scen)))
+    x = base.withColumn("_s", F.explode(F.array(*scen)))
     for c in numeric:
         x = x.withColumn(c, F.when(F.col("_s.feature") == c,
                                    F.col(c) * F.when(F.col("_s.change") == "x0.8", 0.8).otherwise(1.2)).otherwise(F.col(c)))
     for c in categorical:
         x = x.withColumn(c, F.when(F.col("_s.feature") == c, F.lit("Other")).otherwise(F.col(c)))
-    s = model.transform(x).select(id_col, F.col("_s.feature").alias("feature"), F.col("_s.change").alias("change"),
-                                  prob.alias("probability"))
-    return s.join(base, id_col).withColumn("delta", F.col("probability") - F.col("base_probability"))
+    return model.transform(x).select(id_col, F.col("_s.feature").alias("feature"), F.col("_s.change").alias("change"),
+                                     prob.alias("probability"), "base_probability",
+                                     (prob - F.col("base_probability")).alias("delta"))
+
+
+def top_factors(model: PipelineModel, df: DataFrame, id_col: str, top: int = 5) -> DataFrame:
+    """Per row the ``top`` linear attributions, as 'feature:impact' joined by '; '."""
+    parts = explain_linear(model, df, id_col, top).withColumn(
+        "f", F.concat_ws(":", "feature", F.format_number("impact", 3)))
+    return parts.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "f"))),
+                                                              lambda x: x["f"]), "; ").alias("factors"))
 
 
 def regressors():
@@ -220,8 +300,8 @@ def regressors():
         "linear_regression": LinearRegression(featuresCol="features", labelCol="label", regParam=0.0),
         "elastic_net": LinearRegression(featuresCol="features", labelCol="label", regParam=0.1, elasticNetParam=0.5,
                                         standardization=False),
-        "random_forest": RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=50, seed=SEED),
-        "gradient_boosting": GBTRegressor(featuresCol="features", labelCol="label", maxIter=30, seed=SEED),
+        "random_forest": RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, seed=SEED),
+        "gradient_boosting": GBTRegressor(featuresCol="features", labelCol="label", maxIter=100, maxDepth=3, seed=SEED),
     }
 
 
@@ -236,16 +316,16 @@ def train_regressors(train: DataFrame, test: DataFrame, numeric, categorical):
         rows.append((name, m["rmse"], m["mae"], m["r2"]))
         if m["rmse"] < best_rmse:
             best, best_rmse = model, m["rmse"]
-    t = train.sparkSession.createDataFrame(rows, "model string, rmse double, mae double, r2 double")
-    return t.withColumn("selected", F.col("rmse") == F.min("rmse").over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())), best
+    t = train.sparkSession.createDataFrame([(*r, r[1] == best_rmse) for r in rows],
+                                           "model string, rmse double, mae double, r2 double, selected boolean")
+    return t, best
 
 
 def save_model(model: PipelineModel, name: str, spark) -> str:
-    """Persist a fitted pipeline under the shared checkpoint folder."""
+    """Persist a fitted pipeline under the shared checkpoint folder, each time in a place of its own."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/models/{name}"
-    model.write().overwrite().save(path)
+    path = f"{base}/models/{name}-{uuid.uuid4().hex}"
+    model.write().save(path)
     return path
 
 

@@ -216,16 +216,21 @@ def q_inventory_model_score(spark, d):
 @register("retention_score")
 def q_retention_score(spark, d):
     train, test = q_ml._split(q_ml.quality_frame(spark, d), "doc_id")
-    _, best = ml.train_classifiers(train, test, q_ml.QUAL_NUM, q_ml.QUAL_CAT, metric="f1", only=["logistic_regression"])
-    s = ml.score_binary(best, q_ml.quality_frame(spark, d), "doc_id")
-    return s.withColumn("label", F.when(F.col("predicted") == 1, "Leave").otherwise("Stay")) \
-            .withColumn("probability", F.round("probability", 4))
+    _, best = ml.train_classifiers(train, test, q_ml.QUAL_NUM, q_ml.QUAL_CAT, metric="f1", only=["logistic_regression"],
+                                   grids=ml.SMALL)
+    every = reliable_checkpoint(q_ml.quality_frame(spark, d, labelled=False).drop("label"))
+    s = ml.score_binary(best, every, "doc_id")
+    p = F.col("probability")
+    s = s.withColumn("label", F.when(F.col("predicted") == 1, "Leave").otherwise("Stay")) \
+         .withColumn("confidence", F.round(F.greatest(p, 1 - p), 4)).withColumn("stay_probability", F.round(1 - p, 4)) \
+         .withColumn("probability", F.round(p, 4))
+    return s.join(ml.top_factors(best, every, "doc_id", 5), "doc_id")
 
 
 @register("model_report")
 def q_model_report(spark, d):
     train, test = q_ml._split(q_ml.churn_frame(spark, d), "customer_id")
-    metrics, best = ml.train_classifiers(train, test, q_ml.CHURN_NUM, q_ml.CHURN_CAT, only=["random_forest", "logistic_regression"])
+    metrics, best = ml.train_classifiers(train, test, q_ml.CHURN_NUM, q_ml.CHURN_CAT, only=["random_forest", "logistic_regression"], grids=ml.SMALL)
     m = metrics.select(F.lit("metric").alias("section"), F.col("model").alias("name"), F.round("f1", 4).alias("value"))
     imp = ml.feature_importance(best, train, 10).select(F.lit("importance").alias("section"), F.col("feature").alias("name"),
                                                         F.round("importance", 4).alias("value"))

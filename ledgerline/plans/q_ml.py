@@ -40,8 +40,8 @@ def _split(df, key):
 @register("churn_train")
 def q_churn_train(spark, d):
     train, test = _split(churn_frame(spark, d), "customer_id")
-    t, _ = ml.train_classifiers(train, test, CHURN_NUM, CHURN_CAT)
-    return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")])
+    t, _ = ml.train_classifiers(train, test, CHURN_NUM, CHURN_CAT, grids=ml.SMALL)
+    return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected")
 
 
 def _churn_lr(spark, d):
@@ -102,25 +102,35 @@ QUAL_NUM = ["n_chars", "word_count", "compound", "pos", "neg"]
 QUAL_CAT = ["lang"]
 
 
-def quality_frame(spark, d):
+def quality_frame(spark, d, labelled: bool = True):
+    """Text features of the labelled documents, or of all (label null where there is none)."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
     lb = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    x = docs.join(lb, "doc_id").withColumn("word_count", F.size(F.split("text", r"\s+")))
+    x = docs.join(lb, "doc_id", "inner" if labelled else "left").withColumn("word_count", F.size(F.split("text", r"\s+")))
     return TX.sentiment_scores(x, "text").withColumn("n_chars", F.col("n_chars").cast("double"))
 
 
 @register("purchase_train")
 def q_purchase_train(spark, d):
     train, test = _split(quality_frame(spark, d), "doc_id")
-    t, _ = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1", only=["random_forest"])
-    return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")])
+    t, _ = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1", only=["random_forest"], grids=ml.SMALL)
+    return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected")
+
+
+@register("purchase_score")
+def q_purchase_score(spark, d):
+    """Every document scored by the forest tuned on F1 over the labelled ones."""
+    train, test = _split(quality_frame(spark, d), "doc_id")
+    _, best = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1", only=["random_forest"], grids=ml.SMALL)
+    s = ml.score_binary(best, quality_frame(spark, d, labelled=False), "doc_id")
+    return s.withColumn("probability", F.round("probability", 4))
 
 
 @register("retention_train")
 def q_retention_train(spark, d):
     train, test = _split(quality_frame(spark, d), "doc_id")
-    t, _ = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1")
-    return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")])
+    t, _ = ml.train_and_refine(train, test, QUAL_NUM, QUAL_CAT, grids=ml.SMALL)
+    return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected")
 
 
 # ---------------------------------------------------------------- regression (order value / price)
@@ -135,20 +145,32 @@ def order_frame(spark, d):
                     F.col("o_totalprice").alias("label"))
 
 
+def salary_model(train):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import RandomForestRegressor
+    return Pipeline(stages=ml.feature_stages(["n_lines", "qty", "avg_discount", "avg_tax"], ["o_orderpriority"], scale=False)
+                    + [RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, seed=ml.SEED)]).fit(train)
+
+
 @register("salary_train")
 def q_salary_train(spark, d):
-    from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import RandomForestRegressor
     df = order_frame(spark, d).withColumn("_bucket", F.pmod(F.xxhash64("o_orderkey"), F.lit(5)))
     train, test = df.filter("_bucket <> 0"), df.filter("_bucket = 0")
-    model = Pipeline(stages=ml.feature_stages(["n_lines", "qty", "avg_discount", "avg_tax"], ["o_orderpriority"], scale=False)
-                     + [RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, seed=ml.SEED)]).fit(train)
+    model = salary_model(train)
     pred = model.transform(test)
     r2 = RegressionEvaluator(labelCol="label", metricName="r2").evaluate(pred)
     return pred.select("o_orderkey", F.round("prediction", 2).alias("prediction"), F.lit(round(r2, 4)).alias("r2"))
 
 
+@register("salary_score")
+def q_salary_score(spark, d):
+    """Every order priced by the forest fitted on the training orders."""
+    df = order_frame(spark, d)
+    return salary_model(df.filter(F.pmod(F.xxhash64("o_orderkey"), F.lit(5)) != 0)).transform(df) \
+        .select("o_orderkey", F.round("prediction", 2).alias("prediction"))
+
+
 @register("pricing_model")
 def q_pricing_model(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type", F.col("p_retailprice").alias("label"))
