@@ -32,6 +32,8 @@ table gives an empty result; other columns are not kept.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -42,9 +44,10 @@ from ledgerline.llm.common import as_bytes
 from ledgerline.session import reliable_checkpoint, shuffle_partitions
 
 WIDTH, GRAM = 50, 16
-CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 32 << 20  # of text, for the number of buckets
-SLICE_BYTES = 1 << 20  # of distinct runs, for one index
+CHUNK_BYTES = 1 << 20
+BUCKET_BYTES = 16 << 20  # of text, for the number of buckets
+SLICE_BYTES = 1 << 19  # of distinct runs, for one index
+ROWS = 8192  # taken out of arrays at a time
 HOT_CHUNKS = 1024
 NULL_ID = (1 << 63) - 1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -294,8 +297,10 @@ def _pack(batches):
 
 def _rows(batches, kind=Chunk):
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):  # one chunk in memory at a time
+            row = batch.slice(k, 1).to_pylist()[0]
             yield row, kind(row["ids"], row["offsets"], row["data"])
+        pa.default_memory_pool().release_unused()
 
 
 def _emit_anchors(buckets: int, kind=Chunk):
@@ -366,7 +371,7 @@ def _judge_bucket(t: pa.Table) -> pa.Table:
     sizes, least, routes, at = (np.concatenate(x) for x in (sizes, least, routes, at))
     order = np.argsort(routes, kind="stable")
     run_of = np.empty(len(order), np.int64)  # row -> distinct run
-    run_least: list[int] = []
+    run_least = array("q")
     verdict: dict[int, np.ndarray] = {}
     found: dict[bytes, int] = {}
     todo: list[tuple[int, bytes]] = []
@@ -389,28 +394,31 @@ def _judge_bucket(t: pa.Table) -> pa.Table:
         found = {}
 
     last = None
-    for row, route, w, a, s, d in zip(order.tolist(), routes[order].tolist(), which[order].tolist(), at[order].tolist(),
-                                      sizes[order].tolist(), least[order].tolist()):
-        if route != last:
-            close()
-            last = route
-        content = blobs[w][a:a + s]
-        k = found.get(content)
-        if k is None:
-            k = found[content] = len(run_least)
-            run_least.append(d)
-        elif d < run_least[k]:
-            run_least[k] = d
-        run_of[row] = k
+    for lo in range(0, len(order), ROWS):
+        own = order[lo:lo + ROWS]
+        for row, route, w, a, s, d in zip(own.tolist(), routes[own].tolist(), which[own].tolist(), at[own].tolist(),
+                                          sizes[own].tolist(), least[own].tolist()):
+            if route != last:
+                close()
+                last = route
+            content = blobs[w][a:a + s]
+            k = found.get(content)
+            if k is None:
+                k = found[content] = len(run_least)
+                run_least.append(d)
+            elif d < run_least[k]:
+                run_least[k] = d
+            run_of[row] = k
     close()
     index()
-    codes = (least > np.array(run_least, np.int64)[run_of]).astype(np.uint8)
+    codes = (least > np.array(run_least)[run_of]).astype(np.uint8)
     codes[(codes == 0) & np.isin(run_of, np.array(list(verdict), np.int64))] = 2
     edges = np.concatenate([[0], np.cumsum(counts)])
     bits = []
     for a, b in zip(edges, edges[1:]):
         own = [verdict[k] for k in run_of[a:b][codes[a:b] == 2].tolist()]
         bits.append(np.packbits(np.concatenate(own)).tobytes() if own else b"")
+    pa.default_memory_pool().release_unused()
     return pa.table({"chunk": t["chunk"], "bucket": t["bucket"],
                      "codes": pa.array([codes[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
                      "bits": pa.array(bits, pa.binary())})
