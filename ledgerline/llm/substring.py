@@ -45,7 +45,7 @@ from ledgerline.session import reliable_checkpoint, shuffle_partitions
 
 WIDTH, GRAM = 50, 16
 CHUNK_BYTES = 1 << 20
-BUCKET_BYTES = 16 << 20  # of text, for the number of buckets
+BUCKET_BYTES = 8 << 20  # of text, for the number of buckets
 SLICE_BYTES = 1 << 19  # of distinct runs, for one index
 ROWS = 8192  # taken out of arrays at a time
 HOT_CHUNKS = 1024
