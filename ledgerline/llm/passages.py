@@ -1,14 +1,14 @@
 """Near-duplicate passages by compact windows.
 
 Tokens are the 5-word shingles of the lower-cased words; a passage has 50
-words or more, that is ``SPAN`` tokens.  For each of ``BANDS * 2`` hash
+words or more, that is ``SPAN`` tokens.  For each of ``BANDS * HASHES`` hash
 functions the Cartesian tree of a document's token hashes (least at the root)
 groups its subsequences: all subsequences that share their min-hash token at
 ``c`` form one compact window (l, c, r), and only windows of ``SPAN`` tokens
 or more are made, about two in ``SPAN`` tokens.  Each function's windows cut
-the axis of subsequence starts into intervals; an interval join of the two
-functions of a band gives cells of subsequences that share both min-hashes.
-Documents meet by the cell's two min-hashes:
+the axis of subsequence starts into intervals; an interval join of the
+functions of a band gives cells of subsequences that share all its min-hashes.
+Documents meet by the cell's min-hashes:
 
 * cells with the same tokens are repeated passages at once;
 * other cells of one key are verified: some stretch of 50 words or more in
@@ -17,7 +17,7 @@ Documents meet by the cell's two min-hashes:
 
 A repeated passage always meets (its own subsequence has the same min-hashes
 everywhere); one of similarity 0.8 meets with probability
-``1 - (1 - 0.8 ** 2) ** BANDS`` for each independent stretch.  Classes are the
+``1 - (1 - 0.8 ** HASHES) ** BANDS`` for each independent stretch.  Classes are the
 connected components of documents; equal cells are chained to the smallest id
 and hot keys are compared in blocks, so no group is expanded into pairs.
 
@@ -41,8 +41,9 @@ from ledgerline.session import reliable_checkpoint, shuffle_partitions
 
 WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 SPAN = WORDS - SHINGLE + 1
-BANDS = 3
+BANDS, HASHES = 2, 3
 BLOCK = 512
+LEAST = int(np.ceil(SPAN * 2 * SIMILARITY / (1 + SIMILARITY) - 1e-9))  # common tokens of similar stretches
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -141,7 +142,7 @@ class PassageChunk(Chunk):
         raw = zstandard.ZstdDecompressor().decompress(data) if data else b""
         words, word_doc = word_hashes(raw, self.offsets) if raw else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         n = len(words) - SHINGLE + 1
-        cells = [[] for _ in range(7)]  # route, doc, first start, last start, l, r, first word of the document
+        cells = [[] for _ in range(6)]  # route, doc, first start, last start, l, r
         self.tokens = np.zeros(0, np.uint64)
         if n >= SPAN:
             tokens = words[:n].copy()
@@ -151,32 +152,35 @@ class PassageChunk(Chunk):
             doc = word_doc[:n]
             # a subsequence of SPAN tokens ends with the word WORDS - 1 behind its start
             last_doc = word_doc[WORDS - 1:]
-            doc_begin = np.searchsorted(word_doc, doc, "left")
             # tokens that cross into the next document are in no valid subsequence
             for band in range(BANDS):
-                pair = [compact_windows(_mix((tokens ^ np.uint64((2 * band + k + 1) * 0x5851F42D4C957F2D % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)),
-                                        doc, last_doc) for k in range(2)]
-                if not len(pair[0][0]):
+                parts = []
+                for k in range(HASHES):
+                    salt = np.uint64((HASHES * band + k + 1) * 0x5851F42D4C957F2D % (1 << 64))
+                    parts.append(compact_windows(_mix((tokens ^ salt) * np.uint64(0xD6E8FEB86659FD93)), doc, last_doc))
+                if not len(parts[0][0]):
                     continue
-                # interval join of two partitions of the same starts
-                first = np.union1d(pair[0][0], pair[1][0])
-                at = [np.searchsorted(p[0], first, "right") - 1 for p in pair]
-                last = np.minimum(pair[0][1][at[0]], pair[1][1][at[1]])
-                key = _mix((pair[0][5][at[0]] * np.uint64(_P) ^ pair[1][5][at[1]]) * np.uint64(0x9FB21C651E98DF25) + np.uint64(band))
-                for out, x in zip(cells, (key, doc[first], first, last, np.maximum(pair[0][2][at[0]], pair[1][2][at[1]]),
-                                          np.minimum(pair[0][4][at[0]], pair[1][4][at[1]]), doc_begin[first])):
+                # interval join of the functions' partitions of the same starts
+                first = np.unique(np.concatenate([p[0] for p in parts]))
+                at = [np.searchsorted(p[0], first, "right") - 1 for p in parts]
+                picked = [[x[a] for x in p] for p, a in zip(parts, at)]
+                key = np.full(len(first), band + 1, np.uint64)
+                for p in picked:
+                    key = _mix((key ^ p[5]) * np.uint64(_P))
+                for out, x in zip(cells, (key, doc[first], first, np.minimum.reduce([p[1] for p in picked]),
+                                          np.maximum.reduce([p[2] for p in picked]), np.minimum.reduce([p[4] for p in picked]))):
                     out.append(x)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.route = join(cells[0], np.uint64)
-        self.doc, self.first, self.last, self.l, self.r, self.origin = (join(x, np.int64) for x in cells[1:])
+        self.doc, self.first, self.last, self.l, self.r = (join(x, np.int64) for x in cells[1:])
 
     def content(self) -> np.ndarray:
         """Hash of the tokens under each cell's subsequences."""
         return range_hash(self.tokens, self.first, self.last + SPAN) if len(self.route) else np.zeros(0, np.uint64)
 
     def region(self, k: int) -> np.ndarray:
-        """Tokens of the widest subsequence of a cell, at most ``SPAN`` beyond either side."""
-        return self.tokens[max(self.l[k], self.first[k] - SPAN):min(self.r[k], self.last[k] + 2 * SPAN) + 1]
+        """Tokens (32 bits of them) of the widest subsequence of a cell, at most ``SPAN`` beyond either side."""
+        return self.tokens[max(self.l[k], self.first[k] - SPAN):min(self.r[k], self.last[k] + 2 * SPAN) + 1].astype(np.uint32)
 
 
 def _emit_cells(buckets: int):
@@ -307,10 +311,13 @@ def _verify_blocks(batches):
                 return i
 
             found = []
-            rows = [[(r["root"], np.frombuffer(r["tokens"], np.uint64)) for r in side] for side in (left, right)]
-            for x, tx in rows[0]:
-                for y, ty in rows[1]:
-                    if x != y and find(x) != find(y) and similar(tx, ty):
+            rows = []
+            for side in (left, right):
+                tokens = [np.frombuffer(r["tokens"], np.uint32) for r in side]
+                rows.append([(r["root"], t, set(t.tolist())) for r, t in zip(side, tokens)])
+            for x, tx, sx in rows[0]:
+                for y, ty, sy in rows[1]:
+                    if x != y and find(x) != find(y) and (len(sx & sy) >= LEAST or len(sx) < len(tx)) and similar(tx, ty):
                         root[find(x)] = find(y)
                         found.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()),
