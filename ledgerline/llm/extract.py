@@ -403,8 +403,12 @@ def block_texts(pages: list[str]) -> dict[str, list[str]]:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict:
     """Weights fitted on a hash sample of at most ``SAMPLE_PAGES`` pages."""
-    sample = (pages.where(F.length(html_col) <= SAMPLE_CHARS).orderBy(F.xxhash64(id_col), html_col)
-                   .limit(SAMPLE_PAGES).select(html_col).collect())
+    fitting = pages.where(F.length(html_col) <= SAMPLE_CHARS)
+    n = fitting.count()
+    place = F.pmod(F.xxhash64(id_col, html_col), F.lit(1 << 30))
+    if n > 2 * SAMPLE_PAGES:  # a hash share of about twice the sample, so that few rows are moved
+        fitting = fitting.where(place < int((1 << 30) * 2 * SAMPLE_PAGES / n))
+    sample = fitting.orderBy(place, id_col).limit(SAMPLE_PAGES).select(html_col).collect()
     return Labeller().fit(*layouts(block_texts([r[0] for r in sample]), TRAIN_PAGES)).w
 
 
