@@ -10,8 +10,13 @@ import __spark_entry__ as ent
 from ledgerline.sources.tables import TABLE_NAMES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["rfm_segments", "basket_itemsets", "price_strategy", "eoq_reorder", "delay_prediction",
-          "sentiment_lexicon", "roc_auc", "quantile_agg", "gap_rows", "scan_csv"]
+SAMPLE = ["rfm_segments", "basket_itemsets", "basket_rules", "basket_summary", "price_strategy", "eoq_reorder",
+          "budget_greedy", "delay_prediction", "route_distance", "supply_dashboard", "sort_by_metric", "sort_multi",
+          "last_n_per_key", "sentiment_lexicon", "emotion_scores", "mixed_sentiment", "aspect_sentiment", "extract_skills",
+          "categorize_skills", "extract_education", "extract_experience_years", "required_vs_found", "skills_from_job",
+          "cv_topn", "profile_columns", "eda_describe", "distinct_count", "detect_target_binary", "detect_basket_columns",
+          "regression_metrics", "roc_auc", "quantile_agg", "gap_rows", "scan_csv", "scan_csv_sniff", "scan_csv_skip_bad",
+          "sink_jsonl_append", "null_to_blank", "split_columns", "anomaly_report", "stream_rate_window"]
 
 
 def _norm(v):
