@@ -48,6 +48,7 @@ CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20  # of text, for the number of buckets
 SLICE_BYTES = 1 << 19  # of distinct runs, for one index
 ROWS = 8192  # taken out of arrays at a time
+PIECE = 1 << 18  # rows of the transform looked at together
 HOT_CHUNKS = 1024
 NULL_ID = (1 << 63) - 1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -173,57 +174,62 @@ class Chunk:
         return routes, least, list(found), (which, start, count, ids)
 
 
-def lcp_groups(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of all offsets and the ends of the groups of rows that
-    agree on ``WIDTH`` bytes (bytes behind the text read as 0)."""
+def suffix_order(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at offsets 0 to len(text), at least ``WIDTH``
+    bytes deep (bytes behind the text read as 0), and the common prefix of
+    each row and the one before where it is under eight bytes (else 255)."""
     n = len(text)
-    word = words_at(text + b"\0" * 9, ">")  # offsets 0 to n
-    order = np.argsort(word, kind="stable").astype(np.int64)
-    sorted_words = word[order]
-    differ = sorted_words[1:] ^ sorted_words[:-1]
+    word = words_at(text + b"\0" * 9, ">")
+    order = np.argsort(word, kind="stable").astype(np.int32)
+    word = word[order]
+    differ = word[1:] ^ word[:-1]
+    del word
     lcp = np.full(n + 2, 255, np.uint8)
     lcp[0] = lcp[n + 1] = 0
-    short = differ != 0
-    low = np.zeros(n, np.uint8)
+    inner = lcp[1:n + 1]
+    inner[differ != 0] = 0
     for k in range(1, 8):
-        low += (differ >> np.uint64(8 * (8 - k))) == 0
-    lcp[1:n + 1][short] = low[short]
-    rank = np.empty(n + 1, np.uint64)
-    rank[order] = np.concatenate([[0], np.cumsum(short)]).astype(np.uint64) + np.uint64(1)
+        inner[(differ >> np.uint64(8 * (8 - k)) == 0) & (inner != 255)] = k
+    del differ
+    # the rank of a group of equal suffixes is the row of its first one, so ranks keep the order of all rows
+    head = np.concatenate([[True], inner != 255])
+    rows = np.arange(n + 1, dtype=np.int32)
+    base = np.maximum.accumulate(np.where(head, rows, np.int32(0)))
+    rank = np.empty(n + 1, np.int32)
+    rank[order] = base
     depth = 8
-    while depth <= WIDTH:  # prefix doubling, of tied rows only
-        ranked = rank[order]
-        tie = np.zeros(n + 1, bool)
-        same = ranked[1:] == ranked[:-1]
-        tie[1:] |= same
-        tie[:-1] |= same
+    while depth < WIDTH:  # prefix doubling, of tied rows only
+        tie = ~head
+        tie[:-1] |= ~head[1:]
         rows = np.flatnonzero(tie)
         if not len(rows):
             break
         own = order[rows]
-        after = np.where(own + depth <= n, rank[np.minimum(own + depth, n)], np.uint64(0))
-        key = (ranked[rows] << np.uint64(32)) | after
+        after = np.where(own + depth <= n, rank[np.minimum(own + depth, n)] + 1, 0)
+        key = (base[rows].astype(np.int64) << 32) | after
         by = np.argsort(key, kind="stable")
         order[rows] = own[by]
         key = key[by]
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        # the rank of a group is the row of its first suffix, which keeps the order among all rows
-        first = np.maximum.accumulate(np.where(fresh, rows, 0))
-        new = rank.copy()
-        new_rank_of_all = np.arange(n + 1)
-        head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        base = np.maximum.accumulate(np.where(head, new_rank_of_all, 0))
-        base[rows] = first
-        new[order] = base.astype(np.uint64) + np.uint64(1)
-        rank = new
+        head[rows] = fresh
+        base[rows] = np.maximum.accumulate(np.where(fresh, rows, 0))
+        rank[order[rows]] = base[rows]
         depth *= 2
-    place = np.empty(n + 1, np.int64)
-    place[order] = np.arange(n + 1)
-    # row 0-offset suffix has no byte before it
-    before = np.frombuffer(b"\0" + text, np.uint8)[order]
+    return order, lcp
+
+
+def lcp_groups(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of all offsets and the ends of the groups of rows that
+    agree on ``WIDTH`` bytes."""
+    n = len(text)
+    order, lcp = suffix_order(text)
+    place = np.empty(n + 1, np.int32)
+    place[order] = np.arange(n + 1, dtype=np.int32)
+    before = np.frombuffer(b"\0" + text, np.uint8)[order]  # the transform
     back = place[np.maximum(order - 1, 0)]
-    has = order > 0
-    ends = np.flatnonzero(lcp[:n + 2] != 255)  # intervals of the 8-byte strings lie between these
+    start = int(place[0])  # the whole text has no byte before it
+    del place
+    ends = np.flatnonzero(lcp != 255)  # the intervals of all 8-byte strings lie between these
     begin, end = ends[:-1], ends[1:]
     take = lcp[end] == 7
     take[-1] = False
@@ -232,20 +238,32 @@ def lcp_groups(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         if not len(begin):
             break
         size = end - begin
-        rows = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        which = np.repeat(np.arange(len(begin)), size)
-        keep = has[rows]
-        rows, which = rows[keep], which[keep]
-        key = (which << 8) | before[rows]
-        by = np.argsort(key, kind="stable")
-        key, image = key[by], back[rows[by]]
-        if not len(key):
-            break
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        low, high = np.minimum.reduceat(image, heads), np.maximum.reduceat(image, heads) + 1
-        unset = lcp[high] == 255
-        begin, end = low[unset], high[unset]
-        lcp[end] = level
+        total = np.cumsum(size)
+        found = []
+        # pieces of the frontier, so that the expanded rows stay few
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(PIECE, int(total[-1]) + PIECE, PIECE), "left") + 1]))
+        cuts = np.minimum(cuts, len(begin))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            s = size[lo:hi]
+            rows = np.repeat(begin[lo:hi] - (np.cumsum(s) - s), s) + np.arange(s.sum())
+            key = (np.repeat(np.arange(hi - lo), s) << 8) | before[rows]
+            if begin[lo:hi].min() <= start < end[lo:hi].max():
+                keep = rows != start
+                rows, key = rows[keep], key[keep]
+            if not len(rows):
+                continue
+            by = np.argsort(key, kind="stable")
+            key, image = key[by], back[rows[by]]
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            low, high = np.minimum.reduceat(image, heads), np.maximum.reduceat(image, heads) + 1
+            unset = lcp[high] == 255
+            low, high = low[unset], high[unset]
+            lcp[high] = level
+            found.append((low, high))
+        begin = np.concatenate([f[0] for f in found]) if found else begin[:0]
+        end = np.concatenate([f[1] for f in found]) if found else end[:0]
     return order, np.flatnonzero(lcp != 255)
 
 
@@ -254,16 +272,15 @@ def solve(contents: list[bytes], least: np.ndarray) -> list[np.ndarray]:
     sizes = np.array([len(c) for c in contents], np.int64)
     text = b"".join(contents)
     order, ends = lcp_groups(text)
-    run = np.repeat(np.arange(len(contents)), sizes)
-    stops = np.repeat(np.cumsum(sizes), sizes)
-    whole = np.arange(len(text)) + WIDTH <= stops
+    run = np.repeat(np.arange(len(contents), dtype=np.int32), sizes)
+    whole = np.arange(len(text), dtype=np.int32) + WIDTH <= np.cumsum(sizes)[run]
     owner = np.full(len(text) + 1, NULL_ID)
     owner[:-1][whole] = least[run[whole]]
-    by_row = owner[order]
-    starts = ends[:-1]
-    group_least = np.minimum.reduceat(by_row, starts)
+    del run
+    owner = owner[order]
+    group_least = np.minimum.reduceat(owner, ends[:-1])
     lower = np.empty(len(text) + 1, bool)
-    lower[order] = np.repeat(group_least, np.diff(ends)) < by_row
+    lower[order] = np.repeat(group_least, np.diff(ends)) < owner
     lower = lower[:-1] & whole
     edges = np.cumsum(sizes)
     return [lower[e - s:e - WIDTH + 1] for e, s in zip(edges.tolist(), sizes.tolist())]
