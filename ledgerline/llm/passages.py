@@ -42,7 +42,7 @@ from ledgerline.session import reliable_checkpoint, shuffle_partitions
 WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 SPAN = WORDS - SHINGLE + 1
 BANDS, HASHES = 2, 3
-BLOCK = 512
+BLOCK = 128
 LEAST = int(np.ceil(SPAN * 2 * SIMILARITY / (1 + SIMILARITY) - 1e-9))  # common tokens of similar stretches
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
@@ -301,7 +301,8 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 def _verify_blocks(batches):
     """Links between classes inside pairs of blocks; classes joined here are not compared again."""
     for batch in batches:
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for k in range(batch.num_rows):  # one pair of blocks in memory at a time
+            left, right = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
             root: dict = {}
 
             def find(i):

@@ -97,7 +97,7 @@ def test_near_passages_found_and_clean_left(spark, monkeypatch):
         groups.append(own)
     clean = range(len(rows), len(rows) + 60)
     rows += [(i, " ".join(text(200))) for i in clean]
-    for block in (512, 2):
+    for block in (128, 2):
         monkeypatch.setattr(ps, "BLOCK", block)
         got = {r.id: r.class_id for r in ps.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert all(got[i] == i for i in clean)
