@@ -193,6 +193,21 @@ def cv_profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.size(T.education(t)).alias("education_mentions"))
 
 
+def match_requirements(pairs: DataFrame, skills: str = "skills", experience: str = "experience_years",
+                       education: str = "education", required: str = "required_skills",
+                       min_experience: str = "min_experience", level: str = "education_level") -> DataFrame:
+    """Adds, per (job, candidate) row: ``matched`` and ``missing`` required
+    skills, ``experience_match`` (true without a minimum; an unknown experience
+    fails one), ``education_match`` (true without a level; else some education
+    mention contains it, whatever the case) and ``passes`` (both)."""
+    need = F.col(level)
+    has = F.exists(F.col(education), lambda e: F.lower(e).contains(F.lower(need)))
+    exp = F.col(min_experience).isNull() | F.coalesce(F.col(experience) >= F.col(min_experience), F.lit(False))
+    edu = need.isNull() | F.coalesce(has, F.lit(False))
+    return pairs.withColumns({"matched": F.array_intersect(skills, required), "missing": F.array_except(required, skills),
+                              "experience_match": exp, "education_match": edu, "passes": exp & edu})
+
+
 # ------------------------------------------------------------------ TF-IDF
 
 def doc_terms(docs: DataFrame, id_cols, text_col: str, bigrams: bool = True) -> DataFrame:

@@ -71,16 +71,35 @@ def q_table_from_words(spark, d):
 
 
 @register("cv_match", sql=q_text._TFIDF_CTE + f""",
-top AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rk
-                                           FROM sim WHERE score >= 0.05) WHERE rk <= 5),
-prof AS (SELECT doc_id, {q_text._skills_sql()} AS skills, {q_text._exp_sql()} AS experience_years FROM {q_text.PROFILES})
-SELECT top.item_id, top.doc_id, round(score, 6) AS score, skills, experience_years FROM top JOIN prof ON prof.doc_id = top.doc_id""")
+req AS (SELECT item_id, string_split({q_text._skills_sql()}, ',') AS required, CASE WHEN item_id % 2 = 0 THEN 3.0 END AS min_exp,
+               CASE WHEN item_id % 3 = 0 THEN 'Bachelor' END AS level FROM {q_text._phrased_sql('item_id', 'benchmark')}),
+prof AS (SELECT doc_id, string_split({q_text._skills_sql()}, ',') AS skills, {q_text._exp_sql()} AS experience_years,
+                regexp_extract_all(text, '{T.EDUCATION_PATTERNS[0]}', 0) || regexp_extract_all(text, '{T.EDUCATION_PATTERNS[1]}', 0) AS edu
+         FROM {q_text.PROFILES}),
+m AS (SELECT sim.item_id, sim.doc_id, score, list_filter(required, lambda x: x <> '') AS required, list_filter(skills, lambda x: x <> '') AS skills,
+             min_exp IS NULL OR coalesce(experience_years >= min_exp, false) AS experience_match,
+             level IS NULL OR len(list_filter(edu, lambda e: contains(lower(e), lower(level)))) > 0 AS education_match
+      FROM sim JOIN req ON req.item_id = sim.item_id JOIN prof ON prof.doc_id = sim.doc_id WHERE score >= 0.05)
+SELECT item_id, doc_id, round(score, 6) AS score, experience_match, education_match,
+       array_to_string(list_filter(skills, lambda x: list_contains(required, x)), ',') AS matched,
+       array_to_string(list_filter(required, lambda x: NOT list_contains(skills, x)), ',') AS missing
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rk
+      FROM m WHERE experience_match AND education_match) WHERE rk <= 5""")
 def q_cv_match(spark, d):
-    s = q_text.similarity(spark, d).withColumn("score", F.round("score", 9))
-    top = TX.top_matches(s, "item_id", "doc_id", 5, 0.05)
-    prof = TX.cv_profile(q_text.profiles(spark, d), "doc_id", "text").select(
-        "doc_id", F.array_join("skills", ",").alias("skills"), "experience_years")
-    return top.join(prof, "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "skills", "experience_years")
+    """The five best candidates of every job among those that pass its minimum
+    experience and education level, with matched and missing skills."""
+    s = q_text.similarity(spark, d).withColumn("score", F.round("score", 9)).filter(F.col("score") >= 0.05)
+    text = q_text.phrased("item_id")
+    req = table(spark, d, "benchmark").select(
+        "item_id", T.extract_skills(text).alias("required_skills"), F.when(F.col("item_id") % 2 == 0, 3.0).alias("min_experience"),
+        F.when(F.col("item_id") % 3 == 0, "Bachelor").alias("education_level"))
+    t = F.col("text")
+    prof = q_text.profiles(spark, d).select("doc_id", T.extract_skills(t).alias("skills"),
+                                            T.experience_years(t).alias("experience_years"), T.education(t).alias("education"))
+    m = TX.match_requirements(s.join(req, "item_id").join(prof, "doc_id")).filter("passes")
+    top = TX.top_matches(m, "item_id", "doc_id", 5, 0.05)
+    return top.select("item_id", "doc_id", F.round("score", 6).alias("score"), "experience_match", "education_match",
+                      F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
 
 
 # ------------------------------------------------------------------ profiling rules
