@@ -407,28 +407,41 @@ def q_route_to_model(spark, d):
 
 # ------------------------------------------------------------------ feature selection (ANOVA F)
 
-_KB_FEATS = ["n_chars"]
-
-
-@register("select_kbest", sql="""
-WITH x AS (SELECT quality AS y, CAST(n_chars AS DOUBLE) AS v FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
-g AS (SELECT y, count(*) AS n, avg(v) AS m, sum((v - (SELECT avg(v) FROM x)) * 0) AS z FROM x GROUP BY y),
-t AS (SELECT avg(v) AS gm, count(*) AS n FROM x),
-b AS (SELECT sum(g.n * (g.m - t.gm) * (g.m - t.gm)) AS ssb, count(*) AS k FROM g, t),
-w AS (SELECT sum((x.v - g.m) * (x.v - g.m)) AS ssw FROM x JOIN g ON x.y = g.y)
-SELECT 'n_chars' AS feature, round((ssb / (k - 1)) / (ssw / (t.n - k)), 6) AS f_stat FROM b, w, t""")
+# ten counts over the text: name -> (Spark pattern of the counted characters, the same in SQL)
+_KB_CHARS = {"letters": r"\p{L}", "digits": "[0-9]", "upper": r"\p{Lu}", "blanks": "[ ]", "lines": "[\\n]", "commas": "[,]",
+             "stops": "[.]", "marks": "[!?]", "symbols": "[#*$%&|<>]"}
+_KB = 5
+
+
+@register("select_kbest", sql=f"""
+WITH f AS (SELECT quality AS y, UNNEST([{{'feature': 'n_chars', 'v': CAST(n_chars AS DOUBLE)}}, {', '.join(
+    f"{{'feature': '{k}', 'v': CAST(length(text) - length(regexp_replace(text, '{p}', '', 'g')) AS DOUBLE)}}" for k, p in _KB_CHARS.items())}]) AS r
+           FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+x AS (SELECT y, r.feature AS feature, r.v AS v FROM f),
+g AS (SELECT feature, y, count(*) AS n, avg(v) AS m FROM x GROUP BY feature, y),
+t AS (SELECT feature, avg(v) AS gm, count(*) AS n FROM x GROUP BY feature),
+b AS (SELECT g.feature, sum(g.n * (g.m - t.gm) * (g.m - t.gm)) AS ssb, count(*) AS k FROM g JOIN t USING (feature) GROUP BY g.feature),
+w AS (SELECT x.feature, sum((x.v - g.m) * (x.v - g.m)) AS ssw FROM x JOIN g USING (feature, y) GROUP BY x.feature)
+SELECT feature, round((ssb / (k - 1)) / (ssw / (t.n - k)), 6) AS f_stat FROM b JOIN w USING (feature) JOIN t USING (feature)
+WHERE ssw > 0 ORDER BY (ssb / (k - 1)) / (ssw / (t.n - k)) DESC, feature LIMIT {_KB}""")
 def q_select_kbest(spark, d):
-    x = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id") \
-        .select(F.col("quality").alias("y"), F.col("n_chars").cast("double").alias("v"))
-    return stats_anova(x).select(F.lit("n_chars").alias("feature"), F.round("f_stat", 6).alias("f_stat"))
-
-
-def stats_anova(x):
-    """One-way ANOVA F of v across classes y from group sums."""
-    g = x.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"))
-    t = x.agg(F.avg("v").alias("gm"), F.count(F.lit(1)).alias("total"))
-    b = g.crossJoin(t).agg(F.sum(F.col("n") * (F.col("m") - F.col("gm")) ** 2).alias("ssb"), F.count(F.lit(1)).alias("k"),
-                           F.first("total").alias("total"))
-    w = x.join(g, "y").agg(F.sum((F.col("v") - F.col("m")) ** 2).alias("ssw"))
-    return b.crossJoin(w).select(((F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("total") - F.col("k")))).alias("f_stat"))
+    x = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    counts = [F.struct(F.lit("n_chars").alias("feature"), F.col("n_chars").cast("double").alias("v"))]
+    counts += [F.struct(F.lit(k).alias("feature"),
+                        (F.length("text") - F.length(F.regexp_replace("text", p, ""))).cast("double").alias("v"))
+               for k, p in _KB_CHARS.items()]
+    long = x.select(F.col("quality").alias("y"), F.explode(F.array(*counts)).alias("r")).select("y", "r.feature", "r.v")
+    return anova_f(long).orderBy(F.desc("f_stat"), "feature").limit(_KB).withColumn("f_stat", F.round("f_stat", 6))
+
+
+def anova_f(long):
+    """One-way ANOVA F of ``v`` across the classes ``y`` of every ``feature``
+    (rows feature, y, v): one aggregation of counts, means and variances."""
+    g = long.groupBy("feature", "y").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s2"))
+    t = g.groupBy("feature").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("s2")).alias("ssw"),
+        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"), F.collect_list(F.struct("n", "m")).alias("parts"))
+    ssb = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["n"] * (x["m"] - F.col("gm")) * (x["m"] - F.col("gm")))
+    f = (ssb / (F.col("k") - 1)) / (F.col("ssw") / (F.col("total") - F.col("k")))
+    return t.filter(F.col("ssw") > 0).select("feature", f.alias("f_stat"))
 
