@@ -138,7 +138,20 @@ def op2_block_labeller(spark, sf_dir):
                         F.length("_main.text").cast("long").alias("n_chars"))
 
 
-@register("op3_bwt_substrings")
+@register("op3_bwt_substrings", r"""
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT r, doc_id, length(x) // 2 AS n, unnest(range(0, length(x) // 2)) AS p, x FROM h),
+w AS (SELECT r, doc_id, p, CASE WHEN p + 50 <= n THEN substr(x, 2 * p + 1, 100) END AS s, substr(x, 2 * p + 1, 2) AS b FROM p),
+o AS (SELECT s, min(doc_id) AS first FROM w WHERE s IS NOT NULL GROUP BY s),
+f AS (SELECT w.r, w.p, w.b, coalesce(o.first < w.doc_id, false) AS hit FROM w LEFT JOIN o ON o.s = w.s),
+g AS (SELECT r, p, b, coalesce(max(CASE WHEN hit THEN p END) OVER (PARTITION BY r ORDER BY p) > p - 50, false) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM g),
+a AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+             coalesce(string_agg(b, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN a USING (r)
+""")
 def op3_bwt_substrings(spark, sf_dir):
     """Bytes of every document that earlier documents already hold."""
     out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
