@@ -132,7 +132,8 @@ class Chunk:
         self.count = stop - self.start
         # documents without bytes share an offset with the next; the search finds the last, which has bytes
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
-        self.route = m[self.start]
+        # minima crowd at the low end of their range: mixed anew they fill the buckets evenly
+        self.route = _mix(m[self.start] * _C[0])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct minimizers, whether several ids have each, and the number of each run."""
