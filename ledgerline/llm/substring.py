@@ -44,8 +44,8 @@ from ledgerline.llm.common import as_bytes
 from ledgerline.session import reliable_checkpoint, shuffle_partitions
 
 WIDTH, GRAM = 50, 16
-CHUNK_BYTES = 1 << 20
-BUCKET_BYTES = 8 << 20  # of text, for the number of buckets
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 32 << 20  # of text, for the number of buckets
 SLICE_BYTES = 1 << 19  # of distinct runs, for one index
 ROWS = 8192  # taken out of arrays at a time
 PIECE = 1 << 18  # rows of the transform looked at together
@@ -297,7 +297,7 @@ def _pack(batches):
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return pa.RecordBatch.from_arrays([
             pa.array([base + k]), pa.array([size]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([offsets.tobytes()]),
-            pa.array([zstandard.ZstdCompressor(3).compress(b"".join(parts)) if size else b""])],
+            pa.array([zstandard.ZstdCompressor(6).compress(b"".join(parts)) if size else b""])],
             names=["chunk", "size", "ids", "offsets", "data"])
 
     for batch in batches:
@@ -359,7 +359,7 @@ def _emit_runs(buckets: int):
             routes, least, contents, _ = chunk.runs(row["flags"] or [], buckets)
             edges = np.searchsorted(bucket_of(routes, buckets), np.arange(buckets + 1))
             used = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-            packer, data = zstandard.ZstdCompressor(3), []
+            packer, data = zstandard.ZstdCompressor(6), []
             for b in used:
                 own = contents[edges[b]:edges[b + 1]]
                 sizes = np.array([len(c) for c in own], np.uint32)
