@@ -28,7 +28,8 @@ result; other columns are not kept.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ BANDS, HASHES = 2, 3
 BLOCK = 128
 LEAST = int(np.ceil(SPAN * 2 * SIMILARITY / (1 + SIMILARITY) - 1e-9))  # common tokens of similar stretches
 _P = 0x9E3779B97F4A7C15 | 1
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -84,15 +86,9 @@ def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return range_hash(raw.astype(np.uint64), begin, end), np.searchsorted(offsets, begin, "right") - 1
 
 
-def compact_windows(values: np.ndarray, doc: np.ndarray, last_doc: np.ndarray):
-    """Compact windows of ``SPAN`` tokens or more of all documents laid end to end.
-
-    ``values``: token hashes; ``doc``: document of each token; ``last_doc``:
-    document of the token ``SPAN - 1`` further on.  Returns (first start, last
-    start, l, c, r, least value): starts are those of the ``SPAN``-token
-    subsequences whose least token is c.  The Cartesian tree's spans l and r
-    follow from the nearest smaller window value on each side.
-    """
+def window_starts(values: np.ndarray, doc: np.ndarray, last_doc: np.ndarray):
+    """First and last start and least value of every compact window of ``SPAN``
+    tokens or more; arguments as in :func:`compact_windows`."""
     n = len(values) - SPAN + 1
     least = values
     width = 1
@@ -105,11 +101,24 @@ def compact_windows(values: np.ndarray, doc: np.ndarray, last_doc: np.ndarray):
     change = np.ones(n, bool)
     change[1:] = (least[1:] != least[:-1]) | (doc[1:n] != doc[:n - 1]) | ~good[:-1]
     first = np.flatnonzero(change & good)
+    marks = np.append(np.flatnonzero(change | ~good), n)
+    last = marks[np.searchsorted(marks, first, "right")] - 1 if len(first) else first
+    return first, last, least[first]
+
+
+def compact_windows(values: np.ndarray, doc: np.ndarray, last_doc: np.ndarray):
+    """Compact windows of ``SPAN`` tokens or more of all documents laid end to end.
+
+    ``values``: token hashes; ``doc``: document of each token; ``last_doc``:
+    document of the token ``SPAN - 1`` further on.  Returns (first start, last
+    start, l, c, r, least value): starts are those of the ``SPAN``-token
+    subsequences whose least token is c.  The Cartesian tree's spans l and r
+    follow from the nearest smaller window value on each side.
+    """
+    first, last, value = window_starts(values, doc, last_doc)
     if not len(first):
         return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, np.uint64),)
-    marks = np.append(np.flatnonzero(change | ~good), n)
-    last = marks[np.searchsorted(marks, first, "right")] - 1
-    value, own = least[first], doc[first]
+    own = doc[first]
     center = first + np.argmax(values[first[:, None] + np.arange(SPAN)] == value[:, None], axis=1)
     doc_first, doc_last = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right") - 1
 
@@ -132,9 +141,10 @@ def compact_windows(values: np.ndarray, doc: np.ndarray, last_doc: np.ndarray):
 
 
 class PassageChunk(Chunk):
-    """Cells of all bands of a packed chunk; ``route`` is the cell's key."""
+    """Cells of all bands of a packed chunk; ``route`` is the cell's key.  The
+    spans ``l`` and ``r`` are worked out where they are asked for."""
 
-    def __init__(self, ids: bytes, offsets: bytes, data: bytes):
+    def __init__(self, ids: bytes, offsets: bytes, data: bytes, spans: bool = False):
         import zstandard
 
         self.ids = np.frombuffer(ids, np.int64)
@@ -157,7 +167,8 @@ class PassageChunk(Chunk):
                 parts = []
                 for k in range(HASHES):
                     salt = np.uint64((HASHES * band + k + 1) * 0x5851F42D4C957F2D % (1 << 64))
-                    parts.append(compact_windows(_mix((tokens ^ salt) * np.uint64(0xD6E8FEB86659FD93)), doc, last_doc))
+                    values = _mix((tokens ^ salt) * np.uint64(0xD6E8FEB86659FD93))
+                    parts.append(compact_windows(values, doc, last_doc) if spans else window_starts(values, doc, last_doc))
                 if not len(parts[0][0]):
                     continue
                 # interval join of the functions' partitions of the same starts
@@ -166,9 +177,11 @@ class PassageChunk(Chunk):
                 picked = [[x[a] for x in p] for p, a in zip(parts, at)]
                 key = np.full(len(first), band + 1, np.uint64)
                 for p in picked:
-                    key = _mix((key ^ p[5]) * np.uint64(_P))
-                for out, x in zip(cells, (key, doc[first], first, np.minimum.reduce([p[1] for p in picked]),
-                                          np.maximum.reduce([p[2] for p in picked]), np.minimum.reduce([p[4] for p in picked]))):
+                    key = _mix((key ^ p[-1]) * np.uint64(_P))
+                rows = [key, doc[first], first, np.minimum.reduce([p[1] for p in picked])]
+                if spans:
+                    rows += [np.maximum.reduce([p[2] for p in picked]), np.minimum.reduce([p[4] for p in picked])]
+                for out, x in zip(cells, rows):
                     out.append(x)
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.route = join(cells[0], np.uint64)
@@ -255,7 +268,7 @@ def _link_bucket(t: pa.Table) -> pa.Table:
 def _emit_regions(buckets: int):
     """Tokens of the asked-for cells of each chunk."""
     def run(batches):
-        for row, chunk in _rows(batches, PassageChunk):
+        for row, chunk in _rows(batches, partial(PassageChunk, spans=True)):
             key = (bucket_of(chunk.route, buckets) << 32) | chunk.route.astype(np.uint32).astype(np.int64)
             content = chunk.content().view(np.int64)
             spot: dict = {}
@@ -299,7 +312,8 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _verify_blocks(batches):
-    """Links between classes inside pairs of blocks; classes joined here are not compared again."""
+    """Links between classes inside pairs of blocks (a block with itself: no
+    second one); classes joined here are not compared again."""
     for batch in batches:
         for k in range(batch.num_rows):  # one pair of blocks in memory at a time
             left, right = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
@@ -313,14 +327,13 @@ def _verify_blocks(batches):
 
             found = []
             rows = []
-            for side in (left, right):
+            for side in (left, right) if right is not None else (left,):
                 tokens = [np.frombuffer(r["tokens"], np.uint32) for r in side]
                 rows.append([(r["root"], t, set(t.tolist())) for r, t in zip(side, tokens)])
-            for x, tx, sx in rows[0]:
-                for y, ty, sy in rows[1]:
-                    if x != y and find(x) != find(y) and (len(sx & sy) >= LEAST or len(sx) < len(tx)) and similar(tx, ty):
-                        root[find(x)] = find(y)
-                        found.append((x, y))
+            for (x, tx, sx), (y, ty, sy) in product(*rows) if right is not None else combinations(rows[0], 2):
+                if x != y and find(x) != find(y) and (len(sx & sy) >= LEAST or len(sx) < len(tx)) and similar(tx, ty):
+                    root[find(x)] = find(y)
+                    found.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()),
                                               pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
@@ -353,7 +366,12 @@ def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = (blocks.select("key", F.col("block").alias("i"), F.col("rows").alias("x"))
                    .join(blocks.select("key", F.col("block").alias("j"), F.col("rows").alias("y")), "key").where("i <= j"))
     n = shuffle_partitions(docs.sparkSession)
+    pairs = pairs.withColumn("y", F.when(F.col("i") < F.col("j"), F.col("y")))
     late = pairs.repartition(n, "key", "i", "j").select("x", "y").mapInArrow(_verify_blocks, "a long, b long")
+    rows = docs.sparkSession.conf.get(ARROW_ROWS)
+    docs.sparkSession.conf.set(ARROW_ROWS, "16")  # pairs of blocks are wide rows
+    late = reliable_checkpoint(late)
+    docs.sparkSession.conf.set(ARROW_ROWS, rows)
     classes = reliable_checkpoint(components(
         first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late)))
     sizes = classes.groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
