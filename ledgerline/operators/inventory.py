@@ -10,6 +10,7 @@ from ledgerline.functions.scalars import normal_cdf
 from ledgerline.operators import stats
 from ledgerline.session import reliable_checkpoint
 
+# The columns of an inventory table, in order.
 INVENTORY_COLUMNS = ["id", "name", "category", "quantity", "unit_price", "supplier",
                      "min_stock_level", "last_restock_date", "created_at", "updated_at"]
 

@@ -326,11 +326,10 @@ results AS (SELECT conv_id AS batch_id, turn AS task_id, CASE WHEN role = 'assis
 SELECT t.batch_id, t.task_id, coalesce(r.status, 'unknown') AS status
 FROM tasks t LEFT JOIN results r ON r.batch_id = t.batch_id AND r.task_id = t.task_id""")
 def q_batch_status_join(spark, d):
-    """Batches = conversations (task list = turns collected per batch and
-    exploded), results = assistant turns; missing results → 'unknown'."""
+    """Tasks = turns of a conversation (the batch), results = assistant turns;
+    missing results → 'unknown'."""
     c = table(spark, d, "conversations")
-    batches = c.groupBy(F.col("conv_id").alias("batch_id")).agg(F.collect_list("turn").alias("tasks"))
-    tasks = batches.select("batch_id", F.explode("tasks").alias("task_id"))
+    tasks = c.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("task_id"))
     results = c.filter(F.col("role") == "assistant").select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("task_id"),
                                                             F.lit("completed").alias("status"))
     return tasks.join(results, ["batch_id", "task_id"], "left").select(
@@ -339,11 +338,10 @@ def q_batch_status_join(spark, d):
 
 @register("scan_textdir", sql="SELECT doc_id, length(text) AS n_chars FROM documents")
 def q_scan_textdir(spark, d):
-    """Documents written one folder per document (text files), read back as
-    whole files with their path; the id comes from the folder name."""
+    """A folder of text files that hold many documents each (id, unit
+    separator, text, record separator), read back as one row per document."""
     p = ensure_checkpoint_dir(spark).rstrip("/") + f"/io/textdir-{uuid.uuid4().hex}"
-    table(spark, d, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(p)
-    r = files.scan_textdir(spark, p + "/*")
-    doc = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long")
-    # the text sink ends each record with one newline
-    return r.select(doc.alias("doc_id"), (F.length("text") - 1).alias("n_chars"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    files.sink_text_records(docs.select(F.concat_ws(files.UNIT, F.col("doc_id").cast("string"), "text").alias("value")), p)
+    r = files.scan_text_records(spark, p).select(F.split("text", files.UNIT, 2).alias("v"))
+    return r.select(F.col("v")[0].cast("long").alias("doc_id"), F.length(F.col("v")[1]).alias("n_chars"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
-from ledgerline.operators import clean, layout, profile, stats
+from ledgerline.operators import inventory, clean, layout, profile, stats
 from ledgerline.plans.registry import register
 from ledgerline.sources.tables import table
 
@@ -331,7 +331,7 @@ SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM
 def q_lookup_rows(spark, d):
     ids = table(spark, d, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")) \
         .select(F.col("o_custkey").alias("c_custkey"))
-    found, _ = __import__("ledgerline.operators.inventory", fromlist=["lookup_rows"]).lookup_rows(
+    found, _ = inventory.lookup_rows(
         table(spark, d, "customer").select("c_custkey", "c_name"), ids, "c_custkey")
     return found
 

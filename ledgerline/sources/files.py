@@ -67,6 +67,20 @@ def scan_textdir(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+RECORD, UNIT = "\x1e", "\x1f"  # ASCII record and unit separators
+
+
+def scan_text_records(spark: SparkSession, folder: str, sep: str = RECORD) -> DataFrame:
+    """One row per record, (path, text), for files that hold many documents
+    parted by ``sep``; large files are split across tasks."""
+    return spark.read.option("lineSep", sep).text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def sink_text_records(df: DataFrame, path: str, sep: str = RECORD) -> None:
+    """Rows of one string column as records; the separator must not occur in them."""
+    df.write.option("lineSep", sep).text(path)
+
+
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header row; columns in sorted order so unions of records with
     different keys produce a stable header."""
