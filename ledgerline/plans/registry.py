@@ -17,7 +17,7 @@ HEADLINE: list[str] = []
 # analyses timed by bench.py (one per domain, the heaviest plan shapes)
 BENCH_SET = ["rfm_segments", "basket_itemsets", "basket_rules", "price_strategy", "eoq_reorder",
              "delay_prediction", "route_distance", "sentiment_analyze", "cv_similarity", "quantile_agg",
-             "roc_auc", "rate_window"]
+             "roc_auc", "rate_window", "gap_rows", "profile_columns", "anomaly_dbscan", "stream_rate_window"]
 
 
 def register(name: str, sql: str | None = None, headline: bool = False):
