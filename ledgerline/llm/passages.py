@@ -291,17 +291,19 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     share = 2 * SIMILARITY / (1 + SIMILARITY)
 
     def stretches(tokens, common):
-        hit = np.isin(tokens, common)
-        level = np.concatenate([[0.0], np.cumsum(hit - share)])
-        gain = level[None, :] - level[:, None]
-        long = np.arange(len(level))[None, :] - np.arange(len(level))[:, None] >= SPAN
-        ok = long & (gain >= -1e-9)
-        if not ok.any():
+        """The longest and the richest stretch, in linear memory: runs of cells over repetitive text are long."""
+        level = np.concatenate([[0.0], np.cumsum(np.isin(tokens, common) - share)])
+        least = np.minimum.accumulate(level)
+        begin = np.searchsorted(-least, -(level + 1e-9), "left")  # first place no higher than each end
+        end = int(np.argmax(np.arange(len(level)) - begin))
+        if end - begin[end] < SPAN:
             return []
-        size = np.where(ok, np.arange(len(level))[None, :] - np.arange(len(level))[:, None], -1)
-        best = {np.unravel_index(int(np.argmax(size)), size.shape),
-                np.unravel_index(int(np.argmax(np.where(ok, gain, -np.inf))), gain.shape)}
-        return [tokens[i:j] for i, j in best]
+        gain = level[SPAN:] - least[:len(level) - SPAN]
+        rich = int(np.argmax(gain)) + SPAN
+        best = {(int(begin[end]), end)}
+        if gain[rich - SPAN] >= -1e-9:
+            best.add((int(np.searchsorted(-least, -(least[rich - SPAN] + 1e-12), "left")), rich))
+        return [tokens[i:j] for i, j in sorted(best)]
 
     for a in stretches(x, y):
         for b in stretches(y, a):

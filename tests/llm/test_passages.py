@@ -119,3 +119,10 @@ def test_similar():
 def test_empty(spark):
     prepare(spark)
     assert ps.passage_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stretches_of_long_repetitive_regions():
+    rng = np.random.default_rng(16)
+    x = np.tile(rng.integers(0, 1 << 30, 60), 1500).astype(np.uint32)
+    y = np.concatenate([rng.integers(0, 1 << 30, 90_000).astype(np.uint32), x[30:90]])
+    assert ps.similar(x, y) and not ps.similar(x, y[:90_000])
