@@ -42,7 +42,7 @@ from ledgerline.session import reliable_checkpoint, shuffle_partitions
 
 WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 SPAN = WORDS - SHINGLE + 1
-BANDS, HASHES = 2, 3
+BANDS, HASHES = 5, 3
 BLOCK = 128
 LEAST = int(np.ceil(SPAN * 2 * SIMILARITY / (1 + SIMILARITY) - 1e-9))  # common tokens of similar stretches
 _P = 0x9E3779B97F4A7C15 | 1
