@@ -103,25 +103,19 @@ def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight")
     return df.join(F.broadcast(w), label)
 
 
-# Search grids.  ``FULL`` is the whole search (depth 30, the largest Spark
-# grows, stands for an unlimited one); ``SMALL`` spans the same parameters with
-# fewer points, for runs that must end within minutes on one machine.
+# Search grids: the whole search (depth 30, the largest Spark grows, stands for
+# an unlimited one).
 FULL = {
     "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.0, 1.0]},
     "random_forest": {"numTrees": [100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]},
     "gradient_boosting": {"maxIter": [100, 200], "stepSize": [0.01, 0.1], "maxDepth": [3, 5], "subsamplingRate": [0.8, 1.0]},
 }
-SMALL = {
-    "logistic_regression": {"C": [0.1, 1.0], "elasticNetParam": [0.0, 1.0]},
-    "random_forest": {"numTrees": [100], "maxDepth": [10], "minInstancesPerNode": [1]},
-    "gradient_boosting": {"maxIter": [20], "stepSize": [0.1], "maxDepth": [3], "subsamplingRate": [1.0]},
-}
 
 
 def classifier(name: str, weight_col: str | None = None):
     kind, args = {"logistic_regression": (LogisticRegression, {"maxIter": 50}),
-                  "random_forest": (RandomForestClassifier, {"numTrees": 100, "maxDepth": 10, "seed": SEED}),
-                  "gradient_boosting": (GBTClassifier, {"maxIter": 20, "seed": SEED})}[name]
+                  "random_forest": (RandomForestClassifier, {"numTrees": 100, "maxDepth": 30, "seed": SEED}),
+                  "gradient_boosting": (GBTClassifier, {"maxIter": 100, "maxDepth": 3, "seed": SEED})}[name]
     est = kind(featuresCol="features", labelCol="label", **args)
     return est.setWeightCol(weight_col) if weight_col else est
 

@@ -58,8 +58,8 @@ DEMAND_NUM = ["price", "day_of_week", "month", "day", "quarter", "is_weekend", "
 def demand_model(spark, d):
     df = reliable_checkpoint(daily_demand(spark, d))
     model = Pipeline(stages=ml.feature_stages(DEMAND_NUM, ["p_brand"], scale=False)
-                     + [RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=20, seed=ml.SEED,
-                                              maxDepth=8)]).fit(df)
+                     + [RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, seed=ml.SEED,
+                                              maxDepth=30)]).fit(df)
     return model, df
 
 

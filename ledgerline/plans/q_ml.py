@@ -40,7 +40,7 @@ def _split(df, key):
 @register("churn_train")
 def q_churn_train(spark, d):
     train, test = _split(churn_frame(spark, d), "customer_id")
-    t, _ = ml.train_classifiers(train, test, CHURN_NUM, CHURN_CAT, grids=ml.SMALL)
+    t, _ = ml.train_classifiers(train, test, CHURN_NUM, CHURN_CAT)
     return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected")
 
 
@@ -113,7 +113,7 @@ def quality_frame(spark, d, labelled: bool = True):
 @register("purchase_train")
 def q_purchase_train(spark, d):
     train, test = _split(quality_frame(spark, d), "doc_id")
-    t, _ = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1", only=["random_forest"], grids=ml.SMALL)
+    t, _ = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1", only=["random_forest"])
     return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected")
 
 
@@ -121,7 +121,7 @@ def q_purchase_train(spark, d):
 def q_purchase_score(spark, d):
     """Every document scored by the forest tuned on F1 over the labelled ones."""
     train, test = _split(quality_frame(spark, d), "doc_id")
-    _, best = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1", only=["random_forest"], grids=ml.SMALL)
+    _, best = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1", only=["random_forest"])
     s = ml.score_binary(best, quality_frame(spark, d, labelled=False), "doc_id")
     return s.withColumn("probability", F.round("probability", 4))
 
@@ -129,7 +129,7 @@ def q_purchase_score(spark, d):
 @register("retention_train")
 def q_retention_train(spark, d):
     train, test = _split(quality_frame(spark, d), "doc_id")
-    t, _ = ml.train_and_refine(train, test, QUAL_NUM, QUAL_CAT, grids=ml.SMALL)
+    t, _ = ml.train_and_refine(train, test, QUAL_NUM, QUAL_CAT)
     return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected")
 
 
