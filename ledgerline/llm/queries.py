@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, extract, langid, passages, pieces, quality, secrets, sharding, simhash, substring
+from ledgerline.llm import decontaminate, extract, langid, lexical, passages, pieces, quality, secrets, sharding, simhash, substring
 from ledgerline.llm.common import prepare, table
 from ledgerline.session import reliable_checkpoint
 
@@ -182,6 +182,30 @@ def op10_viterbi_language(spark, sf_dir):
                         F.col("_lang.score").alias("score"), F.size("_lang.spans").alias("n_spans"))
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register("op13_ranked_search", f"""
+WITH t AS (SELECT r, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+d AS (SELECT r, doc_id, count(*) AS n FROM t GROUP BY ALL),
+s AS (SELECT count(*) AS docs, sum(n) AS total FROM d),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (
+        SELECT i, item_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)) GROUP BY ALL),
+f AS (SELECT r, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, docs),
+x AS (SELECT q.i, q.item_id, f.r, d.doc_id,
+             sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (r), s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INT AS rank FROM x WHERE score > 0) WHERE rank <= 10
+""")
+def op13_ranked_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.best_documents(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     """The corpus pipeline's result; see ``corpus_pipeline.py``."""
