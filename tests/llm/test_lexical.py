@@ -85,7 +85,7 @@ def test_small_blocks_and_accumulator_limit(monkeypatch):
             best = sorted(best + list(zip(score.tolist(), block.ids[place].tolist())), key=lambda x: (-x[0], x[1]))[:5]
             assert not block.live.any() and not block.score.any()
         assert [(0, r + 1, i, s) for r, (s, i) in enumerate(best)] == sorted(eval(x) for x in brute(docs, [(0, "rare of the")], 5))
-        assert made < 100  # of 1,000 documents that hold a term
+        assert made < 300  # of 1,000 documents that hold a term
 
 
 def test_empty_tables(spark):
