@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, extract, langid, lexical, passages, pieces, quality, secrets, sharding, simhash, substring
+from ledgerline.llm import decontaminate, extract, langid, lexical, ngram_join, passages, pieces, quality, secrets, sharding, simhash, substring
 from ledgerline.llm.common import prepare, table
 from ledgerline.session import reliable_checkpoint
 
@@ -182,6 +182,13 @@ def op10_viterbi_language(spark, sf_dir):
                         F.col("_lang.score").alias("score"), F.size("_lang.spans").alias("n_spans"))
 
 
+@register("op12_partenum_join")
+def op12_partenum_join(spark, sf_dir):
+    """Component of every document by shingle sets of Jaccard similarity 0.9 or more."""
+    out = ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=90)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = r"regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
