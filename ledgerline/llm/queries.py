@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, extract, langid, lexical, ngram_join, passages, pieces, quality, secrets, sharding, simhash, substring
+from ledgerline.llm import decontaminate, extract, langid, lexical, ngram_join, passages, phrases, pieces, quality, secrets, sharding, simhash, substring
 from ledgerline.llm.common import prepare, table
 from ledgerline.session import reliable_checkpoint
 
@@ -182,6 +182,31 @@ def op10_viterbi_language(spark, sf_dir):
                         F.col("_lang.score").alias("score"), F.size("_lang.spans").alias("n_spans"))
 
 
+@register("op11_son_phrases", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') AS ws FROM p),
+o AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3)) s(size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+d AS (SELECT lang, phrase, max(a) AS within FROM (
+        SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL),
+x AS (SELECT c.lang, c.phrase, a, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:], ' ') AS p2
+      FROM c LEFT JOIN d USING (lang, phrase), (VALUES (1), (2)) t(k)
+      WHERE k < size AND (within IS NULL OR 100 * within < 50 * a)),
+s AS (SELECT x.lang, x.phrase, a, k, f1.f AS l, f2.f AS r, (1000000::HUGEINT * a * a // (f1.f::HUGEINT * f2.f))::BIGINT AS score
+      FROM x JOIN f f1 ON f1.lang = x.lang AND f1.phrase = p1 JOIN f f2 ON f2.lang = x.lang AND f2.phrase = p2),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b JOIN n USING (lang) QUALIFY rank <= 2000
+""")
+def op11_son_phrases(spark, sf_dir):
+    """The 2,000 best collocations of two or three words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 @register("op12_partenum_join")
 def op12_partenum_join(spark, sf_dir):
     """Component of every document by shingle sets of Jaccard similarity 0.9 or more."""
