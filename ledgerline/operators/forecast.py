@@ -280,22 +280,13 @@ def forecast_spine(keys: DataFrame, key: str, start_col: str, days: int) -> Data
 
 
 def tree_interval(model, df: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
-    """5 / 95 % interval over the individual trees of a fitted random
-    forest (exact linear percentile of the per-tree predictions)."""
-    rf = model.stages[-1]
-    feats = type(model)(stages=model.stages[:-1]).transform(df)
-    cols = []
-    x = feats
-    for i, tree in enumerate(rf.trees):
-        x = tree.setPredictionCol(f"_tree{i}").setFeaturesCol("features").transform(x)
-        cols.append(f"_tree{i}")
-    x = rf.transform(x)            # the forest's own (mean) prediction
-    arr = F.array_sort(F.array(*[F.col(c) for c in cols]))
-    n = len(cols)
+    """5 / 95 % interval over the individual trees of a fitted forest (exact
+    linear percentile of the per-tree predictions)."""
+    x = model.transform(df, each_tree=True).withColumn("tree_values", F.array_sort("tree_values"))
 
     def pct(p):
-        pos = p * (n - 1)
-        lo_i, hi_i = int(math.floor(pos)), int(math.ceil(pos))
-        return arr[lo_i] + (arr[hi_i] - arr[lo_i]) * (pos - lo_i)
+        pos = F.lit(p) * (F.size("tree_values") - 1)
+        low, high = (F.get("tree_values", f(pos).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (pos - F.floor(pos))
 
-    return x.withColumn("lower", pct(lo)).withColumn("upper", pct(hi)).drop(*cols)
+    return x.withColumn("lower", pct(lo)).withColumn("upper", pct(hi)).drop("tree_values")

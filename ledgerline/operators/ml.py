@@ -1,29 +1,31 @@
 """Model training, scoring and explanation on ``pyspark.ml``.
 
 Feature pipelines are ``Pipeline`` stages (StringIndexer → OneHotEncoder →
-VectorAssembler → StandardScaler); candidates are compared with
-``CrossValidator``; everything runs as Spark jobs on partitioned data, the
+VectorAssembler → StandardScaler); rows are encoded once and
+candidates compared by cross-validation; forests are grown by
+``operators.forest``; everything runs as Spark jobs on partitioned data, the
 driver only holds model parameters.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import risk_level
-from ledgerline.operators import stats
-from ledgerline.session import ensure_checkpoint_dir
+from ledgerline.operators import forest, stats
+from ledgerline.session import ensure_checkpoint_dir, reliable_checkpoint
 
 SEED = 42
 
@@ -103,32 +105,87 @@ def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight")
     return df.join(F.broadcast(w), label)
 
 
-# Search grids: the whole search (depth 30, the largest Spark grows, stands for
-# an unlimited one).
-FULL = {
-    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.0, 1.0]},
-    "random_forest": {"numTrees": [100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]},
-    "gradient_boosting": {"maxIter": [100, 200], "stepSize": [0.01, 0.1], "maxDepth": [3, 5], "subsamplingRate": [0.8, 1.0]},
+# The search grids of the three flows, whole (None: no depth limit).
+# Where a flow also lists two solvers of one logistic problem, there is one point.
+CHURN_GRIDS = {
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0], "elasticNetParam": [1.0, 0.0]},
+    "random_forest": {"trees": [100, 200], "depth": [None, 10, 20], "min_split": [2, 5], "min_leaf": [1, 2]},
+    "gradient_boosting": {"rounds": [100, 200], "step": [0.01, 0.1], "depth": [3, 5], "share": [0.8, 1.0]},
 }
-
-
-def classifier(name: str, weight_col: str | None = None):
-    kind, args = {"logistic_regression": (LogisticRegression, {"maxIter": 50}),
-                  "random_forest": (RandomForestClassifier, {"numTrees": 100, "maxDepth": 30, "seed": SEED}),
-                  "gradient_boosting": (GBTClassifier, {"maxIter": 100, "maxDepth": 3, "seed": SEED})}[name]
-    est = kind(featuresCol="features", labelCol="label", **args)
-    return est.setWeightCol(weight_col) if weight_col else est
-
-
-def grid_maps(est, grid: dict, n_rows: int) -> list:
-    """Parameter maps of a grid; ``C`` is the inverse strength per row, as in liblinear."""
-    build = ParamGridBuilder()
-    for name, values in grid.items():
-        if name == "C":
-            build.addGrid(est.regParam, [1.0 / (c * max(n_rows, 1)) for c in values])
-        else:
-            build.addGrid(est.getParam(name), values)
-    return build.build()
+PURCHASE_GRIDS = {"random_forest": {"trees": [100], "depth": [None, 10], "min_split": [2, 5]}}
+RETENTION_GRIDS = {
+    "logistic_regression": {"C": [0.1, 1.0, 10.0]},
+    "random_forest": {"trees": [50, 100], "depth": [None, 10, 20]},
+    "gradient_boosting": {"rounds": [50, 100], "step": [0.01, 0.1], "depth": [3], "share": [1.0]},
+}
+# What each model is before a search.
+PLAIN = {"logistic_regression": {"C": 1.0, "elasticNetParam": 0.0}, "random_forest": {"trees": 100},
+         "gradient_boosting": {"rounds": 100, "step": 0.1, "depth": 3, "share": 1.0}}
+FIT_ROWS = 50_000  # rows a partition of an encoded table
+
+
+class ForestModel:
+    """A feature encoder and a grown forest, used like a fitted pipeline."""
+
+    def __init__(self, encoder: PipelineModel, grown: forest.Forest, classes: bool):
+        self.encoder, self.forest, self.classes = encoder, grown, classes
+
+    def transform(self, df: DataFrame, each_tree: bool = False) -> DataFrame:
+        """Adds ``prediction`` and, for classes, ``probability`` and
+        ``rawPrediction``; with ``each_tree`` also ``tree_values``."""
+        x = self.encoder.transform(df).withColumn("_x", vector_to_array("features"))
+        x = self.forest.tree_values(x, "_x").drop("_x")
+        mean = F.aggregate("tree_values", F.lit(0.0), lambda a, v: a + v) / F.size("tree_values")
+        x = x.withColumn("prediction", mean)
+        if self.classes:
+            p = F.col("prediction")
+            x = x.withColumn("probability", array_to_vector(F.array(1 - p, p))).withColumn("rawPrediction", F.col("probability")) \
+                 .withColumn("prediction", (p > 0.5).cast("double"))
+        return x if each_tree else x.drop("tree_values")
+
+
+def encode(train: DataFrame, stages: list, key: str) -> tuple[PipelineModel, DataFrame]:
+    """The fitted encoder and the encoded rows, written once: every point and fold
+    of a search reads them instead of fitting the encoder again."""
+    encoder = Pipeline(stages=stages).fit(train)
+    x = encoder.transform(train).select(F.col(key).alias("_key"), "label", "features", vector_to_array("features").alias("_x"),
+                                        F.col("weight") if "weight" in train.columns else F.lit(1.0).alias("weight"))
+    x = reliable_checkpoint(x)
+    rows = x.count()
+    return encoder, reliable_checkpoint(x.coalesce(max(1, -(-rows // FIT_ROWS))))
+
+
+def logistic(n_rows: int, point: dict) -> LogisticRegression:
+    """``C`` is the inverse strength per row, as in liblinear."""
+    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=100, regParam=1.0 / (point["C"] * max(n_rows, 1)),
+                              elasticNetParam=point.get("elasticNetParam", 0.0))
+
+
+def fit_point(name: str, point: dict, encoder: PipelineModel, x: DataFrame, classes: bool = True):
+    """One model of a grid on all encoded rows."""
+    if name == "random_forest":
+        grown = forest.grow_forest(x, "_key", "_x", "label", point.get("trees", 100), "weight", point.get("depth"),
+                                   point.get("min_leaf", 1), point.get("min_split", 2), "sqrt" if classes else "all", SEED)
+        return ForestModel(encoder, grown, classes)
+    if name == "gradient_boosting":
+        est = GBTClassifier(featuresCol="features", labelCol="label", maxIter=point["rounds"], stepSize=point["step"], maxDepth=point["depth"],
+                            subsamplingRate=point["share"], seed=SEED)
+    else:
+        est = logistic(x.count(), point)
+    return PipelineModel(stages=[*encoder.stages, est.fit(x)])
+
+
+def search(name: str, grid: dict, x: DataFrame, folds: int, metric: str) -> dict:
+    """The best point of a grid by cross-validation over encoded rows."""
+    if name == "logistic_regression":
+        points = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+        n, est = x.count(), LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=100)
+        maps = [{est.regParam: 1.0 / (p["C"] * max(n, 1)), est.elasticNetParam: p.get("elasticNetParam", 0.0)} for p in points]
+        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator(metric), numFolds=folds, seed=SEED, parallelism=8)
+        scores = cv.fit(x).avgMetrics
+        return points[scores.index(max(scores))]
+    sample = forest.draw_sample(x, "_key", "_x", "label", "weight", folds)
+    return forest.best_point(x.sparkSession, name, grid, sample, folds, metric, SEED)[0]
 
 
 def evaluator(metric: str):
@@ -146,51 +203,45 @@ def _table(spark, rows: list[dict], best: str) -> DataFrame:
     return spark.createDataFrame([tuple({**r, "selected": r["model"] == best}[n] for n in names) for r in rows], METRICS)
 
 
-def train_classifiers(train: DataFrame, test: DataFrame, numeric, categorical, metric: str = "auc",
-                      folds: int = 3, only=None, grids: dict | None = None, weight_col: str | None = None):
-    """Grid search with cross-validation for each model, by ``metric`` (auc or
-    f1) → metric table over the held-out rows with the chosen model flagged,
-    and that model.  ``grids`` defaults to the ``FULL`` search."""
-    grids, rows, best = grids or FULL, [], None
-    n = train.count()
+def fold_count(x: DataFrame, most: int = 5) -> int:
+    """As many folds as the smallest class allows, 2 to ``most``."""
+    return max(2, min(most, *[r["count"] for r in x.groupBy("label").count().collect()]))
+
+
+def train_classifiers(train: DataFrame, test: DataFrame, numeric, categorical, key: str, grids: dict, metric: str = "auc", only=None):
+    """Grid search with cross-validation (up to 5 folds) for each model, by
+    ``metric`` (auc or f1); the best point of each is fitted on all rows.
+    Returns the metric table over the held-out rows with the chosen model
+    flagged, and that model."""
+    encoder, x = encode(train, feature_stages(numeric, categorical), key)
+    folds, rows, best = fold_count(x), [], None
     for name in only or grids:
-        est = classifier(name, weight_col)
-        cv = CrossValidator(estimator=Pipeline(stages=feature_stages(numeric, categorical) + [est]),
-                            estimatorParamMaps=grid_maps(est, grids[name], n), evaluator=evaluator(metric),
-                            numFolds=folds, seed=SEED, parallelism=4)
-        model = cv.fit(train).bestModel
+        model = fit_point(name, search(name, grids[name], x, folds, metric), encoder, x)
         rows.append({**_binary_metrics(model.transform(test)), "model": name})
         if best is None or rows[-1][metric] > best[0]:
             best = rows[-1][metric], name, model
     return _table(train.sparkSession, rows, best[1]), best[2]
 
 
-def train_and_refine(train: DataFrame, test: DataFrame, numeric, categorical, k: int = 10, grids: dict | None = None):
+def train_and_refine(train: DataFrame, test: DataFrame, numeric, categorical, key: str, k: int = 10, grids: dict | None = None):
     """Class-balanced models on the ``k`` best features (ANOVA F), the one with
     the highest F1 on the held-out rows refined by a 3-fold grid search on F1.
     Returns the metric table (a row ``refined <model>`` is the chosen one) and
     the refined model."""
-    grids, rows, best = grids or FULL, [], None
-    train = balanced_weights(train)
-
-    def stages(est):
-        pick = UnivariateFeatureSelector(featuresCol="all_features", outputCol="features", labelCol="label",
-                                         selectionMode="numTopFeatures")
-        pick.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
-        first = feature_stages(numeric, categorical)
-        first[-1].setOutputCol("all_features")
-        return Pipeline(stages=[*first, pick, est])
-
+    grids, rows, best = grids or RETENTION_GRIDS, [], None
+    stages = feature_stages(numeric, categorical)
+    stages[-1].setOutputCol("all_features")
+    pick = UnivariateFeatureSelector(featuresCol="all_features", outputCol="features", labelCol="label", selectionMode="numTopFeatures")
+    pick.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
+    encoder, x = encode(balanced_weights(train), [*stages, pick], key)
     for name in grids:
-        model = stages(classifier(name, "weight")).fit(train)
+        model = fit_point(name, PLAIN[name], encoder, x)
         rows.append({**_binary_metrics(model.transform(test)), "model": name})
         if best is None or rows[-1]["f1"] > best[0]:
             best = rows[-1]["f1"], name
-    est = classifier(best[1], "weight")
-    cv = CrossValidator(estimator=stages(est), estimatorParamMaps=grid_maps(est, grids[best[1]], train.count()),
-                        evaluator=evaluator("f1"), numFolds=3, seed=SEED, parallelism=4)
-    refined = cv.fit(train).bestModel
-    rows.append({**_binary_metrics(refined.transform(test)), "model": f"refined {best[1]}"})
+    name = best[1]
+    refined = fit_point(name, search(name, grids[name], x, 3, "f1"), encoder, x)
+    rows.append({**_binary_metrics(refined.transform(test)), "model": f"refined {name}"})
     return _table(train.sparkSession, rows, rows[-1]["model"]), refined
 
 
@@ -231,10 +282,13 @@ def feature_names(model: PipelineModel, df: DataFrame, col: str = "features") ->
 def feature_importance(model: PipelineModel, df: DataFrame, top: int = 20) -> DataFrame:
     """(feature, importance) with the correct encoded names: tree
     importances, or |coefficient| for linear models."""
-    last = model.stages[-1]
-    names = feature_names(PipelineModel(stages=model.stages[:-1]), df)
-    vals = last.featureImportances.toArray() if hasattr(last, "featureImportances") else \
-        [abs(x) for x in last.coefficients.toArray()]
+    if isinstance(model, ForestModel):
+        names, vals = feature_names(model.encoder, df), model.forest.importances()
+    else:
+        last = model.stages[-1]
+        names = feature_names(PipelineModel(stages=model.stages[:-1]), df)
+        vals = last.featureImportances.toArray() if hasattr(last, "featureImportances") else \
+            [abs(x) for x in last.coefficients.toArray()]
     spark = df.sparkSession
     rows = [(n, float(v)) for n, v in zip(names, vals)]
     t = spark.createDataFrame(rows, "feature string, importance double")
@@ -289,24 +343,30 @@ def top_factors(model: PipelineModel, df: DataFrame, id_col: str, top: int = 5)
                                                               lambda x: x["f"]), "; ").alias("factors"))
 
 
+def fit_forest(train: DataFrame, numeric, categorical, key: str, trees: int = 100) -> ForestModel:
+    """A regression forest of unlimited trees over unscaled features."""
+    encoder, x = encode(train, feature_stages(numeric, categorical, scale=False), key)
+    return fit_point("random_forest", {"trees": trees}, encoder, x, classes=False)
+
+
 def regressors():
     return {
         "linear_regression": LinearRegression(featuresCol="features", labelCol="label", regParam=0.0),
         "elastic_net": LinearRegression(featuresCol="features", labelCol="label", regParam=0.1, elasticNetParam=0.5,
                                         standardization=False),
-        "random_forest": RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, seed=SEED),
+        "random_forest": None,  # grown by ``forest``
         "gradient_boosting": GBTRegressor(featuresCol="features", labelCol="label", maxIter=100, maxDepth=3, seed=SEED),
     }
 
 
-def train_regressors(train: DataFrame, test: DataFrame, numeric, categorical):
-    """Fit each regressor, evaluate RMSE / MAE / R² on the held-out rows,
-    select the lowest RMSE."""
+def train_regressors(train: DataFrame, test: DataFrame, numeric, categorical, key: str):
+    """Fit each regressor on rows encoded once, evaluate RMSE / MAE / R² on the
+    held-out rows, select the lowest RMSE."""
     rows, best, best_rmse = [], None, math.inf
+    encoder, x = encode(train, feature_stages(numeric, categorical), key)
     for name, est in regressors().items():
-        model = Pipeline(stages=feature_stages(numeric, categorical) + [est]).fit(train)
-        pred = model.transform(test)
-        m = {k: float(RegressionEvaluator(labelCol="label", metricName=k).evaluate(pred)) for k in ("rmse", "mae", "r2")}
+        model = fit_point(name, {}, encoder, x, classes=False) if est is None else PipelineModel(stages=[*encoder.stages, est.fit(x)])
+        m = stats.regression_metrics(model.transform(test), "label", "prediction").first()
         rows.append((name, m["rmse"], m["mae"], m["r2"]))
         if m["rmse"] < best_rmse:
             best, best_rmse = model, m["rmse"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
 from ledgerline.operators import forecast as fc
-from ledgerline.operators import layout, ml, profile
+from ledgerline.operators import layout, ml, profile, stats
 from ledgerline.operators import text as TX
 from ledgerline.plans import q_forecast, q_ml, q_text
 from ledgerline.plans.q_general import word_boxes
@@ -205,37 +205,30 @@ def q_feat_pipeline_basic(spark, d):
 
 @register("price_drivers")
 def q_price_drivers(spark, d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.regression import RandomForestRegressor
     part = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_brand", "p_type",
                                           F.col("p_retailprice").alias("label"))
     li = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("sales"), F.avg("l_discount").alias("discount"))
     df = part.join(li, part.p_partkey == li.l_partkey, "left").fillna({"sales": 0.0, "discount": 0.0})
-    model = Pipeline(stages=ml.feature_stages(["p_size", "sales", "discount"], ["p_type"], scale=False)
-                     + [RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=50, seed=ml.SEED)]).fit(df)
+    model = ml.fit_forest(df, ["p_size", "sales", "discount"], ["p_type"], "p_partkey", trees=50)
     return ml.feature_importance(model, df, 20).withColumn("importance", F.round("importance", 4))
 
 
 @register("inventory_model_score")
 def q_inventory_model_score(spark, d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import RandomForestRegressor
     from ledgerline.plans.q_inventory import items
     it = items(spark, d).select("id", F.col("quantity").cast("double").alias("label"), "unit_price",
                                 F.col("min_stock_level").cast("double").alias("min_level"), "category")
     it = it.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(5)))
     # the target is not among the features (the quantity leak is not reproduced)
-    model = Pipeline(stages=ml.feature_stages(["unit_price", "min_level"], ["category"], scale=False)
-                     + [RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, seed=ml.SEED)]).fit(it.filter("_b <> 0"))
-    r2 = RegressionEvaluator(labelCol="label", metricName="r2").evaluate(model.transform(it.filter("_b = 0")))
+    model = ml.fit_forest(it.filter("_b <> 0"), ["unit_price", "min_level"], ["category"], "id")
+    r2 = stats.regression_metrics(model.transform(it.filter("_b = 0")), "label", "prediction").first()["r2"]
     return it.sparkSession.createDataFrame([(round(float(r2), 4),)], "r2 double").crossJoin(it.agg(F.count(F.lit(1)).alias("items")))
 
 
 @register("retention_score")
 def q_retention_score(spark, d):
     train, test = q_ml._split(q_ml.quality_frame(spark, d), "doc_id")
-    _, best = ml.train_classifiers(train, test, q_ml.QUAL_NUM, q_ml.QUAL_CAT, metric="f1", only=["logistic_regression"])
+    _, best = ml.train_classifiers(train, test, q_ml.QUAL_NUM, q_ml.QUAL_CAT, "doc_id", ml.CHURN_GRIDS, metric="f1", only=["logistic_regression"])
     every = reliable_checkpoint(q_ml.quality_frame(spark, d, labelled=False).drop("label"))
     s = ml.score_binary(best, every, "doc_id")
     p = F.col("probability")
@@ -248,7 +241,8 @@ def q_retention_score(spark, d):
 @register("model_report")
 def q_model_report(spark, d):
     train, test = q_ml._split(q_ml.churn_frame(spark, d), "customer_id")
-    metrics, best = ml.train_classifiers(train, test, q_ml.CHURN_NUM, q_ml.CHURN_CAT, only=["random_forest", "logistic_regression"])
+    metrics, best = ml.train_classifiers(train, test, q_ml.CHURN_NUM, q_ml.CHURN_CAT, "customer_id", ml.CHURN_GRIDS,
+                                         only=["random_forest", "logistic_regression"])
     m = metrics.select(F.lit("metric").alias("section"), F.col("model").alias("name"), F.round("f1", 4).alias("value"))
     imp = ml.feature_importance(best, train, 10).select(F.lit("importance").alias("section"), F.col("feature").alias("name"),
                                                         F.round("importance", 4).alias("value"))

@@ -3,8 +3,6 @@ order value; demand model with a day spine."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from ledgerline.operators import forecast as fc
@@ -56,18 +54,16 @@ DEMAND_NUM = ["price", "day_of_week", "month", "day", "quarter", "is_weekend", "
 
 
 def demand_model(spark, d):
-    df = reliable_checkpoint(daily_demand(spark, d))
-    model = Pipeline(stages=ml.feature_stages(DEMAND_NUM, ["p_brand"], scale=False)
-                     + [RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, seed=ml.SEED,
-                                              maxDepth=30)]).fit(df)
-    return model, df
+    df = reliable_checkpoint(daily_demand(spark, d).withColumn("row", F.concat_ws("|", "p_brand", "date")))
+    return ml.fit_forest(df, DEMAND_NUM, ["p_brand"], "row"), df
 
 
 @register("demand_train")
 def q_demand_train(spark, d):
-    df = reliable_checkpoint(daily_demand(spark, d)).withColumn("_b", F.pmod(F.xxhash64("p_brand", "date"), F.lit(5)))
+    df = reliable_checkpoint(daily_demand(spark, d).withColumn("row", F.concat_ws("|", "p_brand", "date"))
+                             .withColumn("_b", F.pmod(F.xxhash64("p_brand", "date"), F.lit(5))))
     train, test = df.filter("_b <> 0"), df.filter("_b = 0")
-    t, _ = ml.train_regressors(train, test, DEMAND_NUM, ["p_brand"])
+    t, _ = ml.train_regressors(train, test, DEMAND_NUM, ["p_brand"], "row")
     return t.select("model", *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "r2")], "selected")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import anomaly, ml
+from ledgerline.operators import anomaly, ml, stats
 from ledgerline.operators import text as TX
 from ledgerline.plans.registry import register
 from ledgerline.session import reliable_checkpoint
@@ -40,7 +40,7 @@ def _split(df, key):
 @register("churn_train")
 def q_churn_train(spark, d):
     train, test = _split(churn_frame(spark, d), "customer_id")
-    t, _ = ml.train_classifiers(train, test, CHURN_NUM, CHURN_CAT)
+    t, _ = ml.train_classifiers(train, test, CHURN_NUM, CHURN_CAT, "customer_id", ml.CHURN_GRIDS)
     return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected")
 
 
@@ -68,11 +68,9 @@ def q_prediction_summary(spark, d):
 
 @register("feature_importance")
 def q_feature_importance(spark, d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
     df = churn_frame(spark, d)
-    model = Pipeline(stages=ml.feature_stages(CHURN_NUM, CHURN_CAT, scale=False)
-                     + [RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=50, seed=ml.SEED)]).fit(df)
+    encoder, x = ml.encode(df, ml.feature_stages(CHURN_NUM, CHURN_CAT, scale=False), "customer_id")
+    model = ml.fit_point("random_forest", ml.PLAIN["random_forest"], encoder, x)
     return ml.feature_importance(model, df, 20).withColumn("importance", F.round("importance", 4))
 
 
@@ -113,7 +111,7 @@ def quality_frame(spark, d, labelled: bool = True):
 @register("purchase_train")
 def q_purchase_train(spark, d):
     train, test = _split(quality_frame(spark, d), "doc_id")
-    t, _ = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1", only=["random_forest"])
+    t, _ = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, "doc_id", ml.PURCHASE_GRIDS, metric="f1")
     return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected")
 
 
@@ -121,7 +119,7 @@ def q_purchase_train(spark, d):
 def q_purchase_score(spark, d):
     """Every document scored by the forest tuned on F1 over the labelled ones."""
     train, test = _split(quality_frame(spark, d), "doc_id")
-    _, best = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, metric="f1", only=["random_forest"])
+    _, best = ml.train_classifiers(train, test, QUAL_NUM, QUAL_CAT, "doc_id", ml.PURCHASE_GRIDS, metric="f1")
     s = ml.score_binary(best, quality_frame(spark, d, labelled=False), "doc_id")
     return s.withColumn("probability", F.round("probability", 4))
 
@@ -129,8 +127,12 @@ def q_purchase_score(spark, d):
 @register("retention_train")
 def q_retention_train(spark, d):
     train, test = _split(quality_frame(spark, d), "doc_id")
-    t, _ = ml.train_and_refine(train, test, QUAL_NUM, QUAL_CAT)
-    return t.select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected")
+    t, refined = ml.train_and_refine(train, test, QUAL_NUM, QUAL_CAT, "doc_id")
+    top = ml.feature_importance(refined, ml.balanced_weights(train), 10)
+    top = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "feature"))),
+                                           lambda x: F.concat_ws(":", x["feature"], F.format_number(-x["i"], 4))), "; ").alias("top_features"))
+    return t.crossJoin(top).select("model", *[F.round(c, 4).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1")], "selected",
+                                   F.when(F.col("selected"), F.col("top_features")).alias("top_features"))
 
 
 # ---------------------------------------------------------------- regression (order value / price)
@@ -146,20 +148,16 @@ def order_frame(spark, d):
 
 
 def salary_model(train):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.regression import RandomForestRegressor
-    return Pipeline(stages=ml.feature_stages(["n_lines", "qty", "avg_discount", "avg_tax"], ["o_orderpriority"], scale=False)
-                    + [RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, seed=ml.SEED)]).fit(train)
+    return ml.fit_forest(train, ["n_lines", "qty", "avg_discount", "avg_tax"], ["o_orderpriority"], "o_orderkey")
 
 
 @register("salary_train")
 def q_salary_train(spark, d):
-    from pyspark.ml.evaluation import RegressionEvaluator
     df = order_frame(spark, d).withColumn("_bucket", F.pmod(F.xxhash64("o_orderkey"), F.lit(5)))
     train, test = df.filter("_bucket <> 0"), df.filter("_bucket = 0")
     model = salary_model(train)
-    pred = model.transform(test)
-    r2 = RegressionEvaluator(labelCol="label", metricName="r2").evaluate(pred)
+    pred = reliable_checkpoint(model.transform(test).select("o_orderkey", "label", "prediction"))
+    r2 = stats.regression_metrics(pred, "label", "prediction").first()["r2"]
     return pred.select("o_orderkey", F.round("prediction", 2).alias("prediction"), F.lit(round(r2, 4)).alias("r2"))
 
 
@@ -180,7 +178,7 @@ def q_pricing_model(spark, d):
              .withColumn("p_size", F.col("p_size").cast("double")) \
              .withColumn("_bucket", F.pmod(F.xxhash64("p_partkey"), F.lit(5)))
     train, test = df.filter("_bucket <> 0"), df.filter("_bucket = 0")
-    t, _ = ml.train_regressors(train, test, ["p_size", "sales", "avg_discount"], ["p_brand", "p_type"])
+    t, _ = ml.train_regressors(train, test, ["p_size", "sales", "avg_discount"], ["p_brand", "p_type"], "p_partkey")
     return t.select("model", *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "r2")], "selected")
 
 

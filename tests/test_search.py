@@ -11,13 +11,14 @@ class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("query, names", [
-    (q_ml.q_churn_train, list(ml.FULL)), (q_ml.q_purchase_train, ["random_forest"]), (q_ml.q_purchase_score, ["random_forest"]),
-    (q_ml.q_retention_train, list(ml.FULL)), (q_extra.q_retention_score, ["logistic_regression"]),
-    (q_extra.q_model_report, ["random_forest", "logistic_regression"])])
-def test_queries_search_the_full_grids(monkeypatch, query, names):
-    def asked(*args, only=None, grids=None, **kw):
-        raise Asked({n: (grids or ml.FULL)[n] for n in only or grids or ml.FULL})
+@pytest.mark.parametrize("query, want", [
+    (q_ml.q_churn_train, ml.CHURN_GRIDS), (q_ml.q_purchase_train, ml.PURCHASE_GRIDS), (q_ml.q_purchase_score, ml.PURCHASE_GRIDS),
+    (q_ml.q_retention_train, ml.RETENTION_GRIDS),
+    (q_extra.q_retention_score, {"logistic_regression": ml.CHURN_GRIDS["logistic_regression"]}),
+    (q_extra.q_model_report, {n: ml.CHURN_GRIDS[n] for n in ("random_forest", "logistic_regression")})])
+def test_queries_search_the_full_grids(monkeypatch, query, want):
+    def asked(train, test, numeric, categorical, key, grids=None, metric=None, only=None):
+        raise Asked({n: (grids or ml.RETENTION_GRIDS)[n] for n in only or grids or ml.RETENTION_GRIDS})
 
     for name in ("churn_frame", "quality_frame"):
         monkeypatch.setattr(q_ml, name, lambda *a, **kw: None)
@@ -26,16 +27,12 @@ def test_queries_search_the_full_grids(monkeypatch, query, names):
     monkeypatch.setattr(ml, "train_and_refine", asked)
     with pytest.raises(Asked) as got:
         query(None, SF)
-    assert got.value.args[0] == {n: ml.FULL[n] for n in names}
+    assert got.value.args[0] == want
 
 
-def test_demand_forest_is_whole(spark, monkeypatch):
-    def fit(pipeline, df):
-        raise Asked(pipeline.getStages()[-1])
-
-    monkeypatch.setattr(q_forecast, "daily_demand", lambda *a: None)
-    monkeypatch.setattr(q_forecast, "reliable_checkpoint", lambda df: df)
-    monkeypatch.setattr(q_forecast.Pipeline, "fit", fit)
-    with pytest.raises(Asked) as got:
-        q_forecast.demand_model(None, SF)
-    assert (got.value.args[0].getNumTrees(), got.value.args[0].getMaxDepth()) == (100, 30)
+def test_demand_forest_is_whole(spark):
+    model, df = q_forecast.demand_model(spark, SF)
+    assert len(model.forest.tops) == 100
+    tree = next(model.forest.groups())[0]
+    inner = tree["feature"] >= 0
+    assert inner.sum() > 500 and tree["level"].max() > 12  # grown until the leaves are pure
