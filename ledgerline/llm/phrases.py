@@ -13,8 +13,9 @@ punctuation marks or line ends), counted per language.
    at least.  The union of the locally frequent hashes, less those whose shards
    sum to less than ``support``, goes back to the chunks as one bit a phrase.
    (Equal hashes of different phrases only add candidates.)
-3. *Count the candidates exactly.*  Chunks count the phrases with a bit as
-   words, over all shards; sums below ``support`` fall away here.
+3. *Count the candidates exactly.*  Tasks count the phrases with a bit as
+   words, over all shards, and send them packed to their buckets; sums below
+   ``support`` fall away there.
 4. *Score.*  Joins of the counted phrases with those of their parts.
 
 No candidate list reaches the driver or is broadcast; a bucket's size does not
@@ -90,15 +91,11 @@ class Unit:
         return state[order], times[order], order
 
     def words(self, chosen: np.ndarray):
-        """(phrase, length, occurrences) of the phrases with a true entry (in the order of :meth:`phrases`)."""
-        _, _, order = self.phrases()
-        picked = np.sort(order[chosen])
-        base = 0
-        for size, (place, times, _) in enumerate(self.levels, 1):
-            own = picked[(picked >= base) & (picked < base + len(place))] - base
-            base += len(place)
-            for p, n in zip(place[own].tolist(), times[own].tolist()):
-                yield b" ".join(self.tokens[p:p + size]), size, n
+        """(phrases, occurrences) of the phrases at the places ``chosen`` in the order of :meth:`phrases`."""
+        sizes = np.repeat(np.arange(1, len(self.levels) + 1), [len(p) for p, _, _ in self.levels])
+        place, times = (np.concatenate([x[k] for x in self.levels])[chosen] for k in (0, 1))
+        tokens = self.tokens
+        return [b" ".join(tokens[p:p + n]) for p, n in zip(place.tolist(), sizes[chosen].tolist())], times.tolist()
 
 
 def _cut(text: bytes):
@@ -201,35 +198,54 @@ def _mine(lowered: list[int], support: int):
 
 
 def _count(buckets: int, longest: int):
-    """Counts of the candidate phrases, combined over the chunks of a task."""
+    """Counts of the candidate phrases, combined over the chunks of a task, a row per bucket and language."""
     def run(batches):
-        held: dict = {}
+        held, size = {}, 0
 
         def rows():
+            packer = zstandard.ZstdCompressor(3)
             keys = list(held)
             return pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()),
-                pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())],
-                names=["lang", "size", "phrase", "f"])
+                pa.array([b for b, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.string()),
+                pa.array([packer.compress(b"\n".join(held[k])) for k in keys], pa.binary()),
+                pa.array([np.fromiter(held[k].values(), np.int64).tobytes() for k in keys], pa.binary())],
+                names=["bucket", "lang", "phrases", "times"])
 
         for row, unit in _units(batches, longest):
-            state, _, _ = unit.phrases()
+            state, _, order = unit.phrases()
             edges = _edges(state, buckets)
-            chosen = np.zeros(len(state), bool)
             for f in row["flags"] or []:
                 lo, hi = edges[f["bucket"]], edges[f["bucket"] + 1]
-                chosen[lo:hi] = np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=hi - lo).astype(bool)
-            for phrase, size, n in unit.words(chosen):
-                key = (row["lang"], phrase, size)
-                held[key] = held.get(key, 0) + n
-            if len(held) >= HELD:
+                bits = np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=hi - lo)
+                if bits.any():
+                    own = held.setdefault((f["bucket"], row["lang"]), {})
+                    size -= len(own)
+                    for phrase, n in zip(*unit.words(order[lo:hi][bits.astype(bool)])):
+                        own[phrase] = own.get(phrase, 0) + n
+                    size += len(own)
+            if size >= HELD:
                 yield rows()
-                held = {}
+                held, size = {}, 0
         if held:
             yield rows()
     return run
 
 
+def _total(support: int):
+    """Exact sums of one bucket's phrases, those with ``support`` or more."""
+    def run(t: pa.Table) -> pa.Table:
+        unpack, sums = zstandard.ZstdDecompressor(), {}
+        for lang, phrases, times in zip(t["lang"].to_pylist(), t["phrases"].to_pylist(), t["times"].to_pylist()):
+            own = sums.setdefault(lang, {})
+            for phrase, n in zip(unpack.decompress(phrases).split(b"\n"), np.frombuffer(times, np.int64).tolist()):
+                own[phrase] = own.get(phrase, 0) + n
+        kept = [(lang, p.count(b" ") + 1, p, n) for lang, own in sums.items() for p, n in own.items() if n >= support]
+        lang, size, phrase, n = zip(*kept) if kept else ((),) * 4
+        return pa.table({"lang": pa.array(lang, pa.string()), "size": pa.array(size, pa.int32()),
+                         "phrase": pa.array(phrase, pa.binary()).cast(pa.string()), "f": pa.array(n, pa.int64())})
+    return run
+
+
 def frequent_phrases(docs: DataFrame, longest: int = 3, support: int = 10, lang_col: str = "lang",
                      text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(``lang``, ``size``, ``phrase``, ``f``) of all phrases of 1 to ``longest``
@@ -247,8 +263,8 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, support: int = 10, lang_
     flags = sent.groupBy("bucket").applyInArrow(_mine(lowered, support), "chunk long, bucket int, bits binary")
     flags = reliable_checkpoint(flags.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags")))
     counted = packed.join(flags, "chunk").select("lang", "data", "flags").mapInArrow(
-        _count(buckets, longest), "lang string, size int, phrase string, f long")
-    counted = counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
+        _count(buckets, longest), "bucket int, lang string, phrases binary, times binary")
+    counted = counted.groupBy("bucket").applyInArrow(_total(support), "lang string, size int, phrase string, f long")
     return reliable_checkpoint(counted), packed.groupBy("lang").agg(F.sum("words").alias("n"))
 
 
