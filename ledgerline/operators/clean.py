@@ -32,15 +32,6 @@ def impute(df: DataFrame, col: str, key_col: str, strategy: str = "mean", out: s
              .drop("_fill")
 
 
-def impute_rule(n_rows: int, missing_frac: float) -> str:
-    """Single-column KNN rule of the reference: above half missing → leave;
-    under 30 % missing with more than 100 rows → mean, else median (a row
-    missing its only feature has no neighbours, so KNN equals the mean)."""
-    if missing_frac > 0.5:
-        return "none"
-    return "mean" if (missing_frac < 0.3 and n_rows > 100) else "median"
-
-
 def fill_unknown(df: DataFrame, cols, value: str = "Unknown") -> DataFrame:
     return df.fillna({c: value for c in cols})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.functions import text as T
-from ledgerline.operators import clean, inventory as inv, profile, rfm
+from ledgerline.operators import clean, inventory as inv, knn, profile, rfm, ridge
 from ledgerline.operators import text as TX
 from ledgerline.plans import q_pricing, q_rfm, q_supply, q_text
 from ledgerline.plans.q_general import _GAPPY, _gappy_lineitem
@@ -238,12 +238,47 @@ def q_clean_numeric(spark, d):
 SELECT l_orderkey, l_linenumber, round(coalesce(q, (SELECT avg(q) FROM {_GAPPY})), 6) AS q FROM {_GAPPY}""")
 def q_impute_knn_single(spark, d):
     g = _gappy_lineitem(spark, d)
-    counts = g.agg(F.count(F.lit(1)).alias("n"), F.count("q").alias("c")).first()   # one row
-    rule = clean.impute_rule(counts["n"], 1 - counts["c"] / counts["n"])
-    x = clean.impute(g, "q", "_id", rule if rule != "none" else "mean")
+    # a row without its only feature has no neighbours: the nearest rows are all rows
+    x = clean.impute(g, "q", "_id", "mean")
     return x.select("l_orderkey", "l_linenumber", F.round("q", 6).alias("q"))
 
 
+KNN_COLS = ["size", "price", "n_lines", "max_line"]
+_KNN_PARTS = """
+SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size::DOUBLE END AS x0,
+       CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS x1,
+       CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE n::DOUBLE END AS x2, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE m END AS x3
+FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, max(l_extendedprice) AS m FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"""
+
+
+def knn_parts(spark, d):
+    """Parts with gaps in four numeric columns."""
+    li = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("l_extendedprice").alias("m"))
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    gap = lambda n, c: F.when(F.col("p_partkey") % n != 0, c)
+    return p.join(li, p.p_partkey == li.l_partkey, "left").select(
+        F.col("p_partkey").alias("id"), gap(5, F.col("p_size").cast("double")).alias("size"), gap(7, F.col("p_retailprice")).alias("price"),
+        gap(11, F.col("n")).alias("n_lines"), gap(13, F.col("m")).alias("max_line"))
+
+
+@register("impute_knn", sql=f"""
+WITH p AS MATERIALIZED ({_KNN_PARTS}),
+pairs AS (
+  SELECT r.id, d.id AS donor, d.x0 AS d0, d.x1 AS d1, d.x2 AS d2, d.x3 AS d3, r.x0 AS r0, r.x1 AS r1, r.x2 AS r2, r.x3 AS r3,
+         (coalesce((r.x0 - d.x0) * (r.x0 - d.x0), 0) + coalesce((r.x1 - d.x1) * (r.x1 - d.x1), 0) + coalesce((r.x2 - d.x2) * (r.x2 - d.x2), 0)
+          + coalesce((r.x3 - d.x3) * (r.x3 - d.x3), 0)) * 4
+         / nullif((r.x0 - d.x0 IS NOT NULL)::INT + (r.x1 - d.x1 IS NOT NULL)::INT + (r.x2 - d.x2 IS NOT NULL)::INT + (r.x3 - d.x3 IS NOT NULL)::INT, 0) AS dist
+  FROM p r JOIN p d ON r.x0 IS NULL OR r.x1 IS NULL OR r.x2 IS NULL OR r.x3 IS NULL),
+t AS ({" UNION ALL ".join(f"SELECT id, {i} AS target, dist, donor, d{i} AS v FROM pairs WHERE r{i} IS NULL AND d{i} IS NOT NULL AND dist IS NOT NULL" for i in range(4))}),
+f AS (SELECT id, target, avg(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY id, target ORDER BY dist, donor) AS r FROM t) WHERE r <= 5 GROUP BY ALL)
+SELECT p.id, {", ".join(f"round(coalesce(x{i}, (SELECT v FROM f WHERE f.id = p.id AND target = {i}), (SELECT avg(x{i}) FROM p)), 6) AS {c}" for i, c in enumerate(KNN_COLS))}
+FROM p""")
+def q_impute_knn(spark, d):
+    """Gaps of four columns from the five nearest parts."""
+    x = knn.impute_knn(knn_parts(spark, d), KNN_COLS, "id", 5)
+    return x.select("id", *[F.round(c, 6).alias(c) for c in KNN_COLS])
+
+
 @register("impute_auto", sql=f"""
 WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS q,
                   CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_returnflag END AS flag FROM lineitem)
@@ -392,17 +427,62 @@ def q_clean_cells(spark, d):
 
 # ------------------------------------------------------------------ model routing
 
-@register("route_to_model", sql="""
-WITH demand AS (SELECT p_brand, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS q
-                FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
-models AS (SELECT p_brand, 'model_' || p_brand AS model_id FROM demand GROUP BY p_brand HAVING count(*) >= 100)
-SELECT d.p_brand, d.date, m.model_id FROM demand d LEFT JOIN models m ON m.p_brand = d.p_brand""")
+# daily demand of every product: quantity by mean unit price and month; the ridge models by their normal equations
+_PRODUCT_DAYS = """
+SELECT l_partkey AS k, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice * (1 - l_discount) / l_quantity) AS x,
+       month(CAST(l_shipdate AS DATE))::DOUBLE AS z, sum(l_quantity)::DOUBLE AS y, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) % 5 AS f
+FROM lineitem GROUP BY ALL"""
+_SUMS = {"n": "1.0", "sx": "x", "sz": "z", "sy": "y", "sxx": "x * x", "sxz": "x * z", "szz": "z * z", "sxy": "x * y", "szy": "z * y", "syy": "y * y"}
+_RIDGES = f"""
+g AS MATERIALIZED ({_PRODUCT_DAYS}),
+s AS MATERIALIZED (SELECT k, f, {", ".join(f"sum({e}) AS {c}" for c, e in _SUMS.items())} FROM g GROUP BY k, f),
+t AS MATERIALIZED (SELECT k, -1 AS f, {", ".join(f"sum({c}) AS {c}" for c in _SUMS)} FROM s GROUP BY k HAVING sum(n) >= 10),
+fits AS (SELECT * FROM t UNION ALL SELECT s.k, s.f, {", ".join(f"t.{c} - s.{c}" for c in _SUMS)} FROM s JOIN t USING (k) WHERE t.n - s.n >= 1),
+c AS (SELECT *, sxx - sx * sx / n AS cxx, sxz - sx * sz / n AS cxz, szz - sz * sz / n AS czz, sxy - sx * sy / n AS cxy, szy - sz * sy / n AS czy FROM fits),
+d AS (SELECT *, CASE WHEN cxx / n <= 1e-12 * (1 + sx * sx / n / n) THEN 1 ELSE sqrt(cxx / n) END AS ax,
+             CASE WHEN czz / n <= 1e-12 * (1 + sz * sz / n / n) THEN 1 ELSE sqrt(czz / n) END AS az FROM c),
+e AS (SELECT *, cxx / ax / ax + 1 AS a11, czz / az / az + 1 AS a22, cxz / ax / az AS a12, cxy / ax AS b1, czy / az AS b2 FROM d),
+w AS (SELECT *, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) / ax AS w1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) / az AS w2 FROM e),
+m AS MATERIALIZED (SELECT k, f, w1, w2, (sy - w1 * sx - w2 * sz) / n AS w0 FROM w),
+err AS MATERIALIZED (
+  SELECT m.k, m.f, o.n, o.sy, o.syy, greatest(syy + w0 * w0 * n + w1 * w1 * sxx + w2 * w2 * szz + 2 * w0 * w1 * sx + 2 * w0 * w2 * sz + 2 * w1 * w2 * sxz
+         - 2 * w0 * sy - 2 * w1 * sxy - 2 * w2 * szy, 0) AS sse FROM m JOIN (SELECT * FROM s UNION ALL SELECT * FROM t) o ON o.k = m.k AND o.f = m.f)"""
+
+
+def product_days(spark, d):
+    li = table(spark, d, "lineitem")
+    g = li.groupBy("l_partkey", F.to_date("l_shipdate").alias("date")).agg(
+        F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")).alias("price"), F.sum("l_quantity").cast("double").alias("label"))
+    return g.withColumn("month", F.month("date").cast("double"))
+
+
+def product_models(days):
+    return ridge.fit_per_key(days, "l_partkey", ["price", "month"], "label", F.datediff("date", F.lit("1970-01-01")))
+
+
+@register("demand_products", sql=f"""
+WITH {_RIDGES}
+SELECT m.k AS l_partkey, e.n::BIGINT AS n, round(w0, 4) AS intercept, round(w1, 6) AS price_coef, round(w2, 4) AS month_coef, round(sqrt(sse / e.n), 4) AS rmse,
+       round(CASE WHEN syy - sy * sy / e.n > 1e-9 * (1 + syy) THEN 1 - sse / (syy - sy * sy / e.n) END, 4) AS r2,
+       round((SELECT avg(sqrt(v.sse / v.n)) FROM err v WHERE v.k = m.k AND v.f >= 0), 4) AS cv_rmse
+FROM m JOIN err e ON e.k = m.k AND e.f = -1 WHERE m.f = -1""")
+def q_demand_products(spark, d):
+    """A demand model for every product of ten days or more, with the error of a 5-fold cross-validation."""
+    models = product_models(product_days(spark, d))
+    return models.select("l_partkey", "n", F.round("intercept", 4).alias("intercept"), F.round(F.get("coefs", F.lit(0)), 6).alias("price_coef"),
+                         F.round(F.get("coefs", F.lit(1)), 4).alias("month_coef"), *[F.round(c, 4).alias(c) for c in ("rmse", "r2", "cv_rmse")])
+
+
+@register("route_to_model", sql=f"""
+WITH {_RIDGES}
+SELECT g.k AS l_partkey, g.date, round(w0 + w1 * x + w2 * z, 4) AS prediction, CASE WHEN m.k IS NULL THEN 'no model' END AS error
+FROM g LEFT JOIN m ON m.k = g.k AND m.f = -1""")
 def q_route_to_model(spark, d):
-    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    demand = li.groupBy("p_brand", F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("q"))
-    models = demand.groupBy("p_brand").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 100) \
-        .select("p_brand", F.concat(F.lit("model_"), F.col("p_brand")).alias("model_id"))
-    return demand.join(models, "p_brand", "left").select("p_brand", "date", "model_id")
+    """Every product day scored by its product's model; days of products without one come back with an error."""
+    days = reliable_checkpoint(product_days(spark, d))
+    scored, failed = ridge.score_per_key(days, product_models(days), "l_partkey", ["price", "month"])
+    return scored.select("l_partkey", "date", F.round("prediction", 4).alias("prediction"), F.lit(None).cast("string").alias("error")) \
+        .unionByName(failed.select("l_partkey", "date", F.lit(None).cast("double").alias("prediction"), "error"))
 
 
 # ------------------------------------------------------------------ feature selection (ANOVA F)
