@@ -12,7 +12,9 @@ start.  (No matching window is lost by this.)  Every window is embedded by the C
 a walk of its own and samples positions of the embedding; windows that agree
 with the item on all samples of a table go on to exact verification (Sellers'
 alignment with free ends).  The number of tables follows from the target
-recall and the collision rate of simulated worst-case edits at that length.
+recall and the collision rate of simulated edits at that length: mixed ones,
+deletions only and insertions only.  Where ``MAX_TABLES`` tables do not reach the
+target, as for long items, every window of the lemma is verified.
 
 The items are the query set: they are sent to the workers in blocks of at most
 ``BLOCK_BYTES`` bytes, each block against all documents.  Nothing is shuffled.
@@ -35,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.session import reliable_checkpoint
+
 SIMILARITY = 0.8
 RECALL = 0.99
 SAMPLES = 2
 MAX_TABLES = 64
+LONG_WORDS = 128  # longer items are verified at every window of the lemma
 BLOCK_BYTES = 32 << 20
 WORDS = re.compile(r"\w+")
 
@@ -78,32 +83,53 @@ def embed(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: int
     return key
 
 
+def _edited(row, k: int, kinds, rng) -> list:
+    """(word, its place in ``row`` or -1) after ``k`` random edits of the given kinds (0 delete, 1 insert, 2 replace)."""
+    b = [(w, i) for i, w in enumerate(row)]
+    for _ in range(k):
+        kind, at = kinds[int(rng.integers(len(kinds)))], int(rng.integers(max(len(b), 1)))
+        if kind == 0 and b:
+            del b[at]
+        elif kind == 1:
+            b.insert(at, (np.uint64(rng.integers(1, 1 << 62)), -1))
+        elif b:
+            b[at] = np.uint64(rng.integers(1, 1 << 62)), -1
+    return b
+
+
 @lru_cache(maxsize=None)
 def tables_for(words: int, similarity: float, recall: float) -> int:
-    """Tables that reach ``recall`` for items of about ``words`` words with
-    the largest allowed number of random edits (simulated)."""
-    rng, n, k = np.random.default_rng([3, words]), 400, budget(words, similarity)
+    """Tables that reach ``recall`` for items of about ``words`` words with the
+    largest allowed number of edits, be they mixed, deletions or insertions
+    only (simulated); 0 if ``MAX_TABLES`` do not, so that the windows of the
+    q-gram lemma are verified without a filter."""
+    if words > LONG_WORDS:
+        return 0
+    rng, n, k, need = np.random.default_rng([3, words]), 200, budget(words, similarity), 1
     a = rng.integers(1, 1 << 62, (n, words), np.uint64)
-    rows = []
-    for row in a:
-        b = list(row)
-        for _ in range(k):
-            kind, at = rng.integers(3), int(rng.integers(max(len(b), 1)))
-            if kind == 0 and b:
-                del b[at]
-            elif kind == 1:
-                b.insert(at, np.uint64(rng.integers(1, 1 << 62)))
-            elif b:
-                b[at] = np.uint64(rng.integers(1, 1 << 62))
-        rows.append((b + [np.uint64(0)] * words)[:words])
-    left, right = a.ravel(), np.array(rows, np.uint64).ravel()
-    starts, size = np.arange(n) * words, np.full(n, words)
-    missed = np.ones(n, bool)
-    for t in range(MAX_TABLES):
-        missed &= embed(left, starts, size, t) != embed(right, starts, size, t)
-        if missed.mean() <= 1 - recall:
-            return t + 1
-    return MAX_TABLES
+    own = np.arange(n) * words, np.full(n, words)
+    width, q = 3 * words + 2 * k, gram_size(words)  # each stretch stands in other words
+    for kinds in ((0, 1, 2), (0,), (1,)):
+        text = rng.integers(1, 1 << 62, (n, width), np.uint64)
+        rows, starts = [], []
+        for i, (row, t) in enumerate(zip(a, text)):
+            b = _edited(row, k, kinds, rng)
+            t[words:words + len(b)] = [w for w, _ in b]
+            place = [o for _, o in b]
+            # every gram that has survived places a window, moved by the words that came or went before it
+            moves = {p - place[p] for p in range(len(b) - q + 1) if place[p] >= 0 and place[p:p + q] == list(range(place[p], place[p] + q))}
+            rows += [i] * len(moves)
+            starts += [i * width + words + m for m in sorted(moves)]
+        rows, starts = np.array(rows, np.int64), np.array(starts, np.int64)
+        met = np.zeros(n, bool)
+        for t in range(MAX_TABLES):
+            met[rows[embed(text.ravel(), starts, np.full(len(starts), words), t) == embed(a.ravel(), *own, t)[rows]]] = True
+            if met.mean() >= recall:
+                need = max(need, t + 1)
+                break
+        else:
+            return 0
+    return need
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -125,10 +151,15 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end
 
 
+def tables_of(lengths: list[int], similarity: float, recall: float) -> dict[int, int]:
+    """Tables for each length, simulated at the next multiple of eight."""
+    return {n: tables_for(-(-n // 8) * 8, similarity, recall) for n in set(lengths) if n}
+
+
 class Matcher:
     """The items of one block, ready to be searched in batches of texts."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float):
+    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float, tables: dict[int, int] | None = None):
         self.similarity = similarity
         self.items = []
         for item_id, text in sorted({(i, t) for i, t in items if t}):
@@ -150,8 +181,8 @@ class Matcher:
             mask[(g >> np.uint64(42)).astype(np.int64)] = True
             self.index[q] = (mask, g, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
         self.need = np.array([max(1, n - gram_size(n) + 1 - e * gram_size(n)) for n, e in zip(self.length, self.edits)])
-        size = [1 << max(3, int(n - 1).bit_length()) for n in self.length]
-        self.tables = np.array([tables_for(min(s, 128), similarity, recall) for s in size], np.int64)
+        tables = tables_of(self.length.tolist(), similarity, recall) if tables is None else tables
+        self.tables = np.array([tables[n] for n in self.length.tolist()], np.int64)
         self.keys = {}
 
     @staticmethod
@@ -225,7 +256,7 @@ class Matcher:
             return out
         last = edges[doc_of[start] + 1]
         size = np.minimum(self.length[item], last - start)
-        hit = np.zeros(len(start), bool)
+        hit = self.tables[item] == 0
         for t in range(int(self.tables[item].max())):
             todo = np.flatnonzero(~hit & (self.tables[item] > t))
             if not len(todo):
@@ -280,7 +311,7 @@ def _finder(shared, similarity: float, recall: float):
     def run(texts: pa.Array) -> pa.Array:
         if key not in _MATCHERS:
             _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(shared.value, similarity, recall)
+            _MATCHERS[key] = Matcher(shared.value[0], similarity, recall, shared.value[1])
         names = ("item_id", "first_word", "end_word", "edits", "similarity")
         return pa.array([[dict(zip(names, h)) for h in hits] for hits in _MATCHERS[key].search(texts.to_pylist())], _ARROW)
 
@@ -294,13 +325,15 @@ def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     items = items.where(F.col("t").isNotNull() & F.col("i").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
-    found = None
-    out = docs
+    out = docs.withColumn("_items", F.array().cast(_HIT))
     for b in range(blocks):
         # one block of the query set: its expected size is at most BLOCK_BYTES
         own = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(own)
+        tables = tables_of([len(WORDS.findall(t.lower())) for _, t in own], similarity, recall)
+        shared = docs.sparkSession.sparkContext.broadcast((own, tables))
         finder = _finder(shared, similarity, recall)
-        hits = F.arrow_udf(finder, _HIT)(F.col(text_col).cast("string"))
-        found = hits if found is None else F.concat(found, hits)
-    return out.withColumn("_items", F.array_sort(found))
+        out = out.withColumn("_items", F.concat("_items", F.arrow_udf(finder, _HIT)(F.col(text_col).cast("string"))))
+        if blocks > 1:  # a pass per block: a worker builds each matcher once, and holds one
+            out = reliable_checkpoint(out)
+            shared.unpersist()
+    return out.withColumn("_items", F.array_sort("_items"))

@@ -1,6 +1,7 @@
 """Decontamination against a brute-force alignment of all items and texts."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate as dc
@@ -63,3 +64,33 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(docs, none).first()._items == []
     assert dc.contaminated(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("words", [20, 59, 100, 128, 256, 400])
+@pytest.mark.parametrize("kind", ["delete", "insert"])
+def test_one_sided_edits_are_found(words, kind):
+    """A fifth of the words deleted, or as many inserted: at least 19 of 20 are found."""
+    rng = random.Random(words)
+    items = [(i, " ".join(f"v{rng.randrange(5000)}" for _ in range(words))) for i in range(20)]
+    matcher = dc.Matcher(items, dc.SIMILARITY, dc.RECALL)
+    found = 0
+    for i, text in items:
+        w = text.split()
+        for at in sorted(rng.sample(range(words), dc.budget(words)), reverse=True):
+            if kind == "delete":
+                del w[at]
+            else:
+                w.insert(at, f"n{rng.randrange(5000)}")
+        around = [f"v{rng.randrange(5000)}" for _ in range(300)]
+        found += i in [h[0] for h in matcher.search([" ".join(around[:150] + w + around[150:])])[0]]
+    assert found >= 19
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    prepare(spark)
+    bench = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}") for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x y a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} z") for i in range(0, 30, 3)] + [(99, None)], "doc_id long, text string")
+    one = {r.doc_id: r._items for r in dc.contaminated(docs, bench).collect()}
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 200)
+    assert {r.doc_id: r._items for r in dc.contaminated(docs, bench).collect()} == one
+    assert all([x.item_id for x in found] == ([i] if i < 99 else []) for i, found in one.items())
