@@ -22,9 +22,11 @@ sets link if their Jaccard similarity is ``percent`` or more.
    sets.  Checked links give first components.  Groups whose other members
    still lie in several components are compared among themselves: one group
    per distinct list of members, in blocks of ``BLOCK`` members, pairs of one
-   component skipped.  Members of larger groups are first keyed anew by the
-   signatures of a second, independent cut, so only sets that agree in both
-   meet.
+   component skipped.  Members of groups beyond ``CUT`` are first keyed anew by
+   the signatures of a second, independent cut, so only sets that agree in
+   both meet.  Blocks hold sketches (parities of the set's elements by bits of
+   their hash: the distance of two sketches is at most that of the sets and
+   little less); pairs near enough by them are checked on the whole sets.
 
 Every link between different sets is thus found or implied by its component.
 
@@ -52,7 +54,7 @@ from ledgerline.session import reliable_checkpoint, shuffle_partitions
 
 PIECE_BYTES = 4 << 20  # of text, hashed at a time
 FINE = 7  # up to this k parts are cut into four subsets
-BLOCK = 64
+BLOCK, CUT = 256, 2048
 WALK_ROWS = 1 << 16
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -173,11 +175,50 @@ def _sets(shingle: int, percent: int, whole: bool):
             np.add.at(keys[1], own, _mix(token * _M[2] + np.uint64(7)))
             columns = [batch.column(0), pa.array(np.bincount(own, minlength=len(texts)))]
             if whole:
-                columns += [_lists(own, token, len(texts))]
+                cuts = np.split(token, np.searchsorted(own, np.arange(1, len(texts))))
+                columns += [_lists(own, token, len(texts)), pa.array([_sketch(c) for c in cuts], pa.binary())]
             else:
                 columns += [pa.array(k.view(np.int64)) for k in keys]
             yield pa.RecordBatch.from_arrays([*columns, _lists(doc, sig, len(texts))],
-                                             names=["id", "n", "shingles", "sigs"] if whole else ["id", "n", "k1", "k2", "sigs"])
+                                             names=["id", "n", "shingles", "sketch", "sigs"] if whole else ["id", "n", "k1", "k2", "sigs"])
+    return run
+
+
+def _sketch(token: np.ndarray) -> bytes:
+    """Parities of the set's elements by the low bits of their hash, two to four bits an element."""
+    size = 1 << max(6, int(2 * len(token) - 1).bit_length())
+    return np.packbits(np.bincount((token & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _fold(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch at ``size`` bytes: the halves' parities add up."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return x
+
+
+def _may_link(percent: int):
+    """Pairs of members of different components in a pair of blocks (``y`` null:
+    inside ``x``) whose sketches are near enough for a link."""
+    def run(batches):
+        for batch in batches:
+            for j in range(batch.num_rows):
+                sides = [c[j].as_py() for c in (batch.column(0), batch.column(1))]
+                size = min(len(r["sketch"]) for side in sides if side is not None for r in side)
+                blocks = [(np.array([r["id"] for r in side]), np.array([r["root"] for r in side]), np.array([r["n"] for r in side]),
+                           np.stack([_fold(r["sketch"], size) for r in side])) for side in sides if side is not None]
+                own, others = blocks[0], blocks[-1]
+                found = []
+                for p in range(len(own[0])):
+                    end = p if len(blocks) == 1 else len(others[0])
+                    ids, roots, n, bits = (x[:end] for x in others)
+                    differ = np.bitwise_count(bits ^ own[3][p]).sum(axis=1, dtype=np.int64)
+                    near = (roots != own[1][p]) & (100 * np.minimum(n, own[2][p]) >= percent * np.maximum(n, own[2][p]))
+                    near &= differ * (100 + percent) <= (n + own[2][p]) * (100 - percent)
+                    found += [(int(own[0][p]), int(i)) for i in ids[near]]
+                yield pa.RecordBatch.from_arrays([pa.array([max(f) for f in found], pa.int64()), pa.array([min(f) for f in found], pa.int64())],
+                                                 names=["a", "b"])
     return run
 
 
@@ -226,40 +267,6 @@ def _walk(batches):
         yield out(np.array([last[0]]), np.array([last[2]]), np.array([last[2]]), True)
 
 
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    small, large = sorted((len(x), len(y)))
-    if 100 * small < percent * large:
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (small + large - both)
-
-
-def _compare(percent: int):
-    """Links inside pairs of blocks of members (``y`` null: inside ``x``)."""
-    def run(batches):
-        for batch in batches:
-            for j in range(batch.num_rows):
-                sides = [c[j].as_py() for c in (batch.column(0), batch.column(1))]
-                root: dict = {}
-
-                def find(i):
-                    while root.setdefault(i, i) != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                blocks = [[(r["id"], r["root"], np.array(r["shingles"], np.int64)) for r in side] for side in sides if side is not None]
-                found = []
-                for p, (a, ra, x) in enumerate(blocks[0]):
-                    for b, rb, y in blocks[1] if len(blocks) > 1 else blocks[0][:p]:
-                        if ra != rb and find(ra) != find(rb) and _similar(x, y, percent):
-                            root[find(ra)] = find(rb)
-                            found.append((a, b))
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())],
-                                                 names=["a", "b"])
-    return run
-
-
 def _open_groups(rows: DataFrame) -> DataFrame:
     """``key``, ``n``: groups of (``key``, ``id``, ``root``) rows in several
     components, one for each list of members."""
@@ -269,6 +276,27 @@ def _open_groups(rows: DataFrame) -> DataFrame:
     return groups.where("lo < hi").groupBy("list", "n", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n")
 
 
+def _block_pairs(rows: DataFrame, whole: DataFrame, parts: int) -> DataFrame:
+    """``x``, ``y``: all pairs of blocks of the groups of (``key``, ``id``, ``root``, ``n``)
+    rows, members with their sketches; ``y`` is null for a block with itself."""
+    blocks = (rows.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")).drop("n")
+                  .join(whole.select("id", "n", "sketch"), "id")
+                  .groupBy("key", "block").agg(F.collect_list(F.struct("id", "root", "n", "sketch")).alias("rows")))
+    blocks = reliable_checkpoint(blocks)
+    pairs = (blocks.select("key", F.col("block").alias("i"), F.col("rows").alias("x"))
+                   .join(blocks.select("key", F.col("block").alias("j"), F.col("rows").alias("y")), "key").where("i <= j"))
+    return pairs.withColumn("y", F.when(F.col("i") < F.col("j"), F.col("y"))).repartition(parts, "key", "i", "j").select("x", "y")
+
+
+def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The (``a``, ``b``) pairs whose whole sets are similar."""
+    side = lambda c: whole.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("shingles").alias("s" + c))
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return (pairs.join(side("a"), "a").join(side("b"), "b").where(near)
+                 .where(F.when(near, 100 * both >= percent * (F.col("na") + F.col("nb") - both))).select("a", "b"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                        percent: int = 90) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` (smallest id reachable by
@@ -304,14 +332,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                 .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     wanted = small_side(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), 1_000_000)
     whole = reliable_checkpoint(docs.join(wanted, "id").select("id", "text")
-                                    .mapInArrow(_sets(shingle, percent, True), "id long, n long, shingles array<long>, sigs array<long>"))
-    side = lambda c: whole.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("shingles").alias("s" + c))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = (pairs.join(side("a"), "a").join(side("b"), "b")
-                  .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-                  .where(F.when(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"),
-                                100 * both >= percent * (F.col("na") + F.col("nb") - both)))
-                  .select("a", "b"))
+                                    .mapInArrow(_sets(shingle, percent, True), "id long, n long, shingles array<long>, sketch binary, sigs array<long>"))
+    links = _links(pairs, whole, percent)
     first = reliable_checkpoint(components(links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))))
 
     # groups whose members, but for the one that all have met, lie in several components
@@ -320,22 +342,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                      .select("key", "id", F.coalesce("root", "id").alias("root")))
     opened = reliable_checkpoint(_open_groups(other))
     rows = other.join(opened, "key")
-    second = (rows.where(F.col("n") > BLOCK).join(whole.select("id", "sigs"), "id")
+    second = (rows.where(F.col("n") > CUT).join(whole.select("id", "sigs"), "id")
                   .select("key", "id", "root", F.explode("sigs").alias("sig"))
                   .select(F.xxhash64("key", "sig").alias("key"), "id", "root").distinct())
     second = reliable_checkpoint(second)
-    rows = (rows.where(F.col("n") <= BLOCK)
+    rows = (rows.where(F.col("n") <= CUT)
                 .unionByName(second.join(_open_groups(second), "key").select(rows.columns)))
-    blocks = (rows.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-                  .join(whole.select("id", "shingles"), "id")
-                  .groupBy("key", "block").agg(F.collect_list(F.struct("id", "root", "shingles")).alias("rows")))
-    blocks = reliable_checkpoint(blocks)
-    duos = (blocks.select("key", F.col("block").alias("i"), F.col("rows").alias("x"))
-                  .join(blocks.select("key", F.col("block").alias("j"), F.col("rows").alias("y")), "key").where("i <= j")
-                  .withColumn("y", F.when(F.col("i") < F.col("j"), F.col("y"))))
-    late = duos.repartition(parts, "key", "i", "j").select("x", "y").mapInArrow(_compare(percent), "a long, b long")
-    with arrow_rows(spark, 16):
-        late = reliable_checkpoint(late)
+    with arrow_rows(spark, 64):
+        near = reliable_checkpoint(_block_pairs(rows, whole, parts).mapInArrow(_may_link(percent), "a long, b long").distinct())
+    late = _links(near, whole, percent)
     found = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
     return (sets.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left")
                 .select("id", "n_shingles", F.coalesce("root", "id").alias("component_id")))

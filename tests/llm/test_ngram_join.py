@@ -71,7 +71,8 @@ def test_components_match_brute_force(spark):
     assert result(df) == brute(rows)
 
 
-def test_hot_groups_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("cut", [4, 1000])
+def test_hot_groups_in_blocks(spark, monkeypatch, cut):
     """Sets around the threshold, which share many signatures, in blocks of three."""
     rng = random.Random(4)
     base = [f"w{i}" for i in range(60)]
@@ -83,6 +84,7 @@ def test_hot_groups_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     prepare(spark)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "CUT", cut)
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
@@ -102,6 +104,17 @@ def test_similar_sets_share_a_signature(percent):
                 assert np.intersect1d(sig[doc == 0], sig[doc == 1]).size
 
 
+def test_sketches_are_no_further_than_the_sets():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 600))).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.integers(0, len(x)):], rng.integers(0, 1 << 63, int(rng.integers(1, 60))).astype(np.uint64)]))
+        a, b = ngram_join._sketch(x), ngram_join._sketch(y)
+        size = min(len(a), len(b))
+        differ = int(np.bitwise_count(ngram_join._fold(a, size) ^ ngram_join._fold(b, size)).sum())
+        assert differ <= len(np.setxor1d(x, y))
+
+
 def test_walk_over_batches_and_borders(monkeypatch):
     rng = random.Random(6)
     rows = sorted({(rng.randrange(40), rng.randrange(30)) for _ in range(200)})
