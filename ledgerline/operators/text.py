@@ -98,22 +98,68 @@ def _finish_scores(x: DataFrame, keep) -> DataFrame:
         F.when(nh == 0, 0.0).otherwise(F.col("_subj") / nh).alias("subjectivity"))
 
 
-def sentiment_scores(docs: DataFrame, text_col: str, id_col: str = "doc_id") -> DataFrame:
-    """Batch scorer: every word of every text is exploded, looked up in the
-    lexicon by a broadcast hash join (fixed-size side) and summed per
-    document with map-side partial aggregation — all inside whole-stage
-    codegen.  The result is joined back to the document's other columns
-    (not its text) on the unique id.  Same numbers as the row-wise form."""
-    words = docs.select(id_col, F.explode_outer(T.words(F.lower(F.col(text_col)))).alias("_w"))
-    j = words.join(F.broadcast(lexicon_table(docs.sparkSession)), "_w", "left")
+# How much a booster adds at one, two and three words' distance,
+# what a negation among the three words before makes of a valence, and our own
+# small list of both.
+BOOST_BY_DISTANCE = (1.0, 0.95, 0.9)
+NEGATED = -0.74
+MODIFIERS = {"very": 0.293, "really": 0.293, "extremely": 0.293, "so": 0.293, "totally": 0.293, "most": 0.293, "too": 0.293,
+             "slightly": -0.293, "somewhat": -0.293, "barely": -0.293, "hardly": -0.293, "almost": -0.293,
+             "not": None, "no": None, "never": None, "without": None, "nor": None, "cannot": None, "pas": None, "nicht": None, "nunca": None}
+BROADCAST_WORDS = 100_000
+
+
+def modifier_table(spark):
+    """Boosters (with what they add) and negations as a DataFrame."""
+    return spark.createDataFrame([(k, v, v is None) for k, v in MODIFIERS.items()], "word string, boost double, negates boolean")
+
+
+def _word_table(df: DataFrame, name: str, **columns) -> DataFrame:
+    """One row per lower-case word; a broadcast hint only if its counted size allows one."""
+    x = df.where(F.col("word").isNotNull()).groupBy(F.lower("word").alias(name)).agg(*[c.alias(n) for n, c in columns.items()])
+    x = reliable_checkpoint(x)
+    return F.broadcast(x) if x.count() <= BROADCAST_WORDS else x
+
+
+def sentiment_scores(docs: DataFrame, text_col: str, id_col: str = "doc_id", lexicon: DataFrame | None = None,
+                     modifiers: DataFrame | None = None) -> DataFrame:
+    """Batch scorer: the words of every text are looked up in a lexicon
+    (``word``, ``valence``, ``subjectivity``; our own small one by default) and
+    summed per document with map-side partial aggregation.  The result is
+    joined back to the document's other columns (not its text) on the unique id.
+
+    With ``modifiers`` (``word``, ``boost``, ``negates``) a booster among the three
+    words before a hit adds its boost to the size of the valence, less with
+    distance, and a negation there turns the valence round.  A repeated word of
+    either table counts with its mean valence or boost; null valences are no hits."""
+    if lexicon is None:
+        lex = F.broadcast(lexicon_table(docs.sparkSession))  # fixed size
+    else:
+        lex = _word_table(lexicon.where(F.col("valence").isNotNull()), "_w", _v=F.avg("valence"), _sj=F.coalesce(F.avg("subjectivity"), F.lit(0.0)))
+    words = T.words(F.lower(F.col(text_col)))
     v = F.col("_v")
-    agg = j.groupBy(id_col).agg(
-        F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"),
-        F.coalesce(F.sum(F.when(v > 0, v + 1)), F.lit(0.0)).alias("_ps"),
-        F.coalesce(F.sum(F.when(v < 0, v - 1)), F.lit(0.0)).alias("_ns"),
-        (F.count("_w") - F.count(v)).cast("double").alias("_neu"),
-        F.count(v).alias("_nh"),
-        F.coalesce(F.sum("_sj"), F.lit(0.0)).alias("_subj"))
+    sums = [F.coalesce(F.sum(v), F.lit(0.0)).alias("_s"), F.coalesce(F.sum(F.when(v > 0, v + 1)), F.lit(0.0)).alias("_ps"),
+            F.coalesce(F.sum(F.when(v < 0, v - 1)), F.lit(0.0)).alias("_ns")]
+    subj = F.coalesce(F.sum("_sj"), F.lit(0.0)).alias("_subj")
+    if modifiers is None:
+        x = docs.select(id_col, F.explode_outer(words).alias("_w")).join(lex, "_w", "left")
+        agg = x.groupBy(id_col).agg(*sums, (F.count("_w") - F.count(v)).cast("double").alias("_neu"), F.count(v).alias("_nh"), subj)
+    else:
+        mod = _word_table(modifiers, "_m", _b=F.avg("boost"), _n=F.max(F.coalesce("negates", F.lit(False))))
+        listed = docs.select(id_col, F.coalesce(words, F.array().cast("array<string>")).alias("_ws"))
+        before = lambda k: F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.col("_ws"))
+        rows = listed.select(id_col, F.explode_outer(F.arrays_zip(F.col("_ws").alias("w"), *[before(k).alias(f"p{k}") for k in (1, 2, 3)])).alias("_z"))
+        hits = rows.select(id_col, F.col("_z.w").alias("_w"), *[F.col(f"_z.p{k}").alias(f"_p{k}") for k in (1, 2, 3)]).join(lex, "_w")
+        boost, negated = F.lit(0.0), F.lit(False)
+        for k, share in enumerate(BOOST_BY_DISTANCE, 1):
+            hits = hits.join(mod.select(F.col("_m").alias(f"_p{k}"), F.col("_b").alias(f"_b{k}"), F.col("_n").alias(f"_n{k}")), f"_p{k}", "left")
+            boost = boost + F.coalesce(F.col(f"_b{k}"), F.lit(0.0)) * share
+            negated = negated | F.coalesce(F.col(f"_n{k}"), F.lit(False))
+        value = F.col("_v") + F.signum("_v") * boost
+        hits = hits.withColumn("_v", F.when(negated, value * NEGATED).otherwise(value))
+        agg = hits.groupBy(id_col).agg(*sums, F.count(v).alias("_nh"), subj)
+        agg = listed.select(id_col, F.size("_ws").alias("_nw")).join(agg, id_col, "left").fillna(0.0, ["_s", "_ps", "_ns", "_subj"]).fillna(0, ["_nh"])
+        agg = agg.withColumn("_neu", (F.col("_nw") - F.col("_nh")).cast("double"))
     rest = docs.drop(text_col)
     scored = _finish_scores(agg, [id_col])
     return rest.join(scored, id_col) if len(rest.columns) > 1 else scored

@@ -208,6 +208,36 @@ def q_sentiment_lexicon(spark, d):
     return s.select("doc_id", *[F.round(c, 6).alias(c) for c in ("neg", "neu", "pos", "compound")])
 
 
+_MODIFIED = "CASE doc_id % 6 WHEN 0 THEN ' it is not good' WHEN 1 THEN ' this was really very bad' WHEN 2 THEN ' never a problem, so slightly happy' " \
+            "WHEN 3 THEN ' NOT the most terrible, great' ELSE '' END"
+_MOD_ROWS = ", ".join(f"('{w}', {0.0 if b is None else b}, {str(b is None).lower()})" for w, b in TX.MODIFIERS.items())
+
+
+@register("sentiment_negation", sql=f"""
+WITH lex(w, v, sj) AS (VALUES {", ".join(f"('{w}', {float(v)}, {float(sj)})" for w, (v, sj) in TX.LEXICON.items())}),
+mods(m, b, neg) AS (VALUES {_MOD_ROWS}),
+t AS (SELECT doc_id, regexp_extract_all(lower(text || {_MODIFIED}), '{_WORD}+') AS ws FROM {PROFILES}),
+x AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, ws FROM t),
+h AS (SELECT x.doc_id, v, sj, coalesce(m1.b, 0.0) + coalesce(m2.b, 0.0) * 0.95 + coalesce(m3.b, 0.0) * 0.9 AS b,
+             coalesce(m1.neg, false) OR coalesce(m2.neg, false) OR coalesce(m3.neg, false) AS neg
+      FROM x JOIN lex ON lex.w = x.w LEFT JOIN mods m1 ON i > 1 AND m1.m = ws[i - 1]
+      LEFT JOIN mods m2 ON i > 2 AND m2.m = ws[i - 2] LEFT JOIN mods m3 ON i > 3 AND m3.m = ws[i - 3]),
+y AS (SELECT doc_id, sj, (v + sign(v) * b) * CASE WHEN neg THEN -0.74 ELSE 1.0 END AS v FROM h),
+g AS (SELECT doc_id, sum(v) AS s, coalesce(sum(v + 1) FILTER (v > 0), 0.0) AS ps, coalesce(sum(v - 1) FILTER (v < 0), 0.0) AS ns, count(*) AS nh, sum(sj) AS subj
+      FROM y GROUP BY doc_id),
+f AS (SELECT t.doc_id, coalesce(s, 0.0) AS s, coalesce(ps, 0.0) AS ps, coalesce(ns, 0.0) AS ns, coalesce(nh, 0) AS nh, coalesce(subj, 0.0) AS subj,
+             len(ws) - coalesce(nh, 0) AS neu FROM t LEFT JOIN g USING (doc_id))
+SELECT doc_id, round(CASE WHEN ps - ns + neu = 0 THEN 0.0 ELSE -ns / (ps - ns + neu) END, 6) AS neg, round(CASE WHEN ps - ns + neu = 0 THEN 0.0 ELSE ps / (ps - ns + neu) END, 6) AS pos,
+       round(s / sqrt(s * s + 15.0), 6) AS compound, round(CASE WHEN nh = 0 THEN 0.0 ELSE least(1.0, greatest(-1.0, s / 4.0 / nh)) END, 6) AS polarity,
+       round(CASE WHEN nh = 0 THEN 0.0 ELSE subj / nh END, 6) AS subjectivity FROM f""")
+def q_sentiment_negation(spark, d):
+    """Scores by a lexicon table with boosters and negations in the three words before a hit."""
+    lexicon = TX.lexicon_table(spark).toDF("word", "valence", "subjectivity")
+    x = profiles(spark, d).select("doc_id", F.concat("text", F.expr(_MODIFIED)).alias("text"))
+    s = TX.sentiment_scores(x, "text", lexicon=lexicon, modifiers=TX.modifier_table(spark))
+    return s.select("doc_id", *[F.round(c, 6).alias(c) for c in ("neg", "pos", "compound", "polarity", "subjectivity")])
+
+
 @register("sentiment_analyze", sql=_SENT_CTE + """
 SELECT doc_id, sentiment_label, round(confidence, 5) AS confidence, round(polarity, 5) AS polarity,
        round(joy, 5) AS joy, round(sadness, 5) AS sadness, round(anger, 5) AS anger, round(surprise, 5) AS surprise,
