@@ -294,20 +294,25 @@ def tfidf_vectors(terms: DataFrame, id_cols) -> DataFrame:
     w = terms.join(dfreq.hint("merge"), "term").crossJoin(n) \
         .withColumn("w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*ids)))
-    return w.select(*ids, "term", (F.col("w") / norm).alias("w"))
+    return w.select(*ids, "term", (F.col("w") / norm).alias("w"), "_df")
 
 
-def tfidf_similarity(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: str,
-                     d_text: str) -> DataFrame:
-    """Cosine similarity of every query document to every document that
-    shares at least one term, fitted on the union of both collections."""
+def _fitted_vectors(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: str, d_text: str) -> DataFrame:
+    """Written (``_src`` q or d, ``_id``, ``term``, ``w``, ``_df``) rows, fitted on the union of both collections."""
     qt = doc_terms(queries.select(F.lit("q").alias("_src"), F.col(q_id).alias("_id"), F.col(q_text).alias("_x")),
                    ["_src", "_id"], "_x")
     dt = doc_terms(docs.select(F.lit("d").alias("_src"), F.col(d_id).alias("_id"), F.col(d_text).alias("_x")),
                    ["_src", "_id"], "_x")
     # every text is tokenised once; frequencies, norms and both sides read the written tables
     terms = reliable_checkpoint(qt.unionByName(dt))
-    vec = reliable_checkpoint(tfidf_vectors(terms, ["_src", "_id"]))
+    return reliable_checkpoint(tfidf_vectors(terms, ["_src", "_id"]))
+
+
+def tfidf_similarity(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: str,
+                     d_text: str) -> DataFrame:
+    """Cosine similarity of every query document to every document that
+    shares at least one term, fitted on the union of both collections."""
+    vec = _fitted_vectors(queries, q_id, q_text, docs, d_id, d_text)
     qv = vec.filter(F.col("_src") == "q").select(F.col("_id").alias(q_id), "term", F.col("w").alias("_wq"))
     dv = vec.filter(F.col("_src") == "d").select(F.col("_id").alias(d_id), "term", F.col("w").alias("_wd"))
     # term equi-join: AQE broadcasts the query vectors only when their
@@ -315,6 +320,42 @@ def tfidf_similarity(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame
     return qv.join(dv, "term").groupBy(q_id, d_id).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("score"))
 
 
+def top_similar(queries: DataFrame, q_id: str, q_text: str, docs: DataFrame, d_id: str, d_text: str, n: int = 5,
+                min_score: float = 0.0, keep=None, digits: int = 9) -> DataFrame:
+    """(``q_id``, ``d_id``, ``score``, ``rank``): the ``n`` most similar documents of every query with
+    a score (rounded to ``digits``) of ``min_score`` or more, ties by id, without a table of all pairs.
+
+    A query's terms are taken rarest first.  Those that make up half of its
+    squared length give partial scores; as no weight is negative, the n-th best
+    of them is a lower bound of the n-th best score.  A document that shares
+    only terms behind a place has at most the length of the query's vector from
+    there on, so terms behind the place where that falls below the bound raise no
+    candidates, and candidates whose partial score and that length stay below
+    it go.  What is left is scored on the remaining terms.  ``keep`` may filter
+    (``q_id``, ``d_id``) rows by conditions of its own; it counts before the ranking."""
+    keep = keep or (lambda pairs: pairs)
+    vec = _fitted_vectors(queries, q_id, q_text, docs, d_id, d_text)
+    own = Window.partitionBy(q_id).orderBy("_df", "term")  # the terms of one query
+    q = vec.filter(F.col("_src") == "q").select(F.col("_id").alias(q_id), "term", F.col("w").alias("_wq"), "_df")
+    q = reliable_checkpoint(q.withColumn("_left", F.sum(F.col("_wq") * F.col("_wq")).over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
+    d = vec.filter(F.col("_src") == "d").select(F.col("_id").alias(d_id), "term", F.col("w").alias("_wd"))
+    part = F.sum(F.col("_wq") * F.col("_wd")).alias("_part")
+    slack = 1e-7  # rounding of the sums and of the ranked score
+    seeds = keep(q.filter(F.col("_left") > 0.5).join(d, "term").groupBy(q_id, d_id).agg(part))
+    best = stats.top_n_per_key(seeds.select(q_id, d_id, "_part"), q_id, [F.desc("_part"), F.col(d_id)], n, rank_col="_r")
+    bounds = best.groupBy(q_id).agg(F.max(F.when(F.col("_r") == n, F.col("_part"))).alias("_bound"))
+    q = reliable_checkpoint(q.join(bounds, q_id, "left").withColumn("_bound", F.greatest(F.coalesce("_bound", F.lit(0.0)), F.lit(float(min_score))) - slack)
+                             .withColumn("_first", F.sqrt("_left") >= F.col("_bound")))
+    rest = q.filter(~F.col("_first")).groupBy(q_id).agg(F.sqrt(F.max("_left")).alias("_rest"))
+    found = q.filter("_first").join(d, "term").groupBy(q_id, d_id).agg(part, F.max("_bound").alias("_bound"))
+    found = found.join(rest, q_id, "left").filter(F.col("_part") + F.coalesce("_rest", F.lit(0.0)) >= F.col("_bound"))
+    found = reliable_checkpoint(keep(found.select(q_id, d_id, "_part")).select(q_id, d_id, "_part"))
+    late = found.join(q.filter(~F.col("_first")).select(q_id, "term", "_wq"), q_id).join(d, [d_id, "term"]) \
+                .groupBy(q_id, d_id).agg(F.sum(F.col("_wq") * F.col("_wd")).alias("_late"))
+    scored = found.join(late, [q_id, d_id], "left").select(q_id, d_id, F.round(F.col("_part") + F.coalesce("_late", F.lit(0.0)), digits).alias("score"))
+    return top_matches(scored, q_id, d_id, n, min_score)
+
+
 def top_matches(scores: DataFrame, q_id: str, d_id: str, n: int = 5, min_score: float = 0.0) -> DataFrame:
     """Top-n documents per query with score ≥ min_score (ties by id)."""
     s = scores.filter(F.col("score") >= min_score)

@@ -88,7 +88,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9)
 def q_cv_match(spark, d):
     """The five best candidates of every job among those that pass its minimum
     experience and education level, with matched and missing skills."""
-    s = q_text.similarity(spark, d).withColumn("score", F.round("score", 9)).filter(F.col("score") >= 0.05)
     text = q_text.phrased("item_id")
     req = table(spark, d, "benchmark").select(
         "item_id", T.extract_skills(text).alias("required_skills"), F.when(F.col("item_id") % 2 == 0, 3.0).alias("min_experience"),
@@ -96,8 +95,13 @@ def q_cv_match(spark, d):
     t = F.col("text")
     prof = q_text.profiles(spark, d).select("doc_id", T.extract_skills(t).alias("skills"),
                                             T.experience_years(t).alias("experience_years"), T.education(t).alias("education"))
-    m = TX.match_requirements(s.join(req, "item_id").join(prof, "doc_id")).filter("passes")
-    top = TX.top_matches(m, "item_id", "doc_id", 5, 0.05)
+    req, prof = reliable_checkpoint(req), reliable_checkpoint(prof)
+
+    def matched(pairs):
+        return TX.match_requirements(pairs.join(req, "item_id").join(prof, "doc_id"))
+
+    top = matched(TX.top_similar(table(spark, d, "benchmark"), "item_id", "text", q_text.docs(spark, d), "doc_id", "text", 5, 0.05,
+                                 keep=lambda pairs: matched(pairs).filter("passes")))
     return top.select("item_id", "doc_id", F.round("score", 6).alias("score"), "experience_match", "education_match",
                       F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
 

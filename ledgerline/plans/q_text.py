@@ -302,8 +302,8 @@ SELECT item_id, doc_id, rank FROM
   (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank
    FROM sim WHERE score >= 0.05) WHERE rank <= 5""")
 def q_cv_topn(spark, d):
-    s = similarity(spark, d).withColumn("score", F.round("score", 9))
-    return TX.top_matches(s, "item_id", "doc_id", 5, 0.05).select("item_id", "doc_id", F.col("rank").cast("long"))
+    s = TX.top_similar(table(spark, d, "benchmark"), "item_id", "text", docs(spark, d), "doc_id", "text", 5, 0.05)
+    return s.select("item_id", "doc_id", F.col("rank").cast("long"))
 
 
 @register("cv_analyze", sql=f"""
