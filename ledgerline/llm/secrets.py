@@ -13,10 +13,15 @@ standard normal for random characters:
 Their squares add up to a score, small for random and large for written text.
 How small written text gets at a length is measured on the corpus itself: runs
 of letters only (16 or more) are the reference, all of them, by length class;
-a class also takes the shorter ones, whose scores are smaller.  Within each
-length class the Benjamini-Hochberg rule at rate ``fdr`` is applied to the
+a class also takes the shorter ones, whose scores are smaller.  A class with
+fewer than ``LEAST_RUNS`` of them in the whole corpus takes the words of a fixed
+list as well, so that a corpus with few long words has a reference too.
+Within each length class the Benjamini-Hochberg rule at rate ``fdr`` is applied to the
 empirical p-values, from a histogram of scores with a fixed number of cells.
 
+Runs of letters only are the reference and never reported: a key without a
+digit or sign cannot be told from a long word by these tests.
+
 Defined cases: a null or empty text has no spans; repeated rows repeat; an
 empty table gives an empty result; extra columns pass through, own columns are
 under the struct ``_secrets``.  Offsets are code points, end exclusive.
@@ -38,7 +43,12 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 MIN_RANDOM = 20
 STRATA = (24, 32, 48, 1 << 30)  # lengths below each bound form a class
 CELLS, CELL = 46, 0.25  # scores up to 11.3: the chi-squared 1 % point for three squares
-_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LEAST_RUNS = 400
+# fixed values: parts of long words; every pair and triple of them is a word of the reference
+PARTS = ("international", "counter", "electro", "magnetic", "responsibility", "micro", "biological", "incomprehen", "sibility", "mis",
+         "interpretation", "pharma", "ceutical", "thermo", "dynamics", "over", "simplification", "neuro", "transmission", "auto",
+         "correlation", "hydro", "mechanical", "characteristic")
+_DIGITS, _LOWER, _UPPER =_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (("^[0-9]+$", _DIGITS), ("^[0-9a-f]+$", _DIGITS + _LOWER[:6]), ("^[0-9A-F]+$", _DIGITS + _UPPER[:6]),
              ("^[A-Z2-7]+$", _UPPER + _DIGITS[2:8]), ("^[a-z]+$", _LOWER), ("^[0-9a-z]+$", _DIGITS + _LOWER),
              ("^[0-9A-Z]+$", _DIGITS + _UPPER), ("^[A-Za-z]+$", _UPPER + _LOWER),
@@ -126,22 +136,34 @@ def scan(docs: DataFrame, text_col: str = "text", prefix: str = "_ll6_") -> Data
         F.least(F.floor(_score(c["t"]) / CELL), F.lit(CELLS)).cast("int").alias("cell"))))
 
 
+def fixed_runs(spark) -> DataFrame:
+    """``stratum``, ``role`` 3, ``cell``, ``n`` of the words of the fixed list."""
+    part = spark.range(len(PARTS)).select(F.element_at(F.array(*[F.lit(p) for p in PARTS]), F.col("id").cast("int") + 1).alias("p"))
+    two = part.join(part.withColumnRenamed("p", "q"), F.col("p") != F.col("q")).select(F.concat("p", "q").alias("t"), "q")
+    three = two.join(part, F.col("p") != F.col("q")).select(F.concat("t", "p").alias("t"))
+    words = two.select("t").unionByName(three).where(F.length("t") >= MIN_RANDOM)  # some thousand words
+    return words.select(_stratum(F.length("t")).alias("stratum"), F.lit(3).alias("role"),
+                        F.least(F.floor(_score(F.col("t")) / CELL), F.lit(CELLS)).cast("int").alias("cell")) \
+                .groupBy("stratum", "role", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cut_offs(scanned: DataFrame, fdr: float = 0.05, prefix: str = "_ll6_") -> dict[int, int]:
     """Length class -> last histogram cell that the Benjamini-Hochberg rule
     accepts.  Over all candidates; at most ``len(STRATA)`` rows are fetched."""
     spark = scanned.sparkSession
     hist = (scanned.select(F.explode(prefix + "cand").alias("c")).groupBy("c.stratum", "c.role", "c.cell")
-                   .agg(F.count(F.lit(1)).alias("n")))
+                   .agg(F.count(F.lit(1)).alias("n")).unionByName(fixed_runs(spark)))
     grid = spark.range(len(STRATA) * (CELLS + 1)).select(
         (F.col("id") / (CELLS + 1)).cast("int").alias("stratum"), (F.col("id") % (CELLS + 1)).cast("int").alias("cell"))
     both = hist.groupBy("stratum", "cell").agg(
-        F.sum(F.when(F.col("role") == 0, F.col("n"))).alias("ref"), F.sum(F.when(F.col("role") == 1, F.col("n"))).alias("hyp"))
-    full = grid.join(both, ["stratum", "cell"], "left").fillna(0, ["ref", "hyp"])
+        *[F.sum(F.when(F.col("role") == r, F.col("n"))).alias(c) for r, c in ((0, "ref"), (1, "hyp"), (3, "fixed"))])
+    full = grid.join(both, ["stratum", "cell"], "left").fillna(0, ["ref", "hyp", "fixed"])
     # bounded windows: the grid has len(STRATA) * (CELLS + 1) rows at any input size
     up = Window.partitionBy("cell").orderBy("stratum")
     within = Window.partitionBy("stratum").orderBy("cell")
     whole = Window.partitionBy("stratum")
-    rule = (full.withColumn("ref", F.sum("ref").over(up))
+    rule = (full.withColumn("ref", F.sum("ref").over(up)).withColumn("fixed", F.sum("fixed").over(up))
+                .withColumn("ref", F.col("ref") + F.when(F.sum("ref").over(whole) < LEAST_RUNS, F.col("fixed")).otherwise(0))
                 .withColumn("p", (1 + F.sum("ref").over(within)) / (1 + F.sum("ref").over(whole)))
                 .withColumn("found", F.sum("hyp").over(within)).withColumn("all", F.sum("hyp").over(whole))
                 .where((F.col("cell") < CELLS) & (F.col("found") > 0) & (F.col("p") * F.col("all") <= fdr * F.col("found")))

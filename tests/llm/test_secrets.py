@@ -75,3 +75,19 @@ def test_redaction_and_empty(spark):
                                                                      F.col("_secrets.all")))
     assert {r.doc_id: r.t for r in out.collect()} == {1: "a [SECRET] é [SECRET] z", 2: "plain", 3: None}
     assert secret_digest(df.limit(0)).count() == 0
+
+
+def test_keys_are_found_without_long_words(spark):
+    """A small table of short words has no reference of its own; the fixed prose stands in."""
+    import random
+    import string
+
+    rng = random.Random(11)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(40)) for _ in range(20)]
+    rows = [(i, f"a b c {k} d e") for i, k in enumerate(keys)] + [(100 + i, "only short words in here, on and on") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = secrets.scan(df)
+    out = secrets.judge(scanned, secrets.cut_offs(scanned))
+    spans = {r.doc_id: r.a for r in out.selectExpr("doc_id", "_secrets.all AS a").collect()}
+    found = sum(any(s.o == 3 for s in spans[i]) for i in range(20))
+    assert found >= 6 and not any(spans[i] for i in range(100, 120))  # none without the fixed list
