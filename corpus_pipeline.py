@@ -5,6 +5,12 @@ as Parquet and read again as the next stage's ``docs``.  All stages but the
 last return the columns of ``documents``; a stage that changes a text also
 renews ``n_chars``.
 
+Defined cases: null texts, ids and sources pass through every stage's operator
+(see there; an empty text fails the quality rules, so it goes in the first
+stage); an empty table gives an empty result; further columns are kept by all
+stages, but for ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and ``covered_bytes``,
+which the last stage's own columns replace.
+
 1. quality_rules: rejected documents go; frequent lines leave the text.
 2. simhash_near_dedup: one document of each component stays (smallest id).
 3. decontamination: documents that hold a benchmark item go.
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm import decontaminate, pieces, quality, secrets, simhash
 from ledgerline.llm.common import prepare, table
 from ledgerline.llm.queries import tokenizer_path
-from ledgerline.session import ensure_checkpoint_dir
+from ledgerline.session import ensure_checkpoint_dir, reliable_checkpoint
 
 
 def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
@@ -52,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    scanned = secrets.scan(docs)
+    scanned = reliable_checkpoint(secrets.scan(docs))  # read twice: for the limits and for the verdicts
     judged = secrets.judge(scanned, secrets.cut_offs(scanned))
     return _with_text(judged, secrets.redact(F.col("text"), F.col("_secrets.all")), docs.columns)
 
