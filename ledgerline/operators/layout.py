@@ -4,6 +4,8 @@ that follows OCR; the OCR engines themselves are not part of this library).
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,13 @@ from ledgerline.operators import stats
 def gap_rows(boxes: DataFrame, doc: str, x: str, y: str, text: str, gap: float = 10.0) -> DataFrame:
     """Gaps and islands: sort a document's words by (y, x), start a new row
     when the y-gap to the previous word exceeds ``gap``; inside a row order
-    by x.  The previous word comes from the global-numbering join and the
-    row id from skew-safe keyed running sums, so one huge document is still
-    spread over many tasks; only a single row's words are collected."""
-    b = stats.with_previous(boxes, [doc], [y, x], [y])
-    b = b.withColumn("_brk", F.when(F.abs(F.col(y) - F.col("prev_" + y)) > gap, 1).otherwise(0))
-    b = stats.keyed_running_sum(b.drop("prev_" + y), [doc], [F.col(y), F.col(x)], "_brk", "row_id")
+    by x.  Lag and row number come from one segmented scan, so one huge document is
+    still spread over many tasks; only a single row's words are collected."""
+    def far(now, before):
+        distance = pc.abs(pc.subtract(pc.cast(now[y], pa.float64()), pc.cast(before[y], pa.float64())))
+        return pc.fill_null(pc.greater(distance, gap), False).to_numpy(zero_copy_only=False)
+
+    b = stats.segmented_scan(boxes, [doc], [y, x], [y], breaks=far, run_col="row_id").drop("prev_" + y)
     return b.groupBy(doc, "row_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(x, text))), lambda s: s[text]).alias("cells"))
 

@@ -10,8 +10,14 @@ partition, so broadcasting it is bounded by the partition count.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerline.session import reliable_checkpoint, shuffle_partitions
 
@@ -262,24 +268,103 @@ def top_n_per_key(df: DataFrame, keys, order_cols, n: int, salt_buckets: int = 6
     return out.drop("_ll_salt", "_ll_r1", "_ll_r2")
 
 
+def _scan_partition(keys: list[str], cols: list[str], prefix: str, breaks):
+    """Lags and running counts of breaks inside one sorted partition; ``_ll_seg``
+    numbers its keys from 0, ``_ll_pos`` its rows."""
+    def changes(column, before):
+        """True where a value differs from the one before it (two nulls are equal)."""
+        both = pa.concat_arrays([before, column])
+        x, y = both.slice(1), both.slice(0, len(column))
+        differ = pc.fill_null(pc.not_equal(x, y), False)
+        return np.asarray(pc.or_(differ, pc.xor(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False), bool)
+
+    def run(batches):
+        pid, last, pos, seg, count = TaskContext.get().partitionId(), None, 0, 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = {name: batch.column(name) for name in {*keys, *cols}}
+            before = {name: pa.nulls(1, x.type) if last is None else last[name] for name, x in columns.items()}
+            fresh = np.zeros(n, bool)
+            for k in keys:
+                fresh |= changes(columns[k], before[k])
+            fresh[0] &= last is not None  # the first row of a partition goes on with the key of the one before, if any
+            shifted = {}
+            for c in cols:
+                moved = pa.concat_arrays([before[c], columns[c].slice(0, n - 1)])
+                shifted[c] = pc.if_else(pa.array(fresh), pa.nulls(n, moved.type), moved)
+            out = [*batch.columns, *[shifted[c] for c in cols]]
+            own = seg + np.cumsum(fresh)
+            if breaks is not None:
+                step = np.asarray(breaks({c: columns[c] for c in cols}, shifted), np.int64)
+                total = np.cumsum(step)
+                starts = np.flatnonzero(fresh)
+                base = np.full(n, -count)
+                if len(starts):
+                    at = np.searchsorted(starts, np.arange(n), "right") - 1
+                    base = np.where(at >= 0, total[starts[np.maximum(at, 0)]] - step[starts[np.maximum(at, 0)]], base)
+                    # a key's first row has no row before it: its own step counts as the function says
+                running = total - base
+                count = int(running[-1])
+                out.append(pa.array(running))
+            out += [pa.array(np.full(n, pid, np.int32)), pa.array(pos + np.arange(n)), pa.array(own)]
+            names = [*batch.schema.names, *[prefix + c for c in cols], *([] if breaks is None else ["_ll_run"]), _PID, "_ll_pos", "_ll_seg"]
+            yield pa.RecordBatch.from_arrays(out, names=names)
+            last = {name: x.slice(n - 1, 1) for name, x in columns.items()}
+            pos, seg = pos + n, int(own[-1])
+    return run
+
+
+def segmented_scan(df: DataFrame, keys, order_cols, cols, prefix: str = "prev_", breaks=None, run_col: str = "run") -> DataFrame:
+    """Adds ``prev_<c>``, the value of ``c`` on the previous row of the same key (null
+    on its first), and with ``breaks`` a running count within the key:
+    ``breaks(current, previous)`` gets two dicts of Arrow arrays (``cols``) and gives
+    0 or 1 a row (0 where there is no row before).
+
+    One range exchange sorts by (keys, order), so a hot key spans many
+    partitions; lags and counts run inside the sorted partitions in one pass,
+    which is written once.  What goes over a border is one carry row a
+    partition, combined in their order."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    spark = df.sparkSession
+    order = _cols([*keys, *order_cols])
+    ranged = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    fields = [*df.schema.fields, *[T.StructField(prefix + c, kinds[c]) for c in cols],
+              *([] if breaks is None else [T.StructField("_ll_run", T.LongType())]),
+              T.StructField(_PID, T.IntegerType()), T.StructField("_ll_pos", T.LongType()), T.StructField("_ll_seg", T.LongType())]
+    x = reliable_checkpoint(ranged.mapInArrow(_scan_partition(keys, list(cols), prefix, breaks), T.StructType(fields)))
+    row = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)],
+                   F.col("_ll_seg").alias("seg"), (F.lit(0) if breaks is None else F.col("_ll_run")).cast("long").alias("run"))
+    ends = x.groupBy(_PID).agg(F.min_by(row, "_ll_pos").alias("first"), F.max_by(row, "_ll_pos").alias("last")).orderBy(_PID).collect()
+    fixes, before, base = [], None, 0  # a row per partition
+    for e in ends:
+        goes_on = before is not None and all(e["first"][f"k{i}"] == before[f"k{i}"] for i in range(len(keys)))
+        add = 0
+        if goes_on:
+            add = base + before["run"]
+            if breaks is not None:
+                kind = {c: to_arrow_type(kinds[c]) for c in cols}
+                one = lambda r: {c: pa.array([r[f"c{i}"]], kind[c]) for i, c in enumerate(cols)}  # noqa: E731, B023
+                add += int(np.asarray(breaks(one(e["first"]), one(before)))[0])
+        fixes.append((e[_PID], *[before[f"c{i}"] if goes_on else None for i in range(len(cols))], add))
+        base, before = add if e["last"]["seg"] == 0 else 0, e["last"]
+    schema = T.StructType([T.StructField(_PID, T.IntegerType()), *[T.StructField(f"_ll_c{i}", kinds[c]) for i, c in enumerate(cols)],
+                           T.StructField("_ll_add", T.LongType())])
+    out = x.join(F.broadcast(spark.createDataFrame(fixes, schema)), _PID)
+    for i, c in enumerate(cols):
+        out = out.withColumn(prefix + c, F.when(F.col("_ll_pos") == 0, F.col(f"_ll_c{i}")).otherwise(F.col(prefix + c)))
+    if breaks is not None:
+        out = out.withColumn(run_col, F.col("_ll_run") + F.when(F.col("_ll_seg") == 0, F.col("_ll_add")).otherwise(0)).drop("_ll_run")
+    return out.drop(_PID, "_ll_pos", "_ll_seg", "_ll_add", *[f"_ll_c{i}" for i in range(len(cols))])
+
+
 def with_previous(df: DataFrame, keys, order_cols, cols, prefix: str = "prev_") -> DataFrame:
     """Adds ``prev_<c>`` = value of ``c`` on the previous row of the same key
-    (null on the first row): lag without a per-key window.  Rows are numbered
-    over (keys, order) with the range-partitioned global numbering (a hot key
-    spans many partitions) and joined to row number − 1 on an evenly spread
-    integer key."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    numbered = with_global_row_number(df, [*keys, *order_cols], name="_ll_seq")
-    prev = numbered.select((F.col("_ll_seq") + 1).alias("_ll_seq"),
-                           *[F.col(k).alias(f"_ll_pk_{i}") for i, k in enumerate(keys)],
-                           *[F.col(c).alias(prefix + c) for c in cols])
-    joined = numbered.join(prev, "_ll_seq", "left")
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & (F.col(k) == F.col(f"_ll_pk_{i}"))
-    for c in cols:
-        joined = joined.withColumn(prefix + c, F.when(same, F.col(prefix + c)))
-    return joined.drop("_ll_seq", *[f"_ll_pk_{i}" for i in range(len(keys))])
+    (null on the first row): lag without a per-key window; see
+    :func:`segmented_scan`."""
+    return segmented_scan(df, keys, order_cols, cols, prefix)
 
 
 def exact_group_quantiles(df: DataFrame, key: str, value_col: str, id_col: str, probs,
