@@ -34,6 +34,25 @@ def q_scan_csv_sniff(spark, d):
     return files.scan_csv_sniff(spark, p).select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
 
 
+_NAMED = {"utf8": " é€ 猫", "latin1": " é ñ", "cp1252": " é € “x”"}
+
+
+@register("scan_csv_encodings", sql=" UNION ALL ".join(
+    f"SELECT '{enc}' AS written, s_suppkey, s_name || '{tail}' AS s_name, s_acctbal FROM supplier" for enc, tail in _NAMED.items()))
+def q_scan_csv_encodings(spark, d):
+    """Files in three encodings and with three separators, read back without a hint."""
+    out = None
+    for (enc, tail), sep in zip(_NAMED.items(), files.CANDIDATE_SEPARATORS):
+        p = _path(spark, f"supplier_{enc}")
+        x = table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(tail)).alias("s_name"), "s_acctbal")
+        if enc == "cp1252":  # its characters as the bytes 80 to 9F
+            x = x.withColumn("s_name", F.translate("s_name", files.CP1252.replace(" ", ""), files._HIGH))
+        x.write.option("header", True).option("sep", sep).option("encoding", "UTF-8" if enc == "utf8" else "ISO-8859-1").csv(p)
+        back = files.scan_csv_sniff(spark, p).select(F.lit(enc).alias("written"), "s_suppkey", "s_name", "s_acctbal")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 @register("scan_csv_skip_bad", sql="SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def q_scan_csv_skip_bad(spark, d):
     p = _path(spark, "nation_csv")

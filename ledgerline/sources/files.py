@@ -51,8 +51,36 @@ def sniff_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     return best[1] if best else ","
 
 
+# What the bytes 80 to 9F are in CP1252 (blank: undefined there); in Latin-1 they are control characters.
+CP1252 = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
+_HIGH = "".join(chr(0x80 + i) for i, c in enumerate(CP1252) if c != " ")
+_UNDEFINED = "".join(chr(0x80 + i) for i, c in enumerate(CP1252) if c == " ")
+
+
+def sniff_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line is valid UTF-8 (no byte of a longer character is a line end,
+    so lines can be judged one by one, wherever the input is split); else
+    CP1252 if some byte is a character there and a control character in
+    Latin-1, and none is undefined there; else ISO-8859-1.  One aggregation over all lines."""
+    line = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    row = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")).alias("bad"), F.count_if(line.rlike(f"[{_HIGH}]")).alias("high"),
+                                    F.count_if(line.rlike(f"[{_UNDEFINED}]")).alias("undefined")).first()
+    if not row["bad"]:
+        return "UTF-8"
+    return "CP1252" if row["high"] and not row["undefined"] else "ISO-8859-1"
+
+
 def scan_csv_sniff(spark: SparkSession, path: str) -> DataFrame:
-    return scan_csv(spark, path, sep=sniff_separator(spark, path))
+    """A CSV input of unknown encoding (UTF-8, CP1252, ISO-8859-1) and separator."""
+    encoding = sniff_encoding(spark, path)
+    read_as = "ISO-8859-1" if encoding == "CP1252" else encoding
+    df = scan_csv(spark, path, sep=sniff_separator(spark, path, read_as), encoding=read_as)
+    if encoding != "CP1252":
+        return df
+    there = CP1252.replace(" ", "")
+    names = [c.translate(str.maketrans(_HIGH, there)) for c in df.columns]
+    df = df.toDF(*names)
+    return df.select(*[F.translate(f"`{c}`", _HIGH, there).alias(c) if kind == "string" else F.col(f"`{c}`") for c, kind in df.dtypes])
 
 
 def scan_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
