@@ -4,9 +4,10 @@ Scripts (Unicode ranges) narrow the languages of a word; character trigrams
 score what is left; Viterbi over the words of a text, with a penalty for each
 switch, labels spans.  The text's language is the one with most letters.
 
-The model is learnt from labelled rows: a hash sample of about
-``SAMPLE_ROWS`` of them (the documented bound of the fit), of which the
-``MAX_FEATURES`` most frequent trigrams are kept.
+The model is learnt from labelled rows: of every language a hash sample of about
+``LANG_ROWS`` of them (the documented bound of the fit), of which the
+``LANG_FEATURES`` most frequent trigrams are kept, so a rare language is learnt as
+well as a frequent one, however large the table is.
 
 Defined cases: a null or letterless text, and any text if nothing was learnt,
 is ``und`` with score 0 and no spans; ties go to the first language by name;
@@ -26,8 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_ROWS = 6000
-MAX_FEATURES = 200_000
+from ledgerline.llm.common import small_side
+from ledgerline.operators.stats import top_n_per_key
+from ledgerline.session import reliable_checkpoint
+
+LANG_ROWS = 1500
+LANG_FEATURES = 50_000
 SMOOTH = 0.5
 SWITCH = 8.0
 BLOCK = 128
@@ -51,12 +56,12 @@ def trigrams(word: str) -> list[str]:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          sample_rows: int = SAMPLE_ROWS) -> dict:
+          lang_rows: int = LANG_ROWS) -> dict:
     """Model from the rows with a text and a language."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
+    share = rows.groupBy(F.col(lang_col).alias("_ll10_lang")).agg((F.lit(float(lang_rows)) / F.count(F.lit(1))).alias("_ll10_share"))
+    rows = rows.join(small_side(share, 100_000), F.col(lang_col) == F.col("_ll10_lang")).where(
+        F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.col("_ll10_share") * (1 << 30))
 
     def count(batches):
         for batch in batches:
@@ -70,10 +75,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                                               pa.array([k[1] for k in grams], pa.string()),
                                               pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    counts = (rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-                  .mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = reliable_checkpoint(rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+                                     .mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     scripts = counts.where(F.col("gram").startswith("script:")).collect()
-    top = counts.where(~F.col("gram").startswith("script:")).orderBy(F.col("n").desc(), "lang", "gram").limit(MAX_FEATURES).collect()
+    top = top_n_per_key(counts.where(~F.col("gram").startswith("script:")), "lang", [F.col("n").desc(), F.col("gram")], LANG_FEATURES).collect()
     langs = sorted({r.lang for r in scripts})
     at = {x: i for i, x in enumerate(langs)}
     table: dict[str, np.ndarray] = {}

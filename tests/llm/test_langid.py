@@ -77,3 +77,14 @@ def test_held_out_accuracy(spark):
     rows = got.where("held_out").join(docs, "doc_id").collect()
     assert len(rows) > 100
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) >= 0.9
+
+
+def test_rare_language_is_learnt(spark):
+    """One row in twenty thousand is enough to predict its language."""
+    prepare(spark)
+    common = spark.range(20000).selectExpr("id AS doc_id", "concat('the quick house and this was there number', id % 7) AS text", "'en' AS lang")
+    rare = spark.createDataFrame([(30000, "żółty źrebię chrząszcz brzmi trzcinie szczęście", "pl")], "doc_id long, text string, lang string")
+    model = langid.learn(common.unionByName(rare))
+    assert model["langs"] == ["en", "pl"]
+    got = langid.identify(spark.createDataFrame([(1, "chrząszcz w trzcinie"), (2, "this was the house")], "doc_id long, text string"), model)
+    assert {r.doc_id: r._lang.lang for r in got.collect()} == {1: "pl", 2: "en"}
