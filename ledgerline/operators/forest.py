@@ -42,6 +42,7 @@ BLOCK_ROWS = 8192
 MODEL_BYTES = 64 << 20
 SEARCH_ROWS = 20_000
 BINS = 255
+FEW_CODES = 32
 BATCH_TREES = 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
@@ -59,6 +60,11 @@ def grow_tree(codes: np.ndarray, y: np.ndarray, w: np.ndarray, seed, depth: int
     rows, node, k, level, base = np.arange(n), np.zeros(n, np.int64), 1, first_level, 0
     wy = w * y
     wyy = wy * y
+    small = {}  # features with few codes are summed by code, the others sorted
+    for f in range(width):
+        own = np.unique(codes[:, f])
+        if len(own) <= FEW_CODES:
+            small[f] = own, np.searchsorted(own, codes[:, f])
     while k:
         sw, sy = np.bincount(node, w[rows], k), np.bincount(node, wy[rows], k)
         spread = np.bincount(node, wyy[rows], k) - sy * sy / sw
@@ -77,7 +83,28 @@ def grow_tree(codes: np.ndarray, y: np.ndarray, w: np.ndarray, seed, depth: int
             if tried < width:
                 draw = np.random.default_rng([*seed, level]).random((len(opened), width))
                 allowed = draw <= np.partition(draw, tried - 1, axis=1)[:, tried - 1:tried]
+            here_w, here_wy = w[rows], wy[rows]
             for f in range(width):
+                if f in small:
+                    values, rank = small[f]
+                    v, m = len(values), len(opened)
+                    if v < 2:
+                        continue
+                    key = node * v + rank[rows]
+                    each = np.bincount(key, minlength=m * v).reshape(m, v)
+                    ln, lw, ly = (np.cumsum(x.reshape(m, v), axis=1)[:, :-1]
+                                  for x in (each, np.bincount(key, here_w, m * v), np.bincount(key, here_wy, m * v)))
+                    right = count[:, None] - ln
+                    good = (each[:, :-1] > 0) & (right > 0) & (ln >= min_leaf) & (right >= min_leaf)
+                    if tried < width:
+                        good &= allowed[:, f, None]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score = np.where(good, ly * ly / lw + (sy[:, None] - ly) ** 2 / (sw[:, None] - lw), -np.inf)
+                    where, first = np.arange(m), score.argmax(axis=1)
+                    top = score[where, first]
+                    better = top > best + 1e-12 * np.where(np.isfinite(best), np.abs(best), 0)
+                    best[better], best_f[better], best_c[better] = top[better], f, values[first[better]]
+                    continue
                 key = (node << 8) | codes[rows, f]
                 order = np.argsort(key, kind="stable")
                 key, own = key[order], rows[order]

@@ -37,8 +37,10 @@ def same(a, b):
     return len(a) == len(b) and abs(a[0] - b[0]) < 1e-9 and (len(a) == 1 or (a[1:3] == b[1:3] and same(a[3], b[3]) and same(a[4], b[4])))
 
 
+@pytest.mark.parametrize("few", [0, 32])
 @pytest.mark.parametrize("kw", [{}, {"min_leaf": 3}, {"min_split": 12}, {"depth": 3}])
-def test_tree_equals_plain_builder(kw):
+def test_tree_equals_plain_builder(monkeypatch, kw, few):
+    monkeypatch.setattr(forest, "FEW_CODES", few)
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 9, (150, 4)).astype(np.uint8)
     y, w = rng.normal(size=150).round(2), rng.integers(1, 4, 150).astype(float)
