@@ -10,6 +10,8 @@ partition, so broadcasting it is bounded by the partition count.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,31 +70,76 @@ def with_global_row_number(df: DataFrame, order_cols, name: str = "rn",
     return out.drop(_PID, _IDX, _OFF, "_ll_total")
 
 
+SELECT_BUCKETS = 1024
+
+
+def select_ranks(vals: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """The values at the given 0-based ranks of the finite doubles in ``col``, by
+    refined histograms: a round counts the values of every open interval in
+    ``SELECT_BUCKETS`` buckets and keeps, for each rank, the bucket that holds it
+    with its least and greatest value, until those are one value.  No sort;
+    a round moves at most ``SELECT_BUCKETS`` rows a rank and task."""
+    low, high = vals.agg(F.min(col), F.max(col)).first()
+    found: dict[int, float] = {}
+    open_ = [(low, high, 0, sorted(set(ranks)))]  # least, greatest, values below, ranks
+    while open_:
+        for lo, _, _, own in (o for o in open_ if o[0] == o[1]):
+            found.update({r: lo for r in own})
+        open_ = [o for o in open_ if o[0] != o[1]]
+        if not open_:
+            break
+        which, bucket = F.lit(None).cast("int"), F.lit(None).cast("int")
+        v = F.col(col)
+        for i, (lo, hi, _, _) in enumerate(open_):
+            inside = (v >= lo) & (v <= hi)
+            place = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * SELECT_BUCKETS).cast("int")  # halves: the range may pass the largest double
+            which = F.when(inside, i).otherwise(which)
+            bucket = F.when(inside, F.least(place, F.lit(SELECT_BUCKETS - 1))).otherwise(bucket)
+        rows = (vals.select(which.alias("i"), bucket.alias("b"), v.alias("v")).where(F.col("i").isNotNull())
+                    .groupBy("i", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        fresh = []
+        for i, (_, _, below, own) in enumerate(open_):
+            for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["b"]):
+                inner = [k for k in own if below <= k < below + r["n"]]
+                if inner:
+                    fresh.append((r["lo"], r["hi"], below, inner))
+                below += r["n"]
+        open_ = fresh
+    return found
+
+
 def exact_quantiles(df: DataFrame, value_col: str, key_col: str, probs,
                     name: str = "edges") -> DataFrame:
     """One-row DataFrame with ``name`` = array of exact quantiles (linear
     interpolation between closest ranks, as numpy/pandas/DuckDB
-    ``quantile_cont``) and ``n`` = number of non-null values.
+    ``quantile_cont``) and ``n`` = number of non-null values.  Infinite values and
+    NaN (above all others) count as values.  By :func:`select_ranks` over the
+    column, written once; ``key_col`` is not needed any more."""
+    spark = df.sparkSession
+    vals = reliable_checkpoint(df.select(F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()))
+    inf = float("inf")
+    n, negative, finite, positive = vals.agg(
+        F.count(F.lit(1)), F.count_if(F.col("_v") == -inf), F.count_if(~F.isnan("_v") & (F.abs("_v") != inf)), F.count_if(F.col("_v") == inf)).first()
+    schema = f"{name} array<double>, n long"
+    if not n:
+        return spark.createDataFrame([(None, 0)], schema)
+    at = [float(p) * (n - 1) for p in probs]
+    places = sorted({f(x) for x in at for f in (math.floor, math.ceil)})
+    inner = [k - negative for k in places if negative <= k < negative + finite]
+    values = select_ranks(vals.filter(~F.isnan("_v") & (F.abs("_v") != inf)), "_v", inner) if inner else {}
+
+    def value(k):
+        if k < negative:
+            return -inf
+        if k < negative + finite:
+            return values[k - negative]
+        return inf if k < negative + finite + positive else float("nan")
 
-    Distributed: only the at most 2·len(probs) rows sitting at the needed
-    positions are brought together (one row each).
-    """
-    vals = df.select(F.col(value_col).cast("double").alias("_v"), F.col(key_col).alias("_k")) \
-             .filter(F.col("_v").isNotNull())
-    numbered = with_global_row_number(vals, ["_v", "_k"], name="_rn", total_name="n")
-    p_cols = [(F.lit(float(p)) * (F.col("n") - 1)) for p in probs]
-    needed = F.array(*[F.floor(p) for p in p_cols], *[F.ceil(p) for p in p_cols])
-    picked = numbered.filter(F.array_contains(needed, F.col("_rn") - 1)) \
-        .agg(F.map_from_entries(F.collect_list(F.struct((F.col("_rn") - 1).alias("_pos"), "_v"))).alias("_m"),
-             F.max("n").alias("n"))
     edges = []
-    for p in probs:
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        lo = F.element_at("_m", F.floor(pos))
-        hi = F.element_at("_m", F.ceil(pos))
-        edges.append(lo + (hi - lo) * (pos - F.floor(pos)))
-    return picked.select(F.when(F.col("n") > 0, F.array(*edges)).alias(name),
-                         F.coalesce(F.col("n"), F.lit(0)).alias("n"))
+    for x in at:
+        lo, hi, part = value(math.floor(x)), value(math.ceil(x)), x - math.floor(x)
+        edges.append(lo if part == 0 or lo == hi else lo + (hi - lo) * part)
+    return spark.createDataFrame([(edges, n)], schema)
 
 
 def qcut_edges_label(value: Column, edges: Column) -> Column:
