@@ -9,17 +9,15 @@ driver only holds model parameters.
 
 from __future__ import annotations
 
-import itertools
 import math
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,24 +175,10 @@ def fit_point(name: str, point: dict, encoder: PipelineModel, x: DataFrame, clas
 
 def search(name: str, grid: dict, x: DataFrame, folds: int, metric: str) -> dict:
     """The best point of a grid by cross-validation over encoded rows."""
-    if name == "logistic_regression":
-        points = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
-        n, est = x.count(), LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=100)
-        maps = [{est.regParam: 1.0 / (p["C"] * max(n, 1)), est.elasticNetParam: p.get("elasticNetParam", 0.0)} for p in points]
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator(metric), numFolds=folds, seed=SEED, parallelism=8)
-        scores = cv.fit(x).avgMetrics
-        return points[scores.index(max(scores))]
     sample = forest.draw_sample(x, "_key", "_x", "label", "weight", folds)
     return forest.best_point(x.sparkSession, name, grid, sample, folds, metric, SEED)[0]
 
 
-def evaluator(metric: str):
-    """Cross-validation score: area under ROC, or F1 of class 1."""
-    if metric == "f1":
-        return MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
-    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-
-
 METRICS = "model string, auc double, accuracy double, precision double, recall double, f1 double, selected boolean"
 
 

@@ -155,3 +155,17 @@ def test_grids_are_whole():
     assert size(ml.CHURN_GRIDS) == {"logistic_regression": 8, "random_forest": 24, "gradient_boosting": 16}
     assert size(ml.PURCHASE_GRIDS) == {"random_forest": 4}
     assert size(ml.RETENTION_GRIDS) == {"logistic_regression": 3, "random_forest": 6, "gradient_boosting": 4}
+
+
+def test_logistic_equals_spark(spark):
+    """The search's own fits reach the optimum that the final fit has."""
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4))
+    x = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=300) > 0).astype(float)
+    df = spark.createDataFrame([(Vectors.dense(r), float(v), 1.0) for r, v in zip(x, y)], ["features", "label", "weight"])
+    for point in ({"C": 0.1, "elasticNetParam": 1.0}, {"C": 10.0, "elasticNetParam": 0.0}):
+        model = ml.logistic(300, point).setTol(1e-10).fit(df)
+        b, coef = forest.logistic(x, y, np.ones(300), 1 / (point["C"] * 300), point["elasticNetParam"])
+        assert np.allclose(coef, model.coefficients.toArray(), atol=2e-3) and abs(b - model.intercept) < 2e-3
