@@ -41,3 +41,14 @@ def test_histograms_have_a_place_a_code():
     sums = np.frombuffer(out[0].column(2)[0].as_py()).reshape(5, 3, 4)
     times = forest.bag(np.arange(300), 0, 1)
     assert np.allclose(sums[:, :, 0].sum(axis=1), (times > 0).sum()) and np.allclose(sums[:, :, 2].sum(axis=1), (times * np.arange(300)).sum())
+
+
+def test_vectors_keep_the_terms_of_queries_and_whole_lengths(spark):
+    q = spark.createDataFrame([(1, "alpha beta")], "i long, t string")
+    d = spark.createDataFrame([(1, "alpha gamma gamma delta"), (2, "gamma delta")], "i long, t string")
+    got = TX._fitted_vectors(q, "i", "t", d, "i", "t").collect()
+    assert {(r["_src"], r["_id"], r["term"]) for r in got} == {("q", 1, "alpha"), ("q", 1, "beta"), ("q", 1, "alpha beta"), ("d", 1, "alpha")}
+    # alpha 1 (df 2), gamma 2 (df 2), delta 1 (df 2), alpha gamma, gamma gamma 1 (df 1), gamma delta 1 (df 2), of 3 documents
+    two, one = np.log(4 / 3) + 1, np.log(4 / 2) + 1
+    w = next(r.w for r in got if r["_src"] == "d")
+    assert abs(w - two / np.sqrt(3 * two ** 2 + (2 * two) ** 2 + 2 * one ** 2)) < 1e-12
