@@ -52,3 +52,20 @@ def test_vectors_keep_the_terms_of_queries_and_whole_lengths(spark):
     two, one = np.log(4 / 3) + 1, np.log(4 / 2) + 1
     w = next(r.w for r in got if r["_src"] == "d")
     assert abs(w - two / np.sqrt(3 * two ** 2 + (2 * two) ** 2 + 2 * one ** 2)) < 1e-12
+
+
+def test_rows_of_words_are_put_together_before_they_are_written(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [(doc, float(x), float(line * 20), None if x == 7 else f"{doc}-{line}-{x}") for doc, lines, n in ((None, 2, 9), (1, 3, 300), (2, 40, 4))
+             for line in range(lines) for x in range(n)]
+    written = []
+    keep = stats.reliable_checkpoint
+    monkeypatch.setattr(stats, "reliable_checkpoint", lambda df: written.append(keep(df)) or written[-1])
+    df = spark.createDataFrame([words[i] for i in rng.permutation(len(words))], "doc long, x double, y double, t string").repartition(5)
+    got = {(r.doc, r.row_id): list(r.cells) for r in layout.gap_rows(df, "doc", "x", "y", "t").collect()}
+    want: dict = {}
+    for doc, _, y, t in words:
+        want.setdefault((doc, int(y // 20)), []).append(t)
+    assert got == want
+    assert written[0].count() <= len(want) + 2 * 8  # a record a row of words, and what the borders part
+    assert layout.gap_rows(df.limit(0), "doc", "x", "y", "t").count() == 0
