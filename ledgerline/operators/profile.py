@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.operators import stats
+from ledgerline.session import reliable_checkpoint
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -88,14 +89,16 @@ def data_quality(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, cols, key_col: str) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (exact, linear), max of each
-    numeric column.  The columns become (column, value) rows of one table, so
-    one aggregation and one distributed numbering serve all of them."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])
-    long = df.select(F.col(key_col).alias("_k"), F.explode(cells).alias("x")).select("_k", "x.column", "x.v")
-    m = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-                                   F.min("v").alias("min"), F.max("v").alias("max"))
-    q = stats.exact_group_quantiles(long, "column", "v", "_k", [0.25, 0.5, 0.75], name="_q")
-    return m.join(q.select("column", "_q"), "column", "left").select(
+    numeric column.  The columns are written once as doubles; one aggregation
+    serves the moments of all, and the quantiles are selected column by column by
+    refined histograms, without a sort; ``key_col`` is not needed any more."""
+    x = reliable_checkpoint(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("v")) for i, c in enumerate(cols)])
+    m = x.select(F.explode(cells).alias("x")).select("x.column", "x.v").groupBy("column").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = [(c, stats.quantile_values(x, f"c{i}", [0.25, 0.5, 0.75])[0]) for i, c in enumerate(cols)]
+    q = df.sparkSession.createDataFrame(q, "column string, _q array<double>")  # one row a column
+    return m.join(F.broadcast(q), "column", "left").select(
         "column", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
         F.col("_q")[2].alias("p75"), "max")
 

@@ -69,3 +69,14 @@ def test_rows_of_words_are_put_together_before_they_are_written(spark, monkeypat
     assert got == want
     assert written[0].count() <= len(want) + 2 * 8  # a record a row of words, and what the borders part
     assert layout.gap_rows(df.limit(0), "doc", "x", "y", "t").count() == 0
+
+
+def test_describe_sorts_nothing(spark, monkeypatch):
+    monkeypatch.setattr(stats, "with_global_row_number", lambda *a, **k: pytest.fail("a global sort"))
+    v = [None if i % 7 == 0 else float(i * i % 101) for i in range(300)]
+    df = spark.createDataFrame([(i, v[i], i % 3, None) for i in range(300)], "id long, v double, k int, n double")
+    got = {r.column: r for r in profile.describe(df, ["v", "k", "n"], "id").collect()}
+    own = [x for x in v if x is not None]
+    assert np.allclose([got["v"].p25, got["v"].p50, got["v"].p75, got["v"]["std"]], [*np.percentile(own, [25, 50, 75]), np.std(own, ddof=1)])
+    assert got["v"]["count"] == len(own) and got["k"].p50 == 1.0 and got["n"]["count"] == 0 and got["n"].p50 is None
+    assert profile.describe(df.limit(0), ["v"], "id").count() == 0
