@@ -5,7 +5,7 @@ features and the label (combined before the shuffle, so a hot key is a few
 rows a task).  A key's statistics are the sum over its folds, and those of the
 rows outside a fold are the difference, so the five fits of a cross-validation
 and their errors need no second look at the rows.  The solve is a small linear
-system per key.
+system per key, done for all keys of a batch at once.
 
 Features are standardised (population deviation; a constant one keeps its
 scale), the intercept is not penalised.  Rows with a null or NaN feature or label are
@@ -19,23 +19,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import reliable_checkpoint
+
 
 def solve(moments: np.ndarray, alpha: float) -> np.ndarray:
-    """Intercept and coefficients from the matrix of sums of products of (1, features, label)."""
-    n, d = moments[0, 0], len(moments) - 2
-    mean = moments[0] / n
-    spread = moments[1:, 1:] - n * np.outer(mean[1:], mean[1:])
-    variance = np.diag(spread)[:d] / n
-    scale = np.sqrt(np.where(variance <= 1e-12 * (1 + mean[1:d + 1] ** 2), 1.0, variance))
-    left = spread[:d, :d] / np.outer(scale, scale) + alpha * np.eye(d)
-    coefs = np.linalg.solve(left, spread[:d, d] / scale) / scale
-    return np.concatenate([[mean[-1] - coefs @ mean[1:d + 1]], coefs])
+    """Intercept and coefficients from the matrices (any number of them) of sums of products of (1, features, label)."""
+    n, d = moments[..., 0, 0, None], moments.shape[-1] - 2
+    mean = moments[..., 0, :] / n
+    spread = moments[..., 1:, 1:] - n[..., None] * mean[..., 1:, None] * mean[..., None, 1:]
+    variance = np.diagonal(spread, axis1=-2, axis2=-1)[..., :d] / n
+    scale = np.sqrt(np.where(variance <= 1e-12 * (1 + mean[..., 1:d + 1] ** 2), 1.0, variance))
+    left = spread[..., :d, :d] / (scale[..., :, None] * scale[..., None, :]) + alpha * np.eye(d)
+    coefs = np.linalg.solve(left, (spread[..., :d, d] / scale)[..., None])[..., 0] / scale
+    return np.concatenate([mean[..., -1:] - (coefs * mean[..., 1:d + 1]).sum(axis=-1, keepdims=True), coefs], axis=-1)
 
 
-def squared_error(moments: np.ndarray, model: np.ndarray) -> float:
-    """Sum of squared errors of a model over the rows behind ``moments``."""
-    v = np.append(model, -1.0)
-    return float(max(v @ moments @ v, 0.0))
+def squared_error(moments: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Sum of squared errors of each model over the rows behind its ``moments``."""
+    v = np.concatenate([model, np.full((*model.shape[:-1], 1), -1.0)], axis=-1)
+    return np.maximum(np.einsum("...i,...ij,...j->...", v, moments, v), 0.0)
 
 
 def fit_per_key(df: DataFrame, key: str, features: list[str], label: str, fold: Column, alpha: float = 1.0,
@@ -59,24 +61,30 @@ def fit_per_key(df: DataFrame, key: str, features: list[str], label: str, fold:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for flat in batch.column(1).to_pylist():
-                parts = []
-                for own in np.array(flat).reshape(-1, width):
-                    m = np.zeros((size, size))
-                    m[upper] = own
-                    parts.append(m + np.triu(m, 1).T)
-                total = sum(parts)
-                model = solve(total, alpha)
-                n, sse = total[0, 0], squared_error(total, model)
-                sst = total[-1, -1] - total[0, -1] ** 2 / n
-                cv = [np.sqrt(squared_error(p, solve(total - p, alpha)) / p[0, 0]) for p in parts if total[0, 0] - p[0, 0] >= 1]
-                out.append((int(n), float(model[0]), model[1:].tolist(), float(np.sqrt(sse / n)),
-                            float(1 - sse / sst) if sst > 1e-9 * (1 + total[-1, -1]) else None, float(np.mean(cv)) if cv else None))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                                             names=["_key", "n", "intercept", "coefs", "rmse", "r2", "cv_rmse"])
+            if not batch.num_rows:
+                continue
+            sums = batch.column(1)
+            count = np.diff(sums.offsets.to_numpy()) // width  # parts of each key
+            first = np.cumsum(count) - count
+            own = np.repeat(np.arange(len(count)), count)
+            parts = np.zeros((len(own), size, size))
+            parts[:, upper[0], upper[1]] = sums.flatten().to_numpy().reshape(-1, width)
+            parts += np.swapaxes(np.triu(parts, 1), 1, 2)
+            total = np.add.reduceat(parts, first, axis=0)
+            model = solve(total, alpha)
+            n, sse = total[:, 0, 0], squared_error(total, model)
+            sst = total[:, -1, -1] - total[:, 0, -1] ** 2 / n
+            varies = sst > 1e-9 * (1 + total[:, -1, -1])
+            held = np.flatnonzero(total[own, 0, 0] - parts[:, 0, 0] >= 1)  # parts with rows outside
+            error = np.sqrt(squared_error(parts[held], solve(total[own[held]] - parts[held], alpha)) / parts[held, 0, 0])
+            folds_of = np.bincount(own[held], minlength=len(count))
+            cv = np.bincount(own[held], error, len(count)) / np.maximum(folds_of, 1)
+            d = size - 2
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(model[:, 0]),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1) * d, pa.int32()), pa.array(model[:, 1:].ravel())), pa.array(np.sqrt(sse / n)),
+                 pa.array(1 - sse / np.where(varies, sst, 1.0), mask=~varies), pa.array(cv, mask=folds_of == 0)],
+                names=["_key", "n", "intercept", "coefs", "rmse", "r2", "cv_rmse"])
 
     kind = df.schema[key].dataType.simpleString()
     return per_key.mapInArrow(run, f"_key {kind}, n long, intercept double, coefs array<double>, rmse double, r2 double, cv_rmse double") \
@@ -84,10 +92,12 @@ def fit_per_key(df: DataFrame, key: str, features: list[str], label: str, fold:
 
 
 def score_per_key(df: DataFrame, models: DataFrame, key: str, features: list[str], error: str = "no model") -> tuple[DataFrame, DataFrame]:
-    """Rows whose key has a model, with ``prediction``; and the other rows, with ``error``."""
+    """Rows whose key has a model, with ``prediction``; and the other rows, with ``error``.
+    Rows meet their models once, both tables read what was written then."""
     x = df.join(models.select(F.col(key), F.col("intercept").alias("_b"), F.col("coefs").alias("_c")), key, "left")
     value = F.col("_b")
     for i, c in enumerate(features):
         value = value + F.get("_c", F.lit(i)) * F.col(c)
-    scored = x.where(F.col("_b").isNotNull()).withColumn("prediction", value).drop("_b", "_c")
-    return scored, x.where(F.col("_b").isNull()).drop("_b", "_c").withColumn("error", F.lit(error))
+    x = reliable_checkpoint(x.select(*df.columns, value.alias("prediction"), F.col("_b").isNotNull().alias("_has_model")))
+    failed = x.where(~F.col("_has_model")).drop("prediction", "_has_model").withColumn("error", F.lit(error))
+    return x.where("_has_model").drop("_has_model"), failed

@@ -45,3 +45,24 @@ def test_a_receiver_searches_few_donors(spark, monkeypatch, patterns):
         assert math.isclose(got[i][1 + t], want, rel_tol=1e-9, abs_tol=1e-9), (i, t)
     if patterns == 32:
         assert work[0] < 16, work  # of up to 64 cells a family
+
+
+def test_models_meet_their_rows_once(spark, monkeypatch):
+    """Both results of ``score_per_key`` read written rows: neither joins nor fits again."""
+    df = spark.createDataFrame([(k, i % 5, float(i), 2.0 * i + k) for k, n in ((1, 30), (2, 4)) for i in range(n)], "k long, f long, x double, y double")
+    scored, failed = ridge.score_per_key(df, ridge.fit_per_key(df, "k", ["x"], "y", F.col("f")), "k", ["x"])
+    for t in (scored, failed):
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" not in plan
+    assert scored.count() == 30 and failed.count() == 4 and set(failed.columns) == {"k", "f", "x", "y", "error"}
+
+
+def test_one_solve_for_all_keys():
+    """Stacked moments give what each gives alone."""
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([np.ones((6, 20, 1)), rng.normal(size=(6, 20, 3))], axis=2)
+    moments = np.swapaxes(rows, 1, 2) @ rows
+    models = ridge.solve(moments, 1.0)
+    assert models.shape == (6, 3) and ridge.squared_error(moments, models).shape == (6,)
+    for m, w in zip(moments, models):
+        assert np.allclose(ridge.solve(m, 1.0), w)
