@@ -49,22 +49,20 @@ def sentiment_scores_rowwise(docs: DataFrame, text_col: str) -> DataFrame:
     (0, 1, 0, 0).  One ``aggregate`` pass over the words of the whole text
     with a struct accumulator."""
     w = T.words(F.lower(F.col(text_col)))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ps"), F.lit(0.0).alias("ns"),
-                    F.lit(0.0).alias("neu"), F.lit(0).alias("nh"), F.lit(0.0).alias("subj"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ps"), F.lit(0.0).alias("ns"), F.lit(0).alias("nh"), F.lit(0.0).alias("subj"))
     val, sub = _lex_map(0), _lex_map(1)
 
     def step(acc, x):
-        v = val[x]
-        hit = v.isNotNull()
         return F.struct(
-            (acc["s"] + F.coalesce(v, F.lit(0.0))).alias("s"),
-            (acc["ps"] + F.when(v > 0, v + 1).otherwise(0.0)).alias("ps"),
-            (acc["ns"] + F.when(v < 0, v - 1).otherwise(0.0)).alias("ns"),
-            (acc["neu"] + F.when(hit, 0.0).otherwise(1.0)).alias("neu"),
-            (acc["nh"] + F.when(hit, 1).otherwise(0)).alias("nh"),
-            (acc["subj"] + F.coalesce(sub[x], F.lit(0.0))).alias("subj"))
-
-    x = docs.withColumn("_a", F.aggregate(w, zero, step))
+            (acc["s"] + x["v"]).alias("s"),
+            (acc["ps"] + F.when(x["v"] > 0, x["v"] + 1).otherwise(0.0)).alias("ps"),
+            (acc["ns"] + F.when(x["v"] < 0, x["v"] - 1).otherwise(0.0)).alias("ns"),
+            (acc["nh"] + 1).alias("nh"), (acc["subj"] + x["j"]).alias("subj"))
+
+    # most words are no hits: a hashed test drops them before the maps are searched
+    hits = F.transform(F.filter("_ll_words", lambda x: x.isin(*LEXICON)), lambda x: F.struct(val[x].alias("v"), sub[x].alias("j")))
+    x = docs.withColumn("_ll_words", w).withColumn("_a", F.aggregate(hits, zero, step)) \
+            .withColumn("_a", F.col("_a").withField("neu", (F.size("_ll_words") - F.col("_a")["nh"]).cast("double")))
     s, ps, ns, neu, nh = (F.col("_a")[k] for k in ("s", "ps", "ns", "neu", "nh"))
     tot = ps - ns + neu
     empty = tot == 0

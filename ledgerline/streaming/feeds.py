@@ -19,17 +19,21 @@ from ledgerline.operators import text as TX
 from ledgerline.session import ensure_checkpoint_dir
 from ledgerline.streaming.rate import rate_counts, rate_stream
 
+FILES_A_CORE = 4
+
 
 def _dirs(spark: SparkSession, name: str):
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
     return base + "/out", base + "/_checkpoint"
 
 
-def source(spark: SparkSession, folder: str, table_name: str, max_files: int = 1) -> DataFrame:
+def source(spark: SparkSession, folder: str, table_name: str, max_files: int | None = None) -> DataFrame:
     """Streaming scan of ``<folder>/<table_name>.parquet``, one file or a
     folder of files (schema from the batch footer; streaming sources need an
-    explicit schema)."""
+    explicit schema).  A batch takes ``max_files`` files, by default
+    ``FILES_A_CORE`` for every core, so that all of them have work."""
     path = os.path.join(folder, f"{table_name}.parquet")
+    max_files = max_files or FILES_A_CORE * spark.sparkContext.defaultParallelism
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -92,8 +96,9 @@ def stream_rate_watermarked(spark: SparkSession, folder: str, table_name: str =
                             client_col: str = "user_id", window: str = "1 minute", limit: int = 100,
                             watermark: str = "10 minutes") -> DataFrame:
     """Append mode with a watermark: a window is emitted once the watermark
-    passes its end, and its state is dropped (bounded state)."""
-    s = source(spark, folder, table_name).select(ts_col, client_col)
+    passes its end, and its state is dropped (bounded state).  One file a
+    batch, as the watermark moves between batches."""
+    s = source(spark, folder, table_name, 1).select(ts_col, client_col)
     return run_append(rate_stream(s, ts_col, client_col, window, limit, watermark), "rate_wm")
 
 

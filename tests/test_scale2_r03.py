@@ -66,3 +66,20 @@ def test_one_solve_for_all_keys():
     assert models.shape == (6, 3) and ridge.squared_error(moments, models).shape == (6,)
     for m, w in zip(moments, models):
         assert np.allclose(ridge.solve(m, 1.0), w)
+
+
+def test_a_stream_takes_many_files_a_batch(spark, tmp_path, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["good bad word", "Great, great problem", "", None, "none here", "fear fails gut"] * 4)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    batches, drain = [], feeds._drain
+
+    def note(query, timeout):
+        drain(query, timeout)
+        batches.append(len([p for p in query.recentProgress if p["numInputRows"]]))
+    monkeypatch.setattr(feeds, "_drain", note)
+    got = {r.doc_id: r for r in feeds.stream_sentiment(spark, str(tmp_path)).collect()}
+    assert batches == [1] and len(got) == 24
+    want = {r.doc_id: r for r in TX.sentiment_scores(spark.createDataFrame(rows, "doc_id long, text string").where("text is not null"), "text").collect()}
+    for i, r in want.items():
+        assert all(math.isclose(got[i][c], r[c], abs_tol=1e-12) for c in ("neg", "neu", "pos", "compound", "polarity", "subjectivity"))
+    assert got[3].compound is None
