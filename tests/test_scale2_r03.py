@@ -47,6 +47,25 @@ def test_a_receiver_searches_few_donors(spark, monkeypatch, patterns):
         assert work[0] < 16, work  # of up to 64 cells a family
 
 
+def test_scores_of_blocks_equal_scores_of_pairs(spark, monkeypatch):
+    for name, value in (("QUERY_BLOCK", 3), ("BLOCK_PAIRS", 12), ("BLOCK_TERMS", 20)):
+        monkeypatch.setattr(TX, name, value)
+    words = [f"word{i}" for i in range(12)]
+    text = lambda i, n: " ".join(words[(i * 7 + j * j) % 12] for j in range(n))
+    q = spark.createDataFrame([(i, text(i, 3)) for i in range(10)] + [(None, "word1 word2"), (3, "word5"), (90, "unseen"), (91, None)], "item int, t string")
+    d = spark.createDataFrame([(i, text(i + 3, i % 9)) for i in range(40)] + [(None, "word2"), (7, "word4"), (99, "other")], "doc long, t string")
+    vec = TX._fitted_vectors(q, "item", "t", d, "doc", "t").collect()
+    want = {}
+    for a in (r for r in vec if r["_src"] == "q"):
+        for b in (r for r in vec if r["_src"] == "d" and r["term"] == a["term"]):
+            want[a["_id"], b["_id"]] = want.get((a["_id"], b["_id"]), 0) + a["w"] * b["w"]
+    got = TX.tfidf_similarity(q, "item", "t", d, "doc", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan and got.dtypes[:2] == [("item", "int"), ("doc", "bigint")]
+    rows = got.collect()
+    assert len(rows) == len(want) and all(math.isclose(want[r["item"], r["doc"]], r.score, rel_tol=1e-9) for r in rows)
+
+
 def test_models_meet_their_rows_once(spark, monkeypatch):
     """Both results of ``score_per_key`` read written rows: neither joins nor fits again."""
     df = spark.createDataFrame([(k, i % 5, float(i), 2.0 * i + k) for k, n in ((1, 30), (2, 4)) for i in range(n)], "k long, f long, x double, y double")
