@@ -534,6 +534,24 @@ class Forest:
         rows = reliable_checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
         return rows.join(self.row_values(rows, col, each=True).withColumnRenamed("_value", out), "_row").drop("_row")
 
+    def mean_values(self, df: DataFrame, col: str, out: str) -> DataFrame:
+        """``out``: the mean prediction of the trees, of a forest of at most ``MODEL_BYTES``.
+        A task holds one number a row, not one a row and tree."""
+        edges = self.edges
+        trees = df.sparkSession.sparkContext.broadcast(self._fetch(sorted(self.tops)))
+
+        @F.pandas_udf("double")
+        def mean(x):
+            import pandas as pd
+            total = np.zeros(len(x))
+            if len(x):
+                codes = to_codes(np.stack(x.to_numpy()).astype(float), edges)
+                for t in trees.value:  # one by one, as the aggregate over an array adds them
+                    total += t["value"][leaf_of(t, codes)]
+            return pd.Series(total / len(trees.value))
+
+        return df.withColumn(out, mean(F.col(col)))
+
     def _sent(self, df: DataFrame, col: str, out: str) -> DataFrame:
         edges = self.edges
         trees = df.sparkSession.sparkContext.broadcast(self._fetch(sorted(self.tops)))

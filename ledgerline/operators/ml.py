@@ -131,11 +131,14 @@ class ForestModel:
     def transform(self, df: DataFrame, each_tree: bool = False) -> DataFrame:
         """Adds ``prediction`` and, for classes, ``probability`` and
         ``rawPrediction``; with ``each_tree`` also ``tree_values``."""
-        if each_tree or self.forest.size() <= forest.MODEL_BYTES:
+        if each_tree:
             x = self.encoder.transform(df).withColumn("_x", vector_to_array("features"))
             x = self.forest.tree_values(x, "_x").drop("_x")
             mean = F.aggregate("tree_values", F.lit(0.0), lambda a, v: a + v) / F.size("tree_values")
             x = x.withColumn("prediction", mean)
+        elif self.forest.size() <= forest.MODEL_BYTES:
+            x = self.encoder.transform(df).withColumn("_x", vector_to_array("features"))
+            x = self.forest.mean_values(x, "_x", "prediction").drop("_x")
         else:  # only the means travel
             rows = reliable_checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
             coded = self.encoder.transform(rows).select("_row", vector_to_array("features").alias("_x"))
@@ -145,7 +148,7 @@ class ForestModel:
             p = F.col("prediction")
             x = x.withColumn("probability", array_to_vector(F.array(1 - p, p))).withColumn("rawPrediction", F.col("probability")) \
                  .withColumn("prediction", (p > 0.5).cast("double"))
-        return x if each_tree else x.drop("tree_values")
+        return x
 
 
 def encode(train: DataFrame, stages: list, key: str) -> tuple[PipelineModel, DataFrame]:
