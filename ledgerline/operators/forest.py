@@ -15,11 +15,11 @@ one narrow pass.  A larger one never comes to the driver: blocks of rows are
 routed through the upper parts of the trees and meet the subtrees there by a
 shuffle, each row once a tree, and a block's values are put together again.
 
-*Searching.*  ``best_point`` compares the points of a grid by cross-validation on
-a sample of at most ``SEARCH_ROWS`` rows (a documented bound; the chosen point is
-then fitted on all rows).  A forest of 100 trees is the first half of one of
-200 and a shallow tree the top of a deep one, so points that differ in number
-of trees, rounds or depth share their fits; the fits are spread over tasks.
+*Searching.*  Points of a grid are compared by cross-validation over all rows.  A forest
+of 100 trees is the first half of one of 200 and a shallow tree the top of a deep
+one, so points that differ in number of trees, rounds or depth share their fits.
+``best_point`` fits a table of at most ``SEARCH_ROWS`` rows whole in every task and
+spreads the fits; the fits of a larger one are distributed themselves (``ml.search``).
 
 Labels are numbers; 0 / 1 labels give class probabilities, as the variance of
 a 0 / 1 label orders splits as the Gini index does.
@@ -457,8 +457,9 @@ def _arrivals(plan, width: int):
     return run
 
 
-def _apply_subtree(plan, width: int):
-    """Values of the rows that arrived at one node, from the subtree below it."""
+def _apply_subtree(plan, width: int, depths=(None,)):
+    """Values of the rows that arrived at one node, from the subtree below it; for several
+    ``depths`` one after another."""
     def run(rows: pa.Table, model: pa.Table) -> pa.Table:
         values = []
         tree = None
@@ -466,11 +467,14 @@ def _apply_subtree(plan, width: int):
             tree = {k: np.frombuffer(model[k][0].as_py(), kind) for k, kind in _KINDS.items()}
         for r in rows.select(["tree", "node", "codes"]).to_pylist():
             codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, width)
-            if tree is None:  # a leaf of the upper part
-                v = np.full(len(codes), plan.value[0][r["tree"]]["value"][r["node"]], float)
-            else:
-                v = tree["value"][leaf_of(tree, codes)]
-            values.append(v.tobytes())
+            top = plan.value[0][r["tree"]]
+            out = []
+            for d in depths:
+                if tree is None or d is not None and d < top["level"][r["node"]]:  # a leaf of the upper part, or cut off there
+                    out.append(top["value"][leaf_of(top, codes, d)].astype(float))
+                else:
+                    out.append(tree["value"][leaf_of(tree, codes, d)])
+            values.append(np.concatenate(out).tobytes())
         return pa.table({"block": rows["block"].cast(pa.int64()), "tree": rows["tree"].cast(pa.int32()), "at": rows["at"].cast(pa.binary()),
                          "value": pa.array(values, pa.binary())})
     return run
@@ -499,6 +503,26 @@ def _gather(trees: list[int], each: bool):
     return run
 
 
+def _gather_points(points: list[tuple], depths: list):
+    """For the rows of a block the mean over the first trees, for every (trees, depth) of ``points``."""
+    def run(values: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return pa.table({"_row": pa.array([], pa.int64()), "_value": pa.array([], pa.list_(pa.float64()))})
+        ids = np.frombuffer(blocks["row"][0].as_py(), np.int64)
+        got = np.zeros((len(points), len(ids)))
+        trees = values["tree"].to_numpy()
+        for j in np.argsort(trees, kind="stable"):  # added in the order of the trees
+            at = np.frombuffer(values["at"][int(j)].as_py(), np.int32)
+            v = np.frombuffer(values["value"][int(j)].as_py()).reshape(len(depths), -1)
+            for i, (n, d) in enumerate(points):
+                if trees[j] < n:
+                    got[i, at] += v[depths.index(d)]
+        got /= np.array([n for n, _ in points], float)[:, None]
+        flat = pa.array(np.ascontiguousarray(got.T).ravel())
+        return pa.table({"_row": pa.array(ids), "_value": pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * len(points), pa.int32()), flat)})
+    return run
+
+
 class Forest:
     """A grown forest: its model table, the upper parts of the trees and the cut points."""
 
@@ -552,6 +576,31 @@ class Forest:
 
         return df.withColumn(out, mean(F.col(col)))
 
+    def point_values(self, df: DataFrame, col: str, points: list[tuple]) -> DataFrame:
+        """(``_row``, ``_value``): for every (trees, depth) of ``points`` the mean over the first
+        trees, cut at the depth (None: not cut); ``_row`` is a unique number."""
+        depths = list(dict.fromkeys(d for _, d in points))
+        if self.size() > MODEL_BYTES:
+            return self.row_values(df, col, True, points)
+        edges = self.edges
+        trees = df.sparkSession.sparkContext.broadcast(self._fetch(sorted(self.tops)))
+
+        @F.pandas_udf("array<double>")
+        def means(x):
+            import pandas as pd
+            if not len(x):
+                return pd.Series([], dtype=object)
+            codes = to_codes(np.stack(x.to_numpy()).astype(float), edges)
+            got = np.zeros((len(points), len(x)))
+            for tree, t in enumerate(trees.value):
+                v = {d: t["value"][leaf_of(t, codes, d)] for d in depths}
+                for i, (n, d) in enumerate(points):
+                    if tree < n:
+                        got[i] += v[d]
+            return pd.Series(list((got / np.array([n for n, _ in points], float)[:, None]).T))
+
+        return df.select("_row", means(F.col(col)).alias("_value"))
+
     def _sent(self, df: DataFrame, col: str, out: str) -> DataFrame:
         edges = self.edges
         trees = df.sparkSession.sparkContext.broadcast(self._fetch(sorted(self.tops)))
@@ -566,9 +615,11 @@ class Forest:
 
         return df.withColumn(out, values(F.col(col)))
 
-    def row_values(self, df: DataFrame, col: str, each: bool) -> DataFrame:
+    def row_values(self, df: DataFrame, col: str, each: bool, points: list[tuple] | None = None) -> DataFrame:
         """(``_row``, ``_value``): the predictions of every tree (``each``) or their mean,
-        for the features in ``col``; ``_row`` is a unique number.  The trees stay where they are."""
+        for the features in ``col``, or the means of ``point_values``; ``_row`` is a unique
+        number.  The trees stay where they are."""
+        depths = list(dict.fromkeys(d for _, d in points)) if points else [None]
         width, context = len(self.edges), df.sparkSession.sparkContext
         blocks = reliable_checkpoint(df.select("_row", F.col(col).alias("x")).mapInArrow(_score_blocks(self.edges), "block long, row binary, codes binary"))
         # a node that many rows reach is dealt to several tasks, its subtree to each
@@ -581,10 +632,10 @@ class Forest:
         model = self.table.drop("gain").join(F.broadcast(several), ["tree", "node"], "left") \
                     .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         values = rows.groupBy("tree", "node", "part").cogroup(model.groupBy("tree", "node", "part")).applyInArrow(
-            _apply_subtree(plan, width), "block long, tree int, at binary, value binary")
+            _apply_subtree(plan, width, depths), "block long, tree int, at binary, value binary")
         kind = "array<double>" if each else "double"
         return values.groupBy("block").cogroup(blocks.select("block", "row").groupBy("block")).applyInArrow(
-            _gather(sorted(self.tops), each), f"_row long, _value {kind}")
+            _gather_points(points, depths) if points else _gather(sorted(self.tops), each), f"_row long, _value {kind}")
 
     def importances(self) -> np.ndarray:
         """Share of the impurity decrease per feature, mean over the trees."""
@@ -596,17 +647,17 @@ class Forest:
 
 
 def grow_forest(df: DataFrame, key: str, col: str, label: str, trees: int = 100, weight: str | None = None, depth: int | None = None,
-                min_leaf: int = 1, min_split: int = 2, tried: str = "all", seed: int = 42) -> Forest:
+                min_leaf: int = 1, min_split: int = 2, tried: str = "all", seed: int = 42, edges: list[np.ndarray] | None = None) -> Forest:
     """A forest over the features in ``col`` (array of doubles); ``key`` is a unique
     column.  ``depth`` None: until the leaves are pure or too small; ``tried``:
-    features looked at in a split, all or sqrt."""
+    features looked at in a split, all or sqrt; ``edges``: cut points, else those of the rows."""
     first = df.select(F.size(col).alias("n")).first()
     if first is None:
         raise ValueError("no rows to grow a forest on")
     width = first.n
     spec = {"depth": depth if depth is not None else 1 << 30, "min_leaf": min_leaf, "min_split": min_split,
             "tried": max(1, int(math.sqrt(width))) if tried == "sqrt" else None}
-    edges = bin_edges(df, col, width)
+    edges = bin_edges(df, col, width) if edges is None else edges
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     blocks = reliable_checkpoint(df.select(F.xxhash64(key).alias("uid"), F.col(col).alias("x"), F.col(label).cast("double").alias("y"), w.alias("w"))
                                    .mapInArrow(_blocks(edges), "uid binary, codes binary, y binary, w binary"))
@@ -774,6 +825,12 @@ def best_point(spark, kind: str, grid: dict, sample, folds: int, metric: str = "
 
     work = spark.range(0, len(units), 1, len(units)).mapInArrow(run, "point int, fold int, row int, y int, value double")
     scored = reliable_checkpoint(work.groupBy("point", "fold", "row", "y").agg(F.sum("value").alias("value")))
+    return pick_point(kind, grid, scored, metric)
+
+
+def pick_point(kind: str, grid: dict, scored: DataFrame, metric: str) -> tuple[dict, DataFrame]:
+    """The best point by the mean of ``metric`` over the folds, and the table (point, score), from
+    written scores (point, fold, row, y, value) of held-out rows."""
     if metric == "auc":
         each = stats.roc_auc(scored, "y", "value", by=["point", "fold"]).select("point", "fold", F.coalesce("auc", F.lit(0.5)).alias("m"))
     else:

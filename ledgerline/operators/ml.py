@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -120,6 +123,7 @@ RETENTION_GRIDS = {
 PLAIN = {"logistic_regression": {"C": 1.0, "elasticNetParam": 0.0}, "random_forest": {"trees": 100},
          "gradient_boosting": {"rounds": 100, "step": 0.1, "depth": 3, "share": 1.0}}
 FIT_ROWS = 50_000  # rows a partition of an encoded table
+FITS_AT_ONCE = 4  # fits of many short jobs that a search runs side by side
 
 
 class ForestModel:
@@ -175,17 +179,73 @@ def fit_point(name: str, point: dict, encoder: PipelineModel, x: DataFrame, clas
                                    point.get("min_leaf", 1), point.get("min_split", 2), "sqrt" if classes else "all", SEED)
         return ForestModel(encoder, grown, classes)
     if name == "gradient_boosting":
-        est = GBTClassifier(featuresCol="features", labelCol="label", maxIter=point["rounds"], stepSize=point["step"], maxDepth=point["depth"],
-                            subsamplingRate=point["share"], seed=SEED)
+        est = boosting(point)
     else:
         est = logistic(x.count(), point)
     return PipelineModel(stages=[*encoder.stages, est.fit(x)])
 
 
 def search(name: str, grid: dict, x: DataFrame, folds: int, metric: str) -> dict:
-    """The best point of a grid by cross-validation over encoded rows."""
-    sample = forest.draw_sample(x, "_key", "_x", "label", "weight", folds)
-    return forest.best_point(x.sparkSession, name, grid, sample, folds, metric, SEED)[0]
+    """The best point of a grid by cross-validation over all encoded rows: a small
+    table goes whole to every task, the fits of a larger one are distributed."""
+    if x.count() <= forest.SEARCH_ROWS:
+        rows = forest.draw_sample(x, "_key", "_x", "label", "weight", folds)
+        return forest.best_point(x.sparkSession, name, grid, rows, folds, metric, SEED)[0]
+    return forest.pick_point(name, grid, held_out_scores(name, grid, x, folds), metric)[0]
+
+
+def held_out_scores(name: str, grid: dict, x: DataFrame, folds: int) -> DataFrame:
+    """Written (point, fold, row, y, value) of every row and point, by a model fitted on
+    all rows of the other folds; folds are dealt within each label by a hash of the key."""
+    numbered = stats.with_global_row_number(x.withColumn("_h", F.xxhash64(F.xxhash64("_key"))), ["label", "_h", "_key"], name="_row")
+    x = reliable_checkpoint(numbered.drop("_h").withColumn("_fold", F.pmod("_row", F.lit(folds)).cast("int")))
+    size = {r["_fold"]: r["count"] for r in x.groupBy("_fold").count().collect()}
+    n = sum(size.values())
+    edges = forest.bin_edges(x, "_x", x.select(F.size("_x").alias("n")).first().n) if name == "random_forest" else None
+
+    def unit(fit: dict, points: list, k: int) -> list[DataFrame]:
+        own, held = x.where(F.col("_fold") != k), x.where(F.col("_fold") == k)
+        out = lambda i, row, value: row.select(F.lit(i).alias("point"), F.lit(k).alias("fold"), F.col("_row").alias("row"),
+                                               F.col("label").cast("int").alias("y"), value.alias("value"))
+        if name == "random_forest":
+            depths = [p.get("depth") for _, p in points]
+            grown = forest.grow_forest(own, "_key", "_x", "label", max(p["trees"] for _, p in points), "weight",
+                                       None if None in depths else max(depths), fit.get("min_leaf", 1), fit.get("min_split", 2), "sqrt", SEED + k, edges)
+            means = grown.point_values(held, "_x", [(p["trees"], p.get("depth")) for _, p in points])
+            means = reliable_checkpoint(held.select("_row", "label").join(means, "_row"))
+            return [out(i, means, F.col("_value")[j]) for j, (i, _) in enumerate(points)]
+        raw = vector_to_array("rawPrediction")[1]
+        if name == "gradient_boosting":
+            model = boosting({**fit, "rounds": max(p["rounds"] for _, p in points)}).fit(own)
+            return [reliable_checkpoint(out(i, first_rounds(model, p["rounds"]).transform(held), raw)) for i, p in points]
+        model = logistic(n - size.get(k, 0), fit).fit(own)
+        return [reliable_checkpoint(out(i, model.transform(held), raw)) for i, _ in points]
+
+    units = [(fit, points, k) for fit, points in forest._fits(name, grid) for k in sorted(size)]
+    if name == "random_forest":  # each fills the cluster
+        parts = [unit(*u) for u in units]
+    else:  # many short jobs each
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            parts = pool.map(inheritable_thread_target(x.sparkSession)(lambda u: unit(*u)), units, 1)
+    return reduce(DataFrame.unionByName, [p for part in parts for p in part])
+
+
+def boosting(point: dict) -> GBTClassifier:
+    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=point["rounds"], stepSize=point["step"], maxDepth=point["depth"],
+                         subsamplingRate=point["share"], seed=SEED)
+
+
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model as it was after ``rounds`` rounds."""
+    own, context = model._java_obj, SparkContext._active_spark_context
+    trees, jvm = own.trees(), context._jvm
+    first = context._gateway.new_array(getattr(jvm, "org.apache.spark.ml.regression.DecisionTreeRegressionModel"), rounds)
+    weights = context._gateway.new_array(jvm.double, rounds)
+    for i in range(rounds):
+        first[i], weights[i] = trees[i], model.treeWeights[i]
+    cut = getattr(jvm, "org.apache.spark.ml.classification.GBTClassificationModel")(own.uid(), first, weights)
+    own.copyValues(cut, own.extractParamMap())
+    return GBTClassificationModel(cut)
 
 
 METRICS = "model string, auc double, accuracy double, precision double, recall double, f1 double, selected boolean"
