@@ -67,12 +67,20 @@ def grow_tree(codes: np.ndarray, y: np.ndarray, w: np.ndarray, seed, depth: int
     rows, node, k, level, base = np.arange(n), np.zeros(n, np.int64), 1, first_level, 0
     wy = w * y
     wyy = wy * y
-    small = {}  # features with few codes are summed by code, the others sorted
+    codes = np.asfortranarray(codes)  # read by feature
+    small, rare_f, rare_row, low = {}, [], [], np.zeros(width, np.int64)  # features with few codes are summed by code, the others sorted
     for f in range(width):
-        own = np.unique(codes[:, f])
-        if len(own) <= FEW_CODES:
-            small[f] = own, np.searchsorted(own, codes[:, f]).astype(np.uint8)
-    ordered = {f: np.argsort(codes[:, f], kind="stable") for f in range(width) if f not in small}  # by (node, code), level by level
+        met = np.flatnonzero(np.bincount(codes[:, f], minlength=256))
+        if len(met) == 2:  # two codes: only the rows of the rarer one are looked at, as of a category's column
+            high = codes[:, f] == met[1]
+            rare_row.append(np.flatnonzero(high if 2 * np.count_nonzero(high) <= n else ~high))
+            rare_f.append(np.full(len(rare_row[-1]), f))
+            low[f] = met[0]
+        elif len(met) <= FEW_CODES:
+            small[f] = met, np.searchsorted(met, codes[:, f]).astype(np.uint8)
+    own_f, own_row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rare_f, rare_row))  # by (node, feature), level by level
+    two = set(np.unique(own_f).tolist())
+    ordered = {f: np.argsort(codes[:, f], kind="stable") for f in range(width) if f not in small and f not in two}  # by (node, code), level by level
     own_node = np.zeros(n, np.int64)  # node of every row, -1: in no open one
     while k:
         sw, sy = np.bincount(node, w[rows], k), np.bincount(node, wy[rows], k)
@@ -97,6 +105,8 @@ def grow_tree(codes: np.ndarray, y: np.ndarray, w: np.ndarray, seed, depth: int
                 allowed = draw <= np.partition(draw, tried - 1, axis=1)[:, tried - 1:tried]
             here_w, here_wy = w[rows], wy[rows]
             for f in range(width):
+                if f in two:
+                    continue
                 if f in small:
                     values, rank = small[f]
                     v, m = len(values), len(opened)
@@ -146,6 +156,32 @@ def grow_tree(codes: np.ndarray, y: np.ndarray, w: np.ndarray, seed, depth: int
                 better = top > best[where] + 1e-12 * np.abs(best[where], where=np.isfinite(best[where]), out=np.zeros(len(where)))
                 where, first, top = where[better], first[better], top[better]
                 best[where], best_f[where], best_c[where] = top, f, key[ends[hit[first]]] & 255
+            if len(own_row):
+                at = own_node[own_row]
+                open_ = at >= 0
+                own_f, own_row, at = own_f[open_], own_row[open_], at[open_]
+                order = np.argsort(at.astype(np.uint16) if few_nodes else at, kind="stable")
+                own_f, own_row, at = own_f[order], own_row[order], at[order]
+            if len(own_row):
+                begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (own_f[1:] != own_f[:-1])]))
+                at, by = at[begin], own_f[begin]
+                n_rare = np.diff(np.append(begin, len(own_row)))
+                other = count[at] - n_rare
+                good = (other > 0) & (n_rare >= min_leaf) & (other >= min_leaf)
+                if tried < width:
+                    good &= allowed[at, by]
+                if good.any():
+                    rw, ry = np.add.reduceat(w[own_row], begin)[good], np.add.reduceat(wy[own_row], begin)[good]
+                    at, by = at[good], by[good]
+                    score = ry * ry / rw + (sy[at] - ry) ** 2 / (sw[at] - rw)
+                    heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                    top = np.maximum.reduceat(score, heads)
+                    hit = np.flatnonzero(score >= np.repeat(top - 1e-12 * np.abs(top), np.diff(np.append(heads, len(at)))))
+                    where, first = np.unique(at[hit], return_index=True)  # of equal ones the first feature
+                    first, slack = by[hit[first]], 1e-12 * np.where(np.isfinite(best[where]), np.abs(best[where]), 0)
+                    better = (top > best[where] + slack) | (top >= best[where] - slack) & (first < best_f[where])
+                    where, first = where[better], first[better]
+                    best[where], best_f[where], best_c[where] = top[better], first, low[first]
             split = best_f >= 0
             np.add.at(gain, best_f[split], np.maximum(best[split] - sy[split] ** 2 / sw[split], 0))
             rank = np.cumsum(split) - 1
@@ -168,13 +204,15 @@ def grow_tree(codes: np.ndarray, y: np.ndarray, w: np.ndarray, seed, depth: int
 def leaf_of(tree: dict, codes: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Node of each row, at most ``depth`` levels down."""
     node = np.zeros(len(codes), np.int64)
-    at = np.arange(len(codes))
     feature = tree["feature"] if depth is None else np.where(tree["level"] < depth, tree["feature"], -1)
+    at, own = np.arange(len(codes)), np.zeros(len(codes), np.int64)
     while len(at):
-        own = node[at]
-        at = at[feature[own] >= 0]
-        own = node[at]
-        node[at] = tree["left"][own] + (codes[at, feature[own]] > tree["code"][own])
+        f = feature[own]
+        inner = f >= 0
+        if not inner.all():
+            node[at[~inner]] = own[~inner]
+            at, own, f = at[inner], own[inner], f[inner]
+        own = tree["left"][own] + (codes[at, f] > tree["code"][own])
     return node
 
 
@@ -242,6 +280,42 @@ def _route(top: dict, codes: np.ndarray) -> np.ndarray:
     return leaf_of(top, codes) if len(top["feature"]) > 1 else np.zeros(len(codes), np.int64)
 
 
+def _boxes(top: dict, nodes: list[int]) -> list[dict]:
+    """For every 64 of ``nodes`` a table by feature: for each code, a bit per node whose path allows it."""
+    parent = np.full(len(top["feature"]), -1)
+    inner = np.flatnonzero(np.asarray(top["feature"]) >= 0)
+    parent[np.asarray(top["left"])[inner]] = parent[np.asarray(top["left"])[inner] + 1] = inner
+    out = []
+    for i, node in enumerate(nodes):
+        if i % 64 == 0:
+            out.append({})
+        tables, bit = out[-1], np.uint64(1 << i % 64)
+        while parent[node] >= 0:
+            above = parent[node]
+            t = tables.setdefault(int(top["feature"][above]), np.full(256, ~np.uint64(0)))
+            c = int(top["code"][above])
+            if node == top["left"][above]:
+                t[c + 1:] &= ~bit
+            else:
+                t[:c + 1] &= ~bit
+            node = above
+    return out
+
+
+def _arrive(boxes: list[dict], n_nodes: int, codes: np.ndarray) -> np.ndarray:
+    """The place among the nodes of ``boxes`` where each row arrives, -1: at none.  One look
+    at a table per feature of the paths, however deep they are."""
+    out = np.full(len(codes), -1)
+    for g, tables in enumerate(boxes):
+        k = min(64, n_nodes - 64 * g)
+        bits = np.full(len(codes), ~np.uint64(0) >> np.uint64(64 - k))
+        for f, t in tables.items():
+            bits &= t[codes[:, f]]
+        met = np.flatnonzero(bits)
+        out[met] = 64 * g + (np.frexp(bits[met].astype(float))[1] - 1)  # paths exclude each other: a single bit
+    return out
+
+
 def _places(edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Where the sums of each feature begin, and the place of (feature, code) among
     them: a feature takes as many places as it has codes, the last for missing values."""
@@ -257,32 +331,63 @@ def _histograms(plan, edges: list[np.ndarray], seed: int):
     width = len(edges)
     starts, place = _places(edges)
     size = int(starts[-1])
+    # of features with two codes at most, only the rows that have not the first are counted, the others are the rest of the node
+    two = [f for f in range(width) if len(edges[f]) <= 1]
+    many = [f for f in range(width) if len(edges[f]) > 1]
+    few = np.concatenate([np.arange(starts[f], starts[f + 1]) for f in two] or [np.zeros(0, np.int64)])
+    among = np.zeros(size, np.int64)
+    among[few] = np.arange(len(few))
 
     def run(batches):
         tops, wanted = plan.value
         sums: dict = {}
+        totals: dict = {}
+        boxes = {tree: _boxes(tops[tree], nodes) for tree, nodes in wanted.items()}
         for uid, codes, y, w in _block_rows(batches, width):
-            at = np.stack([place[f][codes[:, f]] for f in range(width)])
+            codes = np.asfortranarray(codes)  # read by feature
+            at = {f: place[f][codes[:, f]] - starts[f] for f in many}
+            row, j = np.nonzero(codes[:, two])  # by row
+            each = np.bincount(row, minlength=len(codes))
+            others = np.full((int(each.max(initial=0)), len(codes)), -1)
+            others[np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each), row] = among[place[np.array(two, int)[j], codes[:, two][row, j]]]
             for tree, nodes in wanted.items():
-                times = bag(uid, tree, seed)
-                number = np.full(len(tops[tree]["feature"]), -1)
-                number[nodes] = np.arange(len(nodes))
-                node = number[_route(tops[tree], codes)]
-                own = np.flatnonzero((node >= 0) & (times > 0))
+                node = _arrive(boxes[tree], len(nodes), codes)
+                own = np.flatnonzero(node >= 0)
+                times = bag(uid[own], tree, seed)
+                own, times = own[times > 0], times[times > 0]
                 if not len(own):
                     continue
                 h = sums.get(tree)
                 if h is None:
                     h = sums[tree] = np.zeros((len(nodes), size, 4))
-                ww = w[own] * times[own]
+                    totals[tree] = np.zeros((len(nodes), 4))
+                ww = w[own] * times
                 wy = ww * y[own]
                 node = node[own]
-                for f in range(width):
+                for k, x in enumerate((None, ww, wy, wy * y[own])):
+                    totals[tree][:, k] += np.bincount(node, x, len(nodes))
+                parts = (None, ww, wy)  # squares are wanted of whole nodes only
+                for f in many:
                     m = int(starts[f + 1] - starts[f])
-                    key = node * m + (at[f, own] - starts[f])
-                    for k, x in enumerate((None, ww, wy, ww * y[own] ** 2)):
+                    key = node * m + at[f][own]
+                    for k, x in enumerate(parts):
                         h[:, starts[f]:starts[f + 1], k] += np.bincount(key, x, len(nodes) * m).reshape(len(nodes), m)
+                for p in others:
+                    p = p[own]
+                    met = p >= 0
+                    key = node[met] * len(few) + p[met]
+                    weights = (None, ww[met], wy[met])
+                    if len(nodes) * len(few) <= 16 * len(own):
+                        for k, x in enumerate(weights):
+                            h[:, few, k] += np.bincount(key, x, len(nodes) * len(few)).reshape(len(nodes), len(few))
+                    else:
+                        keys, number = np.unique(key, return_inverse=True)
+                        for k, x in enumerate(weights):
+                            h[keys // len(few), few[keys % len(few)], k] += np.bincount(number, x, len(keys))
         for tree, h in sums.items():
+            for f in two:
+                h[:, starts[f], :3] = totals[tree][:, :3] - h[:, starts[f] + 1:starts[f + 1], :3].sum(axis=1)
+            h[:, 0, 3] = totals[tree][:, 3]
             met = np.flatnonzero(h[:, :starts[1], 0].sum(axis=1) > 0)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(met), tree, np.int32)), pa.array(np.array(wanted[tree])[met].astype(np.int32)),
@@ -336,7 +441,10 @@ def _deal(plan, width: int, seed: int):
             out, size = [], 0
             for tree, top in tops.items():
                 times = bag(uid, tree, seed)
-                for node, own in _by_node(_route(top, codes), np.flatnonzero(times > 0)):
+                drawn = np.flatnonzero(times > 0)
+                where = np.zeros(len(codes), np.int64)
+                where[drawn] = _route(top, codes[drawn])
+                for node, own in _by_node(where, drawn):
                     if (tree, node) in closed:
                         continue
                     out.append((tree, node, len(own), codes[own].tobytes(), y[own].tobytes(), (w[own] * times[own]).tobytes()))
