@@ -283,8 +283,8 @@ def _route(top: dict, codes: np.ndarray) -> np.ndarray:
 def _boxes(top: dict, nodes: list[int]) -> list[dict]:
     """For every 64 of ``nodes`` a table by feature: for each code, a bit per node whose path allows it."""
     parent = np.full(len(top["feature"]), -1)
-    inner = np.flatnonzero(np.asarray(top["feature"]) >= 0)
-    parent[np.asarray(top["left"])[inner]] = parent[np.asarray(top["left"])[inner] + 1] = inner
+    for i in np.flatnonzero(top["feature"] >= 0):
+        parent[top["left"][i]] = parent[top["left"][i] + 1] = i
     out = []
     for i, node in enumerate(nodes):
         if i % 64 == 0:
